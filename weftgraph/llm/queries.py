@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, language, mixing, quality, token_counts
+from weftgraph.llm import byte_bpe, language, mixing, quality, simhash, token_counts
 from weftgraph.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).withColumn("held_out", language.held_out())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
 }

@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
 The merges are compiled into a finite-state transducer that reads a piece byte by
-byte.  Its state holds every place where a token may still be open, the trie node
-reached from there, and the tokens that precede it but are not sure yet; a token is
-emitted as soon as all open places agree on it, which the longest token bounds.
-States and transitions are made when first met and kept, up to a limit.
+byte.  A state is the set of all open tokens: the trie nodes reached from each place
+where a token may still be growing.  States and moves come from a subset construction
+that is carried out only where a text leads, and are kept.  A move lists the tokens
+that end with its byte; a register holds the last token of each recent place.  A token
+is emitted as soon as the ways back from all open places agree on it, which the
+longest token bounds; a piece's end closes all open tokens.
 
 Which token ends at a place is decided by pairs alone: a sequence of tokens is what
 the merges give if and only if each two neighbours, encoded together, stay as they
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Recent, map_arrow, rare_gc, slices
 
-#: States and cached pieces in a Python worker; beyond that the cache starts anew.
-MOST_STATES, MOST_PIECES = 150_000, 250_000
+#: Kept moves, tested pairs and cached pieces in a Python worker; beyond that they start anew.
+MOST_MOVES, MOST_PAIRS, MOST_PIECES = 1_000_000, 1_000_000, 300_000
+#: Places in the register before sure tokens are emitted.
+REGISTER = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,6 +55,7 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.trie: dict[int, int] = {}
         self.ends: dict[int, int] = {}
+        self.depth = [0]
         nodes = 0
         for token, rank in ranks.items():
             node = 0
@@ -59,6 +64,7 @@ class Transducer:
                 node = self.trie.get(step, 0)
                 if not node:
                     nodes += 1
+                    self.depth.append(self.depth[step >> 8] + 1)
                     node = self.trie[step] = nodes
             self.ends[node] = rank
         self.inner = {step >> 8 for step in self.trie}
@@ -67,20 +73,9 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.states: list[tuple] = []
-        self.known: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.shapes: list[tuple[int, ...]] = [(0,)]
-        self.shape_of = {(0,): 0}
-        self.growth: dict[int, tuple] = {}
-        self.start = self._state((0, -1, ((),)))
-
-    def _state(self, state: tuple) -> int:
-        at = self.known.get(state)
-        if at is None:
-            at = self.known[state] = len(self.states)
-            self.states.append(state)
-        return at
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.known: dict[tuple[int, ...], int] = {(0,): 0}
+        self.moves: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a single byte."""
@@ -104,7 +99,7 @@ class Transducer:
         """
         found = self.pairs.get(last << 32 | token)
         if found is None:
-            if len(self.pairs) >= 2 * MOST_PIECES:
+            if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
             found = self.pairs[last << 32 | token] = self.halves(token) != () and (last < 0 or self._apart(last, token))
         return found
@@ -125,69 +120,65 @@ class Transducer:
             else:
                 return True
 
-    def _grown(self, shape: int, byte: int) -> tuple[int, tuple[int, ...], tuple[tuple[int, int], ...]]:
-        """What a byte does to the open places alone: the new shape, which places stay, which end a token."""
-        stay, nodes, ends = [], [], []
-        for at, node in enumerate(self.shapes[shape]):
+    def _move(self, at: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The next state, and (length, token) of each token that ends with ``byte``."""
+        nodes, ends = [], []
+        for node in self.states[at]:
             child = self.trie.get(node << 8 | byte)
             if child is not None:
                 if child in self.inner:  # a leaf can't grow
-                    stay.append(at)
                     nodes.append(child)
                 if child in self.ends:
-                    ends.append((at, self.ends[child]))
+                    token = self.ends[child]
+                    ends.append((len(self.bytes_of[token]), token))
         nodes = (*nodes, 0)
-        found = self.shape_of.get(nodes)
+        found = self.known.get(nodes)
         if found is None:
-            found = self.shape_of[nodes] = len(self.shapes)
-            self.shapes.append(nodes)
-        return found, tuple(stay), tuple(ends)
-
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        shape, last, waits = self.states[at]
-        grown = self.growth.get(shape << 8 | byte)
-        if grown is None:
-            grown = self.growth[shape << 8 | byte] = self._grown(shape, byte)
-        shape, stay, ends = grown
-        for place, token in ends:
-            waiting = waits[place]
-            if self.stands(waiting[-1] if waiting else last, token):
-                ended = (*waiting, token)
-                break
-        else:
-            raise ValueError(f"no token ends with byte {byte}: the vocabulary lacks single bytes")
-        out = ended
-        for place in stay:
-            waiting = waits[place]
-            if waiting[: len(out)] != out:
-                out = next((out[:i] for i, (x, y) in enumerate(zip(out, waiting, strict=False)) if x != y), waiting[: len(out)])
-                if not out:
-                    break
-        if out:
-            last, sure = out[-1], len(out)
-            return self._state((shape, last, (*[waits[place][sure:] for place in stay], ended[sure:]))), out
-        return self._state((shape, last, (*[waits[place] for place in stay], ended))), out
+            found = self.known[nodes] = len(self.states)
+            self.states.append(nodes)
+        return found, tuple(ends)
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MOST_STATES:
+        if len(self.moves) > MOST_MOVES:
             self._forget()
         out: list[int] = []
-        at, moves = self.start, self.moves
+        register, at, moves, pairs = [-1], 0, self.moves, self.pairs
         for byte in piece:
             move = moves.get(at << 8 | byte)
             if move is None:
-                if len(self.states) > 2 * MOST_STATES:  # one piece alone met very many states
-                    shape, last, waits = self.states[at]
-                    nodes = self.shapes[shape]
-                    self._forget()
-                    self.shapes.append(nodes)
-                    at, moves = self._state((self.shape_of.setdefault(nodes, 1), last, waits)), self.moves
                 move = moves[at << 8 | byte] = self._move(at, byte)
-            at, sure = move
-            if sure:
-                out += sure
-        out += self.states[at][2][-1]
-        return out
+            at, ends = move
+            for length, token in ends:
+                last = register[-length]
+                known = pairs.get(last << 32 | token)
+                if known or known is None and self.stands(last, token):
+                    register.append(token)
+                    break
+            else:
+                raise ValueError(f"no token ends with byte {byte}: the vocabulary lacks single bytes")
+            if len(register) > REGISTER:
+                register = self._emit(at, register, out)
+        return out + self._back(register, len(register) - 1)
+
+    def _back(self, register: list[int], place: int) -> list[int]:
+        """The tokens that end at ``place``, back to the register's first place."""
+        out = []
+        while place:
+            out.append(register[place])
+            place -= len(self.bytes_of[register[place]])
+        return out[::-1]
+
+    def _emit(self, at: int, register: list[int], out: list[int]) -> list[int]:
+        """Move the tokens on which all open places agree to ``out``; the register that is left."""
+        last = len(register) - 1
+        ways = [self._back(register, last - self.depth[node]) for node in self.states[at]]
+        sure = 0
+        while all(len(way) > sure for way in ways) and len({way[sure] for way in ways}) == 1:
+            sure += 1
+        if not sure:
+            return register
+        out += ways[0][:sure]
+        return [ways[0][sure - 1], *register[sum(len(self.bytes_of[token]) for token in ways[0][:sure]) + 1 :]]
 
 
 class Codec:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, language, mixing, quality, simhash, substrings, token_counts
+from weftgraph.llm import byte_bpe, language, mixing, quality, simhash, substrings, token_counts, toxicity
 from weftgraph.llm.common import table
 
 
@@ -47,6 +47,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    scored = toxicity.score(docs, network).withColumn("held_out", toxicity.held_out())
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -55,6 +62,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,

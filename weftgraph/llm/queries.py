@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, language, mixing, quality, simhash, substrings, token_counts, toxicity
+from weftgraph.llm import byte_bpe, language, mixing, neighbours, quality, revisits, simhash, substrings, token_counts, toxicity
 from weftgraph.llm.common import table
 
 
@@ -37,6 +37,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    header = lambda name: F.col("headers")[name]
+    return resolved.select("record_id", "url", "target_id", "state", header("etag").alias("etag"), header("date").alias("date"), header("content-length").alias("content_length"), header("content-type").alias("content_type"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return both.select(
@@ -61,10 +71,13 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op8_neighbours": op8_neighbours,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op2_quality_rules": quality.ORACLE,
+    "op7_warc_revisits": revisits.ORACLE,
 }

@@ -8,6 +8,7 @@ to a folder of this machine.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,8 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{label}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete shuffle files that no plan needs any more: it does so as the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()

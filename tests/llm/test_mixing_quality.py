@@ -58,7 +58,7 @@ def test_mix_of_odd_tables(spark, rows):
 
 def test_quality_against_sql(spark):
     line = "The same license line 2024 everywhere in this host"
-    rows = [(i, "\n".join([f"w{i} " * 3, line, " ".join(f"u{i}x{j}" for j in range(60)), line if i % 9 == 0 else "end"]), "h1") for i in range(60)]
+    rows = [(i, "\n".join([f"w{i} " * 3, line, " ".join(chr(97 + i % 26) * (i + 1) + chr(97 + j % 26) * (j + 1) for j in range(60)), line if i % 9 == 0 else "end"]), "h1") for i in range(60)]
     rows += [(100, None, "h1"), (101, "", None), (102, "a b c a b c a b c " * 30, "h2"), (103, line + "\n" + line.upper().replace("2024", "7"), "h1"), (104, "#$ %&\x0b|<>* x\r\n\n \nx", "h3"), (105, "one two three one two three one", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as n_words", "2 as host")
     found = quality.quality(df.drop("host")).collect()

@@ -9,6 +9,8 @@ accepted, finished lines back to the one before.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _LINES = """
   SELECT l_orderkey AS graph_id, l_partkey, l_suppkey, l_returnflag AS flag, l_linestatus AS status,
@@ -43,7 +45,45 @@ _EDGES = """
 ORACLE_HEAD = "WITH RECURSIVE li AS (" + _LINES.format(lineitem="lineitem") + "),\nnodes AS (" + _NODES.format(li="li") + "),\nedges AS (" + _EDGES.format(li="li") + ")"
 
 
+def _rows(lines: DataFrame, columns: list[str], parts: list[tuple]) -> DataFrame:
+    """One row of ``columns`` for each part (condition, values...) that holds for a line: one pass, no union."""
+    made = [F.when(F.expr(when), F.struct(*[F.expr(f"CAST({v} AS {'STRING' if c == 'text' else 'BIGINT'})").alias(c) for c, v in zip(columns, values, strict=True)])) for when, *values in parts]
+    kept = F.filter(F.array(*made), lambda x: x.isNotNull())
+    return lines.select("graph_id", F.explode(kept).alias("made")).select("graph_id", "made.*")
+
+
 def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` (graph_id, node_id, type, text) and ``edges`` (graph_id, edge_id, flow, position, source, target)."""
+    """``nodes`` (graph_id, node_id, type, text) and ``edges`` (graph_id, edge_id, flow, position, source, target).
+
+    All windows are over one graph, so lines are shuffled once for each table.
+    """
     lines = spark.sql(_LINES.format(lineitem="{lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return spark.sql(_NODES.format(li="{li}"), li=lines), spark.sql(_EDGES.format(li="{li}"), li=lines)
+    first = F.row_number().over(Window.partitionBy("graph_id", F.expr("l_suppkey % 4")).orderBy("rn")) == 1
+    nodes = _rows(
+        lines.withColumn("first", first),
+        ["node_id", "type", "text"],
+        [
+            ("rn = 1", "0", "0", "'[external]'"),
+            ("true", "rn", "0", "CASE flag WHEN 'A' THEN 'add' WHEN 'N' THEN 'sub' ELSE 'mul' END"),
+            ("true", "n + rn", "1", "'var'"),
+            ("first", "2 * n + 1 + l_suppkey % 4", "2", "'val'"),
+            ("rn = 1", "2 * n + 5", "3", "'i32'"),
+        ],
+    )
+    edges = _rows(
+        lines,
+        ["flow", "position", "source", "target"],
+        [
+            ("rn < n", "0", "0", "rn", "rn + 1"),
+            ("flag = 'R' AND rn + 2 <= n", "0", "1", "rn", "rn + 2"),
+            ("flag = 'A' AND status = 'F' AND rn > 1", "0", "2", "rn", "rn - 1"),
+            ("true", "1", "0", "rn", "n + rn"),
+            ("rn > 1", "1", "0", "n + 1 + l_partkey % least(rn - 1, 2)", "rn"),
+            ("true", "1", "1", "2 * n + 1 + l_suppkey % 4", "rn"),
+            ("rn = 1", "2", "0", "0", "1"),
+            ("rn = n", "2", "0", "n", "0"),
+            ("true", "3", "0", "2 * n + 5", "n + rn"),
+        ],
+    )
+    order = Window.partitionBy("graph_id").orderBy("flow", "source", "target", "position")
+    return nodes, edges.withColumn("edge_id", (F.row_number().over(order) - 1).cast("long"))

@@ -223,14 +223,16 @@ class Scorer:
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, most_texts: int, most_windows: int):
     """(text number, label, words) of the windows to train on, as an Arrow table."""
-    rows = docs.where(train & F.col("text").isNotNull()).join(labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label")), "doc_id")
-    spread = F.xxhash64(F.lit("tox"), "doc_id")
-    sizes = {r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    known = labels.where(train & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"))
+    spread = F.pmod(F.xxhash64(F.lit("tox"), "doc_id"), F.lit(1 << 30))
+    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     # a hash threshold leaves a few times the sample, so the ranking meets few rows whatever the table's size
-    chance = F.when(F.col("label") == 1, min(1.0, 6 * most_texts / max(1, sizes.get(1, 1)))).otherwise(min(1.0, 15 * most_texts / max(1, sizes.get(0, 1))))
-    near = rows.where(F.pmod(spread, F.lit(1 << 30)) < chance * (1 << 30))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(spread))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, most_texts).otherwise(3 * most_texts)).select("label", "rank", F.col("text").cast("string").alias("text"))
+    chance = F.when(F.col("label") == 1, min(1.0, 3 * most_texts / max(1, sizes.get(1, 1)))).otherwise(min(1.0, 9 * most_texts / max(1, sizes.get(0, 1))))
+    near = known.withColumn("spread", spread).where(F.col("spread") < chance * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("spread", "doc_id"))
+    few = near.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, most_texts).otherwise(3 * most_texts))
+    # 4 * most_texts rows at most, so they can be sent to all texts
+    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("label", "rank", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -250,11 +252,11 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
     rank, y = table.column("rank").to_numpy(), table.column("label").to_numpy()
     if not len(y) or y.min() == y.max():
         return Network(Network.fresh({}, seed).p, {}, (0.0, -60.0))
-    texts = [x.split(" ") for x in table.column("words").to_pylist()]
     ids: dict[str, int] = {}
-    tokens = np.zeros((WORDS, len(texts)), np.int32)
-    mask = np.zeros((WORDS, len(texts)), bool)
-    for i, x in enumerate(texts):
+    tokens = np.zeros((WORDS, len(y)), np.int32)
+    mask = np.zeros((WORDS, len(y)), bool)
+    for i, window in enumerate(table.column("words").to_pylist()):
+        x = window.split(" ")
         tokens[: len(x), i] = [ids.setdefault(w, len(ids)) for w in x]
         mask[: len(x), i] = True
     words = list(ids)
@@ -265,7 +267,8 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
     begins = np.searchsorted(owner, np.arange(len(words) + 1))
     doc = rank.astype(np.int64) * 2 + y
     # log-odds that a text of each label has the word
-    pairs = np.unique(np.stack([doc[np.nonzero(mask.T)[0]], tokens.T[mask.T]], 1), axis=0)
+    pairs = np.unique(doc[np.nonzero(mask.T)[0]] << 32 | tokens.T[mask.T])
+    pairs = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)
     docs = np.unique(doc)
     hits = [np.bincount(pairs[pairs[:, 0] % 2 == k, 1], minlength=len(words)) for k in (0, 1)]
     sizes = [int((docs % 2 == k).sum()) for k in (0, 1)]
@@ -277,10 +280,13 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
     bucket = np.array([network.vocabulary.get(w, 0) for w in words])
 
     # n-grams of few texts stay at zero, or they would be learnt by heart
-    repeats = np.diff(begins)[pairs[:, 1]]
-    at = np.repeat(begins[pairs[:, 1]] - np.append(0, np.cumsum(repeats)[:-1]), repeats) + np.arange(repeats.sum())
-    seen = np.unique(np.repeat(pairs[:, 0], repeats) << GRAM_BITS | grams[at])
-    known = np.bincount(seen & ((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS) >= LEAST_GRAM_TEXTS
+    texts_with = np.zeros(1 << GRAM_BITS, np.int64)
+    for some in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0] // 64)) + 1):  # the texts of 32 ranks at a time
+        repeats = np.diff(begins)[some[:, 1]]
+        at = np.repeat(begins[some[:, 1]] - np.append(0, np.cumsum(repeats)[:-1]), repeats) + np.arange(repeats.sum())
+        seen = np.unique(np.repeat(some[:, 0], repeats) << GRAM_BITS | grams[at])
+        texts_with += np.bincount(seen & ((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS)
+    known = texts_with >= LEAST_GRAM_TEXTS
     p["gram"][~known] = 0
 
     dense = [k for k in p if k not in ("word", "gram")]

@@ -7,17 +7,19 @@ word sequence also starts earlier, in a smaller id or further left in the same t
    only stretches of windows whose minimiser occurs twice or more can repeat; the rest,
    most of a clean corpus, never leaves its task.  Counting minimisers shuffles about
    one number for eight words.
-2. Such stretches are passages.  Equal passages are one: all but the earliest are
-   removed whole, and the earliest stands for them in the index.
-3. Passages are dealt to shards by minimiser.  A shard indexes its passages: suffix
-   order, Burrows-Wheeler transform, wavelet matrix of bit rows with block counts.
-   The passages are streamed through it from right to left: each word is one backward
-   step, and at full window length the match is cut by its last word, so the matching
-   statistics up to the window length fall out; windows whose suffix interval holds an
-   earlier start are reported.
-4. A minimiser with more than ``most_passages`` different passages (a passage within
-   thousands of texts has as many different surroundings) is dealt anew by single
-   windows, equal ones of which again are one.
+2. Such stretches are passages, dealt to shards by minimiser.  In a shard equal
+   passages are one: all but the earliest are removed whole, and the earliest stands
+   for them in the index.
+3. A shard indexes its passages: suffix order, Burrows-Wheeler transform, wavelet
+   matrix of bit rows with block counts.  The passages are streamed through it from
+   right to left: each word is one backward step, and at full window length the match
+   is cut by its last word, so the matching statistics up to the window length fall
+   out; windows whose suffix interval holds an earlier start are reported.
+4. A minimiser with more than ``most_places`` places (a passage within very many texts)
+   does not go to a shard as it is.  Its passages are first made one where equal, summed
+   up before they are shuffled, with a join back to the places that Spark splits where
+   one passage is hot.  If more different ones than ``most_places`` are left (each text
+   surrounds the passage in its own way), they are dealt by single windows.
 
 Edge cases: null, empty and short texts lose nothing; rows with the same id and place
 do not precede each other; rows without an id are kept whole and remove nothing.
@@ -34,41 +36,62 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Recent, map_arrow, rare_gc, slices
+from weftgraph.llm.common import map_arrow, slices
 from weftgraph.plans.scratch import Scratch
 
 #: Words of the runs that a window's minimiser is taken from.
 RUN = 6
 #: Words of one index; a shard's groups are cut into indexes of about this size.
-INDEX_WORDS = 400_000
-_HASHES = Recent(xxhash.xxh3_64_intdigest, 300_000)
+INDEX_WORDS = 200_000
+#: Factor of the hash of words, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            row = np.full(n, base, np.uint64)
+            row[0] = 1
+            _POWERS[name] = np.cumprod(row)
+    return _POWERS["up"], _POWERS["down"]
 
 
 class Stretches:
     """The windows of a batch of texts, joined where neighbours have the same minimiser."""
 
-    def __init__(self, texts: list[list[bytes]], window: int):
-        sizes = np.array([len(x) for x in texts], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.begins = self.ends - sizes
-        self.words = [w for x in texts for w in x]
-        n = len(self.words)
-        self.text = np.repeat(np.arange(len(texts)), sizes)
+    def __init__(self, texts: list[str | None], window: int):
+        raw = [x.encode("utf-8", "replace") if x else b"" for x in texts]
+        self.data = b"\n".join([*raw, b""])
+        data = np.frombuffer(self.data, np.uint8)
+        edges = np.diff(np.concatenate([[False], ~_IS_SPACE[data], [False]]).astype(np.int8))
+        self.left, self.right = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        n = len(self.left)
+        offsets = np.append(0, np.cumsum([len(x) + 1 for x in raw]))
+        bounds = np.searchsorted(self.left, offsets)
+        self.begins = bounds[:-1]
+        self.text = np.repeat(np.arange(len(texts)), np.diff(bounds))
         if n < window:
-            self.runs = np.zeros(0, np.uint64)
-            self.least, self.ok = np.zeros(0, np.uint64), np.zeros(0, bool)
+            self.runs = self.least = np.zeros(0, np.uint64)
+            self.ok = np.zeros(0, bool)
             return
-        hashes = np.fromiter(map(_HASHES.__getitem__, self.words), np.uint64, n)
+        up, down = _powers(len(data))
+        sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]))
+        hashes = _mixed((sums[self.right] - sums[self.left]) * down[self.left])
         runs = np.zeros(n - RUN + 1, np.uint64)
         for k in range(RUN):
-            runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - RUN + 1 + k]
-        runs ^= runs >> np.uint64(29)
-        runs *= np.uint64(0xBF58476D1CE4E5B9)
-        self.runs = runs ^ (runs >> np.uint64(32))
+            runs = runs * np.uint64(_BASE) + hashes[k : n - RUN + 1 + k]
+        self.runs = _mixed(runs)
         self.span = window - RUN + 1
         self.least = _slide(np.minimum, self.runs, self.span)
         self.ok = self.text[: n - window + 1] == self.text[window - 1 :]
 
+    def words(self, first: int, n: int) -> bytes:
+        """``n`` words joined by one space."""
+        return b" ".join(self.data[self.left[first] : self.right[first + n - 1]].split())
+
     def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of each place that is the minimiser of some window."""
         if not len(self.least):
@@ -89,6 +112,11 @@ class Stretches:
         return first[use], size[use], self.least[first][use]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def _slide(op: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while have < width:
@@ -102,33 +130,38 @@ def minimisers(docs: DataFrame, window: int) -> DataFrame:
     """``anchor, doc_id`` for each minimiser place of ``doc_id, text``."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_gc()
-        for batch in slices(batches):
-            ids = batch.column("doc_id")
-            text, anchor = Stretches([x.encode("utf-8", "replace").split() if x else [] for x in batch.column("text").to_pylist()], window).minimisers()
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), ids.take(pa.array(text))], ["anchor", "doc_id"])
+        for batch in slices(batches, most=500_000):
+            text, anchor = Stretches(batch.column("text").to_pylist(), window).minimisers()
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column("doc_id").take(pa.array(text))], ["anchor", "doc_id"])
 
     return map_arrow(docs.where("doc_id is not null"), kernel, "anchor long, doc_id long")
 
 
 def passages(docs: DataFrame, window: int) -> DataFrame:
-    """``anchor, sid, span, doc_id, h, start, n`` of the stretches of ``doc_id, h, text, anchors``."""
+    """``anchor, span, doc_id, h, start, n`` of the stretches of ``doc_id, h, text, anchors, hot``.
+
+    ``sid`` is a hash of the passage where its minimiser is hot, else null.
+    """
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        return np.unique(pa.compute.list_flatten(column).to_numpy(zero_copy_only=False)).view(np.uint64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_gc()
-        for batch in slices(batches):
-            wanted = np.unique(pa.compute.list_flatten(batch.column("anchors")).to_numpy(zero_copy_only=False)).view(np.uint64)
-            s = Stretches([x.encode("utf-8", "replace").split() if x else [] for x in batch.column("text").to_pylist()], window)
-            first, size, anchor = s.passages(wanted)
-            spans = [b" ".join(s.words[a : a + n + window - 1]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+        for batch in slices(batches, most=500_000):
+            s = Stretches(batch.column("text").to_pylist(), window)
+            first, size, anchor = s.passages(numbers(batch.column("anchors")))
+            hot = np.isin(anchor, numbers(batch.column("hot"))).tolist()
+            spans = [s.words(a, n + window - 1) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+            sids = [xxhash.xxh3_128_digest(x) if h else None for x, h in zip(spans, hot, strict=True)]
             text = s.text[first] if len(first) else first
-            at = pa.array(text)
+            start = first - s.begins[text] if len(first) else first
+            take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array([xxhash.xxh3_128_digest(x) for x in spans], pa.binary()), pa.array(spans, pa.binary()).cast(pa.string()), batch.column("doc_id").take(at), batch.column("h").take(at), pa.array((first - s.begins[text]).astype(np.int32) if len(first) else np.zeros(0, np.int32)), pa.array(size.astype(np.int32))],
-                ["anchor", "sid", "span", "doc_id", "h", "start", "n"],
+                [pa.array(anchor.view(np.int64)), pa.array(spans, pa.binary()).cast(pa.string()), pa.array(sids, pa.binary()), batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
+                ["anchor", "span", "sid", "doc_id", "h", "start", "n"],
             )
 
-    return map_arrow(docs, kernel, "anchor long, sid binary, span string, doc_id long, h long, start int, n int")
+    return map_arrow(docs, kernel, "anchor long, span string, sid binary, doc_id long, h long, start int, n int")
 
 
 class WaveletMatrix:
@@ -160,19 +193,21 @@ class FmIndex:
     def __init__(self, text: np.ndarray, window: int):
         n = len(text)
         self.text, self.window = text, window
-        ranks = {1: text.astype(np.int64)}
+        ranks = {1: text.astype(np.int32)}
         width = 1
         while width < window + 1:  # ranks by the first 1, 2, 4 ... words
             here = ranks[width]
-            after = np.append(here[width:], np.zeros(min(width, n), np.int64))[:n]
-            both = here * (int(here.max()) + 2) + after
+            after = np.append(here[width:], np.zeros(min(width, n), np.int32))[:n]
+            both = here.astype(np.int64) * (int(max(here.max(), after.max())) + 1) + after
             order = np.argsort(both, kind="stable")
             new = np.append(True, both[order][1:] != both[order][:-1])
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(new)
             width *= 2
             ranks[width] = rank
-        self.suffixes = order
+        self.suffixes = order.astype(np.int32)
+        for width in [w for w in ranks if w < (window - 1) // 2]:
+            del ranks[width]
         bits = max(1, int(text.max()).bit_length())
         self.matrix = WaveletMatrix(text[order - 1], bits)
         self.smaller = np.append(0, np.cumsum(np.bincount(text, minlength=1 << bits)))
@@ -185,12 +220,12 @@ class FmIndex:
         """First row, and row after the last, of the suffixes that share the first ``words`` words with each row's."""
         width = max(w for w in ranks if w <= words)
         rank, n = ranks[width], len(self.text)
-        shifted = np.append(rank[words - width :], np.zeros(words - width, np.int64))
+        shifted = np.append(rank[words - width :], np.zeros(words - width, np.int32))
         a, b = rank[self.suffixes], shifted[self.suffixes]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         first = np.flatnonzero(new)
         block = np.cumsum(new) - 1
-        return first[block], np.append(first[1:], n)[block]
+        return first[block].astype(np.int32), np.append(first[1:], n)[block].astype(np.int32)
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix intervals after one backward step."""
@@ -212,14 +247,13 @@ class FmIndex:
                 low, high = self.short[low], self.short_end[low]  # without the last word
 
 
-def earlier_windows(spans: list[str], doc: np.ndarray, start: np.ndarray, size: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
+def earlier_windows(spans: list[str], doc: np.ndarray, start: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
     """For each passage the ranges of its windows that start earlier in some passage."""
     ids: dict[str, int] = {}
-    words = [span.split(" ") for span in spans]
-    flat = np.fromiter((ids.setdefault(w, len(ids) + 1) for x in words for w in [*x, ""]), np.int64, sum(len(x) + 1 for x in words))
-    gap = ids.pop("")
-    flat[flat == gap] = 0
-    lengths = np.array([len(x) for x in words])
+    lengths = np.array([span.count(" ") + 1 for span in spans])
+    flat = np.fromiter((ids.setdefault(w, len(ids) + 1) for span in spans for w in f"{span} ".split(" ")), np.int32, int(lengths.sum()) + len(spans))
+    flat[flat == ids.pop("")] = 0
+    del ids
     begins = np.append(0, np.cumsum(lengths + 1)[:-1])
     index = FmIndex(flat, window)
     # places in the order of (doc, start); equal ones alike
@@ -239,16 +273,43 @@ def earlier_windows(spans: list[str], doc: np.ndarray, start: np.ndarray, size:
     out: list[list[tuple[int, int]]] = [[] for _ in spans]
     for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
         out[which[a]].append((a - int(begins[which[a]]), b - int(begins[which[a]])))
-    del size
+    return out
+
+
+def _shard_ranges(part: pd.DataFrame, window: int) -> pd.DataFrame:
+    """Word ranges to remove (doc_id, h, a, b), of the passages of whole minimisers."""
+    part = part.sort_values(["doc_id", "start"], kind="stable").reset_index(drop=True)
+    class_of, _ = pd.factorize(part["span"])
+    doc, start, size = part["doc_id"].to_numpy(), part["start"].to_numpy().astype(np.int64), part["n"].to_numpy()
+    _, first = np.unique(class_of, return_index=True)  # classes are numbered in the order of their earliest passages
+    earliest = (doc == doc[first][class_of]) & (start == start[first][class_of])
+    # a passage that is alone with its minimiser, and holds it once, has no equal windows
+    many = part["anchor"].to_numpy()[first]
+    alone = pd.Series(many).groupby(many).transform("size").to_numpy() == 1
+    search = np.flatnonzero(~alone | (size[first] > window - RUN + 1) | _inner(part["span"].to_numpy()[first], alone))
+    marks: list[list[tuple[int, int]]] = [[] for _ in first]
+    if len(search):
+        rows = first[search]
+        for at, found in zip(search.tolist(), earlier_windows(part["span"].to_numpy()[rows].tolist(), doc[rows], start[rows], window), strict=True):
+            marks[at] = found
+    out = [(i, 0, int(size[i])) for i in np.flatnonzero(~earliest).tolist()]
+    out += [(i, a, b) for i in np.flatnonzero(earliest).tolist() for a, b in marks[class_of[i]]]
+    at, a, b = np.array(out, np.int64).reshape(-1, 3).T
+    return pd.DataFrame({"doc_id": doc[at], "h": part["h"].to_numpy()[at], "a": (start[at] + a).astype(np.int32), "b": (start[at] + b + window - 1).astype(np.int32)})
+
+
+def _inner(spans: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Whether a passage that is alone repeats some run of words within itself."""
+    out = np.zeros(len(spans), bool)
+    for i in np.flatnonzero(alone):
+        words = spans[i].split(" ")
+        if len(set(words)) < len(words) - RUN + 1:  # a repeated run repeats as many words
+            out[i] = True
     return out
 
 
 def _index_shard(window: int):
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found(part: pd.DataFrame) -> pd.DataFrame:
-            marks = earlier_windows(part["span"].tolist(), part["doc_id"].to_numpy(), part["start"].to_numpy().astype(np.int64), part["n"].to_numpy(), window)
-            return pd.DataFrame({"sid": part["sid"], "first_doc": part["doc_id"], "first_start": part["start"], "marks": [[{"a": a, "b": b} for a, b in x] for x in marks]})
-
         held: list[pd.DataFrame] = []
         words = 0
         for batch in batches:  # sorted by minimiser: whole groups are indexed as soon as they are many
@@ -260,45 +321,60 @@ def _index_shard(window: int):
                 part = pd.concat(held, ignore_index=True)
                 ready = part["anchor"] != part["anchor"].iloc[-1]
                 if ready.any():
-                    yield found(part[ready].reset_index(drop=True))
+                    yield _shard_ranges(part[ready], window)
                 held = [part[~ready]]
                 words = int(held[0]["n"].sum()) + (window - 1) * len(held[0])
         if held:
-            yield found(pd.concat(held, ignore_index=True))
+            yield _shard_ranges(pd.concat(held, ignore_index=True), window)
 
     return kernel
 
 
-def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int, most_passages: int) -> DataFrame:
+def _split_equal(rows: DataFrame, scratch: Scratch, label: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``sid`` also stands at an earlier (doc_id, start), and one row for each earliest place."""
+    # a table of its own, so that the join has two plain shuffles and Spark can split a hot key
+    earliest = scratch.keep(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "start")).alias("first")), f"{label}-first")
+    marked = rows.join(earliest, "sid").withColumn("later", F.struct("doc_id", "start") > F.col("first")).drop("first")
+    if "span" in rows.columns:
+        marked = marked.withColumn("span", F.when(~F.col("later"), F.col("span")))
+    marked = scratch.keep(marked, label)
+    return marked.where("later"), marked.where("not later")
+
+
+def repeated_ranges(docs: DataFrame, scratch: Scratch, window: int, most_places: int) -> DataFrame:
     """``doc_id, h, ranges``: the word ranges to remove from each row of ``doc_id, h, text``."""
     places = scratch.keep(minimisers(docs.select("doc_id", "text"), window), "places")
-    twice = scratch.keep(places.groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
-    wanted = scratch.keep(places.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "wanted")
+    twice = places.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > most_places).alias("hot"))
+    twice = scratch.keep(twice, "twice")
+    wanted = places.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    wanted = scratch.keep(wanted, "wanted")
     scratch.drop("places")
+    scratch.release()
     spans = scratch.keep(passages(docs.join(wanted, "doc_id"), window), "spans")
-    crowded = spans.select("anchor", "sid").distinct().groupBy("anchor").count().where(F.col("count") > most_passages).select("anchor")
-    crowded = scratch.keep(crowded, "crowded")
-    if crowded.count():
-        marked = spans.join(crowded.withColumn("crowded", F.lit(True)), "anchor", "left")
-        words = F.split("span", " ")
-        cut = marked.where("crowded").withColumn("words", words).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        cut = cut.withColumn("span", F.array_join(F.slice("words", F.col("i") + 1, F.lit(window)), " "))
-        cut = cut.withColumn("sid", F.unhex(F.md5("span"))).withColumn("anchor", F.xxhash64("span"))
-        cut = cut.select("anchor", "sid", "span", "doc_id", "h", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
-        spans = scratch.keep(marked.where("crowded is null").drop("crowded").unionByName(cut), "dealt")
-        scratch.drop("spans")
-    firsts = spans.groupBy("sid").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("anchor").alias("anchor"), F.first("span").alias("span"), F.first("n").alias("n"))
-    firsts = firsts.select("anchor", "sid", "span", "at.doc_id", "at.start", "n")
-    found = firsts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_index_shard(window), "sid binary, first_doc long, first_start int, marks array<struct<a:int,b:int>>")
-    found = scratch.keep(found, "found")
-    both = spans.select("sid", "doc_id", "h", "start", "n").join(found, "sid")
-    first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    marks = F.when(first, F.col("marks")).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))))
-    ranges = both.withColumn("mark", F.explode(marks)).select("doc_id", "h", F.struct((F.col("start") + F.col("mark.a")).alias("a"), (F.col("start") + F.col("mark.b") + window - 1).alias("b")).alias("range"))
-    return ranges.groupBy("doc_id", "h").agg(F.collect_list("range").alias("ranges"))
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, most_passages: int = 2000, keep: list[str] | None = None) -> DataFrame:
+    scratch.release()
+    columns = ["anchor", "span", "doc_id", "h", "start", "n"]
+    cold = spans.where("sid is null").select(*columns)
+    whole = lambda df, n: df.select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + n + window - 1).alias("b"))
+    more = []
+    if twice.where("hot").count():
+        later, first = _split_equal(spans.where("sid is not null"), scratch, "equal")
+        more.append(whole(later, F.col("n")))
+        crowded = scratch.keep(first.groupBy("anchor").count().where(F.col("count") > most_places).select("anchor"), "crowded")
+        cold = cold.unionByName(first.join(crowded, "anchor", "left_anti").select(*columns))
+        cut = first.join(crowded, "anchor", "left_semi").withColumn("words", F.split("span", " ")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        cut = cut.select(F.unhex(F.md5(F.array_join(F.slice("words", F.col("i") + 1, F.lit(window)), " "))).alias("sid"), "doc_id", "h", (F.col("start") + F.col("i")).alias("start"))
+        again, _ = _split_equal(cut, scratch, "windows")
+        more.append(whole(again, F.lit(1)))
+    ranges = cold.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_index_shard(window), "doc_id long, h long, a int, b int")
+    for part in more:
+        ranges = ranges.unionByName(part)
+    ranges = scratch.keep(ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+    scratch.drop("spans")
+    scratch.release()
+    return ranges
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, most_places: int = 3000, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` and the columns in ``keep`` for each row.
 
     ``kept_text`` is the kept words joined by one space.
@@ -306,7 +382,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     scratch = Scratch(docs.sparkSession)
     keep = [c for c in keep or [] if c not in ("n_words", "n_removed", "kept_text")]
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
-    ranges = repeated_ranges(plain, scratch, window, most_passages).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "ranges")
+    ranges = repeated_ranges(plain, scratch, window, most_places).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "ranges")
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.join(ranges, (F.col("doc_id") == F.col("__id")) & (F.col("h") == F.col("__h")), "left").drop("__id", "__h", "h")
     kept = [f.name for f in rows.schema if f.name.startswith("keep_")]

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions import text
 from weftgraph.operators import analysis, statistics, transforms, validation
 from weftgraph.sources.orders import ORACLE_HEAD, order_graphs
 
@@ -441,3 +442,35 @@ def split_random(spark, sf_dir):
   FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':0'), doc_id) AS rk, count(*) OVER (PARTITION BY lang) AS n FROM documents)""")
 def split_stratified(spark, sf_dir):
     return statistics.stratified_split(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
+
+
+# scalar functions
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CASE WHEN length(text) <= 32 THEN text ELSE substr(text, 1, 29) || '...' END AS short FROM documents")
+def content_hashes(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), text.truncate(F.col("text")).alias("short"))
+
+
+@query("""SELECT o_orderkey, o_orderkey || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
+  CASE WHEN substr(lower(o_orderpriority), 1, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || o_orderpriority AS noun, epoch_ms(o_orderdate) AS millis FROM orders""")
+def readable_orders(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.ordinal(F.col("o_orderkey")).alias("ordinal"), text.with_article(F.col("o_orderpriority")).alias("noun"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("millis"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || k) AS value, k AS name FROM events, (SELECT unnest(['page', 'ref', 'k']) AS k) WHERE json_extract_string(props, '$.' || k) IS NOT NULL")
+def feature_values(spark, sf_dir):
+    names = F.array(*map(F.lit, ("page", "ref", "k")))
+    events = _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("features"), F.explode(names).alias("name"))
+    return events.select("event_id", F.try_element_at("features", F.col("name")).alias("value"), "name").where("value IS NOT NULL")
+
+
+@graph_query(""" SELECT n.text, count(*) AS uses, count(DISTINCT e.graph_id) AS graphs FROM edges e JOIN nodes n ON n.graph_id = e.graph_id AND n.node_id = e.source WHERE e.flow = 1 GROUP BY n.text""")
+def operand_texts(nodes, edges):
+    sources = edges.where("flow = 1").select("graph_id", F.col("source").alias("node_id"))
+    return sources.join(nodes.select("graph_id", "node_id", "text"), ["graph_id", "node_id"]).groupBy("text").agg(F.count("*").alias("uses"), F.countDistinct("graph_id").alias("graphs"))
+
+
+@graph_query(" SELECT graph_id, node_id FROM nodes n WHERE type = 0 AND node_id > 0 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.source = n.node_id AND e.flow = 0)")
+def exit_instructions(nodes, edges):
+    return analysis.exits(nodes, edges)

@@ -8,7 +8,9 @@ to a folder of this machine.
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,10 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="weftgraph-"))
+    if context.applicationId not in _LOCAL:
+        folder = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="weftgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _LOCAL[context.applicationId]
 
 
 class Scratch:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import Recent, map_arrow, rare_gc, slices
 
 #: Kept moves, tested pairs and cached pieces in a Python worker; beyond that they start anew.
-MOST_MOVES, MOST_PAIRS, MOST_PIECES = 1_000_000, 1_000_000, 300_000
+MOST_MOVES, MOST_PAIRS, MOST_PIECES = 1_000_000, 1_000_000, 500_000
 #: Places in the register before sure tokens are emitted.
 REGISTER = 1024
 
@@ -53,6 +53,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.trie: dict[int, int] = {}
         self.ends: dict[int, int] = {}
         self.depth = [0]
@@ -130,7 +131,7 @@ class Transducer:
                     nodes.append(child)
                 if child in self.ends:
                     token = self.ends[child]
-                    ends.append((len(self.bytes_of[token]), token))
+                    ends.append((self.lengths[token], token))
         nodes = (*nodes, 0)
         found = self.known.get(nodes)
         if found is None:
@@ -158,14 +159,20 @@ class Transducer:
                 raise ValueError(f"no token ends with byte {byte}: the vocabulary lacks single bytes")
             if len(register) > REGISTER:
                 register = self._emit(at, register, out)
-        return out + self._back(register, len(register) - 1)
+        place, lengths, left = len(register) - 1, self.lengths, []
+        while place:
+            token = register[place]
+            left.append(token)
+            place -= lengths[token]
+        left.reverse()
+        return out + left if out else left
 
     def _back(self, register: list[int], place: int) -> list[int]:
         """The tokens that end at ``place``, back to the register's first place."""
         out = []
         while place:
             out.append(register[place])
-            place -= len(self.bytes_of[register[place]])
+            place -= self.lengths[register[place]]
         return out[::-1]
 
     def _emit(self, at: int, register: list[int], out: list[int]) -> list[int]:
@@ -178,7 +185,7 @@ class Transducer:
         if not sure:
             return register
         out += ways[0][:sure]
-        return [ways[0][sure - 1], *register[sum(len(self.bytes_of[token]) for token in ways[0][:sure]) + 1 :]]
+        return [ways[0][sure - 1], *register[sum(self.lengths[token] for token in ways[0][:sure]) + 1 :]]
 
 
 class Codec:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text
 from weftgraph.operators import analysis, statistics, transforms, validation
+from weftgraph.plans.scratch import Scratch
 from weftgraph.sources.orders import ORACLE_HEAD, order_graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,12 +258,14 @@ def liveness_out(nodes, edges):
 
 @graph_query(_LIVE + _roots_sql("SELECT DISTINCT graph_id, node_id FROM outs") + ", found AS (SELECT o.graph_id, o.node_id AS root, o.variable AS node_id FROM outs o)" + _LABELS)
 def liveness_labels(nodes, edges):
-    return analysis.liveness(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges)))
+    out = Scratch(nodes.sparkSession).keep(analysis.live_out(nodes, edges), "out")
+    return analysis.liveness(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges, out)), out)
 
 
 @graph_query()
 def liveness_summary(nodes, edges):
-    return analysis.liveness_instances(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges)))
+    out = Scratch(nodes.sparkSession).keep(analysis.live_out(nodes, edges), "out")
+    return analysis.liveness_instances(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges, out)), out)
 
 
 _CSE = """,

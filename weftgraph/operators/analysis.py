@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.plans.fixpoint import KEY, all_predecessors, closure
+from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import COMMUTATIVE, CONTROL, DATA, INSTRUCTION, VARIABLE
 
 
@@ -150,6 +151,7 @@ def live_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     One closure for each value: back from its uses over control, past no definition.
     """
+    edges = Scratch(edges.sparkSession).keep(edges.where(F.col("flow").isin(CONTROL, DATA)), "edges")
     control = flow(edges, CONTROL, reverse=True)
     final = exits(nodes, edges).select("graph_id", F.lit(0).cast("long").alias("root"), "node_id")
     ending = closure(control, final).select("graph_id", "node_id")
@@ -167,19 +169,22 @@ def live_out(nodes: DataFrame, edges: DataFrame, needed: DataFrame | None = None
     return control.join(needed, ["graph_id", "node_id"]).select("graph_id", F.col("source").alias("node_id"), "variable").distinct()
 
 
-def liveness_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with a live-out value."""
-    return live_out(nodes, edges).select("graph_id", "node_id").distinct()
+def liveness_roots(nodes: DataFrame, edges: DataFrame, out: DataFrame | None = None) -> DataFrame:
+    """Nodes with a live-out value; ``out`` is the result of ``live_out``, if there is one already."""
+    out = live_out(nodes, edges) if out is None else out
+    return out.select("graph_id", "node_id").distinct()
 
 
-def liveness(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    found = roots.join(live_out(nodes, edges).withColumnRenamed("node_id", "root"), KEY).withColumnRenamed("variable", "node_id")
+def liveness(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out: DataFrame | None = None) -> DataFrame:
+    out = live_out(nodes, edges) if out is None else out
+    found = roots.join(out.withColumnRenamed("node_id", "root"), KEY).withColumnRenamed("variable", "node_id")
     return labelled(nodes, roots, found)
 
 
-def liveness_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+def liveness_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out: DataFrame | None = None) -> DataFrame:
     """The step count follows a queue over control and then data successors that may hold a node twice."""
-    out = roots.join(live_out(nodes, edges).withColumnRenamed("node_id", "root"), KEY)
+    out = live_out(nodes, edges) if out is None else out
+    out = roots.join(out.withColumnRenamed("node_id", "root"), KEY)
     lives = out.groupBy(*KEY).agg(F.collect_set("variable").alias("live"))
     walked = edges.where(F.col("flow").isin(CONTROL, DATA)).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "flow", "source", "target"))).alias("es"))
     rows = roots.join(lives, KEY, "left").join(walked, "graph_id", "left")
@@ -253,5 +258,7 @@ def run(name: str, nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int
     if name not in ANALYSES:
         raise ValueError(f"unknown analysis: {name}")
     labels, instances, candidates = ANALYSES[name]
-    roots = sample_roots(candidates(nodes, edges), most, seed)
+    scratch = Scratch(nodes.sparkSession)
+    nodes, edges = scratch.keep(nodes, "nodes"), scratch.keep(edges, "edges")  # each is read many times
+    roots = scratch.keep(sample_roots(candidates(nodes, edges), most, seed), "roots")
     return labels(nodes, edges, roots), instances(nodes, edges, roots)

@@ -40,7 +40,7 @@ def closure(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = Non
     ``edges`` has graph_id, source, target; ``blocked`` (graph_id, root, node_id) names
     nodes that no edge may enter for a root.  Depth is the least number of edges.
     """
-    edges = edges.select("graph_id", "source", "target")
+    edges = Scratch(edges.sparkSession).keep(edges.select("graph_id", "source", "target"), "edges")  # read for sizes and for arrays
     sizes = edges.groupBy("graph_id").count()
     large = sizes.where(F.col("count") > most_edges).select("graph_id")
     arrays = packed(edges.join(large, "graph_id", "left_anti"), ["graph_id"], "es", "source", "target")

@@ -105,6 +105,15 @@ def test_packed_and_level_by_level_closures_agree(spark):
         assert small == large and len(small) > 12
 
 
+def test_packed_and_counted_predecessors_agree(spark):
+    rnd = random.Random(8)
+    edges = spark.createDataFrame([(g, s, t) for g in range(8) for t in range(1, 10) for s in rnd.sample(range(10), rnd.randint(0, 3))], "graph_id long, source long, target long")
+    starts = spark.createDataFrame([(g, r, r) for g in range(8) for r in (0, 2)], "graph_id long, root long, node_id long")
+    small = sorted(tuple(r) for r in fixpoint.all_predecessors(edges, starts).collect())
+    large = sorted(tuple(r) for r in fixpoint.all_predecessors(edges, starts, most_edges=15).collect())
+    assert small == large and len(small) > 16
+
+
 def test_no_rows(spark):
     n, e = build(spark, "I", "c:0>1")
     none = roots(spark, 1).limit(0)

@@ -41,8 +41,7 @@ def closure(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = Non
     nodes that no edge may enter for a root.  Depth is the least number of edges.
     """
     edges = Scratch(edges.sparkSession).keep(edges.select("graph_id", "source", "target"), "edges")  # read for sizes and for arrays
-    sizes = edges.groupBy("graph_id").count()
-    large = sizes.where(F.col("count") > most_edges).select("graph_id")
+    large = _large(edges, most_edges)
     arrays = packed(edges.join(large, "graph_id", "left_anti"), ["graph_id"], "es", "source", "target")
     rows = packed(starts.select(*KEY, "node_id"), KEY, "ss", "node_id").join(large, "graph_id", "left_anti").join(arrays, "graph_id", "left")
     rows = rows.withColumn("bs", F.lit(None).cast("array<long>")) if blocked is None else rows.join(packed(blocked.select(*KEY, "node_id"), KEY, "bs", "node_id"), KEY, "left")
@@ -73,9 +72,22 @@ def frontier_closure(edges: DataFrame, starts: DataFrame, blocked: DataFrame | N
     return seen
 
 
-def all_predecessors(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, most_edges: int) -> DataFrame:
+    return edges.groupBy("graph_id").count().where(F.col("count") > most_edges).select("graph_id")
+
+
+def all_predecessors(edges: DataFrame, starts: DataFrame, most_edges: int = 2000) -> DataFrame:
     """``graph_id, root, node_id``: the least set with ``starts`` and each node all of whose predecessors are in it."""
-    preds = edges.select("graph_id", "source", "target").groupBy("graph_id", "target").agg(F.collect_set("source").alias("ps"))
+    edges = Scratch(edges.sparkSession).keep(edges.select("graph_id", "source", "target").distinct(), "edges")
+    large = _large(edges, most_edges)
+    small = _packed_predecessors(edges.join(large, "graph_id", "left_anti"), starts.select(*KEY, "node_id").join(large, "graph_id", "left_anti"))
+    if large.isEmpty():
+        return small
+    return small.unionByName(counted_predecessors(edges.join(large, "graph_id", "left_semi"), starts.join(large, "graph_id", "left_semi")))
+
+
+def _packed_predecessors(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    preds = edges.groupBy("graph_id", "target").agg(F.collect_set("source").alias("ps"))
     arrays = preds.groupBy("graph_id").agg(F.collect_list(F.struct("target", "ps")).alias("rows"))
     rows = packed(starts, KEY, "ss", "node_id").join(arrays, "graph_id", "left")
 
@@ -86,3 +98,27 @@ def all_predecessors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     # the set grows in each round that counts, so a round without growth leaves it as it is
     grown = F.aggregate(F.sequence(F.lit(1), F.coalesce(F.size("rows"), F.lit(0)) + 1), F.col("ss"), lambda s, i: F.when(F.size(s) >= i, step(s, i)).otherwise(s))
     return rows.select(*KEY, F.explode(F.when(F.col("rows").isNull(), F.col("ss")).otherwise(grown)).alias("node_id"))
+
+
+def counted_predecessors(edges: DataFrame, starts: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """The same level by level: a node joins when as many predecessors as it has are in the set."""
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.select("graph_id", "source", "target").distinct(), "edges")
+    needed = scratch.keep(edges.groupBy("graph_id", F.col("target").alias("node_id")).agg(F.count("*").alias("needed")), "needed")
+    seen = front = scratch.keep(starts.select(*KEY, "node_id").distinct(), "level-0")
+    counts = None
+    for level in range(1, most_rounds):
+        met = front.withColumnRenamed("node_id", "source").join(edges, ["graph_id", "source"]).groupBy(*KEY, F.col("target").alias("node_id")).agg(F.count("*").alias("have"))
+        if counts is not None:
+            met = met.unionByName(counts).groupBy(*KEY, "node_id").agg(F.sum("have").alias("have"))
+        counts = scratch.keep(met, f"counts-{level}")
+        if level > 1:
+            scratch.drop(f"counts-{level - 1}")
+        full = counts.join(needed, ["graph_id", "node_id"]).where("have = needed").select(*KEY, "node_id")
+        front = scratch.keep(full.join(seen, [*KEY, "node_id"], "left_anti"), f"level-{level}")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        if level % 8 == 0:
+            seen = scratch.keep(seen, f"seen-{level}")
+    return seen

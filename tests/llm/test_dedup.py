@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from weftgraph.llm import simhash, substrings
+import corpus_pipeline
+from weftgraph.llm import similar, simhash, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,3 +138,41 @@ def test_gray_index_counts_differences():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
+
+
+def test_similar_against_brute_force(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = [None, "", " \n", "one two", "ONE two", "one two three"]
+    for _ in range(25):
+        base = [word() for _ in range(rnd.choice((12, 60, 200)))]
+        texts.append(" ".join(base))
+        for _ in range(rnd.randrange(6)):
+            x = list(base)
+            for _ in range(rnd.randrange(1 + len(x) // 20)):
+                x[rnd.randrange(len(x))] = word()
+            texts.append(" ".join(x[: len(x) - rnd.randrange(len(x) // 8)]))
+    base = [word() for _ in range(100)]  # one large group
+    texts += [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in range(100)] + [" ".join(base)] * 20
+    sets = [set(similar.shingle_set(x).tolist()) for x in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                far += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 3
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = similar.one_of_each(df).collect()
+    assert far > 50 and sorted(r.doc_id for r in kept) == sorted(set(root))
+    assert all(r.text == texts[r.doc_id] for r in kept)
+    assert similar.one_of_each(df.limit(0)).count() == 0
+
+
+def test_similar_is_the_stage(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [f"x{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(words)]  # 176 of 216 shingles shared
+    rows = [(1, " ".join(words), "a"), (2, " ".join(near), "b"), (3, " ".join(words[:150]), "c")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

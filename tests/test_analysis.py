@@ -67,6 +67,31 @@ def test_liveness(spark):
     assert counts(analysis.liveness_instances(n, e, r)) == {6: (3, 3), 7: (2, 2)}
 
 
+def test_liveness_steps_of_many_branches(spark):
+    turns = range(1, 61, 3)  # 20 diamonds: a queue of single entries would hold four million
+    n, e = build(spark, "I" * 61, " ".join(f"c:{i}>{i + 1} c:{i}>{i + 2} c:{i + 1}>{i + 3} c:{i + 2}>{i + 3}" for i in turns))
+    out = spark.createDataFrame([(1, 1, 61), (1, 1, 3)], "graph_id long, node_id long, variable long")
+    assert counts(analysis.liveness_instances(n, e, roots(spark, 1), out)) == {1: (2, 41)}
+
+
+def test_liveness_steps_follow_the_queue(spark):
+    rnd = random.Random(3)
+    for _ in range(3):
+        pairs = [(rnd.choice("cd"), rnd.randrange(1, 13), rnd.randrange(1, 13)) for _ in range(22)]
+        n, e = build(spark, "I" * 12, " ".join(f"{f}:{a}>{b}" for f, a, b in pairs))
+        lives = {r: set(rnd.sample(range(1, 13), 3)) for r in range(1, 13)}
+        expected = {}
+        for r, live in lives.items():
+            deepest, seen, queue = 0, set(), [(r, 1)]
+            for node, depth in queue:
+                seen.add(node)
+                deepest = max(deepest, depth) if node in live else deepest
+                queue += [(b, depth + 1) for flow in "cd" for f, a, b in pairs if f == flow and a == node and b not in seen]
+            expected[r] = (3, deepest)
+        out = spark.createDataFrame([(1, r, v) for r, live in lives.items() for v in live], "graph_id long, node_id long, variable long")
+        assert counts(analysis.liveness_instances(n, e, roots(spark, *lives), out)) == expected
+
+
 @pytest.mark.parametrize(("first", "uses", "expected"), [("mul", "d:4>10@0 d:5>10@1", [[9, 10]]), ("sdiv", "d:5>10@0 d:4>10@1", []), ("mul", "d:5>10@0 d:4>10@1", [[9, 10]])])
 def test_common_subexpressions(spark, first, uses, expected):
     texts = ["t0", "t1", "a", "b", "c", "d", "e", "g", first, first, "add", "mul"]

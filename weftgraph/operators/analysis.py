@@ -182,7 +182,11 @@ def liveness(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out: DataFram
 
 
 def liveness_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out: DataFrame | None = None) -> DataFrame:
-    """The step count follows a queue over control and then data successors that may hold a node twice."""
+    """The step count follows a queue over control and then data successors that may hold a node twice.
+
+    The queue is kept level by level with one entry for each node and depth: a node's later
+    entries of one depth hand on nothing that its first has not, as what is seen stays seen.
+    """
     out = live_out(nodes, edges) if out is None else out
     out = roots.join(out.withColumnRenamed("node_id", "root"), KEY)
     lives = out.groupBy(*KEY).agg(F.collect_set("variable").alias("live"))
@@ -197,14 +201,15 @@ def liveness_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out
                 after: dict[int, tuple[list, list]] = {}
                 for e in r.es if r.es is not None else ():
                     after.setdefault(e["source"], ([], []))[e["flow"]].append(e["target"])
-                deepest, seen, waiting = 0, set(), [(r.root, 1)]
-                for node, depth in waiting:
-                    seen.add(node)
-                    if node in live:
-                        deepest = max(deepest, depth)
-                    for next_node in [x for part in after.get(node, ()) for x in part]:
-                        if next_node not in seen and len(waiting) < 1_000_000:
-                            waiting.append((next_node, depth + 1))
+                deepest, depth, seen, level = 0, 1, set(), {r.root: None}
+                while level:
+                    below: dict[int, None] = {}  # in the order of first entry
+                    for node in level:
+                        seen.add(node)
+                        if node in live:
+                            deepest = depth
+                        below |= dict.fromkeys(x for part in after.get(node, ()) for x in part if x not in seen)
+                    level, depth = below, depth + 1
                 found.append((r.graph_id, r.root, deepest, len(live)))
             yield pd.DataFrame(found, columns=["graph_id", "root", "step_count", "active_node_count"])
 

@@ -91,6 +91,17 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs.limit(0), network).count() == 0
 
 
+def test_toxicity_sample_has_every_window(spark):
+    long = [" ".join(f"w{i}x{k}" for k in range(5000)) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, marks, F.lit(True), "toxic", 1000, 200_000).to_pylist()
+    assert {w for r in found for w in r["words"].split()} == {w for x in long for w in x.split()}
+    assert len(found) == 4 * len(toxicity.window_starts(5000))
+    few = toxicity.sample(docs, marks, F.lit(True), "toxic", 1000, 300).to_pylist()  # whole rows go, not windows
+    assert [sum(r["label"] == y for r in few) for y in (0, 1)] == [len(toxicity.window_starts(5000))] * 2
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     network = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))

@@ -7,8 +7,9 @@ and cover the whole text; a text's score is that of its worst window, calibrated
 training texts.
 
 Training runs in numpy on the driver.  It reads at most ``most_texts`` toxic
-and three times as many clean rows, in the order of a hash, and at most ``most_windows``
-windows of each, spread evenly over the text.  Word vectors start from the words' log-odds; after the first
+and three times as many clean rows, in the order of a hash, and all windows of each; where
+the windows of a label would be more than ``most_windows``, rows at the end of that order
+are left out whole.  Word vectors start from the words' log-odds; after the first
 passes only the worst windows of a toxic text count as toxic.
 
 Edge cases: a null, empty or wordless text has score 0; without labels of both kinds
@@ -66,14 +67,11 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
-def window_starts(n: int, most: int | None = None) -> list[int]:
+def window_starts(n: int) -> list[int]:
     """Starts of the windows over ``n`` words; the last one ends with the text."""
     if n <= WORDS:
         return [0]
-    starts = [*range(0, n - WORDS, STRIDE), n - WORDS]
-    if most and len(starts) > most:
-        starts = [starts[i * len(starts) // most] for i in range(most)]
-    return starts
+    return [*range(0, n - WORDS, STRIDE), n - WORDS]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -234,13 +232,20 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, most_t
     # 4 * most_texts rows at most, so they can be sent to all texts
     chosen = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("label", "rank", "text")
 
+    # whole rows, the first in order, as far as the driver's memory goes
+    words = F.size(F.split(F.trim("text"), r"\s+"))
+    sizes = chosen.select("label", "rank", F.greatest(F.lit(1), F.ceil((words - WORDS) / STRIDE) + 1).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("rank"))
+    last = {r[0]: r[1] for r in sizes.withColumn("upto", upto).where((F.col("upto") <= most_windows) | (F.col("upto") == F.col("n"))).groupBy("label").agg(F.max("rank")).collect()}
+    chosen = chosen.where(F.col("rank") <= F.when(F.col("label") == 1, last.get(1, 0)).otherwise(last.get(0, 0)))
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
             for y, rank, text in zip(*(batch.column(c).to_pylist() for c in ("label", "rank", "text")), strict=True):
                 words = words_of(text)
                 if words:
-                    out += ((rank, y, " ".join(words[s : s + WORDS])) for s in window_starts(len(words), most_windows))
+                    out += ((rank, y, " ".join(words[s : s + WORDS])) for s in window_starts(len(words)))
             ranks, ys, texts = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int32()), pa.array(ys, pa.int32()), pa.array(texts, pa.string())], ["rank", "label", "words"])
 
@@ -371,7 +376,7 @@ def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", most_texts: int = 1000, most_windows: int = 24) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", most_texts: int = 1000, most_windows: int = 200_000) -> Network:
     return train(sample(docs, labels, train_rows, label, most_texts, most_windows))
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, as the contracts of the corpus operators state it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,12 +23,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 256) -> DataFrame:
-    """``mapInArrow`` with batches of few rows, as one text may be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow``; Spark bounds its batches by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``) and kernels cut them with ``slices``."""
     return df.mapInArrow(kernel, schema)
 
 
+def hashed_part(key: str, folds: int, fold: int) -> Column:
+    """Whether the key's crc32, as text, falls into one part of several; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of ``column``, or one row."""
     for batch in batches:

@@ -2,20 +2,26 @@
 
 Coarse centroids and codebooks are fitted on ``most_train`` vectors at most, chosen by a
 hash; every vector is indexed: it joins the list of its nearest centroid and is coded by
-its residual's nearest codeword in each subspace.  A query goes to the lists of the
-``share`` of centroids that are nearest (vectors without clusters, as random ones, need
-a large share for a recall of 0.9; clustered ones may do with a small one).  There a table of distances from its residual to all
-codewords gives asymmetric distances to the codes; the best ``rerank`` are measured
-again on the original vectors, in double precision.
-
-A list longer than ``most_list`` is split by a hash of the id and its queries are sent
-to each part, so a hot list is spread.  Of equal vectors in a part only the smallest
-``k + 1`` ids are searched: no more can be among the nearest ``k``.
-
-Edge cases: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do those of another dimension than most; ties go to the smaller id; with
-fewer candidates than ``k`` all that the probed lists hold are returned; a table without
-valid vectors gives no rows.
+its residual's nearest codeword in each subspace.  A query goes to the lists of its nearest
+centroids, as many as hold ``coverage`` of the neighbours of some queries within the
+sample: clustered vectors need few lists, random ones nearly all.  There a table of
+distances from its residual to all codewords gives asymmetric distances to the codes; the
+best ``rerank`` are measured again on the original vectors, in double precision.  A query
+that its lists leave with fewer than ``k`` neighbours, though there are more rows, is sent to
+its other lists too.
+
+The number of lists is bounded by the sample (``LEAST_TRAIN`` of its vectors for each), not
+the rows: a list longer than ``most_list`` is split by a hash of the row and its queries are
+sent to each part, so no row is left out and a hot list is spread.  A task reads the rows of a
+part first and then its queries batch by batch, so it never holds more than one part.
+Of equal vectors in a part only the smallest ``k + 1`` ids are searched: no more can be among
+the nearest ``k``.
+
+Edge cases: vectors that are null, zero, or hold null or non-finite components take no part,
+nor do rows without an id; vectors of different dimensions never meet, and each dimension has
+an index of its own; ties go to the smaller id; with fewer candidates than ``k`` all are
+returned; rows with the same id are rows of their own, as queries and as candidates; a table
+without valid vectors gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -25,10 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.plans.scratch import Scratch
+
 CODES = 256
 
 
@@ -95,20 +104,46 @@ class Index:
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
-def _unpack(column: pd.Series) -> np.ndarray:
+#: Vectors of the sample for each centroid at least.
+LEAST_TRAIN = 64
+#: Queries of the sample that choose how many lists are searched.
+TRIALS = 256
+
+
+def needed_probes(index: Index, sample: np.ndarray, k: int, coverage: float) -> int:
+    """The least number of lists that hold ``coverage`` of the sample's ``k`` nearest neighbours of some of its vectors."""
+    x = sample.astype(np.float32)
+    n = min(TRIALS, len(x))
+    own, norms = assign(x, index.centroids)[0], (x**2).sum(1)
+    depth = np.argsort(index.probes(x[:n], len(index.centroids)), axis=1)  # the place of each list for each query
+    found = []
+    for i in range(n):
+        d = norms - 2 * (x @ x[i])
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(x) - 1) - 1)[:k] if len(x) > 1 else np.zeros(0, np.int64)
+        found.append(depth[i][own[near]])
+    places = np.sort(np.concatenate(found))
+    return int(places[min(len(places) - 1, int(np.ceil(coverage * len(places))))]) + 1 if len(places) else 1
+
+
+def _unpack(column: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
-def search_list(index: Index, at: int, queries: pd.DataFrame, rows: pd.DataFrame, k: int, rerank: int) -> pd.DataFrame:
-    """The ``k`` nearest rows of one list for each query."""
-    rows = rows.sort_values("vec_id", kind="stable")
-    rows = rows[rows.groupby("vec").cumcount() <= k]
-    ids, vectors = rows["vec_id"].to_numpy(), _unpack(rows["vec"])
-    codes = index.encode(vectors, at)
-    out = []
-    for query_id, query in zip(queries["query_id"].to_numpy(), _unpack(queries["vec"]), strict=True):
-        coarse = index.distances(query, codes, at)
-        coarse[ids == query_id] = np.inf
+class Part:
+    """The rows of one part of a list, ready for its queries."""
+
+    def __init__(self, index: Index, at: int, row: np.ndarray, ids: np.ndarray, packed: list[bytes], k: int):
+        rows = pd.DataFrame({"row": row, "id": ids, "vec": packed}).sort_values(["id", "row"], kind="stable")
+        rows = rows[rows.groupby("vec").cumcount() <= k]
+        self.index, self.at, self.k = index, at, k
+        self.row, self.ids, self.vectors = rows["row"].to_numpy(), rows["id"].to_numpy(), _unpack(rows["vec"])
+        self.codes = index.encode(self.vectors, at)
+
+    def search(self, row: int, query: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the nearest, best first."""
+        coarse = self.index.distances(query, self.codes, self.at)
+        coarse[self.row == row] = np.inf
         if len(coarse) > rerank:
             limit = np.partition(coarse, rerank - 1)[rerank - 1]
             best = np.flatnonzero(coarse < limit)
@@ -116,10 +151,43 @@ def search_list(index: Index, at: int, queries: pd.DataFrame, rows: pd.DataFrame
         else:
             best = np.arange(len(coarse))
         best = best[np.isfinite(coarse[best])]
-        exact = np.sqrt(((vectors[best] - query) ** 2).sum(1))
-        order = np.lexsort((ids[best], exact))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best][order], "score": exact[order]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        exact = np.sqrt(((self.vectors[best] - query) ** 2).sum(1))
+        order = np.lexsort((self.ids[best], exact))[: self.k]
+        return self.ids[best][order], exact[order]
+
+
+FOUND = "query_row long, query_id long, vec_id long, score double"
+
+
+def search_parts(indexes: dict[int, Index], k: int, rerank: int):
+    """Kernel over rows sorted by part, in each the vectors first and then the queries."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, part = None, [], None
+        for batch in batches:
+            names = ("size", "list", "part", "asks")
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], 1)
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else []
+            out: list[tuple] = []
+            for start, end in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
+                here = tuple(keys[start, :3])
+                if here != key:
+                    key, held, part = here, [], None
+                rows, ids = (batch.column(c)[start:end].to_numpy() for c in ("row", "vec_id"))
+                vecs = batch.column("vec")[start:end].to_pylist()
+                if not keys[start, 3]:
+                    held.append((rows, ids, vecs))
+                    continue
+                if part is None and held:
+                    part = Part(indexes[here[0]], int(here[1]), np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [v for x in held for v in x[2]], k)
+                    held = []
+                for row, query_id, query in zip(rows.tolist(), ids.tolist(), _unpack(vecs), strict=True) if part else ():
+                    near, far = part.search(row, query, rerank)
+                    out.append((np.full(len(near), row), np.full(len(near), query_id), near, far))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_row", "query_id", "vec_id", "score"])
+
+    return kernel
 
 
 def valid(vector: Column) -> Column:
@@ -127,47 +195,83 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & sound & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, lists: int | None = None, share: float = 0.8, rerank: int = 200, most_train: int = 20_000, most_lists: int = 256, most_list: int = 20_000) -> DataFrame:
+def fit(rows: DataFrame, sizes: dict[int, int], k: int, lists: int | None, coverage: float, most_train: int) -> tuple[dict[int, Index], dict[int, int]]:
+    """An index, and the number of lists to search, for each dimension."""
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_train).select("v").toArrow().column("v").to_pylist()
+    indexes, probes = {}, {}
+    for size, n in sizes.items():
+        x = np.array([v for v in sample if len(v) == size], np.float64).reshape(-1, size)
+        if not len(x):  # too rare for the sample: one list
+            indexes[size], probes[size] = Index.fit(np.zeros((1, size)), 1), 1
+            continue
+        indexes[size] = Index.fit(x, min(lists or int(max(1, n**0.5 / 2)), max(1, len(x) // LEAST_TRAIN)))
+        probes[size] = needed_probes(indexes[size], x, k, coverage)
+    return indexes, probes
+
+
+def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, lists: int | None = None, coverage: float = 0.98, rerank: int = 200, most_train: int = 20_000, most_list: int = 20_000) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows that ``queries`` holds for, against all others."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
-    usual = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if usual is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == usual["size"])
-    train = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_train).select("v").toArrow().column("v").combine_chunks()
-    lists = lists or int(min(most_lists, max(1, usual["count"] ** 0.5 / 2)))
-    probes = -int(-share * lists // 1)
-    index = Index.fit(train.flatten().to_numpy().reshape(len(train), -1), lists)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.stack(batch["v"].to_numpy()).astype("<f8")
-                yield pd.DataFrame({"list": assign(x.astype(np.float32), index.centroids)[0], "vec_id": batch["vec_id"], "vec": [row.tobytes() for row in x]})
+    sizes = {r["size"]: r["count"] for r in rows.groupBy(F.size("v").alias("size")).count().collect()}
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    indexes, probes = fit(rows, sizes, k, lists, coverage, most_train)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = np.stack(batch["v"].to_numpy()).astype("<f8")
-                to = index.probes(x, probes)
-                packed = [row.tobytes() for row in x]
-                n = to.shape[1]
-                yield pd.DataFrame({"list": to.reshape(-1), "query_id": np.repeat(batch["vec_id"].to_numpy(), n), "vec": [p for p in packed for _ in range(n)]})
-
-    stored = rows.select("vec_id", "v").mapInPandas(place, "list long, vec_id long, vec binary")
-    asked = rows.where("is_query").select("vec_id", "v").mapInPandas(send, "list long, query_id long, vec binary")
-    # at most ``most_lists`` rows come back
-    parts = {r["list"]: -(-r["count"] // most_list) for r in stored.groupBy("list").count().collect()}
+            found = batch.column("v").to_pylist()
+            lists_of = np.zeros(len(found), np.int32)
+            size_of = np.array([len(v) for v in found], np.int32)
+            for size in np.unique(size_of):
+                here = np.flatnonzero(size_of == size)
+                x = np.array([found[i] for i in here], np.float32)
+                lists_of[here] = assign(x, indexes[int(size)].centroids)[0]
+            packed = pa.array([np.asarray(v, "<f8").tobytes() for v in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(size_of), pa.array(lists_of), batch.column("vec_id"), batch.column("is_query"), packed], ["size", "list", "vec_id", "is_query", "vec"])
+
+    def send(first: bool):
+        """Each query to its nearest lists, or to all others."""
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size_of = batch.column("size").to_numpy()
+                vecs = batch.column("vec").to_pylist()
+                for size in np.unique(size_of):
+                    here, n, index = np.flatnonzero(size_of == size), probes[int(size)], indexes[int(size)]
+                    for at in range(0, len(here), 64):  # a query is as often in the output as it has lists
+                        some = here[at : at + 64]
+                        order = index.probes(_unpack([vecs[i] for i in some]), len(index.centroids))
+                        to = order[:, :n] if first else order[:, n:]
+                        many = pa.array(np.repeat(some, to.shape[1]))
+                        columns = [batch.column(c).take(many) for c in ("size", "row", "vec_id", "vec")]
+                        yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1).astype(np.int32)), *columns], ["list", "size", "row", "vec_id", "vec"])
+
+        return kernel
+
+    stored = rows.mapInArrow(place, "size int, list int, vec_id long, is_query boolean, vec binary").withColumn("row", F.monotonically_increasing_id())
+    stored = scratch.keep(stored, "stored")
+    # one row for each list: their number is bounded by the sample
+    parts = {(r["size"], r["list"]): -(-r["count"] // most_list) for r in stored.groupBy("size", "list").count().collect()}
     split = {at: n for at, n in parts.items() if n > 1}
-    shares = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in split.items() for x in pair]), F.col("list")), F.lit(1)) if split else F.lit(1)
-    stored = stored.withColumn("part", F.pmod(F.xxhash64("vec_id"), shares).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (shares - 1).cast("int"))))
+    shares = F.coalesce(F.try_element_at(F.create_map(*[x for at, n in split.items() for x in (F.lit(f"{at[0]}:{at[1]}"), F.lit(n))]), F.concat_ws(":", "size", "list")), F.lit(1)) if split else F.lit(1)
+    columns = ["size", "list", "part", "asks", "row", "vec_id", "vec"]
+    placed = stored.select("size", "list", F.pmod(F.xxhash64("row"), shares).cast("int").alias("part"), F.lit(0).alias("asks"), "row", "vec_id", "vec")
 
-    def pair(at: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return search_list(index, int(at[0]), queries, rows, k, rerank)
+    def search(asking: DataFrame, first: bool, label: str) -> DataFrame:
+        asked = asking.mapInArrow(send(first), "list int, size int, row long, vec_id long, vec binary")
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (shares - 1).cast("int")))).withColumn("asks", F.lit(1)).select(*columns)
+        both = placed.unionByName(asked).repartition("size", "list", "part").sortWithinPartitions("size", "list", "part", "asks", "row")
+        return scratch.keep(both.mapInArrow(search_parts(indexes, k, rerank), FOUND), label)
 
-    found = asked.groupBy("list", "part").cogroup(stored.groupBy("list", "part")).applyInPandas(pair, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    asking = stored.where("is_query").select("size", "row", "vec_id", "vec")
+    found = search(asking, True, "found")
+    counts = found.groupBy("query_row").count()
+    most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for size, n in sizes.items() for x in (size, min(k, n - 1))]), F.col("size")), F.lit(0))
+    short = asking.join(counts, F.col("row") == F.col("query_row"), "left").where(F.coalesce("count", F.lit(0)) < most).select(*asking.columns)
+    short = scratch.keep(short, "short")
+    if not short.isEmpty():
+        found = found.unionByName(search(short, False, "more"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,46 +1,53 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word's input is the sum of its own vector, if the training texts hold it often enough,
-and the mean vector of its hashed character n-grams.  Two gated recurrent layers read a window of words from both ends,
-attention pools their states, and a logistic unit scores the window.  Windows overlap
-and cover the whole text; a text's score is that of its worst window, calibrated on the
-training texts.
+A word's input is the mean vector of its hashed character n-grams and, if enough training
+texts hold it, a vector of its own, which half of the training steps leave out, so that
+n-grams learn to speak for words never seen.  Two gated recurrent layers read a window of
+words from both ends, attention pools their states, and a logistic unit scores the window.
+Windows overlap and cover the whole text; a text's score is that of its worst window,
+calibrated on training texts that were set apart.
 
 Training runs in numpy on the driver.  It reads at most ``most_texts`` toxic
 and three times as many clean rows, in the order of a hash, and all windows of each; where
 the windows of a label would be more than ``most_windows``, rows at the end of that order
-are left out whole.  Word vectors start from the words' log-odds; after the first
-passes only the worst windows of a toxic text count as toxic.
-
-Edge cases: a null, empty or wordless text has score 0; without labels of both kinds
-every score is 0; rows with more than one label count once for each.
+are left out whole.  After the first passes only the worst windows of a toxic text count as
+toxic.
+
+Edge cases: a null, empty or wordless text has score 0; very long texts are scored window
+by window, in blocks; repeated rows get equal scores; with labels of one kind only, or
+none, every score is that kind's (0 if there is none); rows with more than one label count
+once for each; a null id is not held out; an empty table gives no rows; other columns,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from weftgraph.llm.common import map_arrow, slices
+from weftgraph.llm.common import hashed_part, map_arrow, slices
 
 WORDS, STRIDE = 32, 24
 SIZE, HIDDEN = 8, 8
 GRAM_BITS, ORDERS = 15, (3, 4, 6)
-#: Words with vectors of their own at most, and the training texts each must be in.
+#: Words with vectors of their own at most, and the training texts each must be in; any word has its n-grams.
 MOST_VECTORS, LEAST_TEXTS = 30_000, 4
-#: Training texts that an n-gram must be in to be used.
-LEAST_GRAM_TEXTS = 40
-#: Training pace of n-gram vectors against word vectors.
-GRAM_PACE = 0.02
+#: Chance that a word's own vector takes part in a training step; else its n-grams speak for it alone.
+KEEP = 0.5
+#: Passes over the training windows at most.
+MOST_PASSES = 20
+#: Training pace of vectors against the layers, and the squares that their paces start from.
+PACE, START = 3.0, 1e-5
 #: Weight of a clean text in the calibration: the sample holds fewer of them than a corpus.
-CLEAN_WEIGHT = 3
+CLEAN_WEIGHT = 2
+#: Texts that the network's own probability counts for in the calibration.
+OWN_TEXTS = 4.0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -216,28 +223,35 @@ class Scorer:
             owner, start, size = np.array(short[i : i + 2048]).T
             mask = steps < size
             np.maximum.at(out, owner, self.network.forward(self.rows[index[np.where(mask, start + steps, start)]], mask))
-        return np.where(np.isneginf(out), 0.0, self.network.probability(out.astype(np.float64)))
+        blank = float(self.network.scale[0] == 0 and self.network.scale[1] > 0)  # all labels were 1
+        return np.where(np.isneginf(out), blank, self.network.probability(np.where(np.isneginf(out), 0, out).astype(np.float64)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, most_texts: int, most_windows: int):
-    """(text number, label, words) of the windows to train on, as an Arrow table."""
-    known = labels.where(train & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"))
+def sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, most_texts: int, most_windows: int) -> pa.Table:
+    """(text number, label, words) of the windows to train on."""
+    known = labels.where(train & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     spread = F.pmod(F.xxhash64(F.lit("tox"), "doc_id"), F.lit(1 << 30))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    # a hash threshold leaves a few times the sample, so the ranking meets few rows whatever the table's size
-    chance = F.when(F.col("label") == 1, min(1.0, 3 * most_texts / max(1, sizes.get(1, 1)))).otherwise(min(1.0, 9 * most_texts / max(1, sizes.get(0, 1))))
-    near = known.withColumn("spread", spread).where(F.col("spread") < chance * (1 << 30))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("spread", "doc_id"))
-    few = near.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, most_texts).otherwise(3 * most_texts))
+    few: list[tuple] = []
+    for kind, most in ((0, 3 * most_texts), (1, most_texts)):
+        # a hash threshold leaves a few times the sample, so that few rows are ordered whatever the table's size
+        chance = min(1.0, 3 * most / max(1, sizes.get(kind, 1)))
+        near = known.where(F.col("label") == kind).withColumn("spread", spread).where(F.col("spread") < chance * (1 << 30))
+        few += [(r["doc_id"], kind, rank) for rank, r in enumerate(near.orderBy("spread", "doc_id").limit(most).collect(), 1)]
+    schema = StructType([known.schema["doc_id"], StructField("label", IntegerType()), StructField("rank", IntegerType())])
     # 4 * most_texts rows at most, so they can be sent to all texts
-    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("label", "rank", "text")
+    ids = F.broadcast(docs.sparkSession.createDataFrame(few, schema))
+    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("label", "rank", "text")
 
     # whole rows, the first in order, as far as the driver's memory goes
     words = F.size(F.split(F.trim("text"), r"\s+"))
-    sizes = chosen.select("label", "rank", F.greatest(F.lit(1), F.ceil((words - WORDS) / STRIDE) + 1).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("label").orderBy("rank"))
-    last = {r[0]: r[1] for r in sizes.withColumn("upto", upto).where((F.col("upto") <= most_windows) | (F.col("upto") == F.col("n"))).groupBy("label").agg(F.max("rank")).collect()}
-    chosen = chosen.where(F.col("rank") <= F.when(F.col("label") == 1, last.get(1, 0)).otherwise(last.get(0, 0)))
+    windows = chosen.groupBy("label", "rank").agg(F.sum(F.greatest(F.lit(1), F.ceil((words - WORDS) / STRIDE) + 1)).alias("n")).collect()
+    last, spent = {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in sorted(windows):
+        spent[r["label"]] += r["n"]
+        if spent[r["label"]] <= most_windows or not last[r["label"]]:
+            last[r["label"]] = r["rank"]
+    chosen = chosen.where(F.col("rank") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -256,7 +270,7 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
     """Train for about ``steps`` batches, in five passes or more."""
     rank, y = table.column("rank").to_numpy(), table.column("label").to_numpy()
     if not len(y) or y.min() == y.max():
-        return Network(Network.fresh({}, seed).p, {}, (0.0, -60.0))
+        return Network(Network.fresh({}, seed).p, {}, (0.0, 60.0 if len(y) and y[0] else -60.0))
     ids: dict[str, int] = {}
     tokens = np.zeros((WORDS, len(y)), np.int32)
     mask = np.zeros((WORDS, len(y)), bool)
@@ -271,32 +285,18 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
     count = np.bincount(owner, minlength=len(words)).astype(np.float32)
     begins = np.searchsorted(owner, np.arange(len(words) + 1))
     doc = rank.astype(np.int64) * 2 + y
-    # log-odds that a text of each label has the word
+    # words of several texts have a vector of their own beside that of their n-grams
     pairs = np.unique(doc[np.nonzero(mask.T)[0]] << 32 | tokens.T[mask.T])
-    pairs = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)
     docs = np.unique(doc)
-    hits = [np.bincount(pairs[pairs[:, 0] % 2 == k, 1], minlength=len(words)) for k in (0, 1)]
-    sizes = [int((docs % 2 == k).sum()) for k in (0, 1)]
-    odds = np.log((hits[1] + 0.5) / (sizes[1] + 1)) - np.log((hits[0] + 0.5) / (sizes[0] + 1))
-    usual = sorted((i for i in range(len(words)) if hits[0][i] + hits[1][i] >= LEAST_TEXTS), key=lambda i: (-hits[0][i] - hits[1][i], words[i]))[:MOST_VECTORS]
+    texts_with = np.bincount(pairs & 0xFFFFFFFF, minlength=len(words))
+    usual = sorted(np.flatnonzero(texts_with >= LEAST_TEXTS).tolist(), key=lambda i: (-texts_with[i], words[i]))[:MOST_VECTORS]
     network = Network.fresh({words[i]: row for row, i in enumerate(usual, 1)}, seed)
     p = network.p
-    p["word"][1:, 0] = odds[usual]
     bucket = np.array([network.vocabulary.get(w, 0) for w in words])
 
-    # n-grams of few texts stay at zero, or they would be learnt by heart
-    texts_with = np.zeros(1 << GRAM_BITS, np.int64)
-    for some in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0] // 64)) + 1):  # the texts of 32 ranks at a time
-        repeats = np.diff(begins)[some[:, 1]]
-        at = np.repeat(begins[some[:, 1]] - np.append(0, np.cumsum(repeats)[:-1]), repeats) + np.arange(repeats.sum())
-        seen = np.unique(np.repeat(some[:, 0], repeats) << GRAM_BITS | grams[at])
-        texts_with += np.bincount(seen & ((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS)
-    known = texts_with >= LEAST_GRAM_TEXTS
-    p["gram"][~known] = 0
-
     dense = [k for k in p if k not in ("word", "gram")]
     moment = {k: (np.zeros_like(p[k]), np.zeros_like(p[k])) for k in dense}
-    squares = {k: np.full(len(p[k]), 1e-2, np.float32) for k in ("word", "gram")}
+    squares = {k: np.full(len(p[k]), START, np.float32) for k in ("word", "gram")}
     rng = np.random.default_rng(seed)
     learn = rank % 5 != 0  # every fifth text is for the calibration alone
     use, turn = np.flatnonzero(learn), 0
@@ -312,7 +312,7 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
         gates = network.project(np.concatenate([vectors(np.arange(i, min(i + 20_000, len(words))))[0] for i in range(0, len(words), 20_000)]))
         return np.concatenate([network.forward(gates[tokens[:, i : i + 2048]], mask[:, i : i + 2048]) for i in range(0, len(y), 2048)])
 
-    passes = max(5, -(-steps * batch // len(y)))
+    passes = min(MOST_PASSES, max(5, -(-steps * batch // len(y))))
     for done in range(passes):
         if done >= 2 * passes // 5:  # only the worst windows of a toxic text count as toxic, and those of a clean one most
             now = logits()
@@ -326,6 +326,8 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
             pick = use[start : start + batch]
             seen, place = np.unique(tokens[:, pick], return_inverse=True)
             x, at, near = vectors(seen)
+            whole = rng.random(len(seen)) < KEEP  # the others are known by their n-grams alone in this step
+            x -= np.where(whole, 0, 1)[:, None] * p["word"][bucket[seen]]
             gates = network.project(x)[place.reshape(WORDS, -1)]
             tape: list = []
             logit = network.forward(gates, mask[:, pick], tape)
@@ -343,14 +345,13 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
                 m += 0.1 * (grad[k] - m)
                 v += 0.001 * (grad[k] ** 2 - v)
                 p[k] -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-7)
-            for k, row, g in (("word", bucket[seen], d_x), ("gram", grams[at], (d_x / count[seen][:, None])[near])):
+            for k, row, g in (("word", bucket[seen][whole], d_x[whole]), ("gram", grams[at], (d_x / count[seen][:, None])[near])):
                 total = np.zeros_like(p[k])
                 np.add.at(total, row, g)
                 rows = np.unique(row)
                 squares[k][rows] += (total[rows] ** 2).mean(1)
-                p[k][rows] -= (rate if k == "word" else GRAM_PACE * rate) * total[rows] / np.sqrt(squares[k][rows])[:, None]
+                p[k][rows] -= PACE * rate * total[rows] / np.sqrt(squares[k][rows])[:, None]
             p["word"][0] = 0
-            p["gram"][~known] = 0
     worst = np.full(int(doc.max()) + 1, -np.inf)
     np.maximum.at(worst, doc, logits())
     apart = docs[docs // 2 % 5 == 0]
@@ -360,20 +361,28 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
 
 
 def _calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make probabilities of the texts' worst windows."""
+    """Slope and shift that make probabilities of the texts' worst windows, by Newton's method.
+
+    Few texts hardly move the network's own logit, which counts as ``OWN_TEXTS`` texts.
+    """
     weight = np.where(y == 1, 1, CLEAN_WEIGHT) / np.where(y == 1, 1, CLEAN_WEIGHT).sum()
     middle, spread = float(logit.mean()), float(logit.std()) or 1.0
-    x = (logit - middle) / spread
-    a, b = 1.0, 0.0
-    for _ in range(300):
-        off = weight * (_sigmoid(a * x + b) - y)
-        a -= 2.0 * ((off * x).sum() + 1e-3 * a)
-        b -= 2.0 * off.sum()
+    x = np.stack([(logit - middle) / spread, np.ones(len(y))])
+    own = np.array([spread, middle])  # the network's own logit
+    beta = own.copy()
+    ridge = OWN_TEXTS / len(y)
+    for _ in range(50):
+        q = _sigmoid(beta @ x)
+        slope = x @ (weight * (q - y)) + ridge * (beta - own)
+        bend = (x * weight * q * (1 - q)) @ x.T + ridge * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        beta -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+    a, b = beta
     return a / spread, b - a * middle / spread
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold
+    return hashed_part(key, folds, fold)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", most_texts: int = 1000, most_windows: int = 200_000) -> Network:

@@ -6,12 +6,16 @@ gets the language whose codeword has the least loss, where each bit's loss is we
 by the classifier's accuracy in training.  The score is the best language's share
 against the others by that loss; a small margin flags the text as ambiguous.
 
-Training reads a sample of labelled rows, ``per_lang`` for each language and
-``most_langs`` languages at most, in the order of a hash; executors send hashed counts,
-not texts.  All counts are taken over whole texts.
-
-Edge cases: a text that is null or without letters is ``und`` with score 0; with no
-labelled rows every text is ``und``; ties between languages go to the smaller name.
+Training reads a sample of labelled rows, ``per_lang`` different texts of each language in
+the order of a hash of the text, and fewer of each where all languages together would have
+more than ``most_rows`` (200 MB on the driver); every language takes part.  Executors send
+hashed counts, not texts.  All counts are taken over whole texts.
+
+Edge cases: a text that is null, empty or without letters (by Unicode category) is ``und``
+with score 0; with no labelled rows every text is ``und``; ties between languages go to
+the smaller name; very long texts are one row of counts; repeated rows get equal answers
+and count once in training; a null id is not held out; an empty table gives no rows;
+other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -24,16 +28,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import map_arrow, slices
+from weftgraph.llm.common import hashed_part, map_arrow, slices
 
 UNKNOWN = "und"
 BUCKETS, BITS, ORDERS = 1 << 13, 15, 4
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letters(text: str) -> bool:
+    """Whether some character is a letter; ``str.isalpha`` is the Unicode category, the pattern also takes other numbers."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
+
+
 def grams(text: str) -> np.ndarray:
     """Bucket of each n-gram of a text's words in lower case, each word between spaces."""
     data = np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -74,7 +84,7 @@ class Model:
     trust: np.ndarray  # of each bit
 
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letters(text):
             return UNKNOWN, 0.0, True
         bits = features(text) @ self.weights + self.bias
         loss = (self.trust * np.logaddexp(0, -self.words * bits)).sum(1)
@@ -85,25 +95,31 @@ class Model:
         return self.langs[order[0]], float(share[order[0]]), bool(share[order[0]] - second < margin)
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", per_lang: int = 300, most_langs: int = 200, rounds: int = 150) -> Model:
-    """Fit on at most ``per_lang`` rows of each of ``most_langs`` languages, the most frequent ones."""
-    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    usual = [r[0] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()]
-    if not usual:
-        return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().where(F.col(lang).isin(usual)).collect()}
-    # a hash threshold leaves a few times the sample, so the ranking meets few rows whatever the table's size
-    chance = F.create_map(*[x for k in usual for x in (F.lit(k), F.lit(min(1.0, 4 * per_lang / sizes[k])))])
-    spread = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = rows.where(F.col(lang).isin(usual)).withColumn("__spread", spread).where(F.col("__spread") < F.element_at(chance, F.col(lang)))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy("__spread", F.length(text)))
-    chosen = near.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), "__spread", rank.alias("rank")).where(F.col("rank") <= per_lang)
+NOTHING = Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1))
+
+
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", per_lang: int = 300, most_rows: int = 6000, rounds: int = 150) -> Model:
+    """Fit on ``per_lang`` different texts of each language, ``most_rows`` in all, but 1 of each language at least."""
+    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+    # a sketch of the different texts of each language: copies count once
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"))).collect()}
+    if not sizes:
+        return NOTHING
+    per_lang = max(1, min(per_lang, most_rows // len(sizes)))
+    # a hash threshold leaves a few times the sample, so the ranking meets few texts whatever the table's size
+    spread = F.pmod(F.xxhash64(F.lit("lang"), "text"), F.lit(1 << 30))
+    bounds = docs.sparkSession.createDataFrame([(k, int(min(1.0, 4 * per_lang / n) * (1 << 30))) for k, n in sizes.items()], StructType([rows.schema["lang"], StructField("bound", LongType())]))
+    near = rows.withColumn("spread", spread).join(F.broadcast(bounds), "lang").where(F.col("spread") < F.col("bound"))  # a row for each language
+    # copies have one hash and go before the ranking, summed up in each partition first
+    different = near.groupBy("lang", "spread").agg(F.min("text").alias("text"))
+    ranked = different.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("spread")))
+    chosen = ranked.where(F.col("rank") <= per_lang).select("lang", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             langs, at, value = [], [], []
             for name, x in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if _LETTER.search(x):
+                if has_letters(x):
                     v = features(x)
                     here = np.flatnonzero(v)
                     langs.append(name)
@@ -111,17 +127,19 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
                     value.append(v[here])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([x.tobytes() for x in value], pa.binary())], ["lang", "at", "value"])
 
-    found = map_arrow(chosen.select("lang", "text"), kernel, "lang string, at binary, value binary").toArrow().sort_by([("lang", "ascending"), ("value", "ascending")])
+    found = map_arrow(chosen, kernel, "lang string, at binary, value binary").toArrow().sort_by([("lang", "ascending"), ("value", "ascending")])
     names = found.column("lang").to_pylist()
+    langs = sorted(set(names))
+    if not langs:
+        return NOTHING
     x = np.zeros((len(names), BUCKETS), np.float32)
     for row, at, value in zip(x, found.column("at").to_pylist(), found.column("value").to_pylist(), strict=True):
         row[np.frombuffer(at, np.int16)] = np.frombuffer(value, np.float32)
-    langs = sorted(set(names))
-    if not langs:
-        return Model([], np.zeros((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1))
+    index = {name: i for i, name in enumerate(langs)}
+    kind = np.array([index[n] for n in names])
     words = codewords(len(langs))
-    y = words[[langs.index(n) for n in names]]
-    balance = 1.0 / np.bincount([langs.index(n) for n in names])[[langs.index(n) for n in names]]
+    y = words[kind].astype(np.float32)
+    balance = 1.0 / np.bincount(kind)[kind]
     balance = (balance / balance.sum()).astype(np.float32)[:, None]
     weights, bias = np.zeros((BUCKETS, words.shape[1]), np.float32), np.zeros(words.shape[1], np.float32)
     rate = 60.0
@@ -150,7 +168,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def held_out(key: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold
+    return hashed_part(key, folds, fold)
 
 
 def keep_known(docs: DataFrame, **options) -> DataFrame:

@@ -5,13 +5,19 @@ earlier full response of the same canonical URL; its validators (entity tag, els
 modification date, else payload digest) are compared with that response's; and the
 headers that a 304 answer may update are merged into the response's.
 
-The as-of join is two steps, so that a URL captured very often is spread over tasks:
-the last response of each URL and time slice is carried over the slices that follow,
-and inside a slice a window finds the last response before each revisit.
+The as-of join works on the different times of each URL, of which equal ones are one row
+with the response that counts, summed up before they are shuffled.  They are sorted by URL and
+time over range partitions: inside a partition a window finds the last response before each
+time, and the last response of the partitions before, one row each, is carried into the URL
+that goes on.  So a URL captured very often is spread over tasks, however short the time.
 
 Edge cases: a revisit without an earlier response has a null target; a response at the
 same time is not earlier; of responses at one time the larger record id counts; records
-without URL or time resolve to nothing; without validators the state is ``unchecked``.
+without URL or time resolve to nothing; without validators the state is ``unchecked``; rows
+of one kind with one record id are one record, the one with the least URL, time, digest and
+headers; rows without a record id or of another kind are left out; an empty table gives no
+rows; very long URLs and headers are kept whole; other columns, whatever their names, are left
+alone.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.plans.scratch import Scratch
+
 #: Headers that a 304 answer may carry anew (RFC 9110, 15.4.5), in lower case.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "set-cookie"]
 #: Query parameters that only track a visit.
@@ -36,32 +44,46 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise(""))
 
 
-def as_of(events: DataFrame, slice_seconds: int) -> DataFrame:
-    """For revisits of ``url, at, record_id, full`` the latest earlier full record: ``record_id, target_id``."""
-    sliced = events.where("url is not null and at is not null").withColumn("slice", F.floor(F.col("at") / slice_seconds))
-    response = F.when(F.col("full"), F.struct("at", "record_id"))
-    ends = sliced.groupBy("url", "slice").agg(F.max(response).alias("last"))
-    before = Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("url", "slice", F.max("last").over(before).alias("carried"))
-    inside = Window.partitionBy("url", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    found = sliced.withColumn("near", F.max(response).over(inside)).where("not full").join(carried, ["url", "slice"])
-    return found.select("record_id", F.coalesce("near", "carried")["record_id"].alias("target_id"))
+def as_of(events: DataFrame, scratch: Scratch) -> DataFrame:
+    """``url, at, target_id``: for each different time of ``url, at, record_id, full`` the latest earlier full record."""
+    times = events.where("url is not null and at is not null").groupBy("url", "at").agg(F.max(F.when(F.col("full"), F.col("record_id"))).alias("id"))
+    # ranges are written, so that rows and what is carried over see the same ones
+    ranged = scratch.keep(times.repartitionByRange("url", "at").withColumn("__part", F.spark_partition_id()), "ranged")
+    response = F.when(F.col("id").isNotNull(), F.struct("url", "at", "id"))
+    ends = ranged.groupBy("__part").agg(F.max(response).alias("last"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__part", F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("__part", "url").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range partition, so its size is bounded by their number
+    near = ranged.withColumn("near", F.max(response).over(inside)).join(F.broadcast(carried), "__part")
+    return near.select("url", "at", F.coalesce(F.col("near.id"), F.when(F.col("carried.url") == F.col("url"), F.col("carried.id"))).alias("target_id"))
+
+
+def _spread(key: Column, by: Column) -> Column:
+    """0, or for a null key one of many values, so that rows without a partner are not one group."""
+    return F.when(key.isNull(), F.pmod(F.xxhash64(by), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long"))
 
 
 def _tag(headers: Column) -> Column:
     return F.regexp_replace(headers["etag"], "^W/", "")
 
 
-def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """One row for each revisit of ``record_id, url, at`` (seconds) ``, kind, headers`` (names in lower case) ``, digest``.
 
     Returns ``record_id, url`` (canonical) ``, target_id, state, headers``.
     """
-    known = records.where(F.col("kind").isin("response", "revisit")).withColumn("url", canonical_url(F.col("url")))
-    targets = as_of(known.select("url", F.col("at").cast("long").alias("at"), "record_id", (F.col("kind") == "response").alias("full")), slice_seconds)
-    revisits = known.where("kind = 'revisit'").select("record_id", "url", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("new"), F.col("digest").alias("new_digest"))
-    full = known.where("kind = 'response'").select(F.col("record_id").alias("target_id"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("old"), "digest")
-    joined = revisits.join(targets, "record_id", "left").join(full, "target_id", "left")
+    scratch = Scratch(records.sparkSession)
+    known = records.where(F.col("kind").isin("response", "revisit") & F.col("record_id").isNotNull())
+    known = known.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), F.col("at").cast("long").alias("at"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest")
+    least = F.min_by(F.struct("url", "at", "headers", "digest"), F.struct("url", "at", "digest", F.to_json("headers")))
+    known = scratch.keep(known.groupBy("record_id", "kind").agg(least.alias("r")).select("record_id", "kind", "r.*"), "records")
+    targets = as_of(known.select("url", "at", "record_id", (F.col("kind") == "response").alias("full")), scratch).withColumn("salt", F.lit(0).cast("long"))
+    revisits = known.where("kind = 'revisit'").select("record_id", "url", "at", F.col("headers").alias("new"), F.col("digest").alias("new_digest"))
+    revisits = revisits.withColumn("salt", _spread(F.when(F.col("at").isNotNull(), F.col("url")), F.col("record_id")))
+    placed = revisits.join(targets, ["url", "at", "salt"], "left").withColumn("salt", _spread(F.col("target_id"), F.col("record_id")))
+    full = known.where("kind = 'response'").select(F.col("record_id").alias("target_id"), F.col("headers").alias("old"), "digest", F.lit(0).cast("long").alias("salt"))
+    joined = placed.join(full, ["target_id", "salt"], "left")
     old, new = F.col("old"), F.col("new")
     same = (
         F.when(_tag(new).isNotNull(), F.coalesce(_tag(new) == _tag(old), F.lit(False)))

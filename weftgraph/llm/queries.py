@@ -15,7 +15,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("host", "h", "removed_lines")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,14 @@
 Fingerprints have 64 bits over hashed word shingles; texts whose fingerprints differ in
 at most ``most_bits`` (3) bits are linked, and what links reach is one component.
 
-1. Equal fingerprints are one class, named by its smallest id: copies never meet each
-   other again.
+1. Equal fingerprints are one class, named by the fingerprint: copies never meet each
+   other again, and ids may be of any type.
 2. Two fingerprints within 3 bits agree on at least one of four 16-bit blocks.  Each
    class goes to four groups, one for each block and its value.  A group larger than
    ``most_group`` is split by 12-bit blocks of the other 48 bits, of which four again
    make sure that each pair meets; still larger ones go on with 9-bit blocks of the
-   remaining 36.
+   remaining 36, and so on until 12 bits are left, which no more than 4,096 fingerprints
+   can differ in.
 3. A task indexes its groups: fingerprints in Gray order, runs of neighbours under one
    node that holds the bits on which they all agree and that no node above holds yet.
    A search adds up differences from the root down and leaves a node, with all
@@ -19,7 +20,11 @@ at most ``most_bits`` (3) bits are linked, and what links reach is one component
    with links in tables of the shared folder.
 
 Edge cases: a null, empty or wordless text has fingerprint zero, linked like any other;
-texts shorter than a shingle are one shingle; ids must not be null to be reached.
+texts shorter than a shingle are one shingle; very long texts are hashed in blocks of
+shingles; repeated rows and rows with equal ids are rows of their own; a row with a null id
+is linked like any other but does not name a component, so a component of such rows alone
+has a null name; an empty table gives no rows; other columns, whatever their names, are left
+alone.
 """
 
 from __future__ import annotations
@@ -157,19 +162,20 @@ def _link_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"node": ids[far], "to": ids[root[far]]})
 
     held: list[pd.DataFrame] = []
-    rows = 0
+    rows, mark = 0, 1 << 16
     for batch in batches:  # sorted by group: whole groups are worked on as soon as they are many
         if not len(batch):
             continue
         held.append(batch)
         rows += len(batch)
-        if rows >= 1 << 16:
+        if rows >= mark:
             part = pd.concat(held, ignore_index=True)
             last = part["group"].iloc[-1]
             ready = part["group"] != last
             if ready.any():
                 yield linked(part[ready])
             held, rows = [part[~ready]], int((~ready).sum())
+            mark = max(1 << 16, 2 * rows)  # a large group is not put together again for each batch
     if held:
         yield linked(pd.concat(held, ignore_index=True))
 
@@ -190,7 +196,7 @@ def _dealt(classes: DataFrame, most_group: int, scratch: Scratch) -> DataFrame:
     names = F.array(*(F.struct(F.lit(k).alias("k"), _block(F.col("print"), 48 - 16 * k, 16).alias("v"), _without(F.col("print"), 64, 16, k).alias("rest")) for k in range(4)))
     left = classes.select("id", "print", F.explode(names).alias("b")).select("id", "print", (F.col("b.k") * 65536 + F.col("b.v")).cast("long").alias("group"), F.col("b.rest").alias("rest"))
     done = []
-    for bits, width in ((48, 12), (36, 9)):
+    for bits, width in ((48, 12), (36, 9), (27, 6), (21, 5), (16, 4)):
         large = scratch.keep(left.groupBy("group").count().where(F.col("count") > most_group).select("group"), f"large{width}")
         if not large.count():
             break
@@ -229,25 +235,39 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         edges = small
         one = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")).alias("sum"), F.countDistinct("node").alias("nodes")).first()
         if tuple(one) == before:
-            break
+            return edges.withColumnRenamed("to", "root")
         before = tuple(one)
-    return edges.withColumnRenamed("to", "root")
+    raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+
+
+def linked_prints(prints: DataFrame, most_group: int, scratch: Scratch) -> DataFrame:
+    """``print, root`` for each different fingerprint; equal roots are one component."""
+    classes = scratch.keep(prints.select("print", F.col("print").alias("id")).distinct(), "classes")
+    dealt = _dealt(classes, most_group, scratch)
+    links = dealt.repartition("group").sortWithinPartitions("group").select("group", "id", "print").mapInPandas(_link_groups, "node long, to long")
+    roots = components(links, scratch)
+    return classes.join(roots, F.col("id") == F.col("node"), "left").select("print", F.coalesce("root", "id").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, most_group: int = 4096) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) ``, component_id`` for each row."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(fingerprints(docs, key, text, shingle), "prints")
-    classes = scratch.keep(prints.groupBy("print").agg(F.min("doc_id").alias("id")).where("id is not null"), "classes")
-    dealt = _dealt(classes, most_group, scratch)
-    links = dealt.repartition("group").sortWithinPartitions("group").select("group", "id", "print").mapInPandas(_link_groups, "node long, to long")
-    roots = components(links, scratch)
-    named = classes.join(roots, F.col("id") == F.col("node"), "left").select(F.col("print").alias("__print"), F.coalesce("root", "id").alias("component_id"))
-    return prints.join(named, F.col("print") == F.col("__print"), "left").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = linked_prints(prints, most_group, scratch)
+    least = prints.groupBy("print").agg(F.min("doc_id").alias("id"))
+    named = scratch.keep(least.join(roots, "print"), "named")
+    names = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = named.join(names, "root").select(F.col("print").alias("__print"), "component_id")
+    return prints.join(named, F.col("print") == F.col("__print")).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their component."""
-    found = near_duplicates(docs, key, **options)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key))
-    return docs.join(keep, key, "left_semi")
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, most_group: int = 4096) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest ``key``, null ones last, and of equal ones any."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    prints = scratch.keep(fingerprints(rows, "__row", text, shingle).join(rows.select(F.col("__row").alias("doc_id"), F.col(key).alias("key")), "doc_id"), "prints")
+    roots = linked_prints(prints, most_group, scratch)
+    order = F.struct(F.col("key").isNull().alias("none"), "key", F.col("doc_id").alias("row"))
+    least = prints.groupBy("print").agg(F.min(order).alias("first"))
+    keep = least.join(roots, "print").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns)

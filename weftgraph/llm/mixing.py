@@ -13,9 +13,12 @@ Only sizes are shuffled, never texts.  Sums along an order are taken inside rang
 partitions and shifted by the totals of the partitions before, so a hot source is
 spread over many tasks.
 
-Edge cases: null and empty texts have size 0 and are never taken; a null source is a
-source of its own, last in order; ties in hash go by id; rows with the same id are
-documents of their own; an empty table gives an empty result.
+Edge cases: null and empty texts have size 0 and are never taken; very long texts count
+whole; a null source is a source of its own, last in order; ties in hash go by id and then
+size; rows with the same id, or none, are documents of their own, and which of those that
+are equal in id, source and size is taken more often does not matter for the sums; an empty
+table gives an empty result; columns of the input with the names of results, or any other,
+are left alone.
 """
 
 from __future__ import annotations
@@ -53,15 +56,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int, scratc
     return placed.select("source", "source_size", "before", "weight", F.when(capped, (F.col("source_size") * most).cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for each row of ``docs``.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", row: str | None = None) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken``, and the column ``row`` if named, for each row of ``docs``.
 
     ``copies`` is how often the mix holds the document, ``taken`` its words times that.
     """
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     spread = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
-    sized = scratch.keep(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), spread.alias("spread")), "sized")
+    more = [row] if row else []
+    sized = scratch.keep(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), spread.alias("spread"), *more), "sized")
     targets = scratch.keep(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, scratch), "targets")
     order = [F.col("source").asc_nulls_last(), F.col("spread").asc(), F.col("doc_id").asc(), F.col("size").asc()]
     placed = running_sum(sized, order, "size", "upto", scratch, "ordered")
@@ -83,13 +87,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         cut = F.struct(F.lit(last["finish"]), F.lit(last["spread"]), F.lit(last["doc_id"]).cast(docs.schema[key].dataType), F.lit(last["epoch"]))
         count = sum((F.when(F.struct(finish(e), F.col("spread"), F.col("doc_id"), F.lit(e)) <= cut, 1).otherwise(0) for e in range(most)), F.lit(0))
         count = F.when(F.col("size") > 0, count).otherwise(0)
-    return named.select("doc_id", "source", "size", "source_size", "target", count.alias("copies"), (F.col("size") * count).cast("long").alias("taken"))
+    return named.select("doc_id", "source", "size", "source_size", "target", count.alias("copies"), (F.col("size") * count).cast("long").alias("taken"), *more)
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; ``key`` must be unique."""
-    taken = mix(docs, key, **options).where("copies > 0").select(F.col("doc_id").alias("__key"), "copies")
-    joined = docs.join(taken, docs[key].eqNullSafe(taken["__key"])).withColumn("__copy", F.explode(F.expr("sequence(1, copies)")))
+    """The rows of ``docs``, each as often as the mix takes it; rows are told apart by a key of their own."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    taken = mix(rows, key, row="__row", **options).where("copies > 0").select("__row", "copies")
+    joined = rows.join(taken, "__row").withColumn("__copy", F.explode(F.expr("sequence(1, copies)")))
     return joined.select(*docs.columns)
 
 

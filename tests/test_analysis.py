@@ -1,9 +1,11 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from graphs import build, counts, labels, roots
 
-from weftgraph.operators import analysis
+from weftgraph.operators import analysis, statistics
 from weftgraph.plans import fixpoint
 
 WIKI = "k:0>6 c:6>7 c:6>8 c:7>8 c:8>9 d:6>1 d:6>2 d:6>4 d:6>5 d:7>3 d:7>4 d:8>3 d:1>7 d:2>7 d:2>9 d:3>9 d:4>9"
@@ -134,9 +136,49 @@ def test_packed_and_counted_predecessors_agree(spark):
     rnd = random.Random(8)
     edges = spark.createDataFrame([(g, s, t) for g in range(8) for t in range(1, 10) for s in rnd.sample(range(10), rnd.randint(0, 3))], "graph_id long, source long, target long")
     starts = spark.createDataFrame([(g, r, r) for g in range(8) for r in (0, 2)], "graph_id long, root long, node_id long")
-    small = sorted(tuple(r) for r in fixpoint.all_predecessors(edges, starts).collect())
-    large = sorted(tuple(r) for r in fixpoint.all_predecessors(edges, starts, most_edges=15).collect())
-    assert small == large and len(small) > 16
+    nodes = spark.createDataFrame([(g, i, 0) for g in range(8) for i in range(10)], "graph_id long, node_id long, type long")
+    small = sorted(map(str, fixpoint.all_predecessors(edges, starts, nodes).collect()))
+    large = sorted(map(str, fixpoint.all_predecessors(edges, starts, nodes, most_edges=15).collect()))
+    assert small == large and len(small) == 160 and sum("depth=0" in x for x in small) > 16
+
+
+def test_packed_and_joined_liveness_agree(spark):
+    rnd = random.Random(4)
+    kinds = [0, 0, 0, 0, 0, 0, 1, 1, 1, 2]
+    nodes = spark.createDataFrame([(g, i, k) for g in range(6) for i, k in enumerate(kinds)], "graph_id long, node_id long, type long")
+    ends = lambda f: (rnd.randrange(6), rnd.randrange(6)) if f == 0 else rnd.choice([(rnd.randrange(1, 6), rnd.randrange(6, 9)), (rnd.randrange(6, 10), rnd.randrange(1, 6))])
+    rows = [(g, i, f, 0, *ends(f)) for g in range(6) for i in range(14) for f in (rnd.randrange(2),)]
+    edges = spark.createDataFrame(rows, "graph_id long, edge_id long, flow long, position long, source long, target long")
+    for outs in (False, True):
+        small = sorted(analysis._live(nodes, edges, outs).collect())
+        assert small == sorted(analysis._live(nodes, edges, outs, most_edges=13).collect()) == sorted(analysis._live(nodes, edges, outs, most_states=1).collect())
+        assert len(small) > 10
+
+
+def test_ids_may_be_any_long(spark):
+    """As hashes of paths are."""
+    n, e = build(spark, "VVVVVIIII", WIKI)
+    large = F.xxhash64(F.lit("a/b.ll"))
+    n, e = n.withColumn("graph_id", large), e.withColumn("graph_id", large)
+    for name in analysis.ANALYSES:
+        found, instances = analysis.run(name, n, e)
+        assert found.count() % 10 == 0 and instances.count() <= 1
+    split = statistics.random_split(spark.range(-500, 500).select(F.xxhash64("id").alias("key")), "key")
+    assert {r.split: r["count"] > 100 for r in split.groupBy("split").count().collect()} == {"train": True, "val": True, "test": True}
+
+
+def test_large_graphs_are_closed_quickly(spark):
+    """20 graphs of 600 nodes: chains with forks and loops."""
+    n = 300
+    steps = [(0, i, i + 1) for i in range(1, n)] + [(0, i, i + 7) for i in range(1, n - 7, 3)] + [(0, i, i - 20) for i in range(30, n, 25)]
+    data = [(1, i, n + i) for i in range(1, n + 1)] + [(1, n + 1 + i * 7 % i, i) for i in range(2, n + 1)] + [(1, n + max(1, i - 5), i) for i in range(2, n + 1)]
+    nodes = spark.range(20).selectExpr("id AS graph_id", f"explode(sequence(0L, {2 * n}L)) AS node_id").selectExpr("*", f"CAST(node_id > {n} AS LONG) AS type", "'x' AS text")
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(steps + data)], "edge_id long, flow long, source long, target long")
+    edges = spark.range(20).selectExpr("id AS graph_id").join(F.broadcast(rows)).withColumn("position", F.lit(0).cast("long"))
+    began = time.time()
+    labels, instances = analysis.run("liveness", nodes, edges)
+    assert labels.count() == 20 * 10 * (2 * n + 1) and instances.count() == 200
+    assert time.time() - began < 60
 
 
 def test_no_rows(spark):

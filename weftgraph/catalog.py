@@ -55,7 +55,7 @@ def _roots_sql(candidates: str, seed: int = 0) -> str:
     return f""",
 roots AS (
   SELECT graph_id, node_id AS root FROM (
-    SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY (node_id * 7919 + graph_id * 104729 + {seed}) % 10007, node_id) AS rk,
+    SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY (node_id % 10007 * 7919 + graph_id % 10007 * 104729 + {seed}) % 10007, node_id) AS rk,
            count(*) OVER (PARTITION BY graph_id) AS cnt FROM ({candidates}))
   WHERE rk <= least(ceil(cnt / 10), 10))"""
 
@@ -436,7 +436,7 @@ def runtime_percentiles(spark, sf_dir):
     return statistics.summary(_table(spark, sf_dir, "events"), "value")
 
 
-@query("""SELECT doc_id, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ((doc_id * 7919 + 104729) % 10007) % 100 AS b FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ((doc_id % 10007 * 7919 + 104729) % 10007) % 100 AS b FROM documents)""")
 def split_random(spark, sf_dir):
     return statistics.random_split(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 

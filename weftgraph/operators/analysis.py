@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.plans.fixpoint import KEY, all_predecessors, closure
+from weftgraph.plans.fixpoint import KEY, MOST_EDGES, MOST_STATES, all_predecessors, closure, large_graphs, packed
+from weftgraph.plans.kernels import liveness_kernel
 from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import COMMUTATIVE, CONTROL, DATA, INSTRUCTION, VARIABLE
 
@@ -30,8 +31,8 @@ def eligible(nodes: DataFrame, kind: int) -> DataFrame:
 
 
 def portable_hash(seed: int) -> Column:
-    """A spread of nodes that SQL engines compute alike."""
-    return (F.col("node_id") * 7919 + F.col("graph_id") * 104729 + seed) % 10007
+    """A spread of nodes that SQL engines compute alike; ids are reduced first, as they may be any long."""
+    return (F.col("node_id") % 10007 * 7919 + F.col("graph_id") % 10007 * 104729 + seed) % 10007
 
 
 def sample_roots(candidates: DataFrame, most: int = 10, seed: int = 0) -> DataFrame:
@@ -57,13 +58,18 @@ def _starts(roots: DataFrame) -> DataFrame:
     return roots.select("graph_id", "root", F.col("root").alias("node_id"))
 
 
-def reached(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Forward control closure with depths; the root's is 1."""
-    return closure(flow(edges, CONTROL), _starts(roots)).withColumn("depth", F.col("depth") + 1).withColumn("value", F.lit(1))
+def _labels(found: DataFrame) -> DataFrame:
+    return found.select(*KEY, "node_id", (F.col("node_id") == F.col("root")).cast("long").alias("is_root"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+
+
+def reached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, every: bool = False) -> DataFrame:
+    """Forward control closure with depths; the root's is 1.  ``every`` adds the nodes not reached, with value 0."""
+    found = closure(flow(edges, CONTROL), _starts(roots), nodes=nodes if every else None)
+    return found.withColumn("depth", F.col("depth") + 1).withColumn("value", F.col("depth").isNotNull().cast("long"))
 
 
 def reachability(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return labelled(nodes, roots, reached(nodes, edges, roots))
+    return _labels(reached(nodes, edges, roots, True))
 
 
 def reachability_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -71,27 +77,26 @@ def reachability_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame)
 
 
 def depended(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Backward data closure with depths from 0; ``value`` is 1 for instructions."""
-    found = closure(flow(edges, DATA, reverse=True), _starts(roots))
-    kinds = nodes.select("graph_id", "node_id", (F.col("type") == INSTRUCTION).cast("long").alias("value"))
-    return found.join(kinds, ["graph_id", "node_id"])
+    """All nodes with their depths, from 0, in the backward data closure; ``value`` is 1 for instructions in it."""
+    found = closure(flow(edges, DATA, reverse=True), _starts(roots), nodes=nodes)
+    return found.withColumn("value", (F.col("depth").isNotNull() & (F.col("type") == INSTRUCTION)).cast("long"))
 
 
 def datadep(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return labelled(nodes, roots, depended(nodes, edges, roots).where("value = 1"))
+    return _labels(depended(nodes, edges, roots))
 
 
 def datadep_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return counted(depended(nodes, edges, roots), F.max("depth"))
+    return counted(depended(nodes, edges, roots).where("depth is not null"), F.max("depth"))
 
 
 def dominated(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Least set with the root and each instruction whose control predecessors, at least one, are all in it."""
-    return all_predecessors(flow(edges, CONTROL), _starts(roots)).withColumn("value", F.lit(1))
+    """All nodes; value 1 for the least set with the root and each instruction whose control predecessors, at least one, are all in it."""
+    return all_predecessors(flow(edges, CONTROL), _starts(roots), nodes).withColumn("value", F.col("depth").isNotNull().cast("long"))
 
 
 def dominance(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return labelled(nodes, roots, dominated(nodes, edges, roots))
+    return _labels(dominated(nodes, edges, roots))
 
 
 def dominance_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, most_updates: int = 1000) -> DataFrame:
@@ -104,19 +109,25 @@ def dominance_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, mo
     control = flow(edges, CONTROL).groupBy("graph_id").agg(F.collect_list(F.struct("source", "target")).alias("es"))
     wanted = roots.groupBy("graph_id").agg(F.sort_array(F.collect_set("root")).alias("roots"))
 
-    def sweep(scope: list[int], preds: dict[int, list[int]], root: int) -> tuple[dict[int, set[int]], int]:
-        sets = {n: set(scope) - {root} for n in scope} | {root: {root}}
+    def sweep(scope: list[int], preds: dict[int, list[int]], root: int) -> tuple[list[int], int]:
+        """Dominator sets as bits, by place in the scope, and the number of updates."""
+        place = {n: i for i, n in enumerate(scope)}
+        whole, at = (1 << len(scope)) - 1, place[root]
+        sets = [whole & ~(1 << at)] * len(scope)
+        sets[at] = 1 << at
+        into = [[place.get(p) for p in preds.get(n, ())] for n in scope]
         updates, again = 0, True
         while again and updates <= most_updates:
             again = False
-            for n in scope:
-                if n == root:
+            for i, before in enumerate(into):
+                if i == at:
                     continue
-                known = [sets[p] for p in preds.get(n, []) if p in sets]
-                outside = len(known) < len(preds.get(n, []))
-                new = {n} if outside or not known else set.intersection(*known) | {n}
-                if new != sets[n]:
-                    sets[n], again = new, True
+                new = whole if before else 0
+                for p in before:
+                    new &= 0 if p is None else sets[p]  # a predecessor outside the scope
+                new |= 1 << i
+                if new != sets[i]:
+                    sets[i], again = new, True
                     updates += 1
         return sets, updates
 
@@ -128,12 +139,16 @@ def dominance_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, mo
                 preds: dict[int, list[int]] = {}
                 for e in r.es if r.es is not None else ():
                     preds.setdefault(e["target"], []).append(e["source"])
+                scopes: dict[int, list[int]] = {}
                 for root in r.roots:
                     home = kind[root][1]
-                    scope = sorted(n for n, (t, f) in kind.items() if n and f == home and (t < 2 or home == 0))
+                    if home not in scopes:
+                        scopes[home] = sorted(n for n, (t, f) in kind.items() if n and f == home and (t < 2 or home == 0))
+                    scope = scopes[home]
                     sets, updates = sweep(scope, preds, root)
                     done = updates <= most_updates
-                    active = sum(root in s for n, s in sets.items() if kind[n][0] == INSTRUCTION)
+                    bit = 1 << scope.index(root)
+                    active = sum(bool(x & bit) for n, x in zip(scope, sets, strict=True) if kind[n][0] == INSTRUCTION)
                     out.append((r.graph_id, root, updates if done else None, active if done else None, "ok" if done else "not_converged"))
             yield pd.DataFrame(out, columns=["graph_id", "root", "step_count", "active_node_count", "status"]).astype({"step_count": "Int64", "active_node_count": "Int64"})
 
@@ -146,12 +161,26 @@ def exits(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return eligible(nodes, INSTRUCTION).join(flow(edges, CONTROL).select("graph_id", F.col("source").alias("node_id")), ["graph_id", "node_id"], "left_anti")
 
 
-def live_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph_id, node_id, variable``: values that an instruction, which reaches an exit, needs.
-
-    One closure for each value: back from its uses over control, past no definition.
-    """
-    edges = Scratch(edges.sparkSession).keep(edges.where(F.col("flow").isin(CONTROL, DATA)), "edges")
+def _live(nodes: DataFrame, edges: DataFrame, outs: bool, most_edges: int = MOST_EDGES, most_states: int = MOST_STATES) -> DataFrame:
+    """Live variables of all graphs: packed ones by one kernel, large ones by joins."""
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.where(F.col("flow").isin(CONTROL, DATA)).select("graph_id", "flow", "position", "source", "target", "edge_id"), "edges")
+    data = edges.where(F.col("flow") == DATA)
+    large = scratch.keep(large_graphs(edges, data, most_edges, most_states), "large")
+    none = large.isEmpty()
+    few = lambda df: df if none else df.join(large, "graph_id", "left_anti")
+    rows = packed(few(data), "ds", "source", "target").join(packed(few(nodes), "ns", "node_id", "type"), "graph_id")
+    rows = rows.join(packed(few(edges.where(F.col("flow") == CONTROL)), "cs", "source", "target"), "graph_id", "left")
+    found = rows.select("graph_id", "ns", "cs", "ds").mapInArrow(liveness_kernel(outs), "graph_id long, node_id long, variable long")
+    if none:
+        return found
+    many = lambda df: df.join(large, "graph_id", "left_semi")
+    needed = live_in_by_joins(many(nodes), many(edges))
+    return found.unionByName(_before(many(edges), needed) if outs else needed)
+
+
+def live_in_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``live_in`` for graphs too large for one row: one closure for each value, back from its uses over control, past no definition."""
     control = flow(edges, CONTROL, reverse=True)
     final = exits(nodes, edges).select("graph_id", F.lit(0).cast("long").alias("root"), "node_id")
     ending = closure(control, final).select("graph_id", "node_id")
@@ -162,13 +191,21 @@ def live_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return closure(control, uses, defs).select("graph_id", "node_id", F.col("root").alias("variable"))
 
 
-def live_out(nodes: DataFrame, edges: DataFrame, needed: DataFrame | None = None) -> DataFrame:
-    """``graph_id, node_id, variable``: what some control successor needs."""
-    needed = live_in(nodes, edges) if needed is None else needed
+def _before(edges: DataFrame, needed: DataFrame) -> DataFrame:
     control = flow(edges, CONTROL).select("graph_id", "source", F.col("target").alias("node_id"))
     return control.join(needed, ["graph_id", "node_id"]).select("graph_id", F.col("source").alias("node_id"), "variable").distinct()
 
 
+def live_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id, node_id, variable``: values that an instruction, which reaches an exit, needs."""
+    return _live(nodes, edges, False)
+
+
+def live_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id, node_id, variable``: what some control successor needs."""
+    return _live(nodes, edges, True)
+
+
 def liveness_roots(nodes: DataFrame, edges: DataFrame, out: DataFrame | None = None) -> DataFrame:
     """Nodes with a live-out value; ``out`` is the result of ``live_out``, if there is one already."""
     out = live_out(nodes, edges) if out is None else out
@@ -265,5 +302,6 @@ def run(name: str, nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int
     labels, instances, candidates = ANALYSES[name]
     scratch = Scratch(nodes.sparkSession)
     nodes, edges = scratch.keep(nodes, "nodes"), scratch.keep(edges, "edges")  # each is read many times
-    roots = scratch.keep(sample_roots(candidates(nodes, edges), most, seed), "roots")
-    return labels(nodes, edges, roots), instances(nodes, edges, roots)
+    known = {"out": scratch.keep(live_out(nodes, edges), "out")} if name == "liveness" else {}
+    roots = scratch.keep(sample_roots(candidates(nodes, edges, **known), most, seed), "roots")
+    return labels(nodes, edges, roots, **known), instances(nodes, edges, roots, **known)

@@ -37,7 +37,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def spread(column: str, buckets: int = 100, seed: int = 0) -> Column:
     """A bucket of an integer key that SQL engines compute alike."""
-    return ((F.col(column) * 7919 + 104729 * (seed + 1)) % 10007) % buckets
+    return F.pmod(F.col(column) % 10007 * 7919 + 104729 * (seed + 1), F.lit(10007)) % buckets
 
 
 def random_split(rows: DataFrame, key: str, train: int = 60, val: int = 20, seed: int = 0) -> DataFrame:

@@ -1,55 +1,79 @@
 """Closures over edges of many graphs at once.
 
-Small graphs are packed, one row each, and closed inside a higher-order function: no
-shuffle for each step.  Graphs with more edges than ``most_edges`` go level by level
-through joins, with each level in a table of the shared folder.
+A graph is packed into one row and closed by a kernel (``plans.kernels``) for all its roots
+together: no shuffle for each step.  Graphs with more edges than ``MOST_EDGES``, or more
+states (roots times nodes) than ``MOST_STATES``, go level by level through joins, with each
+level in a table of the shared folder.  Both give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans import kernels
 from weftgraph.plans.scratch import Scratch
 
 KEY = ["graph_id", "root"]
+#: A packed graph's edges and states at most: some megabytes of lists, some hundred of arrays.
+MOST_EDGES, MOST_STATES = 200_000, 50_000_000
+_STATES = "graph_id long, root long, node_id long, type long, depth long"
 
 
-def packed(df: DataFrame, key: list[str], out: str, *columns: str) -> DataFrame:
-    """One row for each key with the array ``out`` of its distinct rows."""
-    return df.groupBy(*key).agg(F.collect_set(F.struct(*columns) if len(columns) > 1 else F.col(columns[0])).alias(out))
+def packed(df: DataFrame, out: str, *columns: str) -> DataFrame:
+    """One row for each graph with the list ``out`` of its rows."""
+    return df.groupBy("graph_id").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in columns])).alias(out))
 
 
-def _levels(starts: Column, edges: Column, blocked: Column, most: Column) -> Column:
-    """Array of (node_id, depth) that ``starts`` reach; a blocked node can't be entered."""
+def _empty(out: str, *columns: str):
+    kind = ", ".join(f"{c}: bigint" for c in columns)
+    return F.lit(None).cast(f"array<struct<{kind}>>").alias(out)
 
-    def step(state: Column, i: Column) -> Column:
-        met = F.array_distinct(F.transform(F.filter(edges, lambda e: F.array_contains(state["front"], e["source"])), lambda e: e["target"]))
-        front = F.array_except(F.array_except(met, state["seen"]), blocked)
-        found = F.concat(state["found"], F.transform(front, lambda x: F.struct(x.alias("node_id"), i.alias("depth"))))
-        grown = F.struct(F.concat(state["seen"], front).alias("seen"), front.alias("front"), found.alias("found"))
-        return F.when(F.size(state["front"]) > 0, grown).otherwise(state)
 
-    first = F.struct(starts.alias("seen"), starts.alias("front"), F.transform(starts, lambda x: F.struct(x.alias("node_id"), F.lit(0).cast("long").alias("depth"))).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), most), first, step, lambda s: s["found"])
+def large_graphs(edges: DataFrame, starts: DataFrame, most_edges: int, most_states: int) -> DataFrame:
+    """``graph_id`` of the graphs not to pack; ``starts`` (graph_id, root) are counted for the states."""
+    wide = edges.groupBy("graph_id").agg(F.count("*").alias("edges"))
+    many = starts.groupBy("graph_id").agg(F.count("*").alias("starts"))
+    both = wide.join(many, "graph_id")
+    return both.where((F.col("edges") > most_edges) | (2 * F.col("edges") * F.col("starts") > most_states)).select("graph_id")
 
 
-def closure(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = None, most_edges: int = 2000) -> DataFrame:
-    """``graph_id, root, node_id, depth`` of all that ``starts`` (graph_id, root, node_id) reach.
+def _without(df: DataFrame, large: DataFrame | None) -> DataFrame:
+    return df if large is None else df.join(large, "graph_id", "left_anti")
+
+
+def _split(edges: DataFrame, starts: DataFrame, most_edges: int, most_states: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Edges and starts as tables, and the large graphs, if there are any."""
+    edges = scratch.keep(edges.select("graph_id", "source", "target"), "edges")
+    starts = scratch.keep(starts.select(*KEY, "node_id"), "starts")
+    large = scratch.keep(large_graphs(edges, starts, most_edges, most_states), "large")
+    return edges, starts, None if large.isEmpty() else large
+
+
+def closure(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = None, nodes: DataFrame | None = None, most_edges: int = MOST_EDGES, most_states: int = MOST_STATES) -> DataFrame:
+    """``graph_id, root, node_id, type, depth`` of all that ``starts`` (graph_id, root, node_id) reach.
 
     ``edges`` has graph_id, source, target; ``blocked`` (graph_id, root, node_id) names
-    nodes that no edge may enter for a root.  Depth is the least number of edges.
+    nodes that no edge may enter for a root.  Depth is the least number of edges.  With
+    ``nodes`` (graph_id, node_id, type) all nodes of a root's graph are there, with a null
+    depth where not reached; without them types are null.
     """
-    edges = Scratch(edges.sparkSession).keep(edges.select("graph_id", "source", "target"), "edges")  # read for sizes and for arrays
-    large = _large(edges, most_edges)
-    arrays = packed(edges.join(large, "graph_id", "left_anti"), ["graph_id"], "es", "source", "target")
-    rows = packed(starts.select(*KEY, "node_id"), KEY, "ss", "node_id").join(large, "graph_id", "left_anti").join(arrays, "graph_id", "left")
-    rows = rows.withColumn("bs", F.lit(None).cast("array<long>")) if blocked is None else rows.join(packed(blocked.select(*KEY, "node_id"), KEY, "bs", "node_id"), KEY, "left")
-    rows = rows.select(*KEY, "ss", F.coalesce("es", F.array().cast("array<struct<source:bigint,target:bigint>>")).alias("es"), F.coalesce("bs", F.array().cast("array<bigint>")).alias("bs"))
-    small = rows.select(*KEY, F.explode(_levels(F.col("ss"), F.col("es"), F.col("bs"), F.size("es").cast("long") + 1)).alias("x")).select(*KEY, "x.node_id", "x.depth")
-    if large.isEmpty():
+    edges, starts, large = _split(edges, starts, most_edges, most_states, Scratch(edges.sparkSession))
+    rows = packed(_without(starts, large), "ss", "root", "node_id").join(packed(edges, "es", "source", "target") if large is None else packed(_without(edges, large), "es", "source", "target"), "graph_id", "left")
+    rows = rows.withColumn("bs", _empty("bs", "root", "node_id")) if blocked is None else rows.join(packed(_without(blocked, large), "bs", "root", "node_id"), "graph_id", "left")
+    rows = rows.withColumn("ns", _empty("ns", "node_id", "type")) if nodes is None else rows.join(packed(_without(nodes, large), "ns", "node_id", "type"), "graph_id", "left")
+    small = rows.select("graph_id", "es", "ss", "bs", "ns").mapInArrow(kernels.closure_kernel(nodes is not None), _STATES)
+    if large is None:
         return small
-    return small.unionByName(frontier_closure(edges.join(large, "graph_id"), starts.join(large, "graph_id", "left_semi"), blocked))
+    far = frontier_closure(edges.join(large, "graph_id", "left_semi"), starts.join(large, "graph_id", "left_semi"), blocked)
+    return small.unionByName(_with_nodes(far, starts.join(large, "graph_id", "left_semi"), nodes))
+
+
+def _with_nodes(found: DataFrame, starts: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    if nodes is None:
+        return found.select(*KEY, "node_id", F.lit(None).cast("long").alias("type"), "depth")
+    every = starts.select(*KEY).distinct().join(nodes.select("graph_id", "node_id", F.col("type").cast("long").alias("type")), "graph_id")
+    return every.join(found.select(*KEY, "node_id", "depth"), [*KEY, "node_id"], "left").select(*KEY, "node_id", "type", "depth")
 
 
 def frontier_closure(edges: DataFrame, starts: DataFrame, blocked: DataFrame | None = None, most_rounds: int = 100_000) -> DataFrame:
@@ -65,39 +89,26 @@ def frontier_closure(edges: DataFrame, starts: DataFrame, blocked: DataFrame | N
             new = new.join(blocked.select(*KEY, "node_id"), [*KEY, "node_id"], "left_anti")
         front = scratch.keep(new.withColumn("depth", F.lit(depth).cast("long")), f"level-{depth}")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
         if depth % 8 == 0:
             seen = scratch.keep(seen, f"seen-{depth}")
-    return seen
+    raise RuntimeError(f"a closure is not complete after {most_rounds} levels")
 
 
-def _large(edges: DataFrame, most_edges: int) -> DataFrame:
-    return edges.groupBy("graph_id").count().where(F.col("count") > most_edges).select("graph_id")
+def all_predecessors(edges: DataFrame, starts: DataFrame, nodes: DataFrame, most_edges: int = MOST_EDGES, most_states: int = MOST_STATES) -> DataFrame:
+    """``graph_id, root, node_id, type, depth``: each of ``nodes``, with depth 0 if it is in the set, else null.
 
-
-def all_predecessors(edges: DataFrame, starts: DataFrame, most_edges: int = 2000) -> DataFrame:
-    """``graph_id, root, node_id``: the least set with ``starts`` and each node all of whose predecessors are in it."""
-    edges = Scratch(edges.sparkSession).keep(edges.select("graph_id", "source", "target").distinct(), "edges")
-    large = _large(edges, most_edges)
-    small = _packed_predecessors(edges.join(large, "graph_id", "left_anti"), starts.select(*KEY, "node_id").join(large, "graph_id", "left_anti"))
-    if large.isEmpty():
+    The set is the least one with ``starts`` and each node all of whose predecessors are in it.
+    """
+    edges, starts, large = _split(edges, starts, most_edges, most_states, Scratch(edges.sparkSession))
+    rows = packed(_without(starts, large), "ss", "root", "node_id").join(packed(_without(edges, large), "es", "source", "target"), "graph_id", "left").join(packed(_without(nodes, large), "ns", "node_id", "type"), "graph_id", "left")
+    small = rows.select("graph_id", "es", "ss", "ns").mapInArrow(kernels.predecessors_kernel, _STATES)
+    if large is None:
         return small
-    return small.unionByName(counted_predecessors(edges.join(large, "graph_id", "left_semi"), starts.join(large, "graph_id", "left_semi")))
-
-
-def _packed_predecessors(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    preds = edges.groupBy("graph_id", "target").agg(F.collect_set("source").alias("ps"))
-    arrays = preds.groupBy("graph_id").agg(F.collect_list(F.struct("target", "ps")).alias("rows"))
-    rows = packed(starts, KEY, "ss", "node_id").join(arrays, "graph_id", "left")
-
-    def step(seen: Column, _: Column) -> Column:
-        more = F.filter("rows", lambda r: ~F.array_contains(seen, r["target"]) & F.forall(r["ps"], lambda p: F.array_contains(seen, p)))
-        return F.concat(seen, F.transform(more, lambda r: r["target"]))
-
-    # the set grows in each round that counts, so a round without growth leaves it as it is
-    grown = F.aggregate(F.sequence(F.lit(1), F.coalesce(F.size("rows"), F.lit(0)) + 1), F.col("ss"), lambda s, i: F.when(F.size(s) >= i, step(s, i)).otherwise(s))
-    return rows.select(*KEY, F.explode(F.when(F.col("rows").isNull(), F.col("ss")).otherwise(grown)).alias("node_id"))
+    some = starts.join(large, "graph_id", "left_semi")
+    found = counted_predecessors(edges.join(large, "graph_id", "left_semi"), some).withColumn("depth", F.lit(0).cast("long"))
+    return small.unionByName(_with_nodes(found, some, nodes))
 
 
 def counted_predecessors(edges: DataFrame, starts: DataFrame, most_rounds: int = 100_000) -> DataFrame:
@@ -117,8 +128,8 @@ def counted_predecessors(edges: DataFrame, starts: DataFrame, most_rounds: int =
         full = counts.join(needed, ["graph_id", "node_id"]).where("have = needed").select(*KEY, "node_id")
         front = scratch.keep(full.join(seen, [*KEY, "node_id"], "left_anti"), f"level-{level}")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
         if level % 8 == 0:
             seen = scratch.keep(seen, f"seen-{level}")
-    return seen
+    raise RuntimeError(f"a set is not complete after {most_rounds} levels")

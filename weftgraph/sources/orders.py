@@ -42,7 +42,7 @@ _EDGES = """
   ) e"""
 
 #: The same tables as DuckDB expressions, to head a query.
-ORACLE_HEAD = "WITH RECURSIVE li AS (" + _LINES.format(lineitem="lineitem") + "),\nnodes AS (" + _NODES.format(li="li") + "),\nedges AS (" + _EDGES.format(li="li") + ")"
+ORACLE_HEAD = "WITH RECURSIVE li AS MATERIALIZED (" + _LINES.format(lineitem="lineitem") + "),\nnodes AS MATERIALIZED (" + _NODES.format(li="li") + "),\nedges AS MATERIALIZED (" + _EDGES.format(li="li") + ")"
 
 
 def _rows(lines: DataFrame, columns: list[str], parts: list[tuple]) -> DataFrame:

@@ -230,7 +230,33 @@ def dominance_labels(nodes, edges):
     return analysis.dominance(nodes, edges, _instruction_roots(nodes, edges))
 
 
-@graph_query()
+# the sweeps themselves: one step of the recursion visits one node of the scope; sets are bits
+_SWEEPS = _roots_sql(_INSTRUCTIONS) + """,
+scope AS (SELECT graph_id, list(node_id ORDER BY node_id) AS ids, list(type ORDER BY node_id) AS kinds FROM nodes WHERE node_id > 0 GROUP BY graph_id),
+ce AS (SELECT DISTINCT graph_id, source, target FROM edges WHERE flow = 0),
+preds AS (
+  SELECT s.graph_id, list(coalesce(p.ps, []) ORDER BY s.i) AS preds
+  FROM (SELECT graph_id, ids, generate_subscripts(ids, 1) AS i, unnest(ids) AS node_id FROM scope) s
+  LEFT JOIN (SELECT c.graph_id, c.target, list(coalesce(list_position(sc.ids, c.source), 0)) AS ps FROM ce c JOIN scope sc USING (graph_id) GROUP BY ALL) p
+    ON p.graph_id = s.graph_id AND p.target = s.node_id GROUP BY s.graph_id),
+sweep AS (
+  SELECT r.graph_id, r.root, list_position(s.ids, r.root)::BIGINT AS place, len(s.ids)::BIGINT AS n, p.preds, 1::BIGINT AS i, false AS again, false AS done, 0::BIGINT AS updates,
+         list_transform(s.ids, lambda x: CASE WHEN x = r.root THEN 1::BIGINT << (list_position(s.ids, r.root) - 1)::INT
+           ELSE ((1::BIGINT << len(s.ids)::INT) - 1) - (1::BIGINT << (list_position(s.ids, r.root) - 1)::INT) END) AS sets
+  FROM roots r JOIN scope s USING (graph_id) JOIN preds p USING (graph_id)
+  UNION ALL
+  SELECT graph_id, root, place, n, preds, CASE WHEN i = n THEN 1 ELSE i + 1 END, CASE WHEN i = n THEN false ELSE again OR differs END, i = n AND NOT (again OR differs), updates + differs::BIGINT,
+         CASE WHEN differs THEN list_transform(sets, lambda x, k: CASE WHEN k = i THEN new ELSE x END) ELSE sets END
+  FROM (
+    SELECT *, i <> place AND new <> sets[i] AS differs FROM (
+      SELECT *, (CASE WHEN len(preds[i]) = 0 THEN 0 ELSE list_reduce(list_transform(preds[i], lambda p: CASE WHEN p = 0 THEN 0::BIGINT ELSE sets[p] END), lambda x, y: x & y) END) | (1::BIGINT << (i - 1)::INT) AS new
+      FROM sweep WHERE NOT done)))
+SELECT w.graph_id, w.root, w.updates AS step_count,
+       len(list_filter(w.sets, lambda x, k: s.kinds[k] = 0 AND (x >> (w.place - 1)::INT) & 1 = 1))::BIGINT AS active_node_count, 'ok' AS status
+FROM sweep w JOIN scope s USING (graph_id) WHERE w.done"""
+
+
+@graph_query(_SWEEPS)
 def dominance_summary(nodes, edges):
     return analysis.dominance_instances(nodes, edges, _instruction_roots(nodes, edges))
 
@@ -262,7 +288,22 @@ def liveness_labels(nodes, edges):
     return analysis.liveness(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges, out)), out)
 
 
-@graph_query()
+# the queue itself: one step of the recursion takes one level, in the order of first entry
+_QUEUE = _LIVE + _roots_sql("SELECT DISTINCT graph_id, node_id FROM outs") + """,
+steps AS (SELECT graph_id, list(struct_pack(s := source, f := flow, t := target) ORDER BY flow, edge_id) AS es FROM edges WHERE flow < 2 GROUP BY graph_id),
+lives AS (SELECT r.graph_id, r.root, list(o.variable) AS live FROM roots r JOIN outs o ON o.graph_id = r.graph_id AND o.node_id = r.root GROUP BY ALL),
+levels AS (
+  SELECT l.graph_id, l.root, l.live, e.es, [l.root] AS level, []::BIGINT[] AS seen, 1::BIGINT AS depth, 0::BIGINT AS deepest FROM lives l JOIN steps e USING (graph_id)
+  UNION ALL
+  SELECT graph_id, root, live, es, list_filter(below, lambda x, i: list_position(below, x) = i), seen || level, depth + 1,
+         CASE WHEN list_has_any(level, live) THEN depth ELSE deepest END
+  FROM (
+    SELECT *, flatten(list_transform(level, lambda n, i: list_transform(list_filter(es, lambda e: e.s = n AND NOT list_contains(seen, e.t) AND NOT list_contains(level[1:i], e.t)), lambda e: e.t))) AS below
+    FROM levels WHERE len(level) > 0))
+SELECT graph_id, root, deepest AS step_count, len(live)::BIGINT AS active_node_count FROM levels WHERE len(level) = 0"""
+
+
+@graph_query(_QUEUE)
 def liveness_summary(nodes, edges):
     out = Scratch(nodes.sparkSession).keep(analysis.live_out(nodes, edges), "out")
     return analysis.liveness_instances(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges, out)), out)
@@ -329,7 +370,19 @@ def graph_tuple_edges(nodes, edges):
     return transforms.tuple_adjacency(nodes, edges)
 
 
-@graph_query()
+# breadth-first order is that of the least path of edges among the shortest ones
+_SEQUENCE = """,
+walk AS (
+  SELECT graph_id, target AS node_id, 0::BIGINT AS depth, [edge_id] AS path, [target] AS nodes_of FROM edges WHERE flow = 2 AND source = 0
+  UNION ALL
+  SELECT w.graph_id, e.target, w.depth + 1, w.path || [e.edge_id], w.nodes_of || [e.target] FROM walk w
+  JOIN edges e ON e.graph_id = w.graph_id AND e.source = w.node_id AND e.flow = 0 WHERE NOT list_contains(w.nodes_of, e.target)),
+nearest AS (SELECT graph_id, node_id, min(depth) AS depth FROM walk GROUP BY ALL),
+first AS (SELECT graph_id, node_id, depth, min(path) AS path FROM walk JOIN nearest USING (graph_id, node_id, depth) GROUP BY ALL)
+SELECT graph_id, list(node_id ORDER BY depth, path) AS node_ids FROM first GROUP BY graph_id"""
+
+
+@graph_query(_SEQUENCE)
 def instruction_sequence(nodes, edges):
     return transforms.instruction_sequence(edges)
 

@@ -266,8 +266,16 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, label: str, most_t
     return map_arrow(chosen, kernel, "rank int, label int, words string").toArrow().sort_by([("label", "ascending"), ("rank", "ascending"), ("words", "ascending")])
 
 
-def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.01, seed: int = 5) -> Network:
-    """Train for about ``steps`` batches, in five passes or more."""
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different places of ``rows``, in order, and the sum of the rows of each."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[starts], np.add.reduceat(rows[order], starts)
+
+
+def train(table: pa.Table, steps: int = 900, batch: int = 512, rate: float = 0.01, seed: int = 5) -> Network:
+    """Train on about 256 times ``steps`` windows, in five passes or more."""
     rank, y = table.column("rank").to_numpy(), table.column("label").to_numpy()
     if not len(y) or y.min() == y.max():
         return Network(Network.fresh({}, seed).p, {}, (0.0, 60.0 if len(y) and y[0] else -60.0))
@@ -312,7 +320,8 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
         gates = network.project(np.concatenate([vectors(np.arange(i, min(i + 20_000, len(words))))[0] for i in range(0, len(words), 20_000)]))
         return np.concatenate([network.forward(gates[tokens[:, i : i + 2048]], mask[:, i : i + 2048]) for i in range(0, len(y), 2048)])
 
-    passes = min(MOST_PASSES, max(5, -(-steps * batch // len(y))))
+    batch = min(batch, max(256, len(y) // 64))
+    passes = min(MOST_PASSES, max(5, -(-steps * 256 // len(y))))
     for done in range(passes):
         if done >= 2 * passes // 5:  # only the worst windows of a toxic text count as toxic, and those of a clean one most
             now = logits()
@@ -333,8 +342,7 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
             logit = network.forward(gates, mask[:, pick], tape)
             pull = ((_sigmoid(logit) - y[pick]) * heavy[pick] / len(pick)).astype(np.float32)
             grad, d_gates = network.backward(gates, mask[:, pick], tape, pull)
-            flat = np.zeros((len(seen), 6 * HIDDEN), np.float32)
-            np.add.at(flat, place.reshape(-1), d_gates.reshape(-1, 6 * HIDDEN))
+            flat = _sum_rows(place.reshape(-1), d_gates.reshape(-1, 6 * HIDDEN))[1]  # each word has a place
             d_x = flat[:, : 3 * HIDDEN] @ p["in0"].T + flat[:, 3 * HIDDEN :] @ p["in1"].T
             for d in (0, 1):
                 part = flat[:, 3 * HIDDEN * d : 3 * HIDDEN * (d + 1)]
@@ -346,11 +354,11 @@ def train(table: pa.Table, steps: int = 900, batch: int = 256, rate: float = 0.0
                 v += 0.001 * (grad[k] ** 2 - v)
                 p[k] -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-7)
             for k, row, g in (("word", bucket[seen][whole], d_x[whole]), ("gram", grams[at], (d_x / count[seen][:, None])[near])):
-                total = np.zeros_like(p[k])
-                np.add.at(total, row, g)
-                rows = np.unique(row)
-                squares[k][rows] += (total[rows] ** 2).mean(1)
-                p[k][rows] -= PACE * rate * total[rows] / np.sqrt(squares[k][rows])[:, None]
+                if not len(row):
+                    continue
+                rows, total = _sum_rows(row, g)
+                squares[k][rows] += (total**2).mean(1)
+                p[k][rows] -= PACE * rate * total / np.sqrt(squares[k][rows])[:, None]
             p["word"][0] = 0
     worst = np.full(int(doc.max()) + 1, -np.inf)
     np.maximum.at(worst, doc, logits())
@@ -385,7 +393,7 @@ def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return hashed_part(key, folds, fold)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", most_texts: int = 1000, most_windows: int = 200_000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, label: str = "toxic", most_texts: int = 500, most_windows: int = 200_000) -> Network:
     return train(sample(docs, labels, train_rows, label, most_texts, most_windows))
 
 

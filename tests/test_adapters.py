@@ -28,4 +28,4 @@ def test_structs_and_embeddings(spark):
     encoded = spark.createDataFrame([(1, 0, 7)], "graph_id long, node_id long, token_id long")
     table = spark.createDataFrame([(7, [0.5])], "id int, embedding array<double>")
     row = adapters.embed(encoded, table, selector=True).first()
-    assert row.embedding == [0.5] and row.selector == [0, 1]
+    assert row.embedding == [0.5] and row.selector == [1, 0]

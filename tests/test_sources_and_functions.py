@@ -22,7 +22,7 @@ def test_hlo(spark):
     assert [r.error for r in packed.where("graph_id = 2").collect()] == ["Failed to locate entry computation"]
     nodes, edges = ir.unpack(packed, "nodes").collect(), ir.unpack(packed, "edges").collect()
     texts = [n.text for n in nodes]
-    assert texts == ["[external]", "<entry>", "<param>", "f32 2x3", "c.1", "f32 2x3", "add", "f32 2x3", "map", "f32 2x3", "<entry>", "<param>", "f32 2x3", "negate", "f32 2x3", "5"]
+    assert texts == ["[external]", "<entry>", "<param>", "F32 2x3", "c.1", "F32 2x3", "add", "F32 2x3", "map", "F32 2x3", "<entry>", "<param>", "F32 2x3", "negate", "F32 2x3", "5"]
     assert {(e.source, e.target) for e in edges if e.flow == 2} == {(0, 1), (8, 0), (8, 10), (13, 8)}
     assert (3, 6, 0) in {(e.source, e.target, e.position) for e in edges if e.flow == 1} and (15, 4, 0) in {(e.source, e.target, e.position) for e in edges if e.flow == 1}
 

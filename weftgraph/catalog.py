@@ -387,17 +387,19 @@ def instruction_sequence(nodes, edges):
     return transforms.instruction_sequence(edges)
 
 
-@graph_query(""" SELECT n.graph_id, '{"directed":true,"multigraph":true,"graph":{"function":[]},"nodes":[' || n.j || '],"links":[' || e.j || ']}' AS json
- FROM (SELECT graph_id, string_agg('{"id":' || node_id || ',"type":' || type || ',"text":"' || text || '"}', ',' ORDER BY node_id) AS j FROM nodes GROUP BY graph_id) n
+@graph_query(""" SELECT n.graph_id, '{"directed":true,"multigraph":true,"graph":{"function":[],"module":[]},"nodes":[' || n.j || '],"links":[' || e.j || ']}' AS json
+ FROM (SELECT graph_id, string_agg('{"id":' || node_id || ',"type":' || type || ',"text":"' || text || '","function":0,"block":0}', ',' ORDER BY node_id) AS j FROM nodes GROUP BY graph_id) n
  JOIN (SELECT graph_id, string_agg('{"flow":' || flow || ',"position":' || position || ',"source":' || source || ',"target":' || target || ',"key":0}', ',' ORDER BY edge_id) AS j FROM edges GROUP BY graph_id) e USING (graph_id)""")
 def node_link_json(nodes, edges):
     return transforms.node_link_json(nodes, edges)
 
 
-@graph_query(""" SELECT graph_id, 'node' AS kind, node_id AS ord, 'n' || node_id || ' [label="' || text || '", shape=' || ['box', 'ellipse', 'octagon', 'diamond'][type + 1]
-   || ', fillcolor="' || ['#3c78d8', '#f4cccc', '#e99c9c', '#cccccc'][type + 1] || '"];' AS line FROM nodes
- UNION ALL SELECT graph_id, 'edge', edge_id, 'n' || source || ' -> n' || target || ' [color="' || ['#345393', '#65ae4d', '#e65317', '#aaaaaa'][flow + 1] || '"'
-   || CASE WHEN position = 0 THEN '' WHEN flow = 0 THEN ', taillabel=' || position ELSE ', headlabel=' || position END || '];' FROM edges""")
+@graph_query(""" SELECT graph_id, 'node' AS kind, node_id AS ord, 'n' || node_id || ' [label="' || text || '", style=filled, ' || ['shape=box, fillcolor="#3c78d8", fontcolor="#ffffff"',
+   'shape=ellipse, fillcolor="#f4cccc", color="#990000", fontcolor="#990000"', 'shape=octagon, fillcolor="#e99c9c", color="#990000", fontcolor="#990000"',
+   'shape=diamond, fillcolor="#cccccc", color="#cccccc", fontcolor="#222222"'][type + 1] || '];' AS line FROM nodes
+ UNION ALL SELECT graph_id, 'edge', edge_id, 'n' || source || ' -> n' || target || ' [color="' || c || '", ' || ['weight=10', 'weight=0', 'weight=1', 'weight=1, penwidth="1.5"'][flow + 1]
+   || CASE WHEN position = 0 THEN '' ELSE CASE WHEN flow = 0 THEN ', taillabel=' ELSE ', headlabel=' END || position || ', labelfontcolor="' || c || '"' END || '];'
+ FROM (SELECT *, ['#345393', '#990000', '#65ae4d', '#aaaaaa'][flow + 1] AS c FROM edges)""")
 def dot_lines(nodes, edges):
     return transforms.dot_lines(nodes, edges)
 

@@ -78,3 +78,54 @@ def natural_key(text: Column) -> Column:
 
 def unix_millis(year: Column, month: Column, day: Column) -> Column:
     return F.unix_millis(F.make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)))
+
+
+def sha1(data: Column) -> Column:
+    return F.sha1(data.cast("binary"))
+
+
+def plural_word(count: Column, singular: str, several: str | None = None) -> Column:
+    """The noun alone, in the number that the count asks for."""
+    irregular = singular[:-1] + "ies" if singular.endswith("y") and singular[-2:-1] not in tuple("aeiou") else singular + ("es" if singular.endswith(("s", "x", "z", "ch", "sh")) else "s")
+    return F.when(count == 1, singular).otherwise(several or irregular)
+
+
+#: Prefixes of powers of 1000 and 1024.
+DECIMAL = ["k", "M", "G", "T", "P", "E", "Z", "Y"]
+BINARY = ["Ki", "Mi", "Gi", "Ti", "Pi", "Ei", "Zi", "Yi"]
+
+
+def _scale(quantity: Column, unit: str, base: int, prefixes: list[str]) -> Column:
+    """``struct(value, unit)`` with the least prefix whose value is below the base."""
+    value = quantity.cast("double")
+    out = F.struct((value / float(base ** len(prefixes))).alias("value"), F.lit(prefixes[-1] + unit).alias("unit"))
+    for power in range(len(prefixes) - 1, -1, -1):
+        name = (prefixes[power - 1] if power else "") + unit
+        out = F.when(F.abs(value) < float(base ** (power + 1)), F.struct((value / float(base**power)).alias("value"), F.lit(name).alias("unit"))).otherwise(out)
+    plain = F.isnan(value) | value.isin(float("inf"), float("-inf"))
+    return F.when(plain, F.struct(value.alias("value"), F.lit(unit).alias("unit"))).otherwise(out)
+
+
+def decimal_scale(quantity: Column, unit: str = "") -> Column:
+    return _scale(quantity, unit, 1000, DECIMAL)
+
+
+def binary_scale(quantity: Column, unit: str = "B") -> Column:
+    return _scale(quantity, unit, 1024, BINARY)
+
+
+def time_delta(micros: Column, separator: str = " ") -> Column:
+    """``5d 12h 30m 45.5s`` of microseconds; parts that are zero are left out, but for ``0s``."""
+    whole = F.floor(micros / 1_000_000)
+    parts = [(F.floor(whole / 86400), "d"), (F.floor(whole / 3600) % 24, "h"), (F.floor(whole / 60) % 60, "m")]
+    rest = (whole % 60) + (micros % 1_000_000) / 1e6
+    shown = F.array_compact(F.array(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(u))) for n, u in parts]))
+    seconds = F.concat(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", rest), "0+$", ""), r"\.$", ""), F.lit("s"))
+    return F.array_join(F.when((rest > 0) | (F.size(shown) == 0), F.concat(shown, F.array(seconds))).otherwise(shown), separator)
+
+
+def unix_timestamp_text(seconds: Column, zone: str = "UTC") -> Column:
+    """``2013-11-17 11:08:27.720000 UTC`` of seconds since the epoch."""
+    there = F.timestamp_micros((seconds * 1_000_000).cast("long")).cast("timestamp_ntz")  # in the session's zone
+    local = F.convert_timezone(F.current_timezone(), F.lit(zone), there)
+    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(f" {zone}"))

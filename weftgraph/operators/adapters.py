@@ -13,9 +13,9 @@ from weftgraph.operators import transforms
 from weftgraph.schema import FLOWS
 
 
-def to_dicts(nodes: DataFrame, edges: DataFrame) -> Iterator[tuple[int, dict]]:
+def to_dicts(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None) -> Iterator[tuple[int, dict]]:
     """(graph_id, node-link dict) of each graph, read partition by partition."""
-    for row in transforms.node_link_json(nodes, edges).toLocalIterator():
+    for row in transforms.node_link_json(nodes, edges, functions, modules, graphs).toLocalIterator():
         yield row.graph_id, json.loads(row.json)
 
 
@@ -42,11 +42,11 @@ def to_dgl(nodes: DataFrame, edges: DataFrame) -> Iterator[tuple[int, Any]]:
     """A heterogeneous graph of each graph, with an edge type for each flow."""
     import dgl
 
-    sizes = {r.graph_id: r["count"] for r in nodes.groupBy("graph_id").count().toLocalIterator()}
+    sizes = nodes.groupBy("graph_id").count()
     flows = coordinates(edges).groupBy("graph_id").agg(F.collect_list(F.struct("flow", "sources", "targets")).alias("r"))
-    for row in flows.toLocalIterator():
-        data = {("node", FLOWS[x.flow].lower(), "node"): (x.sources, x.targets) for x in row.r}
-        yield row.graph_id, dgl.heterograph(data, num_nodes_dict={"node": sizes[row.graph_id]})
+    for row in sizes.join(flows, "graph_id", "left").toLocalIterator():
+        data = {("node", FLOWS[x.flow].lower(), "node"): (x.sources, x.targets) for x in row.r or ()}
+        yield row.graph_id, dgl.heterograph(data, num_nodes_dict={"node": row["count"]})
 
 
 def inline_structs(texts: DataFrame, structs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,6 +61,9 @@ def inline_structs(texts: DataFrame, structs: DataFrame, text: str = "text") ->
 
 
 def embed(encoded: DataFrame, embeddings: DataFrame, selector: bool = False) -> DataFrame:
-    """Add ``embedding`` of each ``token_id``; with ``selector`` also the one-hot of root and other nodes."""
+    """Add ``embedding`` of each ``token_id``; with ``selector`` also the one-hot of other nodes and the root (``is_root``)."""
     found = encoded.join(embeddings.select(F.col("id").cast("long").alias("token_id"), "embedding"), "token_id", "left")
-    return found.withColumn("selector", F.array(F.lit(0), F.lit(1))) if selector else found
+    if not selector:
+        return found
+    root = F.coalesce(F.col("is_root").cast("int"), F.lit(0)) if "is_root" in encoded.columns else F.lit(0)
+    return found.withColumn("selector", F.array((1 - root).cast("double"), root.cast("double")))

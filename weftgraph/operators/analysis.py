@@ -305,3 +305,54 @@ def run(name: str, nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int
     known = {"out": scratch.keep(live_out(nodes, edges), "out")} if name == "liveness" else {}
     roots = scratch.keep(sample_roots(candidates(nodes, edges, **known), most, seed), "roots")
     return labels(nodes, edges, roots, **known), instances(nodes, edges, roots, **known)
+
+
+class Analysis:
+    """An analysis to derive from; ``register`` makes it known to ``run`` by its name."""
+
+    name = ""
+
+    def candidates(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        """``graph_id, node_id`` of the nodes that may be roots."""
+        raise NotImplementedError
+
+    def labels(self, nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+        """``graph_id, root, node_id, is_root, value``."""
+        raise NotImplementedError
+
+    def instances(self, nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+        """``graph_id, root, step_count, active_node_count``."""
+        raise NotImplementedError
+
+    def run(self, nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        roots = Scratch(nodes.sparkSession).keep(sample_roots(self.candidates(nodes, edges), most, seed), "roots")
+        return self.labels(nodes, edges, roots), self.instances(nodes, edges, roots)
+
+
+def register(analysis: Analysis) -> Analysis:
+    if not analysis.name or analysis.name in ANALYSES:
+        raise ValueError(f"no name, or one that is taken: {analysis.name!r}")
+    ANALYSES[analysis.name] = (analysis.labels, analysis.instances, analysis.candidates)
+    return analysis
+
+
+def adjacency_text(edges: DataFrame) -> DataFrame:
+    """``graph_id, text``: control and data adjacencies both ways, a line ``    node: [a, b]`` for each node that has any."""
+    kinds = (("control", CONTROL, False), ("reverse_control", CONTROL, True), ("data", DATA, False), ("reverse_data", DATA, True))
+    rows = None
+    for place, (kind, code, reverse) in enumerate(kinds):
+        part = flow(edges, code, reverse).select("graph_id", F.lit(place).alias("place"), F.lit(kind).alias("kind"), "source", F.struct("edge_id", "target").alias("to"))
+        rows = part if rows is None else rows.unionByName(part)
+    lists = rows.groupBy("graph_id", "place", "kind", "source").agg(F.sort_array(F.collect_list("to")).alias("to"))
+    line = F.concat(F.lit("    "), F.col("source").cast("string"), F.lit(": ["), F.array_join(F.transform("to", lambda x: x["target"].cast("string")), ", "), F.lit("]\n"))
+    parts = lists.select("graph_id", "place", "kind", "source", line.alias("line")).groupBy("graph_id", "place", "kind").agg(F.sort_array(F.collect_list(F.struct("source", "line"))).alias("lines"))
+    text = F.concat("kind", F.lit(":\n"), F.array_join(F.transform("lines", lambda x: x["line"]), ""))
+    whole = parts.select("graph_id", "place", text.alias("text")).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("parts"))
+    return whole.select("graph_id", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
+
+
+def expression_sets_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id, text``: the number of expression sets, and a line for each, by least member."""
+    sets = expression_sets(nodes, edges).groupBy("graph_id").agg(F.sort_array(F.collect_list("members")).alias("sets"))
+    shown = lambda m, i: F.concat(F.lit("Expression set "), i.cast("string"), F.lit(": {"), F.array_join(F.transform(m, lambda x: x.cast("string")), ", "), F.lit("}\n"))
+    return sets.select("graph_id", F.concat(F.lit("#. expression sets: "), F.size("sets").cast("string"), F.lit("\n"), F.array_join(F.transform("sets", shown), "")).alias("text"))

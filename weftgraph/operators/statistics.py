@@ -10,20 +10,68 @@ from weftgraph.plans.ordered import running_sum
 from weftgraph.plans.scratch import Scratch
 
 
-def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``text, count, cumulative_frequency`` in falling order of counts, ties by text; no text is lost to a tie."""
+def vocabulary(texts: DataFrame, text: str = "text", total_nodes: int | None = None) -> DataFrame:
+    """``text, count, cumulative_frequency`` in falling order of counts, ties by text; no text is lost to a tie.
+
+    With ``total_nodes`` also ``cumulative_node_frequency``, against all nodes there are.
+    """
     counts = texts.groupBy(F.col(text).alias("text")).agg(F.count("*").alias("count"))
     scratch = Scratch(texts.sparkSession)
     counts = scratch.keep(counts, "counts")
     total = counts.agg(F.sum("count")).first()[0] or 1
     summed = running_sum(counts, [F.col("count").desc(), F.col("text").asc_nulls_last()], "count", "upto", scratch, "ordered")
-    return summed.select("text", "count", F.round(F.col("upto") / F.lit(total), 6).alias("cumulative_frequency"))
+    more = [F.round(F.col("upto") / F.lit(max(1, total_nodes)), 6).alias("cumulative_node_frequency")] if total_nodes is not None else []
+    return summed.select("text", "count", F.round(F.col("upto") / F.lit(total), 6).alias("cumulative_frequency"), *more)
+
+
+def frequency_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The four vocabularies of a corpus: node texts, instruction texts, and both forms of the annotated features."""
+    total = nodes.count()
+    tables = {"text": vocabulary(nodes, "text", total), "instruction": vocabulary(nodes.where(F.col("type") == 0), "text", total)}
+    if "features" in nodes.columns:
+        feature = lambda name: F.try_element_at("features", F.lit(name))
+        preprocessed = nodes.select(feature("inst2vec_preprocessed")["bytes"][0].cast("string").alias("text")).where("text IS NOT NULL")
+        embedded = nodes.select(feature("inst2vec_embedding")["ints"][0].alias("text")).where("text IS NOT NULL")
+        tables |= {"inst2vec_preprocessed": vocabulary(preprocessed, "text", total), "inst2vec": vocabulary(embedded, "text", total)}
+    return tables
+
+
+def write_tsv(table: DataFrame, path: str) -> None:
+    """Tab-separated with a header, in the order that the table has."""
+    table.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="")
+
+
+def write_csv(table: DataFrame, path: str) -> None:
+    table.write.mode("overwrite").csv(path, header=True)
 
 
-def graph_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
+    """A folder for each split."""
+    rows.write.mode("overwrite").partitionBy(split).parquet(path)
+
+
+def graph_sizes(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, splits: DataFrame | None = None) -> DataFrame:
+    """Counts for each graph; with ``functions``, ``modules`` and ``splits`` (graph_id, split) also theirs."""
     ns = nodes.groupBy("graph_id").agg(F.count("*").alias("node_count"), F.count(F.when(F.col("type") == 0, 1)).alias("instruction_count"))
     es = edges.groupBy("graph_id").agg(F.count("*").alias("edge_count"), F.max("position").alias("max_position"))
-    return ns.join(es, "graph_id", "left").withColumn("edge_count", F.coalesce("edge_count", F.lit(0)).cast("long"))
+    out = ns.join(es, "graph_id", "left").withColumn("edge_count", F.coalesce("edge_count", F.lit(0)).cast("long"))
+    for name, table in (("function_count", functions), ("module_count", modules)):
+        if table is not None:
+            out = out.join(table.groupBy("graph_id").agg(F.count("*").alias(name)), "graph_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    return out if splits is None else out.join(splits.select("graph_id", "split"), "graph_id", "left")
+
+
+def label_sizes(labels: DataFrame, instances: DataFrame) -> DataFrame:
+    """``graph_id, root, label_count, step_count`` of each instance; a missing step count is 0."""
+    counts = labels.groupBy("graph_id", "root").agg(F.count("*").alias("label_count"))
+    steps = instances.select("graph_id", "root", "step_count")
+    return counts.join(steps, ["graph_id", "root"], "left").withColumn("step_count", F.coalesce("step_count", F.lit(0)).cast("long"))
+
+
+def batches(rows: DataFrame, order: str, size: int = 512) -> DataFrame:
+    """Add ``batch``, the number of each row's batch of ``size`` in the order of a column, as LIMIT and OFFSET would cut them."""
+    counted = running_sum(rows.withColumn("__one", F.lit(1)), [F.col(order).asc()], "__one", "__rank", Scratch(rows.sparkSession), "batches")
+    return counted.withColumn("batch", F.floor((F.col("__rank") - 1) / size).cast("long")).drop("__one", "__rank")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.functions.features import as_text, integer, put, text
 from weftgraph.plans.ordered import running_sum
 from weftgraph.plans.scratch import Scratch
-from weftgraph.schema import CALL, CONSTANT, CONTROL, DATA, INSTRUCTION, ROOT_TEXT, TYPE, VARIABLE
+from weftgraph.schema import CALL, CONSTANT, CONTROL, DATA, FEATURE, INSTRUCTION, ROOT_TEXT, TYPE, VARIABLE
 
 
 def cdfg_map(nodes: DataFrame) -> DataFrame:
@@ -26,19 +27,26 @@ def cdfg_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def cdfg_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Control and call edges at position 0; data edges from each definition to each use of a variable."""
+    """Control and call edges at position 0, with their features; data edges from each definition to each use of a variable."""
     ids = cdfg_map(nodes)
-    ordered = edges.where(F.col("flow").isin(CONTROL, CALL)).select("graph_id", "flow", "source", "target")
+    kept = [c for c in edges.columns if c == "features"]
+    ordered = edges.where(F.col("flow").isin(CONTROL, CALL)).select("graph_id", "flow", "source", "target", *kept)
     instructions = nodes.where(F.col("type") == INSTRUCTION).select("graph_id", F.col("node_id").alias("i"))
     variables = nodes.where(F.col("type") == VARIABLE).select("graph_id", F.col("node_id").alias("v"))
     data = edges.where(F.col("flow") == DATA).select("graph_id", "source", "target")
     defs = data.withColumnRenamed("target", "v").withColumnRenamed("source", "i").join(variables, ["graph_id", "v"], "left_semi").join(instructions, ["graph_id", "i"], "left_semi")
     uses = data.withColumnRenamed("source", "v").withColumnRenamed("target", "i").join(variables, ["graph_id", "v"], "left_semi").join(instructions, ["graph_id", "i"], "left_semi")
     flows = defs.withColumnRenamed("i", "source").join(uses.withColumnRenamed("i", "target"), ["graph_id", "v"]).distinct()
-    both = ordered.unionByName(flows.select("graph_id", F.lit(DATA).cast("long").alias("flow"), "source", "target"))
+    both = ordered.unionByName(flows.select("graph_id", F.lit(DATA).cast("long").alias("flow"), "source", "target"), allowMissingColumns=True)
     ends = ids.select("graph_id", F.col("node_id").alias("source"), F.col("new_id").alias("s"))
     both = both.join(ends, ["graph_id", "source"]).join(ends.toDF("graph_id", "target", "t"), ["graph_id", "target"])
-    return both.select("graph_id", "flow", F.lit(0).cast("long").alias("position"), F.col("s").alias("source"), F.col("t").alias("target"))
+    return both.select("graph_id", "flow", F.lit(0).cast("long").alias("position"), F.col("s").alias("source"), F.col("t").alias("target"), *kept)
+
+
+def cdfg(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole control/data-flow graph as tables; functions are copied, modules and blocks are not."""
+    found = {"nodes": cdfg_nodes(nodes), "edges": cdfg_edges(nodes, edges)}
+    return found if functions is None else found | {"functions": functions}
 
 
 def tuple_offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -81,44 +89,108 @@ def instruction_sequence(edges: DataFrame, most_nodes: int = 1_000_000) -> DataF
     return rows.mapInPandas(walk, "graph_id long, node_ids array<long>")
 
 
-def node_link_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph_id, json`` in node-link form: enums as numbers, every link with key 0."""
-    extra = [c for c in ("function", "block", "features") if c in nodes.columns]
-    ns = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.col("node_id").alias("id"), "type", "text", *extra))).alias("nodes"))
-    links = edges.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "flow", "position", "source", "target"))).alias("ls"))
-    links = links.select("graph_id", F.transform("ls", lambda e: F.struct(e["flow"].alias("flow"), e["position"].alias("position"), e["source"].alias("source"), e["target"].alias("target"), F.lit(0).alias("key"))).alias("links"))
-    empty = F.expr("CAST(array() AS array<struct<flow: bigint, position: bigint, source: bigint, target: bigint, key: int>>)")
-    both = ns.join(links, "graph_id", "left").withColumn("links", F.coalesce("links", empty))
-    return both.select("graph_id", F.to_json(F.struct(F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), F.struct(F.expr("array()").cast("array<string>").alias("function")).alias("graph"), "nodes", "links")).alias("json"))
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _features_json(features: Column) -> Column:
+    """An object of bare arrays."""
+    values = lambda v: F.coalesce(F.to_json(F.transform(v["bytes"], lambda x: x.cast("string"))), F.to_json(v["floats"]), F.to_json(v["ints"]), F.lit("[]"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(features), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), values(e["value"]))), ","), F.lit("}"))
+
+
+def _objects(df: DataFrame, order: str, out: str, fields: dict[str, Column]) -> DataFrame:
+    """``graph_id`` and ``out``: the JSON list of a graph's rows, each with its features, if it has any."""
+    made = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+    if "features" in df.columns:
+        made = F.when(F.col("features").isNull(), made).otherwise(F.concat(F.substring(made, F.lit(1), F.length(made) - 1), F.lit(',"features":'), _features_json(F.col("features")), F.lit("}")))
+    rows = df.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), made.alias("j")))).alias("r"))
+    return rows.select("graph_id", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ","), F.lit("]")).alias(out))
+
+
+def node_link_json(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None) -> DataFrame:
+    """``graph_id, json`` in node-link form: enums as numbers, every link with key 0, features as bare arrays."""
+    zero = lambda df, c: F.col(c) if c in df.columns else F.lit(0).cast("long")
+    both = _objects(nodes, "node_id", "ns", {"id": F.col("node_id"), "type": F.col("type"), "text": F.col("text"), "function": zero(nodes, "function"), "block": zero(nodes, "block")})
+    links = _objects(edges, "edge_id", "ls", {"flow": F.col("flow"), "position": F.col("position"), "source": F.col("source"), "target": F.col("target"), "key": F.lit(0)})
+    both = both.join(links, "graph_id", "left")
+    none = F.lit(None).cast("string")
+    both = both.withColumn("fs", none) if functions is None else both.join(_objects(functions, "function_id", "fs", {"name": F.col("name"), "module": F.col("module_id")}), "graph_id", "left")
+    both = both.withColumn("ms", none) if modules is None else both.join(_objects(modules, "module_id", "ms", {"name": F.col("name")}), "graph_id", "left")
+    both = both.withColumn("own", none) if graphs is None else both.join(graphs.select("graph_id", _features_json(F.col("features")).alias("own")), "graph_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("[]"))
+    graph = F.concat(F.lit('"graph":{"function":'), empty("fs"), F.lit(',"module":'), empty("ms"), F.coalesce(F.concat(F.lit(',"features":'), "own"), F.lit("")), F.lit("}"))
+    return both.select("graph_id", F.concat(F.lit('{"directed":true,"multigraph":true,'), graph, F.lit(',"nodes":'), "ns", F.lit(',"links":'), empty("ls"), F.lit("}")).alias("json"))
 
 
 def _short(text: Column, most: int = 32) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most - 3)), F.lit("...")))
 
 
-#: Shape and fill of node types, colour of flows.
-NODE_STYLE = {INSTRUCTION: ("box", "#3c78d8"), VARIABLE: ("ellipse", "#f4cccc"), CONSTANT: ("octagon", "#e99c9c"), TYPE: ("diamond", "#cccccc")}
-EDGE_COLOR = ["#345393", "#65ae4d", "#e65317", "#aaaaaa"]
+#: Attributes of node types and of flows, and those of all graphs, nodes and edges.
+NODE_STYLE = {
+    INSTRUCTION: 'shape=box, fillcolor="#3c78d8", fontcolor="#ffffff"',
+    VARIABLE: 'shape=ellipse, fillcolor="#f4cccc", color="#990000", fontcolor="#990000"',
+    CONSTANT: 'shape=octagon, fillcolor="#e99c9c", color="#990000", fontcolor="#990000"',
+    TYPE: 'shape=diamond, fillcolor="#cccccc", color="#cccccc", fontcolor="#222222"',
+}
+EDGE_COLOR = ["#345393", "#990000", "#65ae4d", "#aaaaaa"]
+EDGE_STYLE = ["weight=10", "weight=0", "weight=1", 'weight=1, penwidth="1.5"']
+DEFAULTS = [
+    'graph [margin=0, nodesep="0.4", ranksep="0.4", fontname=Inconsolata, fontsize=20];',
+    "node [fontname=Inconsolata, fontsize=20, penwidth=2, width=1, margin=0];",
+    'edge [fontname=Inconsolata, fontsize=20, penwidth=3, arrowsize=".8"];',
+]
 
 
 def _pick(code: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (code + 1).cast("int"))
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame, label: str = "text") -> DataFrame:
-    """``graph_id, kind, ord, line``: a DOT statement for each node and edge; ``label`` is text or none."""
-    shown = _short(F.regexp_replace("text", '"', '\\\\"')) if label == "text" else F.lit("")
-    shapes, fills = zip(*NODE_STYLE.values(), strict=True)
-    ns = nodes.select("graph_id", F.lit("node").alias("kind"), F.col("node_id").alias("ord"), F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit(' [label="'), shown, F.lit('", shape='), _pick(F.col("type"), list(shapes)), F.lit(', fillcolor="'), _pick(F.col("type"), list(fills)), F.lit('"];')).alias("line"))
-    where = F.when(F.col("position") == 0, F.lit("")).otherwise(F.concat(F.when(F.col("flow") == CONTROL, F.lit(", taillabel=")).otherwise(F.lit(", headlabel=")), F.col("position").cast("string")))
-    es = edges.select("graph_id", F.lit("edge").alias("kind"), F.col("edge_id").alias("ord"), F.concat(F.lit("n"), F.col("source").cast("string"), F.lit(" -> n"), F.col("target").cast("string"), F.lit(' [color="'), _pick(F.col("flow"), EDGE_COLOR), F.lit('"'), where, F.lit("];")).alias("line"))
+def _escaped(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+
+
+def dot_lines(nodes: DataFrame, edges: DataFrame, label: str = "text", feature: str = "") -> DataFrame:
+    """``graph_id, kind, ord, line``: a DOT statement for each node and edge; ``label`` is text, none or feature (of that name)."""
+    if label not in ("text", "none", "feature"):
+        raise ValueError(f"unknown label: {label}; known are text, none, feature")
+    if label == "feature":
+        shown = F.coalesce(as_text(F.try_element_at("features", F.lit(feature))), F.lit("")) if "features" in nodes.columns else F.lit("")
+    else:
+        shown = F.coalesce(F.col("text"), F.lit("")) if label == "text" else F.lit("")
+    ns = nodes.select("graph_id", F.lit("node").alias("kind"), F.col("node_id").alias("ord"), F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit(" [label="), _escaped(_short(shown)), F.lit(", style=filled, "), _pick(F.col("type"), list(NODE_STYLE.values())), F.lit("];")).alias("line"))
+    color = _pick(F.col("flow"), EDGE_COLOR)
+    place = F.concat(F.when(F.col("flow") == CONTROL, F.lit(", taillabel=")).otherwise(F.lit(", headlabel=")), F.col("position").cast("string"), F.lit(', labelfontcolor="'), color, F.lit('"'))
+    where = F.when(F.col("position") == 0, F.lit("")).otherwise(place)
+    es = edges.select("graph_id", F.lit("edge").alias("kind"), F.col("edge_id").alias("ord"), F.concat(F.lit("n"), F.col("source").cast("string"), F.lit(" -> n"), F.col("target").cast("string"), F.lit(' [color="'), color, F.lit('", '), _pick(F.col("flow"), EDGE_STYLE), where, F.lit("];")).alias("line"))
     return ns.unionByName(es)
 
 
-def dot_text(nodes: DataFrame, edges: DataFrame, label: str = "text") -> DataFrame:
-    """``graph_id, dot``: the whole graph, nodes first."""
-    lines = dot_lines(nodes, edges, label).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "node", 0).otherwise(1).alias("k"), "ord", "line"))).alias("rows"))
-    return lines.select("graph_id", F.concat(F.lit("digraph main {\n  "), F.array_join(F.transform("rows", lambda r: r["line"]), "\n  "), F.lit("\n}\n")).alias("dot"))
+def dot_text(nodes: DataFrame, edges: DataFrame, label: str = "text", feature: str = "", functions: DataFrame | None = None) -> DataFrame:
+    """``graph_id, dot``: the whole graph; instructions and variables stand in a cluster for each of ``functions``."""
+    lines = dot_lines(nodes, edges, label, feature)
+    if functions is None or "function" not in nodes.columns:
+        homes = nodes.select("graph_id", F.col("node_id").alias("ord"), F.lit(-1).cast("long").alias("home"))
+    else:
+        inside = (F.col("node_id") > 0) & F.col("type").isin(INSTRUCTION, VARIABLE)
+        homes = nodes.select("graph_id", F.col("node_id").alias("ord"), F.when(inside, F.col("function")).otherwise(-1).cast("long").alias("home"))
+    ns = lines.where("kind = 'node'").join(homes, ["graph_id", "ord"]).groupBy("graph_id", "home").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("r"))
+    body = F.array_join(F.transform("r", lambda x: F.concat(F.lit("    "), x["line"], F.lit("\n"))), "")
+    if functions is None:
+        ns = ns.withColumn("name", F.lit(""))
+    else:
+        named = functions.select("graph_id", F.col("function_id").cast("long").alias("home"), "name")
+        ns = ns.join(named, ["graph_id", "home"], "full")
+    head = F.when(F.col("home") < 0, F.lit("  subgraph external {\n")).otherwise(F.concat(F.lit("  subgraph cluster"), F.col("home").cast("string"), F.lit(" {\n    label="), _escaped(_short(F.coalesce("name", F.lit("")))), F.lit(";\n    margin=10;\n    style=dotted;\n")))
+    parts = ns.select("graph_id", "home", F.concat(head, F.coalesce(body, F.lit("")), F.lit("  }\n")).alias("part"))
+    parts = parts.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("home", "part"))).alias("p"))
+    es = lines.where("kind = 'edge'").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("e"))
+    shown = F.coalesce(F.array_join(F.transform("e", lambda x: F.concat(F.lit("  "), x["line"], F.lit("\n"))), ""), F.lit(""))
+    start = "digraph main {\n" + "".join(f"  {line}\n" for line in DEFAULTS)
+    return parts.join(es, "graph_id", "left").select("graph_id", F.concat(F.lit(start), F.array_join(F.transform("p", lambda x: x["part"]), ""), shown, F.lit("}\n")).alias("dot"))
 
 
 def encode_vocabulary(nodes: DataFrame, vocabulary: DataFrame, unknown: str = "!UNK", identifier: str = "!IDENTIFIER", immediate: str = "!IMMEDIATE") -> DataFrame:
@@ -132,3 +204,53 @@ def encode_vocabulary(nodes: DataFrame, vocabulary: DataFrame, unknown: str = "!
     default = vocabulary.where(F.col("text") == unknown).select(F.col("id").cast("long")).first()
     joined = nodes.where(F.col("text") != ROOT_TEXT).select("graph_id", "node_id", key.alias("token")).join(known, "token", "left")
     return joined.select("graph_id", "node_id", F.when(F.col("token_id").isNull(), unknown).otherwise(F.col("token")).alias("token"), F.coalesce("token_id", F.lit(default[0] if default else None)).cast("long").alias("token_id"))
+
+
+#: What stands for identifiers, labels and literals in preprocessed instruction texts.
+PLACEHOLDERS = {"local": "<%ID>", "global": "<@ID>", "label": "<LABEL>", "float": "<FLOAT>", "int": "<INT>", "string": "<STRING>"}
+
+
+def preprocessed(statement: Column) -> Column:
+    """An instruction's text without metadata, attributes and alignment, with placeholders for names and literals."""
+    name = r'(?:"[^"]*"|[-a-zA-Z$._0-9]+)'
+    steps = [
+        (r",?\s*![\w.]+(?:\s*!\w+)*", ""),
+        (r",?\s*align \d+", ""),
+        (r"\s*#\d+", ""),
+        (r'c"[^"]*"', PLACEHOLDERS["string"]),
+        (rf"label %{name}", f"label {PLACEHOLDERS['label']}"),
+        (rf"%{name}", PLACEHOLDERS["local"]),
+        (rf"@{name}", PLACEHOLDERS["global"]),
+        (r"(?<![\w<>.%@])-?\d+\.\d+(?:e[+-]?\d+)?|(?<![\w.])0x[KLMH]?[0-9A-Fa-f]+", PLACEHOLDERS["float"]),
+        (r"(?<![\w<>.%@\[*])-?\d+(?![\w.]| x )", PLACEHOLDERS["int"]),
+    ]
+    out = F.trim(F.coalesce(statement, F.lit("")))
+    for pattern, instead in steps:
+        out = F.regexp_replace(out, pattern, instead.replace("$", r"\$"))
+    return F.trim(out)
+
+
+def annotate_inst2vec(nodes: DataFrame, vocabulary: DataFrame, full_text: str = "full_text", structs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the features ``inst2vec_preprocessed`` (instructions) and ``inst2vec_embedding``, and each graph's feature ``inst2vec_annotated``.
+
+    ``vocabulary`` has ``text, id``; ``structs`` (graph_id, name, body) are written into the texts first.
+    """
+    from weftgraph.operators.adapters import inline_structs
+
+    base = nodes.withColumn("__text", F.col(full_text) if full_text in nodes.columns else F.col("text"))
+    if structs is not None:
+        base = inline_structs(base, structs, "__text")
+    base = base.withColumn("__text", preprocessed(F.col("__text")))
+    known = vocabulary.select(F.col("text").alias("__text"), F.col("id").cast("long").alias("__id"))
+    fixed = {r["text"]: r["id"] for r in vocabulary.where(F.col("text").isin("!UNK", "!IDENTIFIER", "!IMMEDIATE")).collect()}
+    found = base.join(known, "__text", "left")
+    token = F.when(F.col("type") == INSTRUCTION, F.coalesce("__id", F.lit(fixed["!UNK"]))).when(F.col("type") == VARIABLE, F.lit(fixed["!IDENTIFIER"])).otherwise(F.lit(fixed["!IMMEDIATE"]))
+    features = F.col("features") if "features" in nodes.columns else F.lit(None)
+    with_text = F.when(F.col("type") == INSTRUCTION, put(features.cast(_FEATURES), "inst2vec_preprocessed", text(F.col("__text")))).otherwise(features.cast(_FEATURES))
+    found = found.withColumn("__features", put(with_text, "inst2vec_embedding", integer(token.cast("long"))))
+    out = found.select(*[c for c in nodes.columns if c != "features"], F.col("__features").alias("features"))
+    graphs = nodes.select("graph_id").distinct().withColumn("features", put(F.lit(None).cast(_FEATURES), "inst2vec_annotated", integer(F.lit(1).cast("long"))))
+    return out, graphs
+
+
+_FEATURES = f"map<string,{FEATURE}>"

@@ -44,15 +44,7 @@ def compile_sources(sources: DataFrame, command: list[str], key: str = "ir_id",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for ir_id, source in zip(batch["k"], batch["t"], strict=True):
-                try:
-                    done = subprocess.run(command, input=source or "", capture_output=True, text=True, timeout=timeout, check=False)
-                    rows.append((ir_id, done.stdout, None) if done.returncode == 0 else (ir_id, None, done.stderr or f"exit {done.returncode}"))
-                except subprocess.TimeoutExpired:
-                    rows.append((ir_id, None, f"no result after {timeout} seconds"))
-                except OSError as e:
-                    rows.append((ir_id, None, str(e)))
+            rows = [(k, *run_command(command, source or "", timeout)) for k, source in zip(batch["k"], batch["t"], strict=True)]
             yield pd.DataFrame(rows, columns=["ir_id", "text", "error"])
 
     return sources.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "ir_id long, text string, error string")
@@ -63,6 +55,61 @@ def from_cpp(sources: DataFrame, compiler: str = "clang", copts: tuple[str, ...]
     _checked(version, language)
     extra = [x for folder in (system_includes() if includes else ()) for x in ("-isystem", folder)]
     compiled = compile_sources(sources, [compiler, f"-x{language}", "-S", "-emit-llvm", "-o", "-", *extra, *copts, "-"], timeout=timeout)
+    return _graphs(compiled, options)
+
+
+def from_clang(commands: DataFrame, key: str = "ir_id", arguments: str = "args", compiler: str = "clang", version: str = CLANG_VERSIONS[0], timeout: float = 300, **options: bool) -> DataFrame:
+    """Packed graphs of compiler runs: ``args`` is a run's list of arguments, sources among them.
+
+    The compiler is named by the user and run on the executors; nothing else is.
+    """
+    _checked(version, "c++")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *run_command([compiler, *a, "-S", "-emit-llvm", "-o", "-"], "", timeout)) for k, a in zip(batch["k"], batch["a"], strict=True)]
+            yield pd.DataFrame(rows, columns=["ir_id", "text", "error"])
+
+    compiled = commands.select(F.col(key).cast("long").alias("k"), F.col(arguments).alias("a")).mapInPandas(run, "ir_id long, text string, error string")
+    return _graphs(compiled, options)
+
+
+def run_command(command: list[str], given: str | bytes, timeout: float) -> tuple[str | None, str | None]:
+    """(output, why there is none) of a process."""
+    try:
+        done = subprocess.run(command, input=given if isinstance(given, bytes) else given.encode(), capture_output=True, timeout=timeout, check=False)
+    except subprocess.TimeoutExpired:
+        return None, f"no result after {timeout} seconds"
+    except OSError as e:
+        return None, str(e)
+    if done.returncode:
+        return None, done.stderr.decode("utf-8", "replace") or f"exit {done.returncode}"
+    return done.stdout.decode("utf-8", "replace"), None
+
+
+def run_messages(rows: DataFrame, command: list[str], key: str = "graph_id", data: str = "data", timeout: float = 360) -> DataFrame:
+    """``key, data, error``: what a process writes for each row's bytes; without output in place of them when ``error`` says why."""
+    command = list(command)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, given in zip(batch["k"], batch["d"], strict=True):
+                try:
+                    done = subprocess.run(command, input=bytes(given or b""), capture_output=True, timeout=timeout, check=False)
+                    out.append((k, done.stdout, None) if done.returncode == 0 else (k, None, done.stderr.decode("utf-8", "replace") or f"exit {done.returncode}"))
+                except subprocess.TimeoutExpired:
+                    out.append((k, None, f"no result after {timeout} seconds"))
+                except OSError as e:
+                    out.append((k, None, str(e)))
+            yield pd.DataFrame(out, columns=[key, data, "error"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("k"), F.col(data).cast("binary").alias("d")).mapInPandas(run, f"`{key}` {kind}, `{data}` binary, error string")
+
+
+def _graphs(compiled: DataFrame, options: dict) -> DataFrame:
+    """Graphs of what was compiled, and errors of what was not."""
     failed = compiled.where("error IS NOT NULL")
     graphs = from_llvm_ir(compiled.where("error IS NULL"), **options)
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in graphs.schema.fields[1:-1]]

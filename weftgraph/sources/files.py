@@ -1,14 +1,20 @@
-"""Files of program graphs: read into tables, and written from them."""
+"""Files of program graphs: read into tables, and written from them.
+
+A set of graphs is four tables (nodes, edges, functions, modules) and, where graphs have
+features of their own, a fifth (``graph_id, features``).  Written and read again they are
+equal.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.schema import EDGES, FUNCTIONS, MODULES, NODES
+from weftgraph.schema import EDGES, FEATURE, FUNCTIONS, MODULES, NODES, GraphTransformError
 from weftgraph.sources import wire
 
 _PARTS = {"nodes": NODES, "edges": EDGES, "functions": FUNCTIONS, "modules": MODULES}
@@ -31,7 +37,9 @@ def _split(fields: str) -> list[str]:
     return [x.strip() for x in out]
 
 
-PACKED = "path string, idx int, " + ", ".join(f"{name} {_array(schema)}" for name, schema in _PARTS.items()) + ", error string"
+_BODY = ", ".join(f"{name} {_array(schema)}" for name, schema in _PARTS.items()) + f", features map<string, {FEATURE}>, error string"
+PACKED = "path string, idx int, " + _BODY
+_SUFFIXES = (".ProgramGraphList.pb", ".ProgramGraphList.pbtxt", ".ProgramGraphList.txt", ".ProgramGraphList.json")
 
 
 def _features(found: dict | None) -> dict | None:
@@ -56,62 +64,207 @@ def rows_of(graph: dict) -> dict:
         "edges": [{"edge_id": i, "flow": e["flow"], "position": e["position"], "source": e["source"], "target": e["target"], "features": _features(e["features"])} for i, e in enumerate(graph["edge"])],
         "functions": [{"function_id": i, "name": f["name"], "module_id": f["module"], "features": _features(f["features"])} for i, f in enumerate(graph["function"])],
         "modules": [{"module_id": i, "name": m["name"], "features": _features(m["features"])} for i, m in enumerate(graph["module"])],
+        "features": _features(graph["features"]),
     }
 
 
-def read_graphs(spark: SparkSession, path: str, pattern: str = "*", idx_list: list[int] | None = None, message: str | None = None) -> DataFrame:
-    """One packed graph for each graph of each file; the suffix names encoding and message.
+def message_of(row) -> dict:
+    """The message of one packed graph: the inverse of ``rows_of``.
 
-    ``idx_list`` picks graphs of a list by place: none for ``[]``, all for ``None``.
+    A message knows rows by their places, so ids with gaps are numbered anew.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def entries(found):
+        return None if found is None else [(e["key"], e["value"]) for e in found] if not isinstance(found, dict) else found
+
+    def number(x, name: str) -> int:
+        return int(x[name]) if name in x and x[name] is not None else 0
+
+    def part(name: str) -> list:
+        return [] if row[name] is None else list(row[name])
+
+    nodes, functions, modules = (part(name) for name in ("nodes", "functions", "modules"))
+    node_at, function_at, module_at = ({x[key]: i for i, x in enumerate(rows)} for key, rows in (("node_id", nodes), ("function_id", functions), ("module_id", modules)))
+
+    def place(x, name: str, at: dict) -> int:
+        found = number(x, name)
+        if at and found not in at:
+            raise GraphTransformError(f"graph {row['graph_id']}: there is no {name} {found}")
+        return at.get(found, found)
+
+    return {
+        "node": [{"type": number(n, "type"), "text": n["text"] or "", "function": place(n, "function", function_at) if number(n, "type") < 2 and n["node_id"] else number(n, "function"), "block": number(n, "block"), "features": _message_features(entries(n.get("features")))} for n in nodes],
+        "edge": [{"flow": number(e, "flow"), "position": number(e, "position"), "source": place(e, "source", node_at), "target": place(e, "target", node_at), "features": _message_features(entries(e.get("features")))} for e in part("edges")],
+        "function": [{"name": f["name"] or "", "module": place(f, "module_id", module_at), "features": _message_features(entries(f.get("features")))} for f in functions],
+        "module": [{"name": m["name"] or "", "features": _message_features(entries(m.get("features")))} for m in modules],
+        "features": _message_features(entries(row["features"])),
+    }
+
+
+def _is_list(name: str) -> bool:
+    return name.removesuffix(".gz").endswith(_SUFFIXES)
+
+
+def _parsed(kind: str, data: bytes, encoding: str, idx_list: list[int] | None) -> list[tuple[int, dict]]:
+    value = wire.loads(kind, data, encoding)
+    graphs = value["graph"] if kind == "ProgramGraphList" else [value]
+    return [(i, rows_of(graphs[i])) for i in (range(len(graphs)) if idx_list is None else idx_list)]
+
+
+def decode(blobs: DataFrame, name: str, data: str, idx_list: list[int] | None, kind_of, encoding_of) -> DataFrame:
+    """``path, idx``, the parts and ``error`` of each graph in the column ``data``, kinds and encodings by the column ``name``."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                kind = message or ("ProgramGraphList" if "List" in name.rsplit("/", 1)[-1] else "ProgramGraph")
+            for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    value = wire.loads(kind, data, wire.encoding_of(name))
-                    graphs = value["graph"] if kind == "ProgramGraphList" else [value]
-                    for i in range(len(graphs)) if idx_list is None else idx_list:
-                        rows.append({"path": name, "idx": i, **rows_of(graphs[i]), "error": None})
-                except (ValueError, OSError, IndexError, TypeError) as e:
-                    rows.append({"path": name, "idx": 0, **dict.fromkeys(_PARTS), "error": str(e)})
-            yield pd.DataFrame(rows, columns=["path", "idx", *_PARTS, "error"])
+                    rows += [{"path": path, "idx": i, **parts, "error": None} for i, parts in _parsed(kind_of(path), content, encoding_of(path), idx_list)]
+                except (ValueError, OSError, IndexError, TypeError, EOFError) as e:
+                    rows.append({"path": path, "idx": 0, **dict.fromkeys(_PARTS), "features": None, "error": str(e)})
+            yield pd.DataFrame(rows, columns=["path", "idx", *_PARTS, "features", "error"])
+
+    return blobs.select(F.col(name).cast("string").alias("path"), F.col(data).cast("binary").alias("content")).mapInPandas(read, PACKED)
+
+
+def _compression(compression: str | None) -> str:
+    """The suffix of a compression: gzip or none."""
+    if compression not in ("gz", None):
+        raise TypeError(f"unknown compression {compression!r}; known are 'gz' and None")
+    return ".gz" if compression else ""
+
+
+def read_graphs(spark: SparkSession, path: str, pattern: str = "*", idx_list: list[int] | None = None, message: str | None = None, limit: int | None = None, seed: int | None = None) -> DataFrame:
+    """One packed graph for each graph of each file; the suffix names encoding and message.
+
+    ``idx_list`` picks graphs of a list by place: none for ``[]``, all for ``None``.  ``limit``
+    takes that many files, in the order of their names or, with a ``seed``, of a hash.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+    if limit is not None:
+        order = F.col("path") if seed is None else F.xxhash64(F.lit(seed), "path")
+        names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path").orderBy(order, "path").limit(limit)
+        files = files.join(names, "path", "left_semi")
+    return decode(files, "path", "content", idx_list, lambda name: message or ("ProgramGraphList" if _is_list(name) else "ProgramGraph"), wire.encoding_of)
+
+
+def from_bytes(blobs: DataFrame, key: str = "graph_id", data: str = "data", idx_list: list[int] | None = None, compression: str | None = "gz", message: str = "ProgramGraphList") -> DataFrame:
+    """Packed graphs of protobuf bytes, each a list or, by ``message``, a graph; ``path`` is the key."""
+    encoding = "pb" + _compression(compression)
+    return decode(blobs, key, data, idx_list, lambda _: message, lambda _: encoding)
 
-    return files.mapInPandas(read, PACKED)
+
+def from_string(texts: DataFrame, key: str = "graph_id", text: str = "text", idx_list: list[int] | None = None, message: str = "ProgramGraphList") -> DataFrame:
+    """Packed graphs of text format."""
+    return decode(texts, key, text, idx_list, lambda _: message, lambda _: "pbtxt")
 
 
 def unpack(packed: DataFrame, part: str, key: str = "graph_id") -> DataFrame:
     return packed.where("error IS NULL").select(key, F.explode(part).alias("x")).select(key, "x.*")
 
 
+def numbered(packed: DataFrame) -> DataFrame:
+    """Add ``graph_id``, a hash of path and place."""
+    return packed.withColumn("graph_id", F.xxhash64("path", "idx"))
+
+
+def concatenated(*packed: DataFrame) -> DataFrame:
+    """Lists of graphs one after the other: places go on where the list before ends."""
+    out, upto = packed[0], None
+    for more in packed[1:]:
+        ends = out.groupBy("path").agg(F.max("idx").alias("upto"))
+        upto = F.coalesce("upto", F.lit(-1))
+        moved = more.join(ends, "path", "left").withColumn("idx", (F.col("idx") + upto + 1).cast("int")).select(*out.columns)
+        out = out.unionByName(moved)
+    return out
+
+
 def _list(df: DataFrame, order: str, out: str) -> DataFrame:
     extra = [c for c in df.columns if c not in ("graph_id", order)]
     return df.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(order, *[F.map_entries(c).alias(c) if c == "features" else F.col(c) for c in extra]))).alias(out))
 
 
-def to_bytes(nodes: DataFrame, edges: DataFrame, encoding: str = "pb.gz") -> DataFrame:
-    """``graph_id, data``: each graph as a message of its own."""
+def packed_tables(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None) -> DataFrame:
+    """One row for each graph of the nodes: ``graph_id`` and the lists ``nodes, edges, functions, modules, features``."""
+    both = _list(nodes, "node_id", "nodes").join(_list(edges, "edge_id", "edges"), "graph_id", "left")
+    for name, table, order in (("functions", functions, "function_id"), ("modules", modules, "module_id")):
+        both = both.withColumn(name, F.lit(None).cast("array<struct<name: string>>")) if table is None else both.join(_list(table, order, name), "graph_id", "left")
+    entries = f"array<struct<key: string, value: {FEATURE}>>"
+    if graphs is None:
+        return both.withColumn("features", F.lit(None).cast(entries))
+    return both.join(graphs.select("graph_id", F.map_entries("features").alias("features")), "graph_id", "left")
+
+
+def to_bytes(nodes: DataFrame, edges: DataFrame, encoding: str = "pb.gz", functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, as_list: bool = False) -> DataFrame:
+    """``graph_id, data``: each graph as a message of its own, or as a list of one."""
     wire.dumps("ProgramGraph", {}, encoding)  # an unknown encoding is an error here
-    both = _list(nodes, "node_id", "ns").join(_list(edges, "edge_id", "es"), "graph_id", "left")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def entries(found):
-            return None if found is None else [(e["key"], e["value"]) for e in found]
+        for batch in batches:
+            found = [message_of(row) for row in batch.to_dict("records")]
+            data = [wire.dumps("ProgramGraphList", {"graph": [m]}, encoding) if as_list else wire.dumps("ProgramGraph", m, encoding) for m in found]
+            yield pd.DataFrame({"graph_id": batch["graph_id"], "data": data})
+
+    return packed_tables(nodes, edges, functions, modules, graphs).mapInPandas(write, "graph_id long, data binary")
+
+
+def to_string(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, as_list: bool = True) -> DataFrame:
+    """``graph_id, text``: each graph in text format."""
+    return to_bytes(nodes, edges, "pbtxt", functions, modules, graphs, as_list).select("graph_id", F.col("data").cast("string").alias("text"))
 
-        def number(row, name: str) -> int:
-            return int(row[name]) if name in row and row[name] is not None else 0
 
+def save_graphs(path: str, nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, compression: str | None = "gz") -> int:
+    """Write a list file for each task that holds graphs, and return the number of graphs."""
+    suffix = f".ProgramGraphList.pb{_compression(compression)}"
+    encoding = f"pb{_compression(compression)}"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        found, ids = [], []
         for batch in batches:
-            out = []
-            for ns, es in zip(batch["ns"], batch["es"], strict=True):
-                graph = {
-                    "node": [{"type": number(n, "type"), "text": n["text"], "function": number(n, "function"), "block": number(n, "block"), "features": _message_features(entries(n.get("features")))} for n in ns],
-                    "edge": [{"flow": number(e, "flow"), "position": number(e, "position"), "source": number(e, "source"), "target": number(e, "target"), "features": _message_features(entries(e.get("features")))} for e in (es if es is not None else ())],
-                }
-                out.append(wire.dumps("ProgramGraph", graph, encoding))
-            yield pd.DataFrame({"graph_id": batch["graph_id"], "data": out})
-
-    return both.mapInPandas(write, "graph_id long, data binary")
+            found += [message_of(row) for row in batch.to_dict("records")]
+            ids += batch["graph_id"].tolist()
+        if found:  # a task that runs again writes the same file
+            _write_file(f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}{suffix}", wire.dumps("ProgramGraphList", {"graph": found}, encoding))
+        yield pd.DataFrame({"graph_id": ids})
+
+    rows = packed_tables(nodes, edges, functions, modules, graphs).sortWithinPartitions("graph_id")
+    return rows.mapInPandas(write, "graph_id long").count()
+
+
+def load_graphs(spark: SparkSession, path: str, idx_list: list[int] | None = None, compression: str | None = "gz") -> DataFrame:
+    """Packed graphs of list files, whatever their names."""
+    encoding = "pb" + _compression(compression)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return decode(files, "path", "content", idx_list, lambda _: "ProgramGraphList", lambda _: encoding)
+
+
+def _write_file(path: str, data: bytes, exist_ok: bool = True) -> None:
+    """Whole or not at all, on any file system that Arrow knows."""
+    system, name = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    if not exist_ok and system.get_file_info(name).type != pyarrow.fs.FileType.NotFound:
+        raise FileExistsError(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(f"{name}.tmp", compression=None) as out:
+        out.write(data)
+    system.move(f"{name}.tmp", name)
+
+
+def write_files(blobs: DataFrame, path: str, suffix: str, name: str = "graph_id", exist_ok: bool = True) -> int:
+    """One file ``name + suffix`` for each row of ``data``; returns their number.  With ``exist_ok`` off a file that is there is an error."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for stem, data in zip(batch["name"], batch["data"], strict=True):
+                _write_file(f"{path.rstrip('/')}/{stem}{suffix}", bytes(data), exist_ok)
+            yield batch[["name"]]
+
+    return blobs.select(F.col(name).cast("string").alias("name"), "data").mapInPandas(write, "name string").count()
+
+
+def joined_by_stem(graphs: DataFrame, irs: DataFrame) -> DataFrame:
+    """Packed graphs with the ``text`` of the file of the same stem, null where there is none."""
+    stem = lambda c: F.substring_index(F.element_at(F.split(c, "/"), -1), ".", 1)
+    texts = irs.select(stem(F.col("path")).alias("stem"), F.col("text").alias("ir"))
+    return graphs.withColumn("stem", stem(F.col("path"))).join(texts, "stem", "left")

@@ -2,7 +2,8 @@
 
 A module is ``{name, entry_computation_id, computations: [{id, name, instructions: [{id,
 name, opcode, shape, operand_ids, control_predecessor_ids, called_computation_ids,
-literal}]}]}``; ``shape`` is ``{type, dimensions}`` or a text.
+literal}]}]}``; ``shape`` is ``{type, dimensions}`` or a text.  ``decode_hlo`` makes such rows of
+the wire format.  Only an instruction whose opcode is ``constant`` gets a constant for its literal.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.schema import CALL, CONSTANT, CONTROL, DATA, INSTRUCTION, ROOT_TEXT, VARIABLE, GraphCreationError
+from weftgraph.sources import wire
 from weftgraph.sources.ir import PACKED
 
 MODULE = (
@@ -27,7 +29,7 @@ def shape_text(shape) -> str:
     if shape is None or isinstance(shape, str):
         return shape or ""
     dimensions = [] if shape["dimensions"] is None else [str(int(x)) for x in shape["dimensions"]]
-    return f"{(shape['type'] or '').lower()} {'x'.join(dimensions)}".strip()
+    return f"{shape['type'] or ''} {'x'.join(dimensions)}".strip()
 
 
 def _text(row) -> str:
@@ -68,7 +70,7 @@ def build_module(module) -> dict:
                     raise GraphCreationError(f"Failed to locate operand {operand} of {row['name']}")
                 edge(DATA, position, made[operand][1], at)
                 edge(CONTROL, position, made[operand][0], at)
-            if row["literal"] is not None:
+            if row["literal"] is not None and row["opcode"] == "constant":
                 edge(DATA, len(operands), node(CONSTANT, row["literal"], 0, 0), at)
             for before in () if row["control_predecessor_ids"] is None else row["control_predecessor_ids"]:
                 edge(CONTROL, 0, made[before][0], at)
@@ -100,3 +102,42 @@ def from_hlo(modules: DataFrame, key: str = "ir_id", module: str = "module") ->
             yield pd.DataFrame(rows, columns=["graph_id", "nodes", "edges", "functions", "modules", "error"])
 
     return modules.select(F.col(key).cast("long").alias("k"), F.to_json(module).alias("j")).select("k", F.from_json("j", MODULE).alias("m")).mapInPandas(build, PACKED)
+
+
+def module_of(data: bytes, encoding: str = "pb") -> dict:
+    """The nested row of an ``HloProto``."""
+    found = wire.loads("HloProto", data, encoding)["hlo_module"]
+    if found is None:
+        raise GraphCreationError("Failed to locate entry computation")
+
+    def shape(x: dict | None) -> dict | None:
+        return x and {"type": wire.PRIMITIVE_TYPES[x["element_type"]], "dimensions": x["dimensions"]}
+
+    def instruction(x: dict) -> dict:
+        kept = {k: x[k] for k in ("id", "name", "opcode", "operand_ids", "control_predecessor_ids", "called_computation_ids")}
+        return kept | {"shape": shape(x["shape"]), "literal": shape_text(shape(x["literal"]["shape"])) if x["literal"] else None}
+
+    computations = [{"id": c["id"], "name": c["name"], "instructions": [instruction(x) for x in c["instructions"]]} for c in found["computations"]]
+    return {"name": found["name"], "entry_computation_id": found["entry_computation_id"], "computations": computations}
+
+
+def from_hlo_proto(blobs: DataFrame, key: str = "ir_id", data: str = "data", encoding: str = "pb") -> DataFrame:
+    """One packed graph for each row of wire format; ``error`` says why there is none."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for graph_id, content in zip(batch["k"], batch["d"], strict=True):
+                try:
+                    rows.append({"graph_id": graph_id, **build_module(module_of(bytes(content or b""), encoding)), "error": None})
+                except (ValueError, KeyError, TypeError, IndexError, OSError) as e:
+                    rows.append({"graph_id": graph_id, **dict.fromkeys(("nodes", "edges", "functions", "modules")), "error": str(e)})
+            yield pd.DataFrame(rows, columns=["graph_id", "nodes", "edges", "functions", "modules", "error"])
+
+    return blobs.select(F.col(key).cast("long").alias("k"), F.col(data).cast("binary").alias("d")).mapInPandas(build, PACKED)
+
+
+def read_hlo(spark: SparkSession, path: str, pattern: str = "*.pb") -> DataFrame:
+    """Packed graphs of files of ``HloProto``; the key is a hash of the path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return from_hlo_proto(files.select(F.xxhash64("path").alias("ir_id"), F.col("content").alias("data")))

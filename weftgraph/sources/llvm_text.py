@@ -87,6 +87,7 @@ class Instruction:
     operands: list[tuple[str, str] | None] = field(default_factory=list)  # (type, value); None: a block, metadata, assembly
     successors: list[str] = field(default_factory=list)
     callee: str | None = None
+    profile: str | None = None  # the metadata that holds its weights
 
 
 def _operand(text: str) -> tuple[str, str] | None:
@@ -129,7 +130,9 @@ def _call(rest: str) -> tuple[list[tuple[str, str] | None], str | None, str]:
 
 
 def read_instruction(line: str) -> Instruction:
-    text = re.sub(r"(?:,\s*![\w.]+\s+!\w+)+\s*$", "", line.split(" ; ")[0].strip())
+    bare = line.split(" ; ")[0].strip()
+    text = re.sub(r"(?:,\s*![\w.]+\s+!\w+)+\s*$", "", bare)
+    prof = re.search(r"!prof\s+(!\d+)", bare[len(text) :])
     m = re.match(rf"(%{_NAME})\s*=\s*", text)
     result, rest = (m[1], text[m.end() :]) if m else (None, text)
     rest = re.sub(r"^(?:tail|musttail|notail)\s+", "", rest)
@@ -137,7 +140,7 @@ def read_instruction(line: str) -> Instruction:
     if not m:
         raise GraphCreationError(f"error: expected instruction opcode: {line}")
     op, rest = m[0], rest[m.end() :].strip()
-    made = Instruction(op, text, result)
+    made = Instruction(op, text, result, profile=prof and prof[1])
     labels = [x.strip('"') for x in re.findall(rf"label %({_NAME})", rest)]
     parts = split_top(_FLAGS.sub("", rest + " ").strip())
     if op == "br":
@@ -185,6 +188,58 @@ class Routine:
     name: str
     arguments: list[tuple[str, str]]
     blocks: list[tuple[str, list[Instruction]]]  # none: a declaration
+    profile: str | None = None
+
+
+_NODE = re.compile(r"(![\w.]+)\s*=\s*(?:distinct\s+)?!\{(.*)\}")
+
+
+def read_metadata(text: str) -> dict[str, list[str]]:
+    """The members of each numbered or named metadata node."""
+    return {m[1]: split_top(m[2]) for m in map(_NODE.match, text.split("\n")) if m}
+
+
+def _weights(nodes: dict[str, list[str]], name: str | None, kind: str) -> list[int]:
+    """The numbers of a profile node of a kind."""
+    found = nodes.get(name or "", [])
+    return [int(x.split()[-1]) for x in found[1:]] if found and found[0] == f'!"{kind}"' else []
+
+
+def instruction_profile(nodes: dict[str, list[str]], row: Instruction) -> dict[str, int]:
+    """Total weight, and of two ways the true and the false one."""
+    weights = _weights(nodes, row.profile, "branch_weights")
+    if not weights:
+        return {}
+    ways = {"llvm_profile_true_weight": weights[0], "llvm_profile_false_weight": weights[1]} if len(weights) == 2 and row.opcode in ("br", "select") else {}
+    return {"llvm_profile_total_weight": sum(weights)} | ways
+
+
+#: Members of a profile summary and the features that hold them.
+SUMMARY = {"NumFunctions": "num_functions", "MaxFunctionCount": "max_function_count", "NumCounts": "num_counts", "TotalCount": "total_count", "MaxCount": "max_count", "MaxInternalCount": "max_internal_count"}
+
+
+def module_profile(nodes: dict[str, list[str]]) -> dict[str, int]:
+    """The profile summary among the module's flags."""
+    for flag in nodes.get("!llvm.module.flags", ()):
+        members = nodes.get(flag, [])
+        if len(members) == 3 and members[1] == '!"ProfileSummary"':
+            pairs = [nodes.get(x, []) for x in nodes.get(members[2], [])]
+            return {f"llvm_profile_{SUMMARY[key]}": int(pair[1].split()[-1]) for pair in pairs if len(pair) == 2 for key in [pair[0].strip('!"')] if key in SUMMARY}
+    return {}
+
+
+def text_components(line: str, result_type: str = "") -> dict[str, str]:
+    """The parts of an instruction's text: the whole, left and right of its sign, name and type of the left, opcode.
+
+    The left side's type is given, as the text does not always hold it; one of structs is ``struct``.
+    """
+    row = read_instruction(line)
+    left, sign, right = row.text.partition(" = ")
+    if not sign:
+        return {"text": row.text, "lhs": "", "rhs": "", "lhs_identifier": "", "lhs_type": "", "opcode_name": row.opcode}
+    base = result_type.rstrip("*")
+    shown = f"struct{result_type[len(base) :]}" if base.startswith(("{", "<{", "%")) else result_type
+    return {"text": row.text, "lhs": f"{shown} {left}", "rhs": right, "lhs_identifier": left, "lhs_type": shown, "opcode_name": row.opcode}
 
 
 def read_module(text: str) -> tuple[str, dict[str, str], list[Routine]]:
@@ -193,7 +248,7 @@ def read_module(text: str) -> tuple[str, dict[str, str], list[Routine]]:
     lines = text.split("\n")
     at = 0
     while at < len(lines):
-        line = lines[at].strip()
+        line, first = lines[at].strip(), at
         at += 1
         if not _TOP.match(line):
             raise GraphCreationError(f"{at}:1: error: expected top-level entity\n{line}\n^")
@@ -236,20 +291,22 @@ def read_module(text: str) -> tuple[str, dict[str, str], list[Routine]]:
                         blocks[-1][1].append(read_instruction(line))
                 if any(not rows for _, rows in blocks):
                     raise GraphCreationError(f"{at}:1: error: expected instruction opcode")
-            routines.append(Routine(m[3].strip('"'), arguments, blocks))
+            prof = re.search(r"!prof\s+(!\d+)", lines[first])
+            routines.append(Routine(m[3].strip('"'), arguments, blocks, prof and prof[1]))
     return name, types, routines
 
 
 class _Builder:
-    def __init__(self, types: dict[str, str]):
+    def __init__(self, types: dict[str, str], metadata: dict[str, list[str]] | None = None):
+        self.metadata = metadata or {}
         self.nodes: list[dict] = []
         self.edges: list[dict] = []
         self.named, self.shared, self.open = types, {}, {}
         self.block = 0
         self.node(INSTRUCTION, ROOT_TEXT, None, 0)
 
-    def node(self, kind: int, text: str, full: str | None, function: int) -> int:
-        self.nodes.append({"node_id": len(self.nodes), "type": kind, "text": text, "full_text": full, "function": function, "block": self.block})
+    def node(self, kind: int, text: str, full: str | None, function: int, features: dict[str, int] | None = None) -> int:
+        self.nodes.append({"node_id": len(self.nodes), "type": kind, "text": text, "full_text": full, "function": function, "block": self.block, "features": features})
         return len(self.nodes) - 1
 
     def edge(self, flow: int, position: int, source: int, target: int) -> None:
@@ -289,7 +346,8 @@ class _Builder:
 def build_graph(text: str, instructions_only: bool = False, ignore_call_returns: bool = False, strict: bool = False) -> dict:
     """Nodes, edges, functions and modules of one module's text."""
     name, types, routines = read_module(text)
-    made = _Builder(types)
+    metadata = read_metadata(text) if "!prof" in text or "ProfileSummary" in text else {}
+    made = _Builder(types, metadata)
     known = {r.name for r in routines}
     constants: dict[tuple[str, str], list[tuple[int, int]]] = {}
     calls: list[tuple[int, str]] = []
@@ -308,8 +366,9 @@ def build_graph(text: str, instructions_only: bool = False, ignore_call_returns:
         touched = {x for e in made.edges for x in (e["source"], e["target"])}
         if not routines or len(touched) < len(made.nodes):
             raise GraphCreationError("module is empty or has unconnected nodes")
-    functions = [{"function_id": i, "name": r.name, "module_id": 0} for i, r in enumerate(routines)]
-    return {"nodes": made.nodes, "edges": made.edges, "functions": functions, "modules": [{"module_id": 0, "name": name}]}
+    counts = [_weights(metadata, r.profile, "function_entry_count") for r in routines]
+    functions = [{"function_id": i, "name": r.name, "module_id": 0, "features": {"llvm_profile_entry_count": c[0]} if c else None} for i, (r, c) in enumerate(zip(routines, counts, strict=True))]
+    return {"nodes": made.nodes, "edges": made.edges, "functions": functions, "modules": [{"module_id": 0, "name": name, "features": module_profile(metadata) or None}]}
 
 
 def _connect_call(made: _Builder, site: int, entry: int, leaving: list[int], ignore_returns: bool) -> None:
@@ -330,7 +389,7 @@ def _visit(made: _Builder, routine: Routine, index: int, known: set[str], consta
     for label, rows in routine.blocks:
         ids = []
         for row in rows:
-            at = made.node(INSTRUCTION, row.opcode, row.text, index)
+            at = made.node(INSTRUCTION, row.opcode, row.text, index, instruction_profile(made.metadata, row) or None)
             if ids:
                 made.edge(CONTROL, 0, ids[-1], at)
             ids.append(at)

@@ -14,6 +14,9 @@ from typing import Any
 
 from weftgraph.schema import FLOWS, NODE_TYPES
 
+#: Names of HLO's element types, by their codes.
+PRIMITIVE_TYPES = ["PRIMITIVE_TYPE_INVALID", "PRED", "S8", "S16", "S32", "S64", "U8", "U16", "U32", "U64", "F16", "F32", "F64", "TUPLE", "OPAQUE_TYPE", "C64", "BF16", "TOKEN", "C128"]
+
 #: Message: {field: (number, kind, repeated)}; a kind is a scalar, an enum's names, or a message.
 MESSAGES: dict[str, dict[str, tuple[int, Any, bool]]] = {
     "BytesList": {"value": (1, "bytes", True)},
@@ -38,6 +41,12 @@ MESSAGES: dict[str, dict[str, tuple[int, Any, bool]]] = {
     "SourceFile": {"relpath": (1, "string", False), "language": (2, ["UNKNOWN", "C", "CXX", "OPENCL", "SWIFT", "HASKELL", "FORTRAN"], False), "text": (3, "string", False)},
     "Repo": {"url": (1, "string", False), "sha1": (2, "string", False), "created_ms_timestamp": (3, "int", False)},
     "NodeIndexList": {"node": (1, "int", True)},
+    "Shape": {"element_type": (2, PRIMITIVE_TYPES, False), "dimensions": (3, "int", True)},
+    "Literal": {"shape": (1, "Shape", False)},
+    "HloInstruction": {"name": (1, "string", False), "opcode": (2, "string", False), "shape": (3, "Shape", False), "literal": (8, "Literal", False), "parameter_number": (9, "int", False), "id": (35, "int", False), "operand_ids": (36, "int", True), "control_predecessor_ids": (37, "int", True), "called_computation_ids": (38, "int", True)},
+    "HloComputation": {"name": (1, "string", False), "instructions": (2, "HloInstruction", True), "id": (5, "int", False), "root_id": (6, "int", False)},
+    "HloModule": {"name": (1, "string", False), "entry_computation_name": (2, "string", False), "computations": (3, "HloComputation", True), "id": (5, "int", False), "entry_computation_id": (6, "int", False)},
+    "HloProto": {"hlo_module": (1, "HloModule", False)},
 }
 
 
@@ -46,7 +55,7 @@ def _nested(kind: Any) -> bool:
 
 
 def _varint(value: int) -> bytes:
-    value &= (1 << 64) - 1
+    value = int(value) & ((1 << 64) - 1)
     out = bytearray()
     while value > 127:
         out.append(value & 127 | 128)
@@ -288,6 +297,49 @@ def loads(message: str, data: bytes, encoding: str = "pb") -> dict:
     raise TypeError(f"unknown encoding {encoding}; known are pb, pbtxt, json, each also with .gz")
 
 
+def pretty_json(message: str, value: dict, longest: int | None = None) -> str:
+    """Indented JSON; with ``longest`` texts are cut to that many characters, with dots."""
+
+    def cut(x: Any) -> Any:
+        if isinstance(x, dict):
+            return {k: cut(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [cut(v) for v in x]
+        return f"{x[: longest - 3]}..." if longest and isinstance(x, str) and len(x) > longest else x
+
+    return json.dumps(cut(_json(message, value)), indent=2, sort_keys=True)
+
+
+class MissingField(ValueError):
+    """A field that must be set is not, or breaks its rule."""
+
+
+def is_readable(message: str, data: bytes, encoding: str = "pb") -> bool:
+    """Whether bytes are a message."""
+    try:
+        loads(message, data, encoding)
+    except (ValueError, TypeError, OSError, EOFError, KeyError, IndexError):
+        return False
+    return True
+
+
+def check_set(message: str, value: dict, field: str, why: str | None = None) -> Any:
+    """The field's value; an error where it is absent or its default."""
+    _, kind, repeated = MESSAGES[message][field]
+    found = value.get(field)
+    if found is None or (repeated and not found) or (not repeated and not isinstance(found, dict) and found == _default(kind)):
+        raise MissingField(why or f"field not set: {message}.{field}")
+    return found
+
+
+def check_rule(message: str, value: dict, field: str, rule, why: str | None = None) -> Any:
+    """The field's value, which must be set and which ``rule`` must hold for."""
+    found = check_set(message, value, field, why)
+    if not rule(found):
+        raise MissingField(why or f"field {message}.{field} is {found!r}")
+    return found
+
+
 def encoding_of(path: str) -> str:
     """The encoding that a file's suffix names."""
     zipped = ".gz" if path.endswith(".gz") else ""

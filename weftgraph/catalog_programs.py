@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.catalog import _DEPTH, _INSTRUCTIONS, _SEQUENCE, _instruction_roots, _roots_sql, _table, graph_query, query
+from weftgraph.catalog import _DEPTH, _INSTRUCTIONS, _LABELS, _LIVE, _REACH, _SEQUENCE, _instruction_roots, _roots_sql, _table, graph_query, query
 from weftgraph.functions import text
 from weftgraph.operators import analysis, statistics, transforms, validation
 from weftgraph.plans.scratch import Scratch
 from weftgraph.sources import files, hlo, ir
-from weftgraph.sources.orders import _LINES, ORACLE_HEAD, order_graphs
+from weftgraph.sources.orders import _LINES, ORACLE_HEAD, WIDE_HEAD, order_graphs
 from weftgraph.sources.programs import order_hlo, order_modules
 
 _HEAD = "WITH li AS MATERIALIZED (" + _LINES.format(lineitem="lineitem") + ") "
@@ -254,3 +254,22 @@ def stem_join(spark, sf_dir):
     returned = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     irs = returned.select(F.concat(F.lit("ir/"), F.col("l_orderkey").cast("string"), F.lit(".ll")).alias("path"), F.col("n").cast("string").alias("text"))
     return files.joined_by_stem(graphs, irs).select("graph_id", F.col("ir").isNotNull().alias("has_ir"), F.col("ir").cast("long").alias("n"))
+
+
+# graphs of some hundred nodes
+
+
+@query(WIDE_HEAD + _REACH + _LABELS)
+def wide_reachability_labels(spark, sf_dir):
+    nodes, edges = order_graphs(spark, sf_dir, wide=True)
+    return analysis.reachability(nodes, edges, _instruction_roots(nodes, edges))
+
+
+@query(WIDE_HEAD + _LIVE + " SELECT graph_id, node_id, variable FROM outs")
+def wide_liveness_out(spark, sf_dir):
+    return analysis.live_out(*order_graphs(spark, sf_dir, wide=True))
+
+
+@query(WIDE_HEAD + " SELECT graph_id, count(*) AS node_count, count(*) FILTER (type = 0) AS instruction_count FROM nodes GROUP BY graph_id")
+def wide_graph_sizes(spark, sf_dir):
+    return statistics.graph_sizes(*order_graphs(spark, sf_dir, wide=True)).select("graph_id", "node_count", "instruction_count")

@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_LINES = """
-  SELECT l_orderkey AS graph_id, l_partkey, l_suppkey, l_returnflag AS flag, l_linestatus AS status,
-         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity,
+_SCAN = """
+  SELECT {key} AS graph_id, l_partkey, l_suppkey, l_returnflag AS flag, l_linestatus AS status,
+         CAST(row_number() OVER (PARTITION BY {key} ORDER BY {first}l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity,
            l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS BIGINT) AS rn,
-         CAST(count(*) OVER (PARTITION BY l_orderkey) AS BIGINT) AS n
+         CAST(count(*) OVER (PARTITION BY {key}) AS BIGINT) AS n
   FROM {lineitem}"""
 
+_LINES = _SCAN.replace("{key}", "l_orderkey").replace("{first}", "")
+#: Orders to a graph in wide graphs, which then have some 580 nodes.
+WIDE = 64
+_WIDE_LINES = _SCAN.replace("{key}", f"(l_orderkey - l_orderkey % {WIDE}) / {WIDE}").replace("{first}", "l_orderkey, ")
+
 _NODES = """
   SELECT graph_id, CAST(0 AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS type, '[external]' AS text FROM {li} WHERE rn = 1
   UNION ALL SELECT graph_id, rn, 0, CASE flag WHEN 'A' THEN 'add' WHEN 'N' THEN 'sub' ELSE 'mul' END FROM {li}
@@ -41,8 +46,13 @@ _EDGES = """
     UNION ALL SELECT graph_id, 3, 0, 2 * n + 5, n + rn FROM {li}
   ) e"""
 
+
 #: The same tables as DuckDB expressions, to head a query.
-ORACLE_HEAD = "WITH RECURSIVE li AS MATERIALIZED (" + _LINES.format(lineitem="lineitem") + "),\nnodes AS MATERIALIZED (" + _NODES.format(li="li") + "),\nedges AS MATERIALIZED (" + _EDGES.format(li="li") + ")"
+def _head(lines: str) -> str:
+    return "WITH RECURSIVE li AS MATERIALIZED (" + lines.format(lineitem="lineitem") + "),\nnodes AS MATERIALIZED (" + _NODES.format(li="li") + "),\nedges AS MATERIALIZED (" + _EDGES.format(li="li") + ")"
+
+
+ORACLE_HEAD, WIDE_HEAD = _head(_LINES), _head(_WIDE_LINES.replace(" / ", " // "))
 
 
 def _rows(lines: DataFrame, columns: list[str], parts: list[tuple]) -> DataFrame:
@@ -52,12 +62,14 @@ def _rows(lines: DataFrame, columns: list[str], parts: list[tuple]) -> DataFrame
     return lines.select("graph_id", F.explode(kept).alias("made")).select("graph_id", "made.*")
 
 
-def order_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def order_graphs(spark: SparkSession, sf_dir: str, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """``nodes`` (graph_id, node_id, type, text) and ``edges`` (graph_id, edge_id, flow, position, source, target).
 
+    ``wide`` graphs hold the lines of ``WIDE`` orders.
+
     All windows are over one graph, so lines are shuffled once for each table.
     """
-    lines = spark.sql(_LINES.format(lineitem="{lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    lines = spark.sql((_WIDE_LINES.replace(" / ", " DIV ") if wide else _LINES).format(lineitem="{lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     first = F.row_number().over(Window.partitionBy("graph_id", F.expr("l_suppkey % 4")).orderBy("rn")) == 1
     nodes = _rows(
         lines.withColumn("first", first),

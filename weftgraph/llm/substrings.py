@@ -21,8 +21,14 @@ word sequence also starts earlier, in a smaller id or further left in the same t
    one passage is hot.  If more different ones than ``most_places`` are left (each text
    surrounds the passage in its own way), they are dealt by single windows.
 
-Edge cases: null, empty and short texts lose nothing; rows with the same id and place
-do not precede each other; rows without an id are kept whole and remove nothing.
+   The index decides all other windows; these are equal or not by hashes of 128 bits, as a
+   group that grows with the corpus fits no index.
+
+Edge cases: null, empty and short texts lose nothing; very long texts are passages like any
+other; rows with the same id and place, repeated rows among them, do not precede each other;
+rows without an id are kept whole and remove nothing; ids that are not integers are ordered
+as they are and numbered first; an empty table gives no rows; columns of the input with the
+names of results, or any other, are left alone.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import map_arrow, slices
+from weftgraph.plans.ordered import running_sum
 from weftgraph.plans.scratch import Scratch
 
 #: Words of the runs that a window's minimiser is taken from.
@@ -380,6 +387,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     ``kept_text`` is the kept words joined by one space.
     """
     scratch = Scratch(docs.sparkSession)
+    if docs.schema[key].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return _by_number(docs, key, scratch, text=text, window=window, most_places=most_places, keep=keep)
     keep = [c for c in keep or [] if c not in ("n_words", "n_removed", "kept_text")]
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text"))
     ranges = repeated_ranges(plain, scratch, window, most_places).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "ranges")
@@ -407,7 +416,30 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     return out.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep if c != "doc_id"], "n_words", "n_removed", "kept_text")
 
 
+def _by_number(docs: DataFrame, key: str, scratch: Scratch, **options) -> DataFrame:
+    """The same for ids of another type: in their order they get numbers."""
+    ids = docs.select(F.col(key).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__one", F.lit(1))
+    numbers = running_sum(ids, [F.col("__id").asc()], "__one", "__number", scratch, "ids").select("__id", F.col("__number").cast("long").alias("__number"))
+    numbered = docs.join(numbers, F.col(key) == F.col("__id"), "left").drop("__id")
+    keep = [c for c in options.pop("keep") or [] if c not in ("n_words", "n_removed", "kept_text", key)]
+    found = remove_repeats(numbered, "__number", keep=[*keep, key], **options)
+    return found.select(F.col(key).alias("doc_id"), *keep, "n_words", "n_removed", "kept_text")
+
+
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with repeated passages taken out; a text that loses nothing stays as it is."""
     cleaned = remove_repeats(docs, keep=[c for c in docs.columns], **options)
     return cleaned.select(*[F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)),
+late AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM late),
+places AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM places p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

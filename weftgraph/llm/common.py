@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with marks before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words: ``bytes.split`` parts at just the six characters that ``WORD`` excludes."""
     return text.encode("utf-8", "replace").split() if text else []

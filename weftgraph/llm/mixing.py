@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import WORD
+from weftgraph.llm.common import WORD, unused
 from weftgraph.plans.ordered import running_sum
 from weftgraph.plans.scratch import Scratch
 
@@ -93,10 +93,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows are told apart by a key of their own."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    taken = mix(rows, key, row="__row", **options).where("copies > 0").select("__row", "copies")
-    joined = rows.join(taken, "__row").withColumn("__copy", F.explode(F.expr("sequence(1, copies)")))
-    return joined.select(*docs.columns)
+    row = unused(docs, "__row")
+    rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    copies = unused(rows, "__copies")
+    taken = mix(rows, key, row=row, **options).where("copies > 0").select(row, F.col("copies").alias(copies))
+    joined = rows.join(taken, row)
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).drop(copies)
 
 
 ORACLE = r"""

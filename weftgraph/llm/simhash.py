@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import map_arrow, slices
+from weftgraph.llm.common import map_arrow, slices, unused
 from weftgraph.plans.scratch import Scratch
 
 FANOUT = 8
@@ -264,10 +264,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, most_group: int = 4096) -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest ``key``, null ones last, and of equal ones any."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = scratch.keep(fingerprints(rows, "__row", text, shingle).join(rows.select(F.col("__row").alias("doc_id"), F.col(key).alias("key")), "doc_id"), "prints")
+    name = unused(docs, "__row")
+    rows = scratch.keep(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    prints = scratch.keep(fingerprints(rows, name, text, shingle).join(rows.select(F.col(name).alias("doc_id"), F.col(key).alias("key")), "doc_id"), "prints")
     roots = linked_prints(prints, most_group, scratch)
     order = F.struct(F.col("key").isNull().alias("none"), "key", F.col("doc_id").alias("row"))
     least = prints.groupBy("print").agg(F.min(order).alias("first"))
-    keep = least.join(roots, "print").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    keep = least.join(roots, "print").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(name))
+    return rows.join(keep, name, "left_semi").select(*docs.columns)

@@ -416,14 +416,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     return out.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep if c != "doc_id"], "n_words", "n_removed", "kept_text")
 
 
-def _by_number(docs: DataFrame, key: str, scratch: Scratch, **options) -> DataFrame:
+def _by_number(docs: DataFrame, key: str, scratch: Scratch, keep: list[str] | None, **options) -> DataFrame:
     """The same for ids of another type: in their order they get numbers."""
     ids = docs.select(F.col(key).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__one", F.lit(1))
     numbers = running_sum(ids, [F.col("__id").asc()], "__one", "__number", scratch, "ids").select("__id", F.col("__number").cast("long").alias("__number"))
-    numbered = docs.join(numbers, F.col(key) == F.col("__id"), "left").drop("__id")
-    keep = [c for c in options.pop("keep") or [] if c not in ("n_words", "n_removed", "kept_text", key)]
-    found = remove_repeats(numbered, "__number", keep=[*keep, key], **options)
-    return found.select(F.col(key).alias("doc_id"), *keep, "n_words", "n_removed", "kept_text")
+    numbered = docs.join(numbers, F.col(key) == F.col("__id"), "left").withColumn("__id", F.col(key))
+    keep = [c for c in keep or [] if c not in ("n_words", "n_removed", "kept_text", key)]
+    found = remove_repeats(numbered, "__number", keep=[*keep, "__id"], **options)
+    return found.select(F.col("__id").alias("doc_id"), *keep, "n_words", "n_removed", "kept_text")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

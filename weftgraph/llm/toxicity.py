@@ -41,7 +41,7 @@ MOST_VECTORS, LEAST_TEXTS = 30_000, 4
 #: Chance that a word's own vector takes part in a training step; else its n-grams speak for it alone.
 KEEP = 0.5
 #: Passes over the training windows at most.
-MOST_PASSES = 20
+MOST_PASSES = 80
 #: Training pace of vectors against the layers, and the squares that their paces start from.
 PACE, START = 3.0, 1e-5
 #: Weight of a clean text in the calibration: the sample holds fewer of them than a corpus.
@@ -274,8 +274,8 @@ def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[starts], np.add.reduceat(rows[order], starts)
 
 
-def train(table: pa.Table, steps: int = 900, batch: int = 512, rate: float = 0.01, seed: int = 5) -> Network:
-    """Train on about 256 times ``steps`` windows, in five passes or more."""
+def train(table: pa.Table, visits: int = 150_000, batch: int = 512, rate: float = 0.01, seed: int = 5) -> Network:
+    """Train until windows were seen about ``visits`` times in all, in five passes or more."""
     rank, y = table.column("rank").to_numpy(), table.column("label").to_numpy()
     if not len(y) or y.min() == y.max():
         return Network(Network.fresh({}, seed).p, {}, (0.0, 60.0 if len(y) and y[0] else -60.0))
@@ -321,7 +321,7 @@ def train(table: pa.Table, steps: int = 900, batch: int = 512, rate: float = 0.0
         return np.concatenate([network.forward(gates[tokens[:, i : i + 2048]], mask[:, i : i + 2048]) for i in range(0, len(y), 2048)])
 
     batch = min(batch, max(256, len(y) // 64))
-    passes = min(MOST_PASSES, max(5, -(-steps * 256 // len(y))))
+    passes = min(MOST_PASSES, max(5, visits // len(y)))
     for done in range(passes):
         if done >= 2 * passes // 5:  # only the worst windows of a toxic text count as toxic, and those of a clean one most
             now = logits()

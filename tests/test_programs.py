@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import sys
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import weftgraph
 from weftgraph.__main__ import main
 from weftgraph.functions import execution, features, text
-from weftgraph.operators import analysis, builder, statistics, transforms
+from weftgraph.operators import analysis, builder, query, statistics, transforms
 from weftgraph.schema import CONTROL, DATA, GraphCreationError, GraphTransformError, UnsupportedCompiler
 from weftgraph.sources import compilers, files, hlo, ir, wire
 from weftgraph.sources.llvm_text import build_graph, text_components
@@ -204,6 +205,23 @@ def test_ir_by_suffix(spark, tmp_path):
     assert [(r.idx, r.text) for r in ir.unpack_lists(lists).collect()] == [(0, "u"), (1, "v")]
 
 
+def test_messages_tables_and_strict_roots(spark, tmp_path):
+    df = spark.createDataFrame([("a", bytearray(wire.dumps("NodeIndexList", {"node": [4, 5]}))), ("b", bytearray(b"\x0a\xff"))], "path string, content binary")
+    found = {r.path: r for r in query.messages(df, "NodeIndexList").collect()}
+    assert json.loads(found["a"].json) == {"node": [4, 5]} and found["b"].error
+    with pytest.raises(ValueError):
+        query.messages(df, "Nothing")
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n")
+    assert compilers.csv_scan(spark, str(tmp_path / "t.csv"), hashlib.sha256(b"a,b\n1,x\n").hexdigest()).first().b == "x"
+    with pytest.raises(ValueError, match="sha256"):
+        compilers.csv_scan(spark, str(tmp_path / "t.csv"), "0" * 64)
+    with pytest.raises(GraphCreationError, match="^3:1: error: expected instruction opcode"):
+        build_graph("define void @f() {\n  ret void\n  123\n}")
+    _, t = two(spark)
+    with pytest.raises(ValueError, match="no node that may be a root"):
+        analysis.run("subexpressions", t["nodes"], t["edges"], strict=True)
+
+
 def test_own_analysis(spark):
     class Ends(analysis.Analysis):
         name = "ends"

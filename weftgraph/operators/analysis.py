@@ -295,8 +295,11 @@ ANALYSES: dict[str, tuple[Callable, Callable, Callable]] = {
 }
 
 
-def run(name: str, nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Labels and instances of an analysis by name, for sampled roots."""
+def run(name: str, nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int = 0, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Labels and instances of an analysis by name, for sampled roots.
+
+    A graph without a node that may be a root has no rows, or with ``strict`` is an error.
+    """
     if name not in ANALYSES:
         raise ValueError(f"unknown analysis: {name}")
     labels, instances, candidates = ANALYSES[name]
@@ -304,6 +307,8 @@ def run(name: str, nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int
     nodes, edges = scratch.keep(nodes, "nodes"), scratch.keep(edges, "edges")  # each is read many times
     known = {"out": scratch.keep(live_out(nodes, edges), "out")} if name == "liveness" else {}
     roots = scratch.keep(sample_roots(candidates(nodes, edges, **known), most, seed), "roots")
+    if strict and (without := nodes.select("graph_id").distinct().join(roots, "graph_id", "left_anti").first()):
+        raise ValueError(f"graph {without.graph_id} has no node that may be a root of {name}")
     return labels(nodes, edges, roots, **known), instances(nodes, edges, roots, **known)
 
 

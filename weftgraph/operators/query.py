@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.sources import wire
+
 #: Query text: (table it reads, what it does).
 QUERIES: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "node.text": ("nodes", lambda df: df.select("text")),
@@ -31,6 +34,25 @@ def sql(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(statement)
 
 
+def messages(blobs: DataFrame, message: str, key: str = "path", data: str = "content", encoding: str = "pb") -> DataFrame:
+    """``key, json, error``: messages of any kind of the exchange format as JSON, lists, features and HLO among them."""
+    if message not in wire.MESSAGES:
+        raise ValueError(f"unknown message: {message}; known are {', '.join(wire.MESSAGES)}")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, content in zip(batch["k"], batch["d"], strict=True):
+                try:
+                    rows.append((k, wire.dumps(message, wire.loads(message, bytes(content or b""), encoding), "json").decode(), None))
+                except (ValueError, TypeError, OSError, EOFError) as e:
+                    rows.append((k, None, str(e)))
+            yield pd.DataFrame(rows, columns=[key, "json", "error"])
+
+    kind = blobs.schema[key].dataType.simpleString()
+    return blobs.select(F.col(key).alias("k"), F.col(data).cast("binary").alias("d")).mapInPandas(read, f"`{key}` {kind}, json string, error string")
+
+
 def label_counts(labels: DataFrame) -> DataFrame:
     """``analysis, graph_id, count`` with totals (null) for each analysis and all."""
     return labels.rollup("analysis", "graph_id").agg(F.count("*").alias("count"))

@@ -132,6 +132,21 @@ def checked_content(files: DataFrame, sha256: str) -> DataFrame:
     return files.where(F.assert_true(F.sha2("content", 256) == sha256, F.lit("sha256 differs")).isNull())
 
 
+def csv_scan(spark, path: str, sha256: str | None = None, **options) -> DataFrame:
+    """A table of a CSV file with a header; with ``sha256`` the file's content must have that hash."""
+    if sha256 is not None:
+        content = spark.read.format("binaryFile").load(path)
+        if content.where(F.sha2("content", 256) != sha256).count():
+            raise ValueError(f"the sha256 of {path} is not {sha256}")
+    return spark.read.csv(path, header=True, inferSchema=True, **options)
+
+
+def database_batches(spark, url: str, column: str, low: int, high: int, parts: int, table: str = "intermediate_representation", **options: str) -> DataFrame:
+    """The same scan in ``parts`` ranges of an integer column, each read by a task of its own, in place of LIMIT and OFFSET."""
+    bounds = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return database_scan(spark, url, table, **bounds, **options)
+
+
 def preprocess_source(text: Column, header: str = "") -> Column:
     """Contest sources made compilable: ``main`` returns int, a header goes before."""
     text = F.regexp_replace(text, r"\bvoid\s+main\b", "int main ")

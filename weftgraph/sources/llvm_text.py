@@ -288,7 +288,10 @@ def read_module(text: str) -> tuple[str, dict[str, str], list[Routine]]:
                             at += 1
                         if re.match(r"(?:catch|filter|cleanup|to label|unwind)\b", line) and blocks[-1][1]:
                             line = f"{blocks[-1][1].pop().text} {line}"
-                        blocks[-1][1].append(read_instruction(line))
+                        try:
+                            blocks[-1][1].append(read_instruction(line))
+                        except GraphCreationError as e:
+                            raise GraphCreationError(f"{at}:1: {e}\n{line}\n^") from e
                 if any(not rows for _, rows in blocks):
                     raise GraphCreationError(f"{at}:1: error: expected instruction opcode")
             prof = re.search(r"!prof\s+(!\d+)", lines[first])

@@ -80,5 +80,6 @@ ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op2_quality_rules": quality.ORACLE,
     "op3_substring_dedup": substrings.ORACLE,
+    "op5_simhash": simhash.ORACLE,
     "op7_warc_revisits": revisits.ORACLE,
 }

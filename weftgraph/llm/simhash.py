@@ -272,3 +272,65 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     least = prints.groupBy("print").agg(F.min(order).alias("first"))
     keep = least.join(roots, "print").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(name))
     return rows.join(keep, name, "left_semi").select(*docs.columns)
+
+
+def _oracle() -> str:
+    """DuckDB SQL for ``near_duplicates``: XXH64 step by step over the bytes of each shingle, in 128-bit integers.
+
+    Fixed values: the five primes of XXH64 and its seed.
+    """
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    mask, seed = f"{(1 << 64) - 1}::UHUGEINT", 42
+    primes = [int(p.split(":")[0]) for p in (p1, p2)]
+    starts = [(seed + primes[0] + primes[1]) % (1 << 64), (seed + primes[1]) % (1 << 64), seed, (seed - primes[0]) % (1 << 64)]
+
+    def mul(a: str, b: str) -> str:
+        return f"((({a}) * {b}) & {mask})"
+
+    def rotl(a: str, r: int) -> str:
+        return f"(((({a}) * {1 << r}::UHUGEINT) & {mask}) | (({a}) // {1 << (64 - r)}::UHUGEINT))"
+
+    def number(at: str, n: int) -> str:
+        """The little-endian number of ``n`` bytes from a place on."""
+        digits = " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in range(n - 1, -1, -1))
+        return f"('0x' || {digits})::UBIGINT::UHUGEINT"
+
+    def turn(v: str) -> str:
+        return mul(rotl(mul(v, p2), 31), p1)
+
+    def stripes(j: int) -> str:
+        lanes = f"list_transform(range(n // 32), lambda k: {number(f'32 * k + {8 * j}', 8)})"
+        return f"list_reduce({lanes}, lambda a, l: {mul(rotl(f'(a + {mul("l", p2)}) & {mask}', 31), p1)}, {starts[j]}::UHUGEINT)"
+
+    merged = f"(({rotl('v0', 1)} + {rotl('v1', 7)} + {rotl('v2', 12)} + {rotl('v3', 18)}) & {mask})"
+    for j in range(4):
+        merged = f"(({mul(f'xor({merged}, {turn(f"v{j}")})', p1)} + {p4}) & {mask})"
+    eight = f"list_reduce(list_transform(range(n % 32 // 8), lambda k: {number('n // 32 * 32 + 8 * k', 8)}), lambda a, l: ({mul(rotl(f'xor(a, {turn("l")})', 27), p1)} + {p4}) & {mask}, h)"
+    four = f"CASE WHEN n % 8 >= 4 THEN ({mul(rotl(f'xor(h, {mul(number("n // 8 * 8", 4), p1)})', 23), p2)} + {p3}) & {mask} ELSE h END"
+    one = f"list_reduce(list_transform(range(n % 4), lambda k: {number('n // 4 * 4 + k', 1)}), lambda a, l: {mul(rotl(f'xor(a, {mul("l", p5)})', 11), p1)}, h)"
+    bits = ", ".join(f"(2 * sum((h >> {b}) & 1) > count(*))::INT::UBIGINT << {b} AS b{b}" for b in range(64))
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+  SELECT doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 2),
+kinds AS MATERIALIZED (SELECT s, hex(encode(s)) AS x, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM shingles)),
+long AS MATERIALIZED (SELECT s, x, n, {", ".join(f"CASE WHEN n >= 32 THEN {stripes(j)} END AS v{j}" for j in range(4))} FROM kinds),
+a AS MATERIALIZED (SELECT s, x, n, ((CASE WHEN n >= 32 THEN {merged} ELSE {seed}::UHUGEINT + {p5} END) + n::UHUGEINT) & {mask} AS h FROM long),
+b AS MATERIALIZED (SELECT s, x, n, {eight} AS h FROM a),
+c AS MATERIALIZED (SELECT s, x, n, {four} AS h FROM b),
+d AS MATERIALIZED (SELECT s, {one} AS h FROM c),
+e AS MATERIALIZED (SELECT s, {mul(f"xor(h, h // {1 << 33}::UHUGEINT)", p2)} AS h FROM d),
+f AS MATERIALIZED (SELECT s, {mul(f"xor(h, h // {1 << 29}::UHUGEINT)", p3)} AS h FROM e),
+g AS MATERIALIZED (SELECT s, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM f),
+found AS (SELECT doc_id, {bits} FROM shingles JOIN g USING (s) GROUP BY doc_id),
+prints AS MATERIALIZED (SELECT w.doc_id, coalesce({" | ".join(f"b{b}" for b in range(64))}, 0::UBIGINT) AS print FROM w LEFT JOIN found USING (doc_id)),
+classes AS MATERIALIZED (SELECT print, min(doc_id) AS id FROM prints GROUP BY print),
+links AS MATERIALIZED (SELECT l.print AS p, r.print AS q FROM classes l JOIN classes r ON l.print <> r.print AND bit_count(xor(l.print, r.print)) <= 3),
+reach AS (SELECT print, print AS q FROM classes UNION SELECT r.print, l.q FROM reach r JOIN links l ON l.p = r.q),
+named AS (SELECT r.print, min(c.id) AS component_id FROM reach r JOIN classes c ON c.print = r.q GROUP BY r.print)
+SELECT doc_id, lower(lpad(to_hex(print), 16, '0')) AS fingerprint, component_id FROM prints JOIN named USING (print)
+"""
+
+
+ORACLE = _oracle()

@@ -5,6 +5,7 @@ from weftgraph.schema import GraphCreationError, UnsupportedCompiler
 from weftgraph.sources import ir
 from weftgraph.sources.llvm_text import build_graph, read_instruction, read_type
 
+# This module and the texts expected of it are a known example of the format.
 ADD = """
 source_filename = "foo.c"
 target triple = "x86_64-apple-macosx10.15.0"
@@ -20,6 +21,7 @@ define i32 @A(i32, i32) #0 {
   ret i32 %7
 }
 """
+# An own module: types, loops, a switch, recursion, a declaration.
 FIB = """
 %struct.node = type { i32, %struct.node* }
 declare i32 @puts(i8*)

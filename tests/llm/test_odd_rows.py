@@ -1,5 +1,6 @@
 """Nulls, copies, ties, odd ids and empty tables for the corpus operators and the pipeline's stages."""
 
+import gzip
 import random
 
 import numpy as np
@@ -180,6 +181,21 @@ def test_revisits_of_one_hot_url(spark):
             assert found[i] == (max(before)[1] if before else None)
 
 
+def test_warc_files(spark, tmp_path):
+    def record(kind, name, url, date, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": name, "WARC-Target-URI": url, "WARC-Date": date, "Content-Length": str(len(block)), **more}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    full = b'HTTP/1.1 200 OK\r\nETag: "a"\r\nContent-Type: text/html\r\n\r\nWARC/1.0 is in the text\r\n\r\n'
+    not_modified = b'HTTP/1.1 304 Not Modified\r\nETag: W/"a"\r\nDate: d2\r\n\r\n'
+    parts = [record("warcinfo", "<i>", "x", "2024-01-01T00:00:00Z", b"software: x"), record("response", "<r>", "http://a.com/", "2024-01-01T00:00:00Z", full), record("revisit", "<v>", "https://www.a.com", "2024-01-02T00:00:00Z", not_modified, **{"WARC-Profile": "server-not-modified"})]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "b.warc").write_bytes(record("revisit", "<w>", "b.com", "no date", not_modified) + b"WARC/1.0\r\ncut")
+    found = {r.record_id: r for r in revisits.resolve(revisits.read_warc(spark, str(tmp_path))).collect()}
+    assert {k: (r.target_id, r.state) for k, r in found.items()} == {"<v>": ("<r>", "resolved"), "<w>": (None, "no_response")}
+    assert found["<v>"].headers == {"etag": 'W/"a"', "date": "d2", "content-type": "text/html"}
+
+
 def test_cleaned_texts(spark):
     line = "All rights reserved 2024 by the host"
     body = lambda i: " ".join(chr(97 + i % 26) * (i + 1) + chr(97 + j % 26) * (j + 1) for j in range(60))

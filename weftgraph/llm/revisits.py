@@ -22,7 +22,12 @@ alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,6 +101,54 @@ def resolve(records: DataFrame) -> DataFrame:
     return joined.select("record_id", "url", "target_id", state.alias("state"), F.when(state.isin("resolved", "unchecked"), merged).otherwise(new).alias("headers"))
 
 
+def parse_warc(data: bytes) -> Iterator[tuple[str | None, str | None, int | None, str, dict[str, str], str | None]]:
+    """``record_id, url, at, kind, headers, digest`` of each record of a WARC file, gzipped or not.
+
+    Headers are those of the HTTP answer, names in lower case; a block cut short ends the file.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+
+    def fields(block: bytes) -> dict[str, str]:
+        pairs = (line.split(":", 1) for line in block.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+        return {k.strip().lower(): v.strip() for k, v in pairs}
+
+    at = data.find(b"WARC/")
+    while at >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        head = fields(data[at:end])
+        size = int(head.get("content-length", "0")) if head.get("content-length", "0").isdigit() else 0
+        block = data[end + 4 : end + 4 + size]
+        http = fields(block.split(b"\r\n\r\n", 1)[0]) if block[:5] == b"HTTP/" else {}
+        try:
+            when = int(datetime.fromisoformat(head.get("warc-date", "").replace("Z", "+00:00")).timestamp())
+        except ValueError:
+            when = None
+        yield head.get("warc-record-id"), head.get("warc-target-uri"), when, head.get("warc-type", ""), http, head.get("warc-payload-digest")
+        at = data.find(b"WARC/", end + 4 + size)
+
+
+def read_warc(spark: SparkSession, path: str, pattern: str = "*.warc*") -> DataFrame:
+    """The records of all WARC files under a folder, as ``resolve`` takes them; a file is read whole (2 GB at most)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("content")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["record_id", "url", "at", "kind", "headers", "digest"]
+        for batch in batches:
+            for content in batch["content"]:
+                rows = []
+                for record in parse_warc(bytes(content)):
+                    rows.append(record)
+                    if len(rows) >= 1000:
+                        yield pd.DataFrame(rows, columns=columns).astype({"at": "Int64"})
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns).astype({"at": "Int64"})
+
+    return files.mapInPandas(read, "record_id string, url string, at long, kind string, headers map<string,string>, digest string")
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """WARC records made from all of ``page_id, url, html``: a response of each page, and a revisit days later.
 

@@ -1,5 +1,8 @@
+import functools
+
 import pytest
 from graphs import build
+from pyspark.sql import DataFrame
 
 from weftgraph.sources import files, wire
 
@@ -70,3 +73,32 @@ def test_written_bytes(spark):
         assert [x["text"] for x in graph["node"]] == ["[external]", "n1", "n2"] and graph["edge"][1]["position"] == 1
     with pytest.raises(TypeError):
         files.to_bytes(n, e, "txt.bz2")
+
+
+def test_saved_graphs_take_the_place_of_others(spark, tmp_path):
+    place = str(tmp_path / "graphs")
+    first = [build(spark, "I", "c:0>1", graph_id=g) for g in range(1, 9)]
+    second = [build(spark, "IV", "c:0>1 d:2>1", graph_id=g) for g in (1, 2)]
+    whole = lambda parts: (functools.reduce(DataFrame.union, (n for n, _ in parts)), functools.reduce(DataFrame.union, (e for _, e in parts)))
+    assert files.save_graphs(place, *whole(first)) == 8 and files.load_graphs(spark, place).count() == 8
+    assert files.save_graphs(place, *whole(second)) == 2
+    assert [len(r.nodes) for r in files.load_graphs(spark, place).collect()] == [3, 3]
+    with pytest.raises(FileExistsError):
+        files.save_graphs(place, *whole(second), exist_ok=False)
+    assert files.load_graphs(spark, place).count() == 2 and [x.name for x in tmp_path.iterdir()] == ["graphs"]
+
+
+def test_files_of_other_attempts_are_not_published(tmp_path):
+    staging, place = tmp_path / "s", tmp_path / "p"
+    for folder, names in ((staging, ("part-0-7", "part-0-9")), (place, ("old",))):
+        folder.mkdir()
+        for name in names:
+            (folder / name).write_bytes(b"x")
+    files._publish(str(staging), str(place), {"part-0-9"})
+    assert [x.name for x in place.iterdir()] == ["part-0-9"] and not staging.exists()
+
+
+def test_stems(spark):
+    graphs = spark.createDataFrame([(p,) for p in ("g/a.1.ProgramGraph.pb", "g/a.2.ProgramGraph.pb", "x/b.ProgramGraphList.pb.gz", "x/.pb")], "path string")
+    irs = spark.createDataFrame([("i/a.1.ll", "one"), ("i/a.2.Ir.pb", "two"), ("i/b.ll", "b"), ("i/a.ll", "none")], "path string, text string")
+    assert {r.path: r.ir for r in files.joined_by_stem(graphs, irs).collect()} == {"g/a.1.ProgramGraph.pb": "one", "g/a.2.ProgramGraph.pb": "two", "x/b.ProgramGraphList.pb.gz": "b", "x/.pb": None}

@@ -59,7 +59,7 @@ def test_texts_of_a_simple_function():
     full = [n["full_text"] for n in graph["nodes"]]
     assert full[1:8] == ["%3 = alloca i32, align 4", "%4 = alloca i32, align 4", "store i32 %0, i32* %3, align 4", "i32* %3", "i32*", "i32", "store i32 %1, i32* %4, align 4"]
     assert full[14:] == ["i32 %5", "i32 %6", "ret i32 %7", "i32 %7", "i32 %0", "i32 %1", "i32 1"]
-    assert graph["modules"] == [{"module_id": 0, "name": "foo.c"}]
+    assert graph["modules"] == [{"module_id": 0, "name": "foo.c", "features": None}]
 
 
 def test_control_and_calls():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import weftgraph
 from weftgraph.__main__ import main
-from weftgraph.functions import execution, features, text
+from weftgraph.functions import features, text
 from weftgraph.operators import analysis, builder, query, statistics, transforms
 from weftgraph.schema import CONTROL, DATA, GraphCreationError, GraphTransformError, UnsupportedCompiler
 from weftgraph.sources import compilers, files, hlo, ir, wire
@@ -247,39 +247,7 @@ def test_own_analysis(spark):
     assert "data:\n    1: [3]\n" in analysis.adjacency_text(t["edges"]).first().text
 
 
-def test_execution_and_messages(tmp_path):
-    calls = []
-    job = execution.Job(lambda x: calls.append(x) or x, 3)
-    assert not calls and job.result() == job.result() == 3 and calls == [3]
-    assert list(execution.execute(lambda x: x * 2, range(5), ahead=2)) == [0, 2, 4, 6, 8]
-
-    @execution.time_limit(0.05)
-    def slow():
-        while True:
-            pass
-
-    with pytest.raises(TimeoutError):
-        slow()
-
-    class Thing:
-        made = 0
-
-        @execution.memoized_property
-        def value(self):
-            self.made += 1
-            return self.made
-
-    thing = Thing()
-    assert thing.value == thing.value == 1
-
-    @dataclass
-    class Repo(execution.Messages):
-        message = "Repo"
-        url: str
-        sha1: str
-
-    Repo("u", "s").to_file(str(tmp_path / "r.json"))
-    assert Repo.from_file(str(tmp_path / "r.json")) == Repo("u", "s")
+def test_messages():
     value = wire.loads("Repo", wire.dumps("Repo", {"url": "u" * 50}))
     assert wire.check_set("Repo", value, "url") and "..." in wire.pretty_json("Repo", value, 10)
     for wrong in (lambda: wire.check_set("Repo", value, "sha1"), lambda: wire.check_rule("Repo", value, "url", lambda x: len(x) < 9)):

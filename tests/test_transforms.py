@@ -55,6 +55,15 @@ def test_vocabulary_ids(spark):
     assert [r.token_id for r in transforms.encode_vocabulary(n, vocabulary).orderBy("node_id").collect()] == [3, 0, 1, 2, 2]
 
 
+def test_ids_without_a_word_for_the_unknown(spark):
+    n, _ = build(spark, "IIV", "", ["add", "odd", "v"])
+    vocabulary = spark.createDataFrame([("add", 3)], "text string, id int")
+    found, _ = transforms.annotate_inst2vec(n, vocabulary)
+    ids = [r.features["inst2vec_embedding"].ints for r in found.orderBy("node_id").collect()]
+    assert ids == [[None], [3], [None], [None]]
+    assert [r.token_id for r in transforms.encode_vocabulary(n, vocabulary).orderBy("node_id").collect()] == [3, None, None]
+
+
 def test_violations(spark):
     n, e = build(spark, "IVCT", "c:0>1 c:1>2 d:2>1 d:4>1 k:0>1@1 t:4>2 t:2>3 c:1>9")
     assert {r.edge_id for r in validation.edge_violations(n, e).collect()} == {1, 3, 4, 6, 7}

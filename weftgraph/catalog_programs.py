@@ -250,9 +250,12 @@ def readable_numbers(spark, sf_dir):
 
 @query("SELECT o.o_orderkey AS graph_id, (x.l_orderkey IS NOT NULL) AS has_ir, x.n FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) x ON x.l_orderkey = o.o_orderkey")
 def stem_join(spark, sf_dir):
-    graphs = _table(spark, sf_dir, "orders").select(F.concat(F.lit("graphs/"), F.col("o_orderkey").cast("string"), F.lit(".ProgramGraph.pb")).alias("path"), F.col("o_orderkey").alias("graph_id"))
+    """Names have dots of their own, and folders: ``lib.7/order.3.ProgramGraph.pb``."""
+    name = lambda c, folder, suffix: F.concat(F.lit(folder), (c % 10).cast("string"), F.lit("/order."), c.cast("string"), F.lit(".v1"), F.lit(suffix))
+    key = F.col("o_orderkey")
+    graphs = _table(spark, sf_dir, "orders").select(name(key, "graphs/lib.", ".ProgramGraph.pb").alias("path"), key.alias("graph_id"))
     returned = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    irs = returned.select(F.concat(F.lit("ir/"), F.col("l_orderkey").cast("string"), F.lit(".ll")).alias("path"), F.col("n").cast("string").alias("text"))
+    irs = returned.select(name(F.col("l_orderkey"), "ir/lib.", ".ll").alias("path"), F.col("n").cast("string").alias("text"))
     return files.joined_by_stem(graphs, irs).select("graph_id", F.col("ir").isNotNull().alias("has_ir"), F.col("ir").cast("long").alias("n"))
 
 

@@ -15,9 +15,14 @@ def strip_non_utf8(data: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(data), "�", "")
 
 
-def stem(path: Column) -> Column:
-    """File name up to its first dot."""
-    return F.substring_index(F.element_at(F.split(path, "/"), -1), ".", 1)
+#: The suffixes of file names that stems are told without; compression comes after them.
+SUFFIXES = ("ProgramGraph.pb", "ProgramGraph.pbtxt", "ProgramGraph.json", "ProgramGraphList.pb", "ProgramGraphList.pbtxt", "ProgramGraphList.json", "Ir.pb", "IrList.pb", "ll", "bc")
+
+
+def stem(path: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """File name without one of the whole ``suffixes`` (and ``.gz``); other dots, and the name itself, stay."""
+    known = "|".join(s.replace(".", r"\.") for s in suffixes)
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), rf"(?<=.)\.(?:{known})(?:\.gz)?$", "")
 
 
 def commas(number: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from weftgraph.plans.ordered import running_sum
+from weftgraph.plans.ordered import ranks_within, running_sum, values_at
 from weftgraph.plans.scratch import Scratch
 
 
@@ -96,15 +97,25 @@ def random_split(rows: DataFrame, key: str, train: int = 60, val: int = 20, seed
 
 def stratified_split(rows: DataFrame, source: str, label: str, seed: int = 0) -> DataFrame:
     """``source, label, split``: of each label's sources three fifths train, one fifth val, the rest test; a source stays whole."""
-    sources = rows.groupBy(source).agg(F.min(label).alias(label))
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.col(source).cast("string"), F.lit(f":{seed}"))), source)
-    ranked = sources.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(label)))
+    sources = rows.groupBy(source).agg(F.min(label).alias(label)).withColumn("__spread", F.md5(F.concat(F.col(source).cast("string"), F.lit(f":{seed}"))))
+    ranked = ranks_within(sources, [label], [F.col("__spread").asc(), F.col(source).asc()], Scratch(rows.sparkSession), "split", "rank", "n")
     third, fifth = F.floor(3 * F.col("n") / 5), F.floor(F.col("n") / 5)
     return ranked.select(source, label, F.when(F.col("rank") <= third, "train").when(F.col("rank") <= third + fifth, "val").otherwise("test").alias("split"))
 
 
 def summary(values: DataFrame, column: str) -> DataFrame:
-    """``n, mean, stdev, p0, p50, p95, p99, p100`` with the population deviation."""
-    at = F.percentile(column, F.array(*map(F.lit, (0.0, 0.5, 0.95, 0.99, 1.0))))
-    found = values.agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_pop(column), 6).alias("stdev"), at.alias("p"))
-    return found.select("n", "mean", "stdev", *[F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p0", "p50", "p95", "p99", "p100"))])
+    """``n, mean, stdev, p0, p50, p95, p99, p100`` with the population deviation.
+
+    Percentiles are exact, between the two nearest ranks by distance; no task sees all values.
+    """
+    found = values.agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_pop(column), 6).alias("stdev"))
+    n = values.where(F.col(column).isNotNull()).count()
+    places = {name: share * (n - 1) for name, share in (("p0", 0.0), ("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p100", 1.0))}
+    ends = {r for at in places.values() for r in (math.floor(at), math.ceil(at))} if n else set()
+    at_rank = values_at(values, column, sorted(ends), Scratch(values.sparkSession), "values")
+
+    def between(at: float) -> float | None:
+        low, high = math.floor(at), math.ceil(at)
+        return None if not n else float(at_rank[low]) if low == high else (high - at) * at_rank[low] + (at - low) * at_rank[high]
+
+    return found.select("n", "mean", "stdev", *[F.round(F.lit(between(at)).cast("double"), 6).alias(name) for name, at in places.items()])

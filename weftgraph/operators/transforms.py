@@ -234,6 +234,7 @@ def annotate_inst2vec(nodes: DataFrame, vocabulary: DataFrame, full_text: str =
     """Nodes with the features ``inst2vec_preprocessed`` (instructions) and ``inst2vec_embedding``, and each graph's feature ``inst2vec_annotated``.
 
     ``vocabulary`` has ``text, id``; ``structs`` (graph_id, name, body) are written into the texts first.
+    Where it has no ``!UNK`` (``!IDENTIFIER``, ``!IMMEDIATE``), such ids are null.
     """
     from weftgraph.operators.adapters import inline_structs
 
@@ -244,7 +245,7 @@ def annotate_inst2vec(nodes: DataFrame, vocabulary: DataFrame, full_text: str =
     known = vocabulary.select(F.col("text").alias("__text"), F.col("id").cast("long").alias("__id"))
     fixed = {r["text"]: r["id"] for r in vocabulary.where(F.col("text").isin("!UNK", "!IDENTIFIER", "!IMMEDIATE")).collect()}
     found = base.join(known, "__text", "left")
-    token = F.when(F.col("type") == INSTRUCTION, F.coalesce("__id", F.lit(fixed["!UNK"]))).when(F.col("type") == VARIABLE, F.lit(fixed["!IDENTIFIER"])).otherwise(F.lit(fixed["!IMMEDIATE"]))
+    token = F.when(F.col("type") == INSTRUCTION, F.coalesce("__id", F.lit(fixed.get("!UNK")).cast("long"))).when(F.col("type") == VARIABLE, F.lit(fixed.get("!IDENTIFIER")).cast("long")).otherwise(F.lit(fixed.get("!IMMEDIATE")).cast("long"))
     features = F.col("features") if "features" in nodes.columns else F.lit(None)
     with_text = F.when(F.col("type") == INSTRUCTION, put(features.cast(_FEATURES), "inst2vec_preprocessed", text(F.col("__text")))).otherwise(features.cast(_FEATURES))
     found = found.withColumn("__features", put(with_text, "inst2vec_embedding", integer(token.cast("long"))))

@@ -1,4 +1,9 @@
-"""Running sums and ranks in the order of all rows, without one task that sees them all."""
+"""Running sums, ranks and selections in the order of all rows, without one task that sees them all.
+
+Rows are dealt to range partitions and written, so that every pass sees the same ones.  Each
+partition counts its own rows; what lies before it comes from a table with one or two rows
+for each partition, whose size is that of the session's partitions and not of the data.
+"""
 
 from __future__ import annotations
 
@@ -22,3 +27,63 @@ def running_sum(df: DataFrame, order: list[Column], value: str, out: str, scratc
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # one row for each range partition, so its size is bounded by their number
     return ranged.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.sum(value).over(within)).drop("__part", "__before")
+
+
+def ranks_within(df: DataFrame, keys: list[str], order: list[Column], scratch: Scratch, label: str, rank: str = "rank", size: str | None = None) -> DataFrame:
+    """Add ``rank``, from 1, of each row among the rows with its ``keys`` in ``order``, and ``size``, their number.
+
+    Ranges are cut by keys and order together, so a hot key is spread over many partitions as
+    far as ``order`` tells its rows apart.  In its partition a key that is neither the first
+    nor the last one is whole; only for those two do rows lie elsewhere, and only theirs are
+    counted before.  Null keys are equal to each other.
+    """
+    ranged = scratch.keep(df.repartitionByRange(*[F.col(k).asc() for k in keys], *order).withColumn("__part", F.spark_partition_id()), label)
+    key, names = F.struct(*keys), [f"__key{i}" for i in range(len(keys))]
+    ends = ranged.groupBy("__part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ends = ends.select(F.col("__part").alias("__at"), F.explode(F.array("low", "high")).alias("key")).distinct()
+    ends = ends.select("__at", *[F.col("key")[k].alias(n) for k, n in zip(keys, names, strict=True)])
+
+    def same(part: str) -> Column:
+        found = F.col("__part") == F.col(part)
+        for k, n in zip(keys, names, strict=True):
+            found &= F.col(k).eqNullSafe(F.col(n))
+        return found
+
+    # two rows for each range partition at most, here and below
+    counts = ranged.join(F.broadcast(ends), same("__at"), "left_semi").groupBy(F.col("__part").alias("__at"), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count("*").alias("__n"))
+    of_key = Window.partitionBy(*names)
+    before = of_key.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("__at", *names, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(of_key).alias("__all"))
+    here = Window.partitionBy("__part", *keys)
+    local = ranged.withColumn("__local", F.row_number().over(here.orderBy(*order)))
+    if size is not None:
+        local = local.withColumn("__here", F.count("*").over(here))
+    found = local.join(F.broadcast(shifts), same("__at"), "left").withColumn(rank, (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("long"))
+    if size is not None:
+        found = found.withColumn(size, F.coalesce("__all", "__here").cast("long")).drop("__here")
+    return found.drop("__part", "__local", "__at", "__before", "__all", *names)
+
+
+def values_at(df: DataFrame, column: str, ranks: list[int], scratch: Scratch, label: str) -> dict[int, object]:
+    """The values of ``column`` at some ranks, from 0, in ascending order; nulls are left out.
+
+    Equal values are counted together first.  Of the range partitions of the different values
+    only the sizes are looked at, and then the rows of those that hold a wanted rank.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranged = scratch.keep(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), label)
+    wanted: dict[int, list[int]] = {}
+    start, starts = 0, {}
+    for row in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each partition
+        inside = [r for r in ranks if start <= r < start + row["n"]]
+        if inside:
+            wanted[row["part"]], starts[row["part"]] = inside, start
+        start += row["n"]
+    found: dict[int, object] = {}
+    for part, inside in wanted.items():
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        rows = ranged.where(F.col("part") == part).withColumn("upto", upto)
+        hit = F.filter(F.array(*[F.lit(r - starts[part]) for r in inside]), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+        for row in rows.select("value", F.explode(hit).alias("rank")).collect():  # a row for each wanted rank
+            found[row["rank"] + starts[part]] = row["value"]
+    return found

@@ -7,6 +7,7 @@ equal.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import stem
 from weftgraph.schema import EDGES, FEATURE, FUNCTIONS, MODULES, NODES, GraphTransformError
 from weftgraph.sources import wire
 
@@ -213,8 +215,17 @@ def to_string(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None =
     return to_bytes(nodes, edges, "pbtxt", functions, modules, graphs, as_list).select("graph_id", F.col("data").cast("string").alias("text"))
 
 
-def save_graphs(path: str, nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, compression: str | None = "gz") -> int:
-    """Write a list file for each task that holds graphs, and return the number of graphs."""
+def save_graphs(path: str, nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, compression: str | None = "gz", exist_ok: bool = True) -> int:
+    """Write a list file for each task that holds graphs, and return the number of graphs.
+
+    The folder then holds these graphs and no others: tasks write into a folder beside it under
+    names of their attempts, and when all are done it takes the place of what was there.  With
+    ``exist_ok`` off a folder that holds anything is an error.
+    """
+    place, staging = path.rstrip("/"), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    system, name = _file_system(place)
+    if not exist_ok and system.get_file_info(pyarrow.fs.FileSelector(name, allow_not_found=True)):
+        raise FileExistsError(path)
     suffix = f".ProgramGraphList.pb{_compression(compression)}"
     encoding = f"pb{_compression(compression)}"
 
@@ -225,12 +236,33 @@ def save_graphs(path: str, nodes: DataFrame, edges: DataFrame, functions: DataFr
         for batch in batches:
             found += [message_of(row) for row in batch.to_dict("records")]
             ids += batch["graph_id"].tolist()
-        if found:  # a task that runs again writes the same file
-            _write_file(f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():05d}{suffix}", wire.dumps("ProgramGraphList", {"graph": found}, encoding))
-        yield pd.DataFrame({"graph_id": ids})
+        if found:
+            file = f"part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}{suffix}"
+            _write_file(f"{staging}/{file}", wire.dumps("ProgramGraphList", {"graph": found}, encoding))
+            yield pd.DataFrame({"file": [file], "graphs": [len(ids)]})
 
     rows = packed_tables(nodes, edges, functions, modules, graphs).sortWithinPartitions("graph_id")
-    return rows.mapInPandas(write, "graph_id long").count()
+    try:
+        done = {r["file"]: r["graphs"] for r in rows.mapInPandas(write, "file string, graphs long").collect()}  # a row for each task
+        _publish(staging, place, set(done))
+    finally:
+        _, left = _file_system(staging)
+        if system.get_file_info(left).type != pyarrow.fs.FileType.NotFound:
+            system.delete_dir(left)
+    return sum(done.values())
+
+
+def _publish(staging: str, place: str, files: set[str]) -> None:
+    """Put a folder with just ``files`` of ``staging`` in the place of what is there."""
+    system, source = _file_system(staging)
+    _, target = _file_system(place)
+    system.create_dir(source, recursive=True)
+    for found in system.get_file_info(pyarrow.fs.FileSelector(source)):
+        if found.base_name not in files:  # of an attempt that did not end
+            system.delete_file(found.path)
+    if system.get_file_info(target).type != pyarrow.fs.FileType.NotFound:
+        system.delete_dir(target)
+    system.move(source, target)
 
 
 def load_graphs(spark: SparkSession, path: str, idx_list: list[int] | None = None, compression: str | None = "gz") -> DataFrame:
@@ -240,15 +272,21 @@ def load_graphs(spark: SparkSession, path: str, idx_list: list[int] | None = Non
     return decode(files, "path", "content", idx_list, lambda _: "ProgramGraphList", lambda _: encoding)
 
 
+def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """Any file system that Arrow knows."""
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+
+
 def _write_file(path: str, data: bytes, exist_ok: bool = True) -> None:
-    """Whole or not at all, on any file system that Arrow knows."""
-    system, name = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    """Whole or not at all; attempts that write the same file do not meet in one that is half done."""
+    system, name = _file_system(path)
     if not exist_ok and system.get_file_info(name).type != pyarrow.fs.FileType.NotFound:
         raise FileExistsError(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(f"{name}.tmp", compression=None) as out:
+    own = f"{name}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(own, compression=None) as out:
         out.write(data)
-    system.move(f"{name}.tmp", name)
+    system.move(own, name)
 
 
 def write_files(blobs: DataFrame, path: str, suffix: str, name: str = "graph_id", exist_ok: bool = True) -> int:
@@ -256,15 +294,17 @@ def write_files(blobs: DataFrame, path: str, suffix: str, name: str = "graph_id"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for stem, data in zip(batch["name"], batch["data"], strict=True):
-                _write_file(f"{path.rstrip('/')}/{stem}{suffix}", bytes(data), exist_ok)
+            for found, data in zip(batch["name"], batch["data"], strict=True):
+                _write_file(f"{path.rstrip('/')}/{found}{suffix}", bytes(data), exist_ok)
             yield batch[["name"]]
 
     return blobs.select(F.col(name).cast("string").alias("name"), "data").mapInPandas(write, "name string").count()
 
 
 def joined_by_stem(graphs: DataFrame, irs: DataFrame) -> DataFrame:
-    """Packed graphs with the ``text`` of the file of the same stem, null where there is none."""
-    stem = lambda c: F.substring_index(F.element_at(F.split(c, "/"), -1), ".", 1)
+    """Packed graphs with the ``text`` of the file of the same stem, null where there is none.
+
+    A stem is a file's name without its whole suffix: ``a.1.ProgramGraph.pb`` goes with ``a.1.ll``.
+    """
     texts = irs.select(stem(F.col("path")).alias("stem"), F.col("text").alias("ir"))
     return graphs.withColumn("stem", stem(F.col("path"))).join(texts, "stem", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import string
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,26 @@ def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(kernel, schema)
 
 
+#: Keys to broadcast at most: those with more than this part of all rows.
+HEAVY = 100_000
+
+
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, most: int = HEAVY) -> DataFrame:
+    """An inner join of ``left``, a written table, with ``right``, whose keys are unique, without a hot key in the shuffle.
+
+    ``weight`` says how many rows a key stands for, of ``total`` in all.  Fewer than ``most`` keys
+    have more than that part of the total, whatever its size: these are broadcast.
+    """
+    heavy = F.col(weight) * most > F.lit(total)
+    few = F.broadcast(right.where(heavy))
+    return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~heavy), on))
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and no other letters; a text of one byte for each letter has no others."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def hashed_part(key: str, folds: int, fold: int) -> Column:
     """Whether the key's crc32, as text, falls into one part of several; false for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))

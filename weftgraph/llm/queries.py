@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, language, mixing, neighbours, quality, revisits, simhash, substrings, token_counts, toxicity
+from weftgraph.llm import byte_bpe, language, lines, mixing, neighbours, quality, revisits, simhash, substrings, token_counts, toxicity
 from weftgraph.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_line_dedup": op11_line_dedup,
 }
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
@@ -82,4 +88,5 @@ ORACLE: dict[str, str] = {
     "op3_substring_dedup": substrings.ORACLE,
     "op5_simhash": simhash.ORACLE,
     "op7_warc_revisits": revisits.ORACLE,
+    "op11_line_dedup": lines.ORACLE,
 }

@@ -47,7 +47,7 @@ def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, to
     ``weight`` says how many rows a key stands for, of ``total`` in all.  Fewer than ``most`` keys
     have more than that part of the total, whatever its size: these are broadcast.
     """
-    heavy = F.col(weight) * most > F.lit(total)
+    heavy = F.col(weight) > total // most
     few = F.broadcast(right.where(heavy))
     return left.join(few, on).unionByName(left.join(few.select(*on), on, "left_anti").join(right.where(~heavy), on))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, language, lines, mixing, neighbours, quality, ranking, revisits, simhash, substrings, token_counts, toxicity
+from weftgraph.llm import byte_bpe, language, lines, mixing, neighbours, phrases, quality, ranking, revisits, simhash, substrings, token_counts, toxicity
 from weftgraph.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_ranking_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.sale_ranks(table(spark, sf_dir, "sale_lines"))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
     "op13_ranking_ties": op13_ranking_ties,
 }
 ORACLE: dict[str, str] = {
@@ -94,5 +99,6 @@ ORACLE: dict[str, str] = {
     "op5_simhash": simhash.ORACLE,
     "op7_warc_revisits": revisits.ORACLE,
     "op11_line_dedup": lines.ORACLE,
+    "op12_collocations": phrases.ORACLE,
     "op13_ranking_ties": ranking.ORACLE,
 }

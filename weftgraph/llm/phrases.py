@@ -276,11 +276,13 @@ g AS (
   FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(m) WHERE len(ws) >= m)),
 f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
-c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 30),
-cuts AS (
-  SELECT c.lang, c.size, c.phrase, c.a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:c.size], ' ')),
+c AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 30),
+often AS MATERIALIZED (SELECT lang || chr(10) || phrase AS key, f FROM f WHERE f >= 30),
+cut AS MATERIALIZED (
+  SELECT lang, size, phrase, a, k, lang || chr(10) || array_to_string(ws[1:k], ' ') AS first, lang || chr(10) || array_to_string(ws[k + 1:size], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+lefts AS MATERIALIZED (SELECT cut.*, x.f AS l FROM cut JOIN often x ON x.key = cut.first),
+cuts AS (SELECT lang, size, phrase, a, k, l, y.f AS r, (2000000::HUGEINT * a) // (l + y.f) AS score FROM lefts JOIN often y ON y.key = lefts.rest),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 spans AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2))),
 inside AS (SELECT lang, phrase, max(a) AS longer FROM spans GROUP BY ALL),

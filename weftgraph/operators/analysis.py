@@ -6,15 +6,14 @@ value``; ``instances`` has the step and active-node counts.  ``run`` dispatches
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.plans.fixpoint import KEY, MOST_EDGES, MOST_STATES, all_predecessors, closure, large_graphs, packed
-from weftgraph.plans.kernels import liveness_kernel
+from weftgraph.plans.fixpoint import KEY, MOST_EDGES, MOST_STATES, all_predecessors, closure, large_graphs, packed, queue_levels
+from weftgraph.plans.kernels import dominators_kernel, liveness_kernel, steps_kernel
 from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import COMMUTATIVE, CONTROL, DATA, INSTRUCTION, VARIABLE
 
@@ -105,55 +104,9 @@ def dominance_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, mo
     ``status`` is ``not_converged`` beyond ``most_updates``.
     """
     nodes = nodes if "function" in nodes.columns else nodes.withColumn("function", F.lit(0).cast("long"))
-    kinds = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", "type", F.coalesce("function", F.lit(0)).alias("function"))).alias("ns"))
-    control = flow(edges, CONTROL).groupBy("graph_id").agg(F.collect_list(F.struct("source", "target")).alias("es"))
-    wanted = roots.groupBy("graph_id").agg(F.sort_array(F.collect_set("root")).alias("roots"))
-
-    def sweep(scope: list[int], preds: dict[int, list[int]], root: int) -> tuple[list[int], int]:
-        """Dominator sets as bits, by place in the scope, and the number of updates."""
-        place = {n: i for i, n in enumerate(scope)}
-        whole, at = (1 << len(scope)) - 1, place[root]
-        sets = [whole & ~(1 << at)] * len(scope)
-        sets[at] = 1 << at
-        into = [[place.get(p) for p in preds.get(n, ())] for n in scope]
-        updates, again = 0, True
-        while again and updates <= most_updates:
-            again = False
-            for i, before in enumerate(into):
-                if i == at:
-                    continue
-                new = whole if before else 0
-                for p in before:
-                    new &= 0 if p is None else sets[p]  # a predecessor outside the scope
-                new |= 1 << i
-                if new != sets[i]:
-                    sets[i], again = new, True
-                    updates += 1
-        return sets, updates
-
-    def sweeps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                kind = {n["node_id"]: (n["type"], n["function"]) for n in r.ns}
-                preds: dict[int, list[int]] = {}
-                for e in r.es if r.es is not None else ():
-                    preds.setdefault(e["target"], []).append(e["source"])
-                scopes: dict[int, list[int]] = {}
-                for root in r.roots:
-                    home = kind[root][1]
-                    if home not in scopes:
-                        scopes[home] = sorted(n for n, (t, f) in kind.items() if n and f == home and (t < 2 or home == 0))
-                    scope = scopes[home]
-                    sets, updates = sweep(scope, preds, root)
-                    done = updates <= most_updates
-                    bit = 1 << scope.index(root)
-                    active = sum(bool(x & bit) for n, x in zip(scope, sets, strict=True) if kind[n][0] == INSTRUCTION)
-                    out.append((r.graph_id, root, updates if done else None, active if done else None, "ok" if done else "not_converged"))
-            yield pd.DataFrame(out, columns=["graph_id", "root", "step_count", "active_node_count", "status"]).astype({"step_count": "Int64", "active_node_count": "Int64"})
-
-    rows = wanted.join(kinds, "graph_id").join(control, "graph_id", "left").select("graph_id", "ns", "es", "roots")
-    return rows.mapInPandas(sweeps, "graph_id long, root long, step_count long, active_node_count long, status string")
+    kinds = packed(nodes.withColumn("function", F.coalesce("function", F.lit(0))), "ns", "node_id", "type", "function")
+    rows = packed(roots.select("graph_id", "root").distinct(), "ss", "root").join(kinds, "graph_id").join(packed(flow(edges, CONTROL), "es", "source", "target"), "graph_id", "left")
+    return rows.select("graph_id", "ns", "es", "ss").mapInArrow(dominators_kernel(most_updates), "graph_id long, root long, step_count long, active_node_count long, status string")
 
 
 def exits(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -218,39 +171,25 @@ def liveness(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out: DataFram
     return labelled(nodes, roots, found)
 
 
-def liveness_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out: DataFrame | None = None) -> DataFrame:
-    """The step count follows a queue over control and then data successors that may hold a node twice.
-
-    The queue is kept level by level with one entry for each node and depth: a node's later
-    entries of one depth hand on nothing that its first has not, as what is seen stays seen.
-    """
+def liveness_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame, out: DataFrame | None = None, most_edges: int = MOST_EDGES, most_states: int = MOST_STATES) -> DataFrame:
+    """The step count follows a queue over control and then data successors that may hold a node twice."""
+    scratch = Scratch(edges.sparkSession)
+    roots = scratch.keep(roots.select(*KEY).distinct(), "roots")
     out = live_out(nodes, edges) if out is None else out
-    out = roots.join(out.withColumnRenamed("node_id", "root"), KEY)
-    lives = out.groupBy(*KEY).agg(F.collect_set("variable").alias("live"))
-    walked = edges.where(F.col("flow").isin(CONTROL, DATA)).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "flow", "source", "target"))).alias("es"))
-    rows = roots.join(lives, KEY, "left").join(walked, "graph_id", "left")
-
-    def queue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for r in batch.itertuples():
-                live = set(r.live if r.live is not None else ())
-                after: dict[int, tuple[list, list]] = {}
-                for e in r.es if r.es is not None else ():
-                    after.setdefault(e["source"], ([], []))[e["flow"]].append(e["target"])
-                deepest, depth, seen, level = 0, 1, set(), {r.root: None}
-                while level:
-                    below: dict[int, None] = {}  # in the order of first entry
-                    for node in level:
-                        seen.add(node)
-                        if node in live:
-                            deepest = depth
-                        below |= dict.fromkeys(x for part in after.get(node, ()) for x in part if x not in seen)
-                    level, depth = below, depth + 1
-                found.append((r.graph_id, r.root, deepest, len(live)))
-            yield pd.DataFrame(found, columns=["graph_id", "root", "step_count", "active_node_count"])
-
-    return rows.select(*KEY, "live", "es").mapInPandas(queue, "graph_id long, root long, step_count long, active_node_count long")
+    lives = scratch.keep(roots.join(out.withColumnRenamed("node_id", "root"), KEY).select(*KEY, F.col("variable").alias("node")).distinct(), "lives")
+    walked = scratch.keep(edges.where(F.col("flow").isin(CONTROL, DATA)).select("graph_id", "flow", "edge_id", "source", "target"), "walked")
+    large = scratch.keep(large_graphs(walked, roots, most_edges, most_states), "large")
+    none = large.isEmpty()
+    few = lambda df: df if none else df.join(large, "graph_id", "left_anti")
+    rows = packed(few(roots), "ss", "root").join(packed(few(lives), "ls", "root", "node"), "graph_id", "left").join(packed(few(walked), "es", "flow", "edge_id", "source", "target"), "graph_id", "left")
+    found = rows.select("graph_id", "es", "ss", "ls").mapInArrow(steps_kernel, "graph_id long, root long, step_count long, active_node_count long")
+    if none:
+        return found
+    many = lambda df: df.join(large, "graph_id", "left_semi")
+    levels = queue_levels(many(walked), many(roots)).join(many(lives).withColumnRenamed("node", "node_id"), [*KEY, "node_id"]).groupBy(*KEY).agg(F.max("depth").alias("step_count"))
+    active = many(lives).groupBy(*KEY).agg(F.count("*").alias("active_node_count"))
+    deep = many(roots).join(levels, KEY, "left").join(active, KEY, "left")
+    return found.unionByName(deep.select(*KEY, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("step_count", "active_node_count")]))
 
 
 def expressions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -268,21 +207,29 @@ def expression_sets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped.withColumn("size", F.size("members").cast("long")).where("size > 1")
 
 
-def subexpression_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return expression_sets(nodes, edges).select("graph_id", F.explode("members").alias("node_id"))
+def expression_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id, node_id, number, size`` of each member of a set of two or more; the number is its least member."""
+    keyed = expressions(nodes, edges)
+    sets = keyed.groupBy("graph_id", "text", "operands").agg(F.min("node_id").alias("number"), F.count("*").alias("size")).where("size > 1")
+    return keyed.join(sets, ["graph_id", "text", "operands"]).select("graph_id", "node_id", "number", "size")
 
 
-def _members(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    sets = expression_sets(nodes, edges).select("graph_id", "members", F.explode("members").alias("root"))
-    return roots.join(sets, KEY).select(*KEY, F.explode("members").alias("node_id")).withColumn("value", F.lit(1))
+def subexpression_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return expression_numbers(nodes, edges).select("graph_id", "node_id")
 
 
 def subexpressions(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return labelled(nodes, roots, _members(nodes, edges, roots))
+    """A node is labelled if its expression has the number of the root's."""
+    numbers = Scratch(edges.sparkSession).keep(expression_numbers(nodes, edges).select("graph_id", "node_id", "number"), "numbers")
+    asked = roots.join(numbers.select("graph_id", F.col("node_id").alias("root"), F.col("number").alias("wanted")), KEY, "left")
+    every = nodes.select("graph_id", "node_id").join(numbers, ["graph_id", "node_id"], "left")
+    same = F.coalesce(F.col("number") == F.col("wanted"), F.lit(False)).cast("long")
+    return asked.join(every, "graph_id").select(*KEY, "node_id", (F.col("node_id") == F.col("root")).cast("long").alias("is_root"), same.alias("value"))
 
 
 def subexpressions_instances(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return counted(_members(nodes, edges, roots), F.lit(2))
+    numbers = expression_numbers(nodes, edges).select("graph_id", F.col("node_id").alias("root"), "size")
+    return roots.join(numbers, KEY).select(*KEY, F.lit(2).cast("long").alias("step_count"), F.col("size").alias("active_node_count"))
 
 
 #: Name: (labels, instances, eligible roots).

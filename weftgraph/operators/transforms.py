@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions.features import as_text, integer, put, text
+from weftgraph.plans.fixpoint import MOST_EDGES, queue_order
+from weftgraph.plans.kernels import sequence_kernel
 from weftgraph.plans.ordered import running_sum
 from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import CALL, CONSTANT, CONTROL, DATA, FEATURE, INSTRUCTION, ROOT_TEXT, TYPE, VARIABLE
@@ -63,30 +62,43 @@ def tuple_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(offsets, "graph_id").select("flow", (F.col("source") + F.col("node_offset")).alias("source"), (F.col("target") + F.col("node_offset")).alias("target"), "position")
 
 
-def instruction_sequence(edges: DataFrame, most_nodes: int = 1_000_000) -> DataFrame:
-    """``graph_id, node_ids``: instructions in breadth-first order from each call of the root, in edge order."""
-    rows = edges.where(F.col("flow").isin(CONTROL, CALL)).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("edge_id", "flow", "source", "target"))).alias("es"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for graph, es in zip(batch["graph_id"], batch["es"], strict=True):
-                after: dict[int, list[int]] = {}
-                for e in es:
-                    if e["flow"] == CONTROL:
-                        after.setdefault(e["source"], []).append(e["target"])
-                seen: dict[int, None] = {}
-                for start in (e["target"] for e in es if e["flow"] == CALL and e["source"] == 0):
-                    waiting = [start]
-                    for node in waiting:
-                        if node in seen or len(seen) >= most_nodes:
-                            continue
-                        seen[node] = None
-                        waiting += (x for x in after.get(node, ()) if x not in seen)
-                out.append((graph, list(seen)))
-            yield pd.DataFrame(out, columns=["graph_id", "node_ids"])
-
-    return rows.mapInPandas(walk, "graph_id long, node_ids array<long>")
+def _sequenced(edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """``graph_id, node_ids`` of packed graphs, and ``graph_id, node_id, place`` of those with more edges."""
+    scratch = Scratch(edges.sparkSession)
+    walked = scratch.keep(edges.where(F.col("flow").isin(CONTROL, CALL)).select("graph_id", "flow", "edge_id", "source", "target"), "walked")
+    large = scratch.keep(walked.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > most_edges).select("graph_id"), "large")
+    none = large.isEmpty()
+    few = walked if none else walked.join(large, "graph_id", "left_anti")
+    edge = F.struct(*[F.col(c).cast("long").alias(c) for c in ("edge_id", "source", "target")])
+    entry = F.struct(*[F.col(c).cast("long").alias(c) for c in ("edge_id", "target")])
+    entered = (F.col("flow") == CALL) & (F.col("source") == 0)
+    rows = few.groupBy("graph_id").agg(F.collect_list(F.when(F.col("flow") == CONTROL, edge)).alias("cs"), F.collect_list(F.when(entered, entry)).alias("ks"))
+    found = rows.mapInArrow(sequence_kernel(most_nodes), "graph_id long, node_ids array<long>")
+    if none:
+        return found, None
+    many = walked.join(large, "graph_id", "left_semi")
+    order = queue_order(many.where(F.col("flow") == CONTROL), many.where(entered).select("graph_id", "edge_id", F.col("target").alias("node_id")))
+    return found, order.where(F.col("place") < most_nodes)
+
+
+def instruction_order(edges: DataFrame, most_nodes: int = 1_000_000, most_edges: int = MOST_EDGES) -> DataFrame:
+    """``graph_id, place`` (from 0) ``, node_id``: instructions in breadth-first order from each call of the root, in edge order.
+
+    Graphs of ``most_edges`` or less go through one kernel, others level by level through joins;
+    no row holds a graph of those.
+    """
+    found, order = _sequenced(edges, most_nodes, most_edges)
+    rows = found.select("graph_id", F.posexplode("node_ids").alias("place", "node_id")).withColumn("place", F.col("place").cast("long"))
+    return rows if order is None else rows.unionByName(order.select("graph_id", "place", "node_id"))
+
+
+def instruction_sequence(edges: DataFrame, most_nodes: int = 1_000_000, most_edges: int = MOST_EDGES) -> DataFrame:
+    """``graph_id, node_ids``: the same as one list for each graph."""
+    found, order = _sequenced(edges, most_nodes, most_edges)
+    if order is None:
+        return found
+    listed = order.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("r"))
+    return found.unionByName(listed.select("graph_id", F.transform("r", lambda x: x["node_id"]).alias("node_ids")))
 
 
 def _quoted(text: Column) -> Column:

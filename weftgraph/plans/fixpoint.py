@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans import kernels
+from weftgraph.plans.ordered import ranks_within
 from weftgraph.plans.scratch import Scratch
 
 KEY = ["graph_id", "root"]
@@ -133,3 +134,77 @@ def counted_predecessors(edges: DataFrame, starts: DataFrame, most_rounds: int =
         if level % 8 == 0:
             seen = scratch.keep(seen, f"seen-{level}")
     raise RuntimeError(f"a set is not complete after {most_rounds} levels")
+
+
+def queue_levels(edges: DataFrame, roots: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """``graph_id, root, node_id, depth`` of the entries of a queue from each root, one for each node and depth, from 1.
+
+    ``edges`` (graph_id, flow, edge_id, source, target) are followed by flow and then id.  A
+    level's entries have places, ranked by the place of what handed them on and by the edge; an
+    entry hands on what no entry before it is.
+    """
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges, "edges")
+    level = scratch.keep(roots.select(*KEY, F.col("root").alias("node_id"), F.lit(1).cast("long").alias("place")), "level-1")
+    before, seen = None, level.select(*KEY, "node_id")  # what levels before this one hold, and this one too
+    every = level.select(*KEY, "node_id", F.lit(1).cast("long").alias("depth"))
+    for depth in range(2, most_rounds):
+        handed = level.withColumnRenamed("node_id", "source").join(edges, ["graph_id", "source"]).select(*KEY, F.col("target").alias("node_id"), F.struct("place", "flow", "edge_id").alias("by"))
+        if before is not None:
+            handed = handed.join(before, [*KEY, "node_id"], "left_anti")
+        handed = handed.join(level.withColumnRenamed("place", "own"), [*KEY, "node_id"], "left").where(F.col("own").isNull() | (F.col("own") > F.col("by.place")))
+        handed = handed.groupBy(*KEY, "node_id").agg(F.min("by").alias("by"))
+        level = scratch.keep(ranks_within(handed, KEY, [F.col("by").asc()], scratch, f"ranked-{depth}", "place").drop("by"), f"level-{depth}")
+        scratch.drop(f"ranked-{depth}")
+        if level.isEmpty():
+            return every
+        before, seen = seen, seen.unionByName(level.select(*KEY, "node_id"))
+        every = every.unionByName(level.select(*KEY, "node_id", F.lit(depth).cast("long").alias("depth")))
+        if depth % 8 == 0:
+            before, seen, every = (scratch.keep(df, f"{name}-{depth}") for name, df in (("before", before), ("seen", seen), ("every", every)))
+    raise RuntimeError(f"a queue is not empty after {most_rounds} levels")
+
+
+def queue_order(edges: DataFrame, starts: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """``graph_id, node_id, place``, from 0, in the order of a queue from each start in turn.
+
+    ``edges`` has graph_id, edge_id, source, target, ``starts`` graph_id, edge_id, node_id, in the
+    order of ``edge_id``.  A node belongs to the first start that reaches it; then all walks go
+    level by level, each level ranked by the place of the parent and the edge.
+    """
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.select("graph_id", "edge_id", "source", "target"), "edges")
+    owned = front = scratch.keep(starts.groupBy("graph_id", "node_id").agg(F.min("edge_id").alias("owner")), "owned-0")
+    for turn in range(1, most_rounds):
+        met = front.withColumnRenamed("node_id", "source").join(edges, ["graph_id", "source"]).groupBy("graph_id", F.col("target").alias("node_id")).agg(F.min("owner").alias("owner"))
+        known = owned.withColumnRenamed("owner", "own")
+        front = scratch.keep(met.join(known, ["graph_id", "node_id"], "left").where(F.col("own").isNull() | (F.col("own") > F.col("owner"))).drop("own"), f"front-{turn}")
+        if front.isEmpty():
+            break
+        owned = scratch.keep(owned.unionByName(front).groupBy("graph_id", "node_id").agg(F.min("owner").alias("owner")), f"owned-{turn}")
+        if turn > 1:
+            scratch.drop(f"owned-{turn - 1}")
+    else:
+        raise RuntimeError(f"a queue is not empty after {most_rounds} levels")
+    ends = owned.withColumnRenamed("owner", "own")
+    inner = edges.join(ends.withColumnRenamed("node_id", "source"), ["graph_id", "source"]).join(owned.withColumnRenamed("node_id", "target"), ["graph_id", "target"]).where("own = owner")
+    inner = scratch.keep(inner.select("graph_id", "owner", "edge_id", "source", "target"), "inner")
+    first = starts.groupBy("graph_id", "node_id").agg(F.min("edge_id").alias("edge_id")).join(owned, ["graph_id", "node_id"]).where("owner = edge_id")
+    level = scratch.keep(first.select("graph_id", "owner", "node_id", F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("rank")), "walk-0")
+    every = level
+    for depth in range(1, most_rounds):
+        met = level.select("graph_id", "owner", F.col("node_id").alias("source"), "rank").join(inner, ["graph_id", "owner", "source"])
+        met = met.groupBy("graph_id", "owner", F.col("target").alias("node_id")).agg(F.min(F.struct("rank", "edge_id")).alias("by"))
+        new = met.join(every.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti")
+        ranked = ranks_within(new, ["graph_id", "owner"], [F.col("by").asc()], scratch, f"ranked-{depth}", "rank")
+        level = scratch.keep(ranked.select("graph_id", "owner", "node_id", F.lit(depth).cast("long").alias("depth"), "rank"), f"walk-{depth}")
+        scratch.drop(f"ranked-{depth}")
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+        if depth % 8 == 0:
+            every = scratch.keep(every, f"every-{depth}")
+    else:
+        raise RuntimeError(f"a queue is not empty after {most_rounds} levels")
+    placed = ranks_within(every, ["graph_id"], [F.col(c).asc() for c in ("owner", "depth", "rank")], scratch, "placed", "place")
+    return placed.select("graph_id", "node_id", (F.col("place") - 1).alias("place"))

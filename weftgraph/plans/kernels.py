@@ -7,6 +7,7 @@ of a closure is a few array operations over the front of every root of every gra
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,3 +211,246 @@ def liveness_kernel(outs: bool):
             yield pa.RecordBatch.from_arrays([column(graph[roots.row[value]]), column(nodes.ids[node]), column(nodes.ids[roots.ids[value]])], ["graph_id", "node_id", "variable"])
 
     return kernel
+
+
+class OrderedArcs(Arcs):
+    """Edges by source and then by ``order``, the most significant first; equal ones are kept."""
+
+    def __init__(self, n: int, source: np.ndarray, target: np.ndarray, *order: np.ndarray):
+        self.target, self.degree = target[np.lexsort((*reversed(order), source))], np.bincount(source, minlength=n)
+        self.first = np.cumsum(self.degree) - self.degree
+
+
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where each value stands first, in order."""
+    return np.sort(np.unique(values, return_index=True)[1])
+
+
+def list_column(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+    """A list for each row; ``row`` ascends."""
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=rows))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64)))
+
+
+def sequence_kernel(most_nodes: int):
+    """Rows of ``graph_id, cs`` (control: edge_id, source, target) ``, ks`` (entries: edge_id, target): each graph's nodes in the order of a queue.
+
+    An entry's walk leaves out what the entries before it reach.  So a node belongs to the first
+    entry that reaches it, and the walks of all entries of all graphs go on side by side: the
+    edges that leave a level, in its order, give the order of the next one.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, lambda b: 2 * sizes(b, "cs") + sizes(b, "ks")):
+            graph = batch.column("graph_id").to_numpy()
+            (cr, (number, source, target)), (kr, (turn, start)) = (lists(batch, c) for c in ("cs", "ks"))
+            nodes = Nodes(len(graph), (cr, source), (cr, target), (kr, start))
+            source, target, start = nodes.numbers
+            arcs = OrderedArcs(len(nodes.ids), source, target, number)
+            start = start[np.lexsort((turn, kr))]
+            none = len(start)
+            owner = np.full(len(nodes.ids), none)
+            np.minimum.at(owner, start, np.arange(none))
+            front = np.unique(start)
+            while len(front):
+                which, to = arcs.after(front)
+                less = owner[front][which] < owner[to]
+                np.minimum.at(owner, to[less], owner[front][which][less])
+                front = np.unique(to[less])
+            found = np.zeros(len(nodes.ids), bool)
+            front, levels = start[owner[start] == np.arange(none)], []
+            while len(front):
+                found[front] = True
+                levels.append(front)
+                which, to = arcs.after(front)
+                new = to[~found[to] & (owner[to] == owner[front][which])]
+                front = new[firsts(new)]
+            every = np.concatenate(levels) if levels else start
+            every = every[np.argsort(owner[every], kind="stable")]
+            row = nodes.row[every]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            every, row = every[place < most_nodes], row[place < most_nodes]
+            yield pa.RecordBatch.from_arrays([column(graph), list_column(row, nodes.ids[every], len(graph))], ["graph_id", "node_ids"])
+
+    return kernel
+
+
+def steps_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``graph_id, es`` (flow, edge_id, source, target) ``, ss`` (root) ``, ls`` (root, node): the deepest of a root's nodes in a queue that may hold a node twice.
+
+    The queue goes level by level, for all roots of all graphs together, with one entry for each
+    node and depth: later entries of one depth hand on nothing that the first has not.  An
+    entry hands on what has not been taken from the queue before it.
+    """
+    for batch in chunks(batches, lambda b: (2 * sizes(b, "es") + sizes(b, "ss")) * np.minimum(sizes(b, "ss"), 1 << 20)):
+        graph = batch.column("graph_id").to_numpy()
+        (er, (flow, number, source, target)), (sr, (root_id,)), (lr, (live_root, live)) = (lists(batch, c) for c in ("es", "ss", "ls"))
+        nodes = Nodes(len(graph), (er, source), (er, target), (sr, root_id), (lr, live))
+        source, target, start, live = nodes.numbers
+        arcs = OrderedArcs(len(nodes.ids), source, target, flow, number)
+        roots = Roots(nodes, np.append(sr, lr), np.append(root_id, live_root))
+        wanted = np.zeros(roots.states, bool)
+        wanted[roots.base[roots.of[len(sr) :]] + live] = True
+        root, first = np.unique(roots.of[: len(sr)], return_index=True)
+        asked, node, depth = root, start[first], 1
+        deepest, seen, place = np.zeros(len(roots.row), np.int64), np.zeros(roots.states, bool), np.full(roots.states, roots.states)
+        while len(node):
+            state = roots.base[root] + node
+            deepest[root[wanted[state]]] = depth
+            place[state] = np.arange(len(state))
+            which, to = arcs.after(node)
+            ahead = roots.base[root[which]] + to
+            new = ~seen[ahead] & (place[ahead] > which)
+            seen[state], place[state] = True, roots.states
+            which, to, ahead = which[new], to[new], ahead[new]
+            keep = firsts(ahead)
+            root, node, depth = root[which[keep]], to[keep], depth + 1
+        active = np.bincount(roots.of[len(sr) :], minlength=len(roots.row))
+        yield pa.RecordBatch.from_arrays([column(graph[roots.row[asked]]), column(roots.ids[asked]), column(deepest[asked]), column(active[asked])], ["graph_id", "root", "step_count", "active_node_count"])
+
+
+#: Nodes of a scope whose sets are one matrix, and words of all matrices to hold at once.
+MOST_DENSE, MOST_WORDS = 4096, 4_000_000
+
+
+def dense_sweeps(n: np.ndarray, root: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], most_updates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Updates of each unit's sweeps, and the bits of its nodes whose set holds its root.
+
+    A unit is a root with the ``n`` nodes of its scope; its ``edges`` go from a place, -1
+    outside the scope, to a place.  Sets are packed words; a step takes the node at one place
+    of all units.
+    """
+    units, most = len(n), int(n.max(initial=1))
+    words = -(-most // 64)
+    place = np.arange(most)
+    bits = (place[:, None] // 64 == np.arange(words)) * (np.uint64(1) << (place[:, None] % 64).astype(np.uint64))
+    each = np.arange(units)
+    whole = np.cumsum(bits, axis=0, dtype=np.uint64)[n - 1] & ~bits[root]
+    sets = np.concatenate([np.repeat(whole[:, None, :], most, axis=1), np.zeros((units, 1, words), np.uint64)], axis=1)  # the last row is for places outside
+    sets[each, root] = bits[root]
+    unit = np.repeat(each, [len(s) for s, _ in edges])
+    source, target = (np.concatenate([e[i] for e in edges]) if edges else np.zeros(0, np.int64) for i in (0, 1))
+    order = np.lexsort((unit, target))
+    unit, source, target = unit[order], np.where(source < 0, most, source)[order], target[order]
+    begins = np.searchsorted(target, np.arange(most + 1))
+    updates, alive = np.zeros(units, np.int64), np.ones(units, bool)
+    while alive.any():
+        again = np.zeros(units, bool)
+        for i in range(most):
+            here = alive & (n > i) & (root != i)
+            at = slice(begins[i], begins[i + 1])
+            some = here[unit[at]]
+            u, p = unit[at][some], source[at][some]
+            new = np.zeros((units, words), np.uint64)
+            if len(u):
+                starts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+                new[u[starts]] = np.bitwise_and.reduceat(sets[u, p], starts, axis=0)
+            new |= bits[i]
+            other = here & (new != sets[:, i]).any(axis=1)
+            sets[other, i] = new[other]
+            updates += other
+            again |= other
+        alive = again & (updates <= most_updates)
+    held = (sets[each[:, None], place[None, :], (root // 64)[:, None]] >> (root % 64).astype(np.uint64)[:, None]) & np.uint64(1)
+    return updates, (held == 1) & (place[None, :] < n[:, None])
+
+
+def sparse_sweeps(n: int, root: int, source: np.ndarray, target: np.ndarray, most_updates: int) -> tuple[int, np.ndarray | None]:
+    """The same for one unit of many nodes: only changed sets are held, and sweeps end when there are too many."""
+    words = -(-n // 64)
+
+    def bit(i: int) -> np.ndarray:
+        out = np.zeros(words, np.uint64)
+        out[i // 64] = np.uint64(1) << np.uint64(i % 64)
+        return out
+
+    first = np.full(words, ~np.uint64(0))
+    if n % 64:
+        first[-1] = (np.uint64(1) << np.uint64(n % 64)) - np.uint64(1)
+    first &= ~bit(root)
+    sets, none = {root: bit(root)}, np.zeros(words, np.uint64)
+    into, out = OrderedArcs(n, target, source, source), OrderedArcs(n, np.maximum(source, 0), target, target)
+    # an untouched set stays as it is while all before it are: the rest is looked at
+    again = np.flatnonzero(into.degree == 0).tolist() + target[(source < 0) | (source == root)].tolist()
+    updates = 0
+    while again:
+        queue, again = sorted(set(again) - {root}), []
+        waiting = set(queue)
+        while queue:
+            i = heapq.heappop(queue)
+            waiting.discard(i)
+            before = into.after(np.array([i]))[1].tolist()
+            new = first.copy() if before else none.copy()
+            for k, p in enumerate(before):
+                found = none if p < 0 else sets.get(p, first)
+                new = found.copy() if k == 0 else new & found
+            new |= bit(i)
+            if (new != sets.get(i, first)).any():
+                sets[i], updates = new, updates + 1
+                if updates > most_updates:
+                    return updates, None
+                for t in np.unique(out.after(np.array([i]))[1]).tolist():
+                    if t > i and t not in waiting and t != root:
+                        heapq.heappush(queue, t)
+                        waiting.add(t)
+                    elif t <= i:
+                        again.append(t)
+    held = np.zeros(n, bool)
+    for i, found in sets.items():
+        held[i] = bool((found[root // 64] >> np.uint64(root % 64)) & np.uint64(1))
+    return updates, held
+
+
+def dominators_kernel(most_updates: int):
+    """Rows of ``graph_id, ns`` (node_id, type, function) ``, es`` (source, target) ``, ss`` (root): the updates of ascending sweeps over dominator sets."""
+
+    def weight(b: pa.RecordBatch) -> np.ndarray:
+        return sizes(b, "ss") * (sizes(b, "ns") * (1 + sizes(b, "ns") // 64) + sizes(b, "es"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, weight):
+            graph = batch.column("graph_id").to_numpy()
+            (nr, (listed, kind, home)), (er, (source, target)), (sr, (root_id,)) = (lists(batch, c) for c in ("ns", "es", "ss"))
+            nodes = Nodes(len(graph), (nr, listed), (er, source), (er, target), (sr, root_id))
+            listed_at, source, target, start = nodes.numbers
+            # scopes: the nodes of one function of one graph, in the order of their ids
+            inside = np.flatnonzero((listed != 0) & ((kind < 2) | (home == 0)))
+            inside = inside[np.lexsort((listed[inside], home[inside], nr[inside]))]
+            new = np.append(True, (nr[inside][1:] != nr[inside][:-1]) | (home[inside][1:] != home[inside][:-1])) if len(inside) else np.zeros(0, bool)
+            begins = np.flatnonzero(new)
+            size = np.diff(np.append(begins, len(inside)))
+            scope, place = np.full(len(nodes.ids), -1), np.full(len(nodes.ids), -1)
+            scope[listed_at[inside]] = np.cumsum(new) - 1
+            place[listed_at[inside]] = np.arange(len(inside)) - np.repeat(begins, size)
+            working = kind[inside] == 0
+            kept = scope[target] >= 0
+            source, target = source[kept], target[kept]
+            before, after, of = np.where(scope[source] == scope[target], place[source], -1), place[target], scope[target]
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(len(size) + 1))
+            before, after = before[order], after[order]
+            if (scope[start] < 0).any():
+                raise ValueError("a root is not a node of its function")
+            steps, active = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+            n = size[scope[start]]
+            edges_of = lambda u: (before[cuts[scope[start[u]]] : cuts[scope[start[u]] + 1]], after[cuts[scope[start[u]]] : cuts[scope[start[u]] + 1]])  # noqa: B023, E731
+            by_size = np.argsort(n, kind="stable")
+            at = 0
+            while at < len(by_size):
+                end = at + 1
+                while end < len(by_size) and n[by_size[end]] <= MOST_DENSE and (end + 1 - at) * n[by_size[end]] * (1 + n[by_size[end]] // 64) <= MOST_WORDS and n[by_size[end]] <= 2 * n[by_size[at]] + 8:
+                    end += 1
+                some = by_size[at:end]
+                if n[some[0]] > MOST_DENSE:
+                    steps[some[0]], held = sparse_sweeps(int(n[some[0]]), int(place[start[some[0]]]), *edges_of(some[0]), most_updates)
+                    held = np.zeros((1, n[some[0]]), bool) if held is None else held[None, :]
+                else:
+                    steps[some], held = dense_sweeps(n[some], place[start[some]], [edges_of(u) for u in some], most_updates)
+                unit, hit = np.nonzero(held)
+                active[some] = np.bincount(unit[working[begins[scope[start[some]]][unit] + hit]], minlength=len(some))
+                at = end
+            failed = steps > most_updates
+            status = pa.array(np.where(failed, "not_converged", "ok"))
+            yield pa.RecordBatch.from_arrays([column(graph[sr]), column(root_id), column(steps, failed), column(active, failed), status], ["graph_id", "root", "step_count", "active_node_count", "status"])
+
+    return kernel

@@ -3,7 +3,9 @@ import functools
 import pytest
 from graphs import build
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from weftgraph.operators import statistics
 from weftgraph.sources import files, wire
 
 TEXT = """
@@ -102,3 +104,35 @@ def test_stems(spark):
     graphs = spark.createDataFrame([(p,) for p in ("g/a.1.ProgramGraph.pb", "g/a.2.ProgramGraph.pb", "x/b.ProgramGraphList.pb.gz", "x/.pb")], "path string")
     irs = spark.createDataFrame([("i/a.1.ll", "one"), ("i/a.2.Ir.pb", "two"), ("i/b.ll", "b"), ("i/a.ll", "none")], "path string, text string")
     assert {r.path: r.ir for r in files.joined_by_stem(graphs, irs).collect()} == {"g/a.1.ProgramGraph.pb": "one", "g/a.2.ProgramGraph.pb": "two", "x/b.ProgramGraphList.pb.gz": "b", "x/.pb": None}
+
+
+def test_files_are_dealt_by_size(spark, tmp_path):
+    sizes = [40_000, 39_000, 20_000] + [3_000] * 60 + [int(900 / (i + 1)) for i in range(700)]
+    for i, n in enumerate(sizes):
+        (tmp_path / f"f{i:04d}.bin").write_bytes(b"x" * n)
+    listing = files.list_files(spark, str(tmp_path))
+    for largest in (64, 2):
+        files.LARGEST = largest
+        loads = {r.task: r.bytes for r in files.dealt(listing, 6).groupBy("task").agg(F.sum("length").alias("bytes")).collect()}
+        assert sum(loads.values()) == sum(sizes) and max(loads.values()) <= 1.3 * sum(sizes) / 6
+    found = files.read_balanced(listing, 6).select(F.octet_length("content").alias("n"), F.spark_partition_id().alias("p"))
+    assert sorted(r.n for r in found.collect()) == sorted(sizes) and found.select("p").distinct().count() == 6
+    some = [r.path for r in files.list_files(spark, str(tmp_path), "*.bin", 5, 3).collect()]
+    assert len(some) == 5 and some == [r.path for r in files.list_files(spark, str(tmp_path), "*.bin", 5, 3).collect()]
+    assert [r.path[-9:] for r in files.list_files(spark, str(tmp_path), limit=1).collect()] == ["f0000.bin"]
+
+
+def test_ordered_sink(spark, tmp_path):
+    texts = ["a\tb", "line\nend", "back\\slash", "\\t", "  spaces ", '"quoted"', "\r"]
+    rows = [(x, i % 3) for i, x in enumerate(texts)] + [(f"t{i}", i) for i in range(500)]
+    table = spark.createDataFrame(rows, "text string, count long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows are one part
+    try:
+        statistics.write_vocabulary(table, str(tmp_path / "v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "v").glob("part-*"))
+    assert len(parts) > 1
+    lines = [line for p in parts for line in p.read_text().split("\n")[1:] if line]
+    assert [int(line.split("\t")[1]) for line in lines] == sorted((c for _, c in rows), reverse=True) and all(line.count("\t") == 1 for line in lines)
+    assert sorted(map(tuple, statistics.read_tsv(spark, str(tmp_path / "v"), "text string, count long").collect())) == sorted(rows)

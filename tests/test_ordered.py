@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import statistics
-from weftgraph.plans.ordered import ranks_within, values_at
+from weftgraph.plans.ordered import consecutive_bins, ranks_within, values_at
 from weftgraph.plans.scratch import Scratch
 
 
@@ -47,3 +47,19 @@ def test_summary(spark):
     want = df.select(F.percentile("v", F.array(*map(F.lit, (0.0, 0.5, 0.95, 0.99, 1.0))))).first()[0]
     assert [got.p0, got.p50, got.p95, got.p99, got.p100] == [round(x, 6) for x in want] and got.n == sum(v is not None for v in values)
     assert tuple(statistics.summary(df.limit(0), "v").first()) == (0, None, None, None, None, None, None, None)
+
+
+@pytest.mark.parametrize(("most", "sizes"), [(10, [1, 9, 1, 30, 2, 2, 2, 5, 10]), (7, None), (40, None)])
+def test_consecutive_bins(spark, most, sizes):
+    rng = random.Random(most)
+    sizes = sizes or [rng.choice([1, 2, 3, 5, 50]) for _ in range(300)]
+    want, number, used = [], -1, None
+    for i, s in enumerate(sizes):
+        if used is None or used + s > most:
+            number, used = number + 1, 0
+        want.append((i, s, number, used))
+        used += s
+    df = spark.createDataFrame(list(enumerate(sizes)), "i long, s long").repartition(5)
+    got = consecutive_bins(df, [F.col("i").asc()], "s", most, "bin", "before", Scratch(spark), "bins")
+    assert sorted(map(tuple, got.collect())) == want
+    assert consecutive_bins(df.limit(0), [F.col("i").asc()], "s", most, "bin", "before", Scratch(spark), "none").count() == 0

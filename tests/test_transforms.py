@@ -49,6 +49,16 @@ def test_graph_tuple(spark):
     assert sorted((r.source, r.target) for r in transforms.tuple_adjacency(n, e).collect()) == [(0, 1), (2, 3), (3, 4)]
 
 
+def test_batches_keep_order(spark):
+    parts = [build(spark, "I" * k, " ".join(f"c:{i}>{i + 1}@{i}" for i in range(k)), graph_id=g) for g, k in ((1, 1), (2, 2), (3, 9), (4, 1), (5, 1))]
+    n, e = parts[0]
+    for a, b in parts[1:]:
+        n, e = n.union(a), e.union(b)
+    assert sorted((r.graph_id, r.batch, r.node_offset) for r in transforms.tuple_batches(n, e, 6).collect()) == [(1, 0, 0), (2, 0, 2), (3, 1, 0), (4, 2, 0), (5, 2, 2)]
+    got = {r.batch: r for r in transforms.tuple_arrays(n, e, 6).collect()}
+    assert (got[0].sources, got[0].targets, got[0].positions) == ([0, 2, 3], [1, 3, 4], [0, 0, 1]) and got[1].sources == list(range(9))
+
+
 def test_vocabulary_ids(spark):
     n, _ = build(spark, "IIVCT", "", ["add", "odd", "v", "c", "t"])
     vocabulary = spark.createDataFrame([("!UNK", 0), ("!IDENTIFIER", 1), ("!IMMEDIATE", 2), ("add", 3)], "text string, id int")

@@ -321,7 +321,18 @@ def cse_sets(nodes, edges):
     return analysis.expression_sets(nodes, edges)
 
 
-@graph_query(_CSE + _roots_sql("SELECT graph_id, unnest(members) AS node_id FROM sets") + ", found AS (SELECT graph_id, root, unnest(members) AS node_id FROM (SELECT graph_id, members, unnest(members) AS root FROM sets))" + _LABELS)
+# numbers by windows: no table is joined with itself
+_NUMBERS = _CSE.split(",\nsets AS")[0].replace("operands AS (", "operands AS MATERIALIZED (", 1) + """,
+members AS MATERIALIZED (SELECT graph_id, node_id, min(node_id) OVER w AS number, count(*) OVER w AS size FROM operands WINDOW w AS (PARTITION BY graph_id, text, operands))"""
+
+
+@graph_query(_NUMBERS + """,
+roots AS MATERIALIZED (
+  SELECT graph_id, node_id AS root, number FROM (
+    SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY (node_id % 10007 * 7919 + graph_id % 10007 * 104729) % 10007, node_id) AS rk, count(*) OVER (PARTITION BY graph_id) AS cnt FROM members WHERE size > 1)
+  WHERE rk <= least(ceil(cnt / 10), 10)),
+every AS MATERIALIZED (SELECT graph_id, node_id, max(number) AS number FROM (SELECT graph_id, node_id, NULL::BIGINT AS number FROM nodes UNION ALL SELECT graph_id, node_id, number FROM members WHERE size > 1) GROUP BY ALL)
+SELECT r.graph_id, r.root, e.node_id, (e.node_id = r.root)::BIGINT AS is_root, coalesce(e.number = r.number, false)::BIGINT AS value FROM roots r JOIN every e USING (graph_id)""")
 def cse_labels(nodes, edges):
     return analysis.subexpressions(nodes, edges, analysis.sample_roots(analysis.subexpression_roots(nodes, edges)))
 
@@ -344,7 +355,7 @@ def cdfg_node_map(nodes, edges):
     return transforms.cdfg_map(nodes)
 
 
-@graph_query(_CDFG + " SELECT i.graph_id, new_id AS node_id, text, node_id AS source_node_index FROM ids i JOIN nodes n USING (graph_id, node_id)".replace("new_id AS node_id, text, node_id AS", "i.new_id AS node_id, n.text, i.node_id AS"))
+@graph_query(" SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS node_id, text, node_id AS source_node_index FROM nodes WHERE type = 0")
 def cdfg_nodes(nodes, edges):
     return transforms.cdfg_nodes(nodes)
 
@@ -365,6 +376,27 @@ def graph_tuple_offsets(nodes, edges):
     return transforms.tuple_offsets(nodes, edges)
 
 
+#: Nodes of a batch at most, in the query.
+BUDGET = 5000
+_BATCHES = _TUPLE + f""",
+sums AS MATERIALIZED (SELECT graph_id, node_size, node_offset, node_offset + node_size AS upto FROM offsets),
+cuts AS (
+  SELECT 0::BIGINT AS batch, 0::BIGINT AS low, max(upto) AS high FROM sums WHERE upto <= {BUDGET} OR node_offset = 0
+  UNION ALL SELECT c.batch + 1, c.high, max(s.upto) FROM cuts c JOIN sums s ON s.upto > c.high AND (s.upto <= c.high + {BUDGET} OR s.node_offset = c.high) GROUP BY c.batch, c.high),
+placed AS MATERIALIZED (SELECT s.graph_id, c.batch, s.node_size, s.node_offset - c.low AS node_offset FROM sums s JOIN cuts c ON s.upto > c.low AND s.upto <= c.high)"""
+
+
+@graph_query(_BATCHES + " SELECT graph_id, batch, node_size, node_offset FROM placed")
+def graph_batches(nodes, edges):
+    return transforms.tuple_batches(nodes, edges, BUDGET).select("graph_id", "batch", "node_size", "node_offset")
+
+
+@graph_query(_BATCHES + """ SELECT batch, flow, list(source + node_offset ORDER BY graph_id, edge_id) AS sources, list(target + node_offset ORDER BY graph_id, edge_id) AS targets, list(position ORDER BY graph_id, edge_id) AS positions
+ FROM edges JOIN placed USING (graph_id) GROUP BY batch, flow""")
+def graph_batch_arrays(nodes, edges):
+    return transforms.tuple_arrays(nodes, edges, BUDGET)
+
+
 @graph_query(_TUPLE + " SELECT flow, source + node_offset AS source, target + node_offset AS target, position FROM edges JOIN offsets USING (graph_id)")
 def graph_tuple_edges(nodes, edges):
     return transforms.tuple_adjacency(nodes, edges)
@@ -418,7 +450,8 @@ def embedding_lookup(spark, sf_dir):
     return orders.join(vectors, F.col("vec_id") == F.col("o_orderkey") % 97).select("o_orderkey", "vec_id", F.size("embedding").cast("long").alias("dims"))
 
 
-@graph_query(" SELECT c.graph_id, c.target AS entry, x.source AS exit FROM edges c JOIN edges x ON x.graph_id = c.graph_id AND x.flow = 2 AND x.target = 0 WHERE c.flow = 2 AND c.source = 0")
+# an order's graph has one entry and one exit
+@graph_query(" SELECT graph_id, max(target) FILTER (source = 0) AS entry, max(source) FILTER (target = 0) AS exit FROM edges WHERE flow = 2 GROUP BY graph_id")
 def call_edges(nodes, edges):
     calls = edges.where("flow = 2")
     into = calls.where("source = 0").select("graph_id", F.col("target").alias("entry"))

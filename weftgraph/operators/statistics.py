@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.plans.ordered import ranks_within, running_sum, values_at
@@ -37,9 +37,46 @@ def frequency_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
-def write_tsv(table: DataFrame, path: str) -> None:
-    """Tab-separated with a header, in the order that the table has."""
-    table.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="")
+#: What a field may not hold as it is, and what stands for it; the backslash goes first.
+ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
+_TSV = {"sep": "\t", "header": True, "quote": "", "escape": "", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_tsv(table: DataFrame, path: str, order: list[Column] | None = None) -> None:
+    """Tab-separated with a header in each part; backslashes, tabs and line ends in texts are escaped, nulls empty.
+
+    With ``order`` rows are dealt by ranges of it and sorted in them, and parts are numbered by
+    their ranges: read in the order of their names they are in the order of all rows.
+    """
+    ordered = table if order is None else table.repartitionByRange(*order).sortWithinPartitions(*order)
+    texts = {f.name for f in table.schema if f.dataType.typeName() == "string"}
+
+    def escaped(name: str) -> Column:
+        value = F.col(name)
+        for c, instead in ESCAPES if name in texts else ():
+            value = F.replace(value, F.lit(c), F.lit(instead))
+        return value.alias(name)
+
+    ordered.select(*map(escaped, table.columns)).write.mode("overwrite").csv(path, **_TSV)
+
+
+def write_vocabulary(table: DataFrame, path: str) -> None:
+    """A table of ``vocabulary``, in its own order."""
+    write_tsv(table, path, [F.col("count").desc(), F.col("text").asc_nulls_last()])
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_tsv`` wrote, with texts as they were; an empty text is null."""
+    found = spark.read.csv(path, schema=schema, **_TSV)
+
+    def plain(text: Column) -> Column:
+        # between escaped backslashes there are none but those of other escapes
+        for c, instead in ESCAPES[1:]:
+            text = F.replace(text, F.lit(instead), F.lit(c))
+        return text
+
+    back = lambda c: F.array_join(F.transform(F.split(c, r"\\\\", -1), plain), "\\")
+    return found.select(*[back(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in found.schema])
 
 
 def write_csv(table: DataFrame, path: str) -> None:

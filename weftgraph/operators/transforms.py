@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from weftgraph.functions.features import as_text, integer, put, text
 from weftgraph.plans.fixpoint import MOST_EDGES, queue_order
 from weftgraph.plans.kernels import sequence_kernel
-from weftgraph.plans.ordered import running_sum
+from weftgraph.plans.ordered import consecutive_bins, running_sum
 from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import CALL, CONSTANT, CONTROL, DATA, FEATURE, INSTRUCTION, ROOT_TEXT, TYPE, VARIABLE
 
@@ -62,6 +62,23 @@ def tuple_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(offsets, "graph_id").select("flow", (F.col("source") + F.col("node_offset")).alias("source"), (F.col("target") + F.col("node_offset")).alias("target"), "position")
 
 
+def tuple_batches(nodes: DataFrame, edges: DataFrame, most_nodes: int) -> DataFrame:
+    """``graph_id, batch, node_size, edge_size, node_offset`` (in its batch): graphs in the order of their ids, as many to a batch as have ``most_nodes`` nodes or less.
+
+    A graph with more nodes is a batch of its own.
+    """
+    offsets = tuple_offsets(nodes, edges)
+    return consecutive_bins(offsets, [F.col("graph_id").asc()], "node_size", most_nodes, "batch", "node_offset", Scratch(nodes.sparkSession), "batches")
+
+
+def tuple_arrays(nodes: DataFrame, edges: DataFrame, most_nodes: int) -> DataFrame:
+    """``batch, flow, sources, targets, positions``: the edges of each flow of a batch's graphs, in the order of graphs and edges, ends shifted by the nodes before."""
+    placed = tuple_batches(nodes, edges, most_nodes).select("graph_id", "batch", "node_offset")
+    moved = edges.join(placed, "graph_id").select("batch", "flow", F.struct("graph_id", "edge_id", (F.col("source") + F.col("node_offset")).alias("source"), (F.col("target") + F.col("node_offset")).alias("target"), "position").alias("e"))
+    rows = moved.groupBy("batch", "flow").agg(F.sort_array(F.collect_list("e")).alias("r"))
+    return rows.select("batch", "flow", *[F.col("r")[name].alias(f"{name}s") for name in ("source", "target", "position")])
+
+
 def _sequenced(edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame | None]:
     """``graph_id, node_ids`` of packed graphs, and ``graph_id, node_id, place`` of those with more edges."""
     scratch = Scratch(edges.sparkSession)

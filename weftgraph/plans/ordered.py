@@ -7,6 +7,8 @@ for each partition, whose size is that of the session's partitions and not of th
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,3 +89,70 @@ def values_at(df: DataFrame, column: str, ranks: list[int], scratch: Scratch, la
         for row in rows.select("value", F.explode(hit).alias("rank")).collect():  # a row for each wanted rank
             found[row["rank"] + starts[part]] = row["value"]
     return found
+
+
+def next_starts(upto: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """For a bin that starts at each row: the row that starts the next one, or the number of rows."""
+    return np.maximum(np.searchsorted(upto, upto - size + most, side="right"), np.arange(len(upto)) + 1)
+
+
+def last_starts(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last start of the chain from each row, and the starts of the chain, by jumps twice as long each time."""
+    rows = len(after)
+    jump = np.append(after, rows)
+    last, count = np.arange(rows + 1), np.append(np.ones(rows, np.int64), 0)
+    while (jump[:rows] < rows).any():
+        last, count = np.where(jump < rows, last[jump], last), count + count[jump]
+        jump = jump[jump]
+    return last[:rows], count[:rows]
+
+
+def consecutive_bins(df: DataFrame, order: list[Column], size: str, most: int, number: str, offset: str, scratch: Scratch, label: str) -> DataFrame:
+    """``df`` with ``number``, the bin of each row, and ``offset``, the sizes before it in its bin.
+
+    Bins are consecutive rows in ``order`` whose sizes, integers from 1, sum up to ``most`` or
+    less, or one row; each takes as many as it can.  A bin that goes on into a range partition
+    ends within ``most`` of its beginning, so only rows there can be the partition's first start:
+    for each the chain of starts through the partition is followed by jump pointers.  These
+    tables, ``most`` rows for a partition at most, are read one after the other, in order; what
+    is held of them is where the last bin began.
+    """
+    base = df.drop(offset) if offset in df.columns else df
+    columns = base.columns
+    summed = scratch.keep(running_sum(base, order, size, "__upto", scratch, f"{label}-sums").repartitionByRange("__upto").sortWithinPartitions("__upto").withColumn("__part", F.spark_partition_id()), label)
+
+    def entries(part: pa.Table) -> pa.Table:
+        part = part.sort_by("__upto")
+        upto, sizes = part.column("__upto").to_numpy(), part.column("__size").to_numpy()
+        last, count = last_starts(next_starts(upto, sizes, most))
+        few = np.append(0, upto)[:-1] - (upto[0] - sizes[0]) <= most if len(upto) else np.zeros(0, bool)
+        few[:1] = True
+        low = upto - sizes
+        return pa.table({"part": part.column("__part").filter(few), "low": low[few], "upto": upto[few], "began": low[last][few], "starts": count[few]})
+
+    found = summed.select("__part", "__upto", F.col(size).cast("long").alias("__size")).groupBy("__part").applyInArrow(entries, "part int, low long, upto long, began long, starts long")
+    # part: (bin that goes on into it, where that began, first start of its own, the number of that)
+    state: dict[int, tuple] = {}
+    began, before = None, 0
+    for row in scratch.keep(found, f"{label}-entries").orderBy("part", "low").toLocalIterator():
+        coming = state.setdefault(row["part"], (before - 1, began or 0, None, 0))
+        if coming[2] is None and (began is None or row["upto"] > began + most):
+            state[row["part"]] = (*coming[:2], row["low"], before)
+            began, before = row["began"], before + row["starts"]
+
+    def numbered(part: pa.Table) -> pa.Table:
+        part = part.sort_by("__upto")
+        upto, sizes = part.column("__upto").to_numpy(), part.column(size).to_numpy()
+        low, after = upto - sizes, next_starts(upto, sizes, most)
+        bin_, start, entry, first = state[part.column("__part")[0].as_py()]
+        at, starts = len(upto) if entry is None else int(np.searchsorted(low, entry)), []
+        while at < len(upto):
+            starts.append(at)
+            at = int(after[at])
+        local = np.searchsorted(np.array(starts, np.int64), np.arange(len(upto)), side="right")
+        begins = np.append(start, low[starts])[local]
+        out = part.select(columns).append_column(number, pa.array(np.where(local > 0, first + local - 1, bin_)))
+        return out.append_column(offset, pa.array(low - begins))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    return summed.groupBy("__part").applyInArrow(numbered, f"{schema}, `{number}` long, `{offset}` long")

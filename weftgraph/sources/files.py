@@ -7,15 +7,19 @@ equal.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import stem
+from weftgraph.plans.ordered import running_sum
+from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import EDGES, FEATURE, FUNCTIONS, MODULES, NODES, GraphTransformError
 from weftgraph.sources import wire
 
@@ -141,13 +145,64 @@ def read_graphs(spark: SparkSession, path: str, pattern: str = "*", idx_list: li
 
     ``idx_list`` picks graphs of a list by place: none for ``[]``, all for ``None``.  ``limit``
     takes that many files, in the order of their names or, with a ``seed``, of a hash.
+    Files are listed once and dealt to tasks by size before they are read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+    files = read_balanced(list_files(spark, path, pattern, limit, seed))
+    return decode(files, "path", "content", idx_list, lambda name: message or ("ProgramGraphList" if _is_list(name) else "ProgramGraph"), wire.encoding_of)
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*", limit: int | None = None, seed: int | None = None) -> DataFrame:
+    """``path, length`` of the files below a folder: all, or ``limit`` of them by name or by a seeded hash."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length")
     if limit is not None:
         order = F.col("path") if seed is None else F.xxhash64(F.lit(seed), "path")
-        names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path").orderBy(order, "path").limit(limit)
-        files = files.join(names, "path", "left_semi")
-    return decode(files, "path", "content", idx_list, lambda name: message or ("ProgramGraphList" if _is_list(name) else "ProgramGraph"), wire.encoding_of)
+        found = found.orderBy(order, "path").limit(limit)
+    return Scratch(spark).keep(found, "files")
+
+
+#: Files that are packed one by one, for each task; smaller ones fill up what these leave.
+LARGEST = 64
+
+
+def dealt(listing: DataFrame, tasks: int) -> DataFrame:
+    """Add ``task``: files of ``listing``, a written table, packed by size, so that tasks have about equal bytes.
+
+    The ``LARGEST`` largest files for each task go, largest first, to the task with the fewest
+    bytes.  What each task then lacks is an interval of the running sum of all other sizes.
+    """
+    scratch = Scratch(listing.sparkSession)
+    sized = listing.withColumn("length", F.coalesce("length", F.lit(0)))
+    big = sized.orderBy(F.col("length").desc(), "path").limit(LARGEST * tasks)
+    loads = [(0, t) for t in range(tasks)]
+    packed = []
+    for row in big.collect():  # bounded by the tasks
+        load, task = heapq.heappop(loads)
+        packed.append((row["path"], row["length"], task))
+        heapq.heappush(loads, (load + row["length"], task))
+    first = listing.sparkSession.createDataFrame(packed, "path string, length long, task int")
+    rest = running_sum(sized.join(F.broadcast(first.select("path")), "path", "left_anti"), [F.col("path").asc()], "length", "__upto", scratch, "rest")
+    total = sum(load for load, _ in loads) + (sized.agg(F.sum("length")).first()[0] or 0) - sum(length for _, length, _ in packed)
+    ends, upto = [], 0.0
+    for load, task in sorted(loads, key=lambda x: x[1]):
+        upto += max(0.0, total / tasks - load)
+        ends.append(upto)
+    middle = F.col("__upto") - F.col("length") / 2
+    task = F.least(F.size(F.filter(F.array(*map(F.lit, ends)), lambda end: end <= middle)), F.lit(tasks - 1))
+    return first.unionByName(rest.select("path", "length", task.cast("int").alias("task")))
+
+
+def read_balanced(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``path, content`` of listed files, which each task reads for itself, on any file system that Arrow knows."""
+    tasks = tasks or int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, name = _file_system(path)
+                with system.open_input_stream(name, compression=None) as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read()], pa.binary())], ["path", "content"])
+
+    return dealt(listing, tasks).repartitionById(tasks, F.col("task")).select("path").mapInArrow(read, "path string, content binary")
 
 
 def from_bytes(blobs: DataFrame, key: str = "graph_id", data: str = "data", idx_list: list[int] | None = None, compression: str | None = "gz", message: str = "ProgramGraphList") -> DataFrame:

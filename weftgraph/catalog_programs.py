@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.catalog import _DEPTH, _INSTRUCTIONS, _LABELS, _LIVE, _REACH, _SEQUENCE, _instruction_roots, _roots_sql, _table, graph_query, query
-from weftgraph.functions import text
+from weftgraph.catalog import _DEPTH, _INSTRUCTIONS, _LABELS, _LIVE, _REACH, _SEQUENCE, ORACLE, _instruction_roots, _roots_sql, _table, graph_query, query
+from weftgraph.functions import features, text
 from weftgraph.operators import analysis, statistics, transforms, validation
 from weftgraph.plans.scratch import Scratch
 from weftgraph.sources import files, hlo, ir
@@ -276,3 +276,135 @@ def wide_liveness_out(spark, sf_dir):
 @query(WIDE_HEAD + " SELECT graph_id, count(*) AS node_count, count(*) FILTER (type = 0) AS instruction_count FROM nodes GROUP BY graph_id")
 def wide_graph_sizes(spark, sf_dir):
     return statistics.graph_sizes(*order_graphs(spark, sf_dir, wide=True)).select("graph_id", "node_count", "instruction_count")
+
+
+# one level of the queue for each step of the recursion
+_WIDE_SEQUENCE = """,
+ce AS MATERIALIZED (SELECT graph_id, list(struct_pack(s := source, t := target) ORDER BY edge_id) AS es FROM edges WHERE flow = 0 GROUP BY graph_id),
+levels AS (
+  SELECT c.graph_id, c.es, [e.target] AS level, []::BIGINT[] AS seen FROM edges e JOIN ce c USING (graph_id) WHERE e.flow = 2 AND e.source = 0
+  UNION ALL
+  SELECT graph_id, es, list_filter(below, lambda x, i: list_position(below, x) = i), seen || level FROM (
+    SELECT *, flatten(list_transform(level, lambda n: list_filter(list_transform(list_filter(es, lambda e: e.s = n), lambda e: e.t), lambda x: NOT list_contains(seen, x) AND NOT list_contains(level, x)))) AS below
+    FROM levels WHERE len(level) > 0))
+SELECT graph_id, seen AS node_ids FROM levels WHERE len(level) = 0"""
+
+
+@query(WIDE_HEAD + _WIDE_SEQUENCE)
+def wide_instruction_sequence(spark, sf_dir):
+    _, edges = order_graphs(spark, sf_dir, wide=True)
+    return transforms.instruction_sequence(edges)
+
+
+@query(WIDE_HEAD + _LIVE + _roots_sql("SELECT DISTINCT graph_id, node_id FROM outs") + """,
+after AS MATERIALIZED (SELECT graph_id, source AS i, list(target ORDER BY flow, edge_id) AS t FROM edges WHERE flow < 2 GROUP BY graph_id, source),
+places AS MATERIALIZED (SELECT graph_id, unnest(range(0, most + 1)) AS i FROM (SELECT graph_id, max(node_id) AS most FROM nodes GROUP BY graph_id)),
+steps AS MATERIALIZED (SELECT graph_id, list(coalesce(t, []) ORDER BY i) AS es FROM places LEFT JOIN after USING (graph_id, i) GROUP BY graph_id),
+lives AS MATERIALIZED (SELECT r.graph_id, r.root, list(o.variable) AS live FROM roots r JOIN outs o ON o.graph_id = r.graph_id AND o.node_id = r.root GROUP BY ALL),
+levels AS (
+  SELECT l.graph_id, l.root, l.live, e.es, [l.root] AS level, []::BIGINT[] AS seen, 1::BIGINT AS depth, 0::BIGINT AS deepest FROM lives l JOIN steps e USING (graph_id)
+  UNION ALL
+  SELECT graph_id, root, live, es, list_filter(below, lambda x, i: list_position(below, x) = i), list_distinct(seen || level), depth + 1, CASE WHEN list_has_any(level, live) THEN depth ELSE deepest END
+  FROM (
+    SELECT *, flatten(list_transform(level, lambda n, i: list_filter(es[n + 1], lambda x: NOT list_contains(seen, x) AND NOT list_contains(level[1:i], x)))) AS below
+    FROM levels WHERE len(level) > 0))
+SELECT graph_id, root, deepest AS step_count, len(live)::BIGINT AS active_node_count FROM levels WHERE len(level) = 0""")
+def wide_liveness_summary(spark, sf_dir):
+    nodes, edges = order_graphs(spark, sf_dir, wide=True)
+    out = Scratch(spark).keep(analysis.live_out(nodes, edges), "out")
+    return analysis.liveness_instances(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges, out)), out)
+
+
+@query()
+def wide_dominance_summary(spark, sf_dir):
+    """Sets of some 580 nodes are beyond SQL's integers; tests hold the sweeps against plain sets."""
+    nodes, edges = order_graphs(spark, sf_dir, wide=True)
+    return analysis.dominance_instances(nodes, edges, _instruction_roots(nodes, edges))
+
+
+# graphs with functions, modules, features and clusters
+
+
+def _annotated(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes of two functions, by the parity of their ids, with a feature for instructions; functions, modules and graphs with features."""
+    weight = features.put(F.lit(None).cast("map<string,struct<bytes:array<binary>,floats:array<float>,ints:array<bigint>>>"), "weight", features.integer(F.col("node_id") % 5))
+    whole = nodes.withColumn("function", F.col("node_id") % 2).withColumn("block", F.col("node_id") % 3).withColumn("features", F.when(F.col("type") == 0, weight))
+    graphs = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    functions = graphs.select("graph_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("function_id")).withColumn("name", F.concat(F.lit("f"), F.col("graph_id").cast("string"), F.lit("."), F.col("function_id").cast("string"))).withColumn("module_id", F.lit(0).cast("long"))
+    modules = graphs.select("graph_id", F.lit(0).cast("long").alias("module_id"), F.concat(F.lit("m"), (F.col("graph_id") % 7).cast("string"), F.lit(".c")).alias("name"))
+    own = graphs.select("graph_id", features.put(F.lit(None).cast("map<string,struct<bytes:array<binary>,floats:array<float>,ints:array<bigint>>>"), "size", features.integer(F.col("n"))).alias("features"))
+    return whole, functions, modules, own
+
+
+@graph_query(""" SELECT n.graph_id, '{"directed":true,"multigraph":true,"graph":{"function":[{"name":"f' || n.graph_id || '.0","module":0},{"name":"f' || n.graph_id || '.1","module":0}],"module":[{"name":"m' || n.graph_id % 7
+   || '.c"}],"features":{"size":[' || n.n || ']}},"nodes":[' || n.j || '],"links":[' || e.j || ']}' AS json
+ FROM (SELECT graph_id, count(*) AS n, string_agg('{"id":' || node_id || ',"type":' || type || ',"text":"' || text || '","function":' || node_id % 2 || ',"block":' || node_id % 3 || CASE WHEN type = 0 THEN ',"features":{"weight":[' || node_id % 5 || ']}' ELSE '' END || '}', ',' ORDER BY node_id) AS j FROM nodes GROUP BY graph_id) n
+ JOIN (SELECT graph_id, string_agg('{"flow":' || flow || ',"position":' || position || ',"source":' || source || ',"target":' || target || ',"key":0}', ',' ORDER BY edge_id) AS j FROM edges GROUP BY graph_id) e USING (graph_id)""")
+def node_link_json_whole(nodes, edges):
+    whole, functions, modules, own = _annotated(nodes)
+    return transforms.node_link_json(whole, edges, functions, modules, own)
+
+
+@graph_query(", d AS MATERIALIZED (" + ORACLE["dot_lines"][len(ORACLE_HEAD) :] + """),
+ placed AS (SELECT d.graph_id, d.ord, '    ' || d.line || chr(10) AS line, CASE WHEN n.type < 2 AND n.node_id > 0 THEN n.node_id % 2 ELSE -1 END AS home FROM d JOIN nodes n ON d.graph_id = n.graph_id AND d.ord = n.node_id WHERE d.kind = 'node'),
+ body AS (SELECT graph_id, coalesce(string_agg(line, '' ORDER BY ord) FILTER (home = -1), '') AS x, coalesce(string_agg(line, '' ORDER BY ord) FILTER (home = 0), '') AS a, coalesce(string_agg(line, '' ORDER BY ord) FILTER (home = 1), '') AS b FROM placed GROUP BY graph_id),
+ ends AS (SELECT graph_id, string_agg('  ' || line || chr(10), '' ORDER BY ord) AS e FROM d WHERE kind = 'edge' GROUP BY graph_id)
+ SELECT graph_id, 'digraph main {
+""" + "".join(f"  {line}\n" for line in transforms.DEFAULTS) + """  subgraph external {
+' || x || '  }
+  subgraph cluster0 {
+    label="f' || graph_id || '.0";
+    margin=10;
+    style=dotted;
+' || a || '  }
+  subgraph cluster1 {
+    label="f' || graph_id || '.1";
+    margin=10;
+    style=dotted;
+' || b || '  }
+' || e || '}
+' AS dot FROM body JOIN ends USING (graph_id)""")
+def dot_clusters(nodes, edges):
+    whole, functions, _, _ = _annotated(nodes)
+    return transforms.dot_text(whole, edges, functions=functions)
+
+
+def _inst2vec_table(nodes: DataFrame, name: str) -> DataFrame:
+    words = nodes.sparkSession.createDataFrame([("!UNK", 0), ("!IDENTIFIER", 1), ("!IMMEDIATE", 2), ("add", 3), ("sub", 4)], "text string, id int")
+    return statistics.frequency_tables(Scratch(nodes.sparkSession).keep(transforms.annotate_inst2vec(nodes, words)[0], "annotated"))[name]
+
+
+_FREQUENCY = """ SELECT text, n AS count, round(sum(n) OVER w / sum(n) OVER (), 6) AS cumulative_frequency, round(sum(n) OVER w / (SELECT count(*) FROM nodes), 6) AS cumulative_node_frequency
+ FROM (SELECT {text} AS text, count(*) AS n FROM nodes WHERE {where} GROUP BY 1) WINDOW w AS (ORDER BY n DESC, text)"""
+
+
+@graph_query(_FREQUENCY.format(text="text", where="type = 0"))
+def vocab_inst2vec_preprocessed(nodes, edges):
+    return _inst2vec_table(nodes, "inst2vec_preprocessed")
+
+
+@graph_query(_FREQUENCY.format(text="(CASE WHEN type = 1 THEN 1 WHEN type > 1 THEN 2 WHEN text = 'add' THEN 3 WHEN text = 'sub' THEN 4 ELSE 0 END)::BIGINT", where="true"))
+def vocab_inst2vec(nodes, edges):
+    return _inst2vec_table(nodes, "inst2vec")
+
+
+@query("""SELECT o_orderkey, format('{:,}', o_orderkey) AS commas, format('{:,}', o_custkey) || CASE WHEN o_custkey = 1 THEN ' order' ELSE ' orders' END AS plural,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN o_orderstatus WHEN 2 THEN o_orderstatus || ' and ' || o_orderpriority ELSE o_orderstatus || ', ' || o_orderpriority || ' and x' END AS series,
+  array_to_string(list_filter([CASE WHEN o_orderkey * 7 >= 86400 THEN (o_orderkey * 7 // 86400) || 'd' END, CASE WHEN o_orderkey * 7 // 3600 % 24 > 0 THEN (o_orderkey * 7 // 3600 % 24) || 'h' END,
+    CASE WHEN o_orderkey * 7 // 60 % 60 > 0 THEN (o_orderkey * 7 // 60 % 60) || 'm' END, (o_orderkey * 7 % 60) || 's'], lambda x: x IS NOT NULL), ' ') AS took,
+  'order ' || lpad(o_orderkey::VARCHAR, 20, '0') || lower(o_orderpriority[2:]) AS key, o_custkey * 1024 / 1024.0 / CASE WHEN o_custkey < 1024 THEN 1 ELSE 1024 END AS scaled,
+  CASE WHEN o_custkey = 0 THEN 'B' WHEN o_custkey < 1024 THEN 'KiB' ELSE 'MiB' END AS unit FROM orders""")
+def readable_counts(spark, sf_dir):
+    key = F.col("o_orderkey")
+    words = F.slice(F.array("o_orderstatus", "o_orderpriority", F.lit("x")), F.lit(1), (key % 4).cast("int"))
+    scaled = text.binary_scale(F.col("o_custkey") * 1024)
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        text.commas(key).alias("commas"),
+        text.plural(F.col("o_custkey"), "order").alias("plural"),
+        text.word_series(words).alias("series"),
+        text.duration(key * 7).alias("took"),
+        text.natural_key(F.concat(F.lit("Order "), key.cast("string"), F.substring("o_orderpriority", 2, 100))).alias("key"),
+        scaled["value"].alias("scaled"),
+        scaled["unit"].alias("unit"),
+    )

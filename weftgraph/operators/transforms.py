@@ -27,18 +27,19 @@ def cdfg_nodes(nodes: DataFrame) -> DataFrame:
 
 def cdfg_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Control and call edges at position 0, with their features; data edges from each definition to each use of a variable."""
-    ids = cdfg_map(nodes)
     kept = [c for c in edges.columns if c == "features"]
-    ordered = edges.where(F.col("flow").isin(CONTROL, CALL)).select("graph_id", "flow", "source", "target", *kept)
-    instructions = nodes.where(F.col("type") == INSTRUCTION).select("graph_id", F.col("node_id").alias("i"))
-    variables = nodes.where(F.col("type") == VARIABLE).select("graph_id", F.col("node_id").alias("v"))
-    data = edges.where(F.col("flow") == DATA).select("graph_id", "source", "target")
-    defs = data.withColumnRenamed("target", "v").withColumnRenamed("source", "i").join(variables, ["graph_id", "v"], "left_semi").join(instructions, ["graph_id", "i"], "left_semi")
-    uses = data.withColumnRenamed("source", "v").withColumnRenamed("target", "i").join(variables, ["graph_id", "v"], "left_semi").join(instructions, ["graph_id", "i"], "left_semi")
-    flows = defs.withColumnRenamed("i", "source").join(uses.withColumnRenamed("i", "target"), ["graph_id", "v"]).distinct()
-    both = ordered.unionByName(flows.select("graph_id", F.lit(DATA).cast("long").alias("flow"), "source", "target"), allowMissingColumns=True)
-    ends = ids.select("graph_id", F.col("node_id").alias("source"), F.col("new_id").alias("s"))
-    both = both.join(ends, ["graph_id", "source"]).join(ends.toDF("graph_id", "target", "t"), ["graph_id", "target"])
+    order = Window.partitionBy("graph_id", "type").orderBy("node_id")
+    ends = nodes.where(F.col("type").isin(INSTRUCTION, VARIABLE)).select("graph_id", "node_id", "type", (F.row_number().over(order) - 1).cast("long").alias("new_id"))
+    # each edge once with the kinds and new ids of both ends; ids of variables are not asked for
+    tagged = edges.where(F.col("flow").isin(CONTROL, CALL, DATA)).select("graph_id", "flow", "source", "target", *kept)
+    tagged = tagged.join(ends.toDF("graph_id", "source", "from", "s"), ["graph_id", "source"]).join(ends.toDF("graph_id", "target", "to", "t"), ["graph_id", "target"])
+    tagged = Scratch(nodes.sparkSession).keep(tagged.where((F.col("from") == INSTRUCTION) | (F.col("to") == INSTRUCTION)), "tagged")
+    ordered = tagged.where((F.col("flow") != DATA) & (F.col("from") == INSTRUCTION) & (F.col("to") == INSTRUCTION)).select("graph_id", "flow", "s", "t", *kept)
+    data = tagged.where(F.col("flow") == DATA)
+    defs = data.where(F.col("to") == VARIABLE).select("graph_id", F.col("target").alias("v"), "s").distinct()
+    uses = data.where(F.col("from") == VARIABLE).select("graph_id", F.col("source").alias("v"), "t").distinct()
+    flows = defs.join(uses, ["graph_id", "v"]).select("graph_id", F.lit(DATA).cast("long").alias("flow"), "s", "t")
+    both = ordered.unionByName(flows, allowMissingColumns=True)
     return both.select("graph_id", "flow", F.lit(0).cast("long").alias("position"), F.col("s").alias("source"), F.col("t").alias("target"), *kept)
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
-from weftgraph.operators import analysis, statistics, transforms, validation
+from weftgraph.operators import adapters, analysis, statistics, transforms, validation
 from weftgraph.plans.scratch import Scratch
+from weftgraph.sources import ir
 from weftgraph.sources.orders import ORACLE_HEAD, order_graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,7 +142,7 @@ def compile_configurations(spark, sf_dir):
 @query("SELECT conv_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS text FROM (SELECT conv_id, list(text ORDER BY turn) AS l FROM conversations GROUP BY conv_id)")
 def unpack_lists(spark, sf_dir):
     lists = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("l"))
-    return lists.select("conv_id", F.posexplode(F.transform("l", lambda x: x["text"])).alias("idx", "text")).withColumn("idx", F.col("idx").cast("long"))
+    return ir.unpack_lists(lists.select("conv_id", F.transform("l", lambda x: x["text"]).alias("l")), "conv_id", "l")
 
 
 # counts by query string
@@ -446,8 +447,9 @@ def vocabulary_lookup(nodes, edges):
 
 @query("SELECT o.o_orderkey, e.vec_id, len(e.embedding) AS dims FROM orders o JOIN embeddings e ON e.vec_id = o.o_orderkey % 97")
 def embedding_lookup(spark, sf_dir):
-    orders, vectors = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "embeddings")
-    return orders.join(vectors, F.col("vec_id") == F.col("o_orderkey") % 97).select("o_orderkey", "vec_id", F.size("embedding").cast("long").alias("dims"))
+    encoded = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 97).alias("token_id"))
+    found = adapters.embed(encoded, _table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")).where("embedding IS NOT NULL")
+    return found.select("o_orderkey", F.col("token_id").alias("vec_id"), F.size("embedding").cast("long").alias("dims"))
 
 
 # an order's graph has one entry and one exit

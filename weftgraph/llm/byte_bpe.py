@@ -15,8 +15,9 @@ are.  So each place has exactly one last token.
 Decoding joins the tokens' bytes; a UTF-8 state machine holds back the bytes of a
 character that is not complete yet.
 
-Edge cases: a null or empty text has no tokens and decodes to no bytes; rows may
-repeat; columns besides the text are passed on, and names that clash with the new
+Edge cases: a null or empty text has no tokens and decodes to no bytes; very long texts are
+encoded piece by piece, with a register of ``REGISTER`` places; ties do not arise, as each place
+has one last token; repeated rows are encoded alike; an empty table gives no rows; columns besides the text are passed on, and names that clash with the new
 columns are replaced.
 """
 

@@ -10,7 +10,10 @@ Segments start at runs of the space mark, and unknown control characters are seg
 of their own: no piece reaches across either, so each segment is counted alone.
 
 Edge cases: null and empty texts have 0 tokens; a character outside the vocabulary
-counts one token for each of its UTF-8 bytes; repeated rows are counted alike.
+counts one token for each of its UTF-8 bytes; very long texts are counted whole, segment by
+segment, with one batch of some megabytes in memory; ties do not arise, as each prefix has one
+last token; repeated rows are counted alike; an empty table gives no rows; only the named
+columns are read, so others, whatever their names, are left alone.
 """
 
 from __future__ import annotations

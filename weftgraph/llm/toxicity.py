@@ -14,7 +14,7 @@ are left out whole.  After the first passes only the worst windows of a toxic te
 toxic.
 
 Edge cases: a null, empty or wordless text has score 0; very long texts are scored window
-by window, in blocks; repeated rows get equal scores; with labels of one kind only, or
+by window, in blocks; of equally bad windows any gives the score; repeated rows get equal scores; with labels of one kind only, or
 none, every score is that kind's (0 if there is none); rows with more than one label count
 once for each; a null id is not held out; an empty table gives no rows; other columns,
 whatever their names, are left alone.

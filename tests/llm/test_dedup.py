@@ -168,6 +168,30 @@ def test_similar_against_brute_force(spark):
     assert far > 50 and sorted(r.doc_id for r in kept) == sorted(set(root))
     assert all(r.text == texts[r.doc_id] for r in kept)
     assert similar.one_of_each(df.limit(0)).count() == 0
+    for block in ((7, 1 << 20), (1000, 500)):
+        cut = similar.one_of_each(df, most_group=2, block=block)
+        assert sorted(r.doc_id for r in cut.collect()) == sorted(set(root))
+
+
+def test_similar_blocks_of_a_passage_that_is_not_known_as_common(spark, monkeypatch):
+    """A passage in a fifth of all texts, which the order puts anywhere; some of these texts are alike."""
+    monkeypatch.setattr(similar, "common_shingles", lambda *_: np.zeros(similar.CELLS, np.int8))
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(60))
+    own = [" ".join(word() for _ in range(40)) for _ in range(1200)]
+    texts = [f"{passage} {x}" if i % 5 == 0 else x for i, x in enumerate(own)]
+    texts += [f"{passage} {own[i]} {word()}" for i in range(0, 300, 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = similar.one_of_each(df, most_group=50, block=(64, 1 << 20)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(1200))
+
+
+def test_shared_counts():
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(rnd.integers(0, 50, n)) for n in (1, 5, 30, 60, 9)]
+    found = similar.shared_counts(sets[:3], sets[2:], most=4)
+    assert found.tolist() == [[len(set(a) & set(b)) for b in sets[2:]] for a in sets[:3]]
 
 
 def test_similar_is_the_stage(spark):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import Recent, map_arrow, rare_gc, slices
 
 #: Kept moves, tested pairs and cached pieces in a Python worker; beyond that they start anew.
-MOST_MOVES, MOST_PAIRS, MOST_PIECES = 1_000_000, 1_000_000, 500_000
+MOST_MOVES, MOST_PAIRS, MOST_PIECES = 1_000_000, 1_000_000, 200_000
 #: Places in the register before sure tokens are emitted.
 REGISTER = 1024
 

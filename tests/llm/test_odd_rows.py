@@ -1,6 +1,7 @@
 """Nulls, copies, ties, odd ids and empty tables for the corpus operators and the pipeline's stages."""
 
 import gzip
+import io
 import random
 
 import numpy as np
@@ -196,6 +197,92 @@ def test_warc_files(spark, tmp_path):
     assert found["<v>"].headers == {"etag": 'W/"a"', "date": "d2", "content-type": "text/html"}
 
 
+def warc_record(kind, name, url, date, block, size=None, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": name, "WARC-Target-URI": url, "WARC-Date": date, "Content-Length": str(len(block) if size is None else size), **more}
+    return b"WARC/1.1\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_profiles_and_repeated_headers(spark, tmp_path):
+    payload = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    full = b'HTTP/1.1 200 OK\r\nETag: "a"\r\nVary: x\r\nvary: y\r\nSet-Cookie: a=1, b\r\nSet-Cookie: c=2\r\nServer: one\r\n\r\nbody'
+    again = b'HTTP/1.1 200 OK\r\nETag: "b"\r\nServer: two\r\n\r\n'
+    day = "2024-01-0{}T00:00:00Z".format
+    parts = [
+        warc_record("response", "<r>", "http://a.com/", day(1), full, WARC_Payload_Digest="d"),
+        warc_record("revisit", "<same>", "a.com", day(2), again, WARC_Payload_Digest="d", WARC_Profile=payload),
+        warc_record("revisit", "<other>", "a.com", day(3), again, WARC_Payload_Digest="e", WARC_Profile=payload),
+        warc_record("revisit", "<none>", "a.com", day(4), again, WARC_Profile=payload),
+        warc_record("revisit", "<tag>", "a.com", day(5), b'HTTP/1.1 304 x\r\nETag: "a"\r\n\r\n', WARC_Profile="http://netpreserve.org/warc/1.1/revisit/server-not-modified"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    records = revisits.read_warc(spark, str(tmp_path))
+    found = {r.record_id: r for r in revisits.resolve(records).collect()}
+    assert {k: r.state for k, r in found.items()} == {"<same>": "resolved", "<other>": "mismatch", "<none>": "unchecked", "<tag>": "resolved"}
+    assert all(found[k].headers == {"etag": '"b"', "server": "two"} for k in ("<same>", "<other>", "<none>"))
+    assert found["<tag>"].headers == {"etag": '"a"', "vary": "x, y", "set-cookie": "a=1, b\nc=2", "server": "one"}
+
+
+def test_warc_files_are_streams():
+    class Counted(io.RawIOBase):
+        """A file of many records that is never whole in memory; ``peak`` is the most bytes asked for at once."""
+
+        def __init__(self, n):
+            self.left, self.data, self.peak = n, b"", 0
+
+        def readable(self):
+            return True
+
+        def readinto(self, into):
+            self.peak = max(self.peak, len(into))
+            if not self.data and self.left:
+                self.left -= 1
+                self.data = warc_record("response", f"<{self.left}>", "a.com", "", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b"WARC/1.0\r\n" * 300_000)
+            n = min(len(into), len(self.data))
+            into[:n], self.data = self.data[:n], self.data[n:]
+            return n
+
+    file = Counted(30)
+    assert [r[0] for r in revisits.parse_warc(file)] == [f"<{i}>" for i in range(29, -1, -1)] and file.peak <= 2 * revisits.STEP
+    member = gzip.compress(warc_record("response", "<a>", "a.com", "", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody" * 50))
+    assert [r[0] for r in revisits.parse_warc(io.BytesIO(member + member[:-20]))] == ["<a>", "<a>"]
+    long = warc_record("response", "<a>", "a.com", "", b"HTTP/1.1 200 OK\r\nA: " + b"b" * 3_000_000 + b"\r\nB: c\r\n\r\nD: e")
+    assert [(len(r[4]["a"]), r[4]["b"], len(r[4])) for r in revisits.parse_warc(io.BytesIO(long))] == [(3_000_000, "c", 2)]
+    assert list(revisits.parse_warc(io.BytesIO(b""))) == list(revisits.parse_warc(io.BytesIO(b"WARC/1.0\r\ncut"))) == []
+    assert [r[0] for r in revisits.parse_warc(io.BytesIO(warc_record("response", "<a>", "a.com", "", b"short", size=99)))] == ["<a>"]
+
+
+def test_neighbours_of_long_lists(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([c + rng.standard_normal((n, 8)) * 0.1 for c, n in zip(rng.standard_normal((12, 8)) * 4, [900] + [60] * 11, strict=True)])
+    x[:250] = x[0]  # a hot list that centroids cannot split
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    copies = {}
+
+    def counted(rows, levels, to_second=neighbours.to_second):
+        found = to_second(rows, levels)
+        copies[levels is not None] = copies.get(levels is not None, 0) + found.where(F.col("kind") != neighbours.PLACE).count()
+        return found
+
+    queries = F.col("vec_id") % 10 == 0
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neighbours, "to_second", counted)
+        got = neighbours.nearest(df, queries, lists=2, most_list=100, rerank=100).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == set(range(0, len(x), 10)) and all(len(v) == 10 for v in found.values())
+    hits = 0
+    for q, ids in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10].tolist()
+        hits += len(set(ids) & set(best))
+        if q < 250:
+            assert ids == best
+    assert hits >= 0.9 * 10 * len(found)
+    assert copies[True] < len(found) * 20  # lists of the second level: some 30
+
+
 def test_cleaned_texts(spark):
     line = "All rights reserved 2024 by the host"
     body = lambda i: " ".join(chr(97 + i % 26) * (i + 1) + chr(97 + j % 26) * (j + 1) for j in range(60))

@@ -10,12 +10,19 @@ best ``rerank`` are measured again on the original vectors, in double precision.
 that its lists leave with fewer than ``k`` neighbours, though there are more rows, is sent to
 its other lists too.
 
-The number of lists is bounded by the sample (``LEAST_TRAIN`` of its vectors for each), not
-the rows: a list longer than ``most_list`` is split by a hash of the row and its queries are
-sent to each part, so no row is left out and a hot list is spread.  A task reads the rows of a
-part first and then its queries batch by batch, so it never holds more than one part.
-Of equal vectors in a part only the smallest ``k + 1`` ids are searched: no more can be among
-the nearest ``k``.
+Lists grow in number with the rows.  The first level has as many as the sample can fit
+(``LEAST_TRAIN`` of its vectors for each).  A list of more than ``most_list`` rows has a second
+level of centroids, fitted in a task of its own on ``LEAST_TRAIN`` rows for each, chosen by a
+hash: two for each ``most_list`` rows, ``MOST_SECOND`` at most.  Its rows and queries descend to
+that level in one shuffle, and the list's sample says how many of its second lists a query needs.
+So a query is copied once for each list that it searches, and lists stay short.  Should a second
+list be longer than ``most_list`` still, then of its equal vectors only the smallest ``k + 1`` ids
+are kept, as no more can be among the nearest ``k``, and what remains too long is split by a hash
+of the row, its queries going to each part: no row is left out.  A task reads the rows of a part
+first and then its queries batch by batch, so it never holds more than one part.
+
+A row for each second list that is too long (of ``MOST_SECOND`` for each list of the first level at
+most) and one for each long list are broadcast; centroids of the second level never are.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows without an id; vectors of different dimensions never meet, and each dimension has
@@ -32,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,12 +108,17 @@ class Index:
         return out
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` lists of the nearest centroids of each row, nearest first."""
         d = (self.centroids**2).sum(1) - 2 * (x.astype(np.float32) @ self.centroids.T)
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
 #: Vectors of the sample for each centroid at least.
 LEAST_TRAIN = 64
+#: Lists of the second level in one of the first at most.
+MOST_SECOND = 1024
+#: A task that sends rows to the second level takes this many times ``most_list`` of them.
+DESCENT = 50
 #: Queries of the sample that choose how many lists are searched.
 TRIALS = 256
 
@@ -130,6 +143,14 @@ def _unpack(column: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
+def runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[list[int]]:
+    """Start, end and keys of each run of rows with equal keys."""
+    keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], 1)
+    cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else np.zeros(0, np.int64)
+    for start, end in zip(cuts.tolist(), np.append(cuts[1:], len(keys)).tolist(), strict=False):
+        yield [start, end, *keys[start].tolist()]
+
+
 class Part:
     """The rows of one part of a list, ready for its queries."""
 
@@ -165,17 +186,13 @@ def search_parts(indexes: dict[int, Index], k: int, rerank: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, part = None, [], None
         for batch in batches:
-            names = ("size", "list", "part", "asks")
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], 1)
-            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))) if len(keys) else []
             out: list[tuple] = []
-            for start, end in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
-                here = tuple(keys[start, :3])
+            for start, end, *here, asks in runs(batch, ["size", "list", "second", "part", "asks"]):
                 if here != key:
                     key, held, part = here, [], None
                 rows, ids = (batch.column(c)[start:end].to_numpy() for c in ("row", "vec_id"))
                 vecs = batch.column("vec")[start:end].to_pylist()
-                if not keys[start, 3]:
+                if not asks:
                     held.append((rows, ids, vecs))
                     continue
                 if part is None and held:
@@ -197,10 +214,12 @@ def valid(vector: Column) -> Column:
 
 def fit(rows: DataFrame, sizes: dict[int, int], k: int, lists: int | None, coverage: float, most_train: int) -> tuple[dict[int, Index], dict[int, int]]:
     """An index, and the number of lists to search, for each dimension."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_train).select("v").toArrow().column("v").to_pylist()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_train).select("v").toArrow().column("v").combine_chunks()
+    flat, long = sample.flatten().to_numpy(), pa.compute.list_value_length(sample).to_numpy()
+    starts = np.cumsum(long) - long
     indexes, probes = {}, {}
     for size, n in sizes.items():
-        x = np.array([v for v in sample if len(v) == size], np.float64).reshape(-1, size)
+        x = flat[starts[long == size][:, None] + np.arange(size)]
         if not len(x):  # too rare for the sample: one list
             indexes[size], probes[size] = Index.fit(np.zeros((1, size)), 1), 1
             continue
@@ -209,6 +228,68 @@ def fit(rows: DataFrame, sizes: dict[int, int], k: int, lists: int | None, cover
     return indexes, probes
 
 
+LIST = ["size", "list"]
+ROW = ["row", "vec_id", "vec"]
+#: What a row of the descent is: a list's centroids, a row to place, a query for the lists it needs, for the others, for all.
+LEVEL, PLACE, FIRST, REST, ALL = range(5)
+
+
+def second_level(stored: DataFrame, k: int, coverage: float, most_list: int, scratch: Scratch) -> DataFrame | None:
+    """``size, list, salts, centroids, probes`` of each list of more than ``most_list`` rows; none where all are short."""
+    counts = stored.groupBy(*LIST).count().where(F.col("count") > most_list)
+    share = F.col("count") / most_list
+    long = scratch.keep(counts.withColumn("seconds", F.least(F.ceil(share * 2), F.lit(MOST_SECOND)).cast("int")).withColumn("salts", F.ceil(share / DESCENT).cast("int")), "long")
+    if long.isEmpty():
+        return None
+
+    def fit_list(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row")
+        x = _unpack(rows["vec"]).astype(np.float32)
+        index = Index(kmeans(x, min(int(rows["seconds"].iloc[0]), len(x))), [], [])
+        return rows[["size", "list", "salts"]].head(1).assign(centroids=index.centroids.tobytes(), probes=needed_probes(index, x, k, coverage))
+
+    # a thousand vectors at least, or the sample of a list hardly longer than ``most_list`` would say little
+    wanted = F.greatest(F.col("seconds") * LEAST_TRAIN, F.lit(1024))
+    sample = stored.join(F.broadcast(long), LIST).where(F.pmod(F.xxhash64("row"), F.col("count")) < wanted)
+    fitted = sample.groupBy(*LIST).applyInPandas(fit_list, "size int, list int, salts int, centroids binary, probes int")
+    return scratch.keep(fitted, "levels")
+
+
+def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second lists of rows and queries, sorted by list and salt, in each the centroids first."""
+    key, index, n = None, None, 0
+    for batch in batches:
+        for start, end, *here, kind in runs(batch, ["size", "list", "salt", "kind"]):
+            if kind == LEVEL:
+                found = batch.column("centroids")[start].as_py()
+                key, index, n = here, Index(np.frombuffer(found, "<f4").reshape(-1, here[0]), [], []), batch.column("probes")[start].as_py()
+                continue
+            assert here == key  # else a list without centroids: the sample of a long list is never empty
+            lists = len(index.centroids)
+            places = slice(0, 1) if kind == PLACE else slice(0, n) if kind == FIRST else slice(n, lists) if kind == REST else slice(0, lists)
+            step = max(1, 16_384 // lists)
+            for at in range(start, end, step):
+                some = batch.slice(at, min(step, end - at))
+                to = index.probes(_unpack(some.column("vec").to_pylist()), lists)[:, places]
+                many = pa.array(np.repeat(np.arange(len(to)), to.shape[1]))
+                columns = [some.column(c).take(many) for c in (*LIST, "kind", *ROW)]
+                yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1).astype(np.int32)), *columns], ["second", *LIST, "kind", *ROW])
+
+
+def to_second(rows: DataFrame, levels: DataFrame | None) -> DataFrame:
+    """Rows of ``size, list, kind, row, vec_id, vec`` with their ``second`` lists: 0 in a list without them."""
+    columns = ["second", *LIST, "kind", *ROW]
+    if levels is None:
+        return rows.where(F.col("kind") != REST).withColumn("second", F.lit(0)).select(*columns)
+    salts = F.broadcast(levels.select(*LIST, "salts"))
+    known = rows.join(salts, LIST, "left")
+    short = known.where(F.col("salts").isNull() & (F.col("kind") != REST)).withColumn("second", F.lit(0)).select(*columns)
+    sent = known.where(F.col("salts").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("row", "kind"), F.col("salts")).cast("int"))
+    tops = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("kind", F.lit(LEVEL)).drop("salts")
+    both = sent.drop("salts").unionByName(tops, allowMissingColumns=True).repartition(*LIST, "salt").sortWithinPartitions(*LIST, "salt", "kind")
+    return short.unionByName(both.mapInArrow(descend, "second int, size int, list int, kind int, row long, vec_id long, vec binary"))
+
+
 def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, lists: int | None = None, coverage: float = 0.98, rerank: int = 200, most_train: int = 20_000, most_list: int = 20_000) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows that ``queries`` holds for, against all others."""
     spark = vectors.sparkSession
@@ -232,7 +313,7 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
             yield pa.RecordBatch.from_arrays([pa.array(size_of), pa.array(lists_of), batch.column("vec_id"), batch.column("is_query"), packed], ["size", "list", "vec_id", "is_query", "vec"])
 
     def send(first: bool):
-        """Each query to its nearest lists, or to all others."""
+        """Each query to its nearest lists, or to all that it did not search."""
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -242,27 +323,41 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
                     here, n, index = np.flatnonzero(size_of == size), probes[int(size)], indexes[int(size)]
                     for at in range(0, len(here), 64):  # a query is as often in the output as it has lists
                         some = here[at : at + 64]
-                        order = index.probes(_unpack([vecs[i] for i in some]), len(index.centroids))
-                        to = order[:, :n] if first else order[:, n:]
+                        to = index.probes(_unpack([vecs[i] for i in some]), len(index.centroids))
+                        to = to[:, :n] if first else to
+                        kind = np.full(to.shape, FIRST if first else ALL, np.int32)
+                        if not first:
+                            kind[:, :n] = REST
                         many = pa.array(np.repeat(some, to.shape[1]))
-                        columns = [batch.column(c).take(many) for c in ("size", "row", "vec_id", "vec")]
-                        yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1).astype(np.int32)), *columns], ["list", "size", "row", "vec_id", "vec"])
+                        columns = [batch.column(c).take(many) for c in ("size", *ROW)]
+                        yield pa.RecordBatch.from_arrays([pa.array(to.reshape(-1).astype(np.int32)), pa.array(kind.reshape(-1)), *columns], ["list", "kind", "size", *ROW])
 
         return kernel
 
     stored = rows.mapInArrow(place, "size int, list int, vec_id long, is_query boolean, vec binary").withColumn("row", F.monotonically_increasing_id())
     stored = scratch.keep(stored, "stored")
-    # one row for each list: their number is bounded by the sample
-    parts = {(r["size"], r["list"]): -(-r["count"] // most_list) for r in stored.groupBy("size", "list").count().collect()}
-    split = {at: n for at, n in parts.items() if n > 1}
-    shares = F.coalesce(F.try_element_at(F.create_map(*[x for at, n in split.items() for x in (F.lit(f"{at[0]}:{at[1]}"), F.lit(n))]), F.concat_ws(":", "size", "list")), F.lit(1)) if split else F.lit(1)
-    columns = ["size", "list", "part", "asks", "row", "vec_id", "vec"]
-    placed = stored.select("size", "list", F.pmod(F.xxhash64("row"), shares).cast("int").alias("part"), F.lit(0).alias("asks"), "row", "vec_id", "vec")
+    levels = second_level(stored, k, coverage, most_list, scratch)
+    placed = to_second(stored.withColumn("kind", F.lit(PLACE)), levels)
+    key = [*LIST, "second"]
+    parts = None
+    if levels is not None:
+        placed = scratch.keep(placed, "placed")
+        heavy = F.broadcast(scratch.keep(placed.groupBy(*key).count().where(F.col("count") > most_list).drop("count"), "heavy"))
+        place_of = F.row_number().over(Window.partitionBy(*key, "vec").orderBy("vec_id", "row"))
+        few = scratch.keep(placed.join(heavy, key, "left_semi").withColumn("n", place_of).where(F.col("n") <= k + 1).drop("n"), "few")
+        placed = placed.join(heavy, key, "left_anti").unionByName(few)
+        parts = F.broadcast(scratch.keep(few.groupBy(*key).agg(F.ceil(F.count("*") / most_list).cast("int").alias("parts")).where("parts > 1"), "parts"))
+
+    def parted(df: DataFrame, part: Column) -> DataFrame:
+        df = df.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))) if parts is not None else df.withColumn("parts", F.lit(1))
+        return df.withColumn("part", part).withColumn("asks", (F.col("kind") != PLACE).cast("int")).select(*key, "part", "asks", *ROW)
+
+    searched = parted(placed, F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
 
     def search(asking: DataFrame, first: bool, label: str) -> DataFrame:
-        asked = asking.mapInArrow(send(first), "list int, size int, row long, vec_id long, vec binary")
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (shares - 1).cast("int")))).withColumn("asks", F.lit(1)).select(*columns)
-        both = placed.unionByName(asked).repartition("size", "list", "part").sortWithinPartitions("size", "list", "part", "asks", "row")
+        asked = to_second(asking.mapInArrow(send(first), "list int, kind int, size int, row long, vec_id long, vec binary"), levels)
+        asked = parted(asked, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = searched.unionByName(asked).repartition(*key, "part").sortWithinPartitions(*key, "part", "asks", "row")
         return scratch.keep(both.mapInArrow(search_parts(indexes, k, rerank), FOUND), label)
 
     asking = stored.where("is_query").select("size", "row", "vec_id", "vec")

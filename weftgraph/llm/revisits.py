@@ -5,6 +5,9 @@ earlier full response of the same canonical URL; its validators (entity tag, els
 modification date, else payload digest) are compared with that response's; and the
 headers that a 304 answer may update are merged into the response's.
 
+Where records have a ``profile`` (the ``WARC-Profile`` of a revisit), one of an identical payload
+is no 304 answer: its own headers are whole and stay as they are, and its digest alone is compared.
+
 The as-of join works on the different times of each URL, of which equal ones are one row
 with the response that counts, summed up before they are shuffled.  They are sorted by URL and
 time over range partitions: inside a partition a window finds the last response before each
@@ -14,19 +17,22 @@ that goes on.  So a URL captured very often is spread over tasks, however short
 Edge cases: a revisit without an earlier response has a null target; a response at the
 same time is not earlier; of responses at one time the larger record id counts; records
 without URL or time resolve to nothing; without validators the state is ``unchecked``; rows
-of one kind with one record id are one record, the one with the least URL, time, digest and
-headers; rows without a record id or of another kind are left out; an empty table gives no
+of one kind with one record id are one record, the one with the least URL, time, digest,
+headers and profile; rows without a record id or of another kind are left out; an empty table gives no
 rows; very long URLs and headers are kept whole; other columns, whatever their names, are left
 alone.
 """
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
+import io
+import zlib
+from collections.abc import Callable, Iterator
 from datetime import datetime
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +43,8 @@ from weftgraph.plans.scratch import Scratch
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "set-cookie"]
 #: Query parameters that only track a visit.
 TRACKING = "utm_[^=&]*|gclid|fbclid|ref"
+#: Fixed value: how the profile of a revisit with an identical payload ends (WARC 1.0 and 1.1).
+SAME_PAYLOAD = "/revisit/identical-payload-digest/?$"
 
 
 def canonical_url(url: Column) -> Column:
@@ -74,79 +82,155 @@ def _tag(headers: Column) -> Column:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """One row for each revisit of ``record_id, url, at`` (seconds) ``, kind, headers`` (names in lower case) ``, digest``.
+    """One row for each revisit of ``record_id, url, at`` (seconds) ``, kind, headers`` (names in lower case) ``, digest``
+    and, if there is such a column, ``profile``.
 
     Returns ``record_id, url`` (canonical) ``, target_id, state, headers``.
     """
     scratch = Scratch(records.sparkSession)
     known = records.where(F.col("kind").isin("response", "revisit") & F.col("record_id").isNotNull())
-    known = known.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), F.col("at").cast("long").alias("at"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest")
-    least = F.min_by(F.struct("url", "at", "headers", "digest"), F.struct("url", "at", "digest", F.to_json("headers")))
+    profile = F.col("profile").cast("string") if "profile" in records.columns else F.lit(None).cast("string")
+    known = known.select("record_id", "kind", profile.alias("profile"), canonical_url(F.col("url")).alias("url"), F.col("at").cast("long").alias("at"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest")
+    least = F.min_by(F.struct("url", "at", "headers", "digest", "profile"), F.struct("url", "at", "digest", F.to_json("headers"), "profile"))
     known = scratch.keep(known.groupBy("record_id", "kind").agg(least.alias("r")).select("record_id", "kind", "r.*"), "records")
     targets = as_of(known.select("url", "at", "record_id", (F.col("kind") == "response").alias("full")), scratch).withColumn("salt", F.lit(0).cast("long"))
-    revisits = known.where("kind = 'revisit'").select("record_id", "url", "at", F.col("headers").alias("new"), F.col("digest").alias("new_digest"))
+    whole = F.coalesce(F.col("profile").rlike(SAME_PAYLOAD), F.lit(False))
+    revisits = known.where("kind = 'revisit'").select("record_id", "url", "at", whole.alias("whole"), F.col("headers").alias("new"), F.col("digest").alias("new_digest"))
     revisits = revisits.withColumn("salt", _spread(F.when(F.col("at").isNotNull(), F.col("url")), F.col("record_id")))
     placed = revisits.join(targets, ["url", "at", "salt"], "left").withColumn("salt", _spread(F.col("target_id"), F.col("record_id")))
     full = known.where("kind = 'response'").select(F.col("record_id").alias("target_id"), F.col("headers").alias("old"), "digest", F.lit(0).cast("long").alias("salt"))
     joined = placed.join(full, ["target_id", "salt"], "left")
     old, new = F.col("old"), F.col("new")
+    alike = F.coalesce(F.col("new_digest") == F.col("digest"), F.lit(False))
     same = (
-        F.when(_tag(new).isNotNull(), F.coalesce(_tag(new) == _tag(old), F.lit(False)))
+        F.when(F.col("whole"), F.when(F.col("new_digest").isNotNull(), alike))
+        .when(_tag(new).isNotNull(), F.coalesce(_tag(new) == _tag(old), F.lit(False)))
         .when(new["last-modified"].isNotNull(), F.coalesce(new["last-modified"] == old["last-modified"], F.lit(False)))
-        .when(F.col("new_digest").isNotNull(), F.coalesce(F.col("new_digest") == F.col("digest"), F.lit(False)))
+        .when(F.col("new_digest").isNotNull(), alike)
     )
     state = F.when(F.col("target_id").isNull(), "no_response").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
     allowed = F.map_filter(new, lambda k, _: k.isin(PERMITTED))
     merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(allowed), k)), allowed)
-    return joined.select("record_id", "url", "target_id", state.alias("state"), F.when(state.isin("resolved", "unchecked"), merged).otherwise(new).alias("headers"))
+    return joined.select("record_id", "url", "target_id", state.alias("state"), F.when(state.isin("resolved", "unchecked") & ~F.col("whole"), merged).otherwise(new).alias("headers"))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[str | None, str | None, int | None, str, dict[str, str], str | None]]:
-    """``record_id, url, at, kind, headers, digest`` of each record of a WARC file, gzipped or not.
+RECORD = "record_id string, url string, at long, kind string, headers map<string,string>, digest string, profile string"
+#: Bytes read at a time of what no one asks for.
+STEP = 1 << 20
 
-    Headers are those of the HTTP answer, names in lower case; a block cut short ends the file.
-    """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
 
-    def fields(block: bytes) -> dict[str, str]:
-        pairs = (line.split(":", 1) for line in block.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
-        return {k.strip().lower(): v.strip() for k, v in pairs}
+def fields(lines: list[bytes]) -> dict[str, str]:
+    """Header fields, names in lower case; values of a repeated one are joined by a comma, cookies by a line end."""
+    found: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if colon:
+            found[name] = found[name] + ("\n" if name == "set-cookie" else ", ") + value if name in found else value
+    return found
+
+
+class Members(io.RawIOBase):
+    """What the members of a gzipped stream hold, one after the other; one cut short gives what it has."""
+
+    def __init__(self, stream: BinaryIO):
+        self.stream, self.member, self.rest = stream, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        while True:
+            if self.member is None or self.member.eof:
+                self.rest = (self.member.unused_data if self.member else b"").lstrip(b"\0") or self.stream.read(STEP)
+                if not self.rest:
+                    return 0
+                self.member = zlib.decompressobj(31)  # with a gzip header
+            self.rest = self.rest or self.stream.read(STEP)
+            ended = not self.rest
+            out = self.member.decompress(self.rest, len(into))
+            self.rest = self.member.unconsumed_tail
+            if out or ended:
+                into[: len(out)] = out
+                return len(out)
+
 
-    at = data.find(b"WARC/")
-    while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[str | None, str | None, int | None, str, dict[str, str], str | None, str | None]]:
+    """``record_id, url, at, kind, headers, digest, profile`` of each record of a WARC file, gzipped or not.
+
+    Headers are those of the HTTP answer.  The file is read once from start to end, member by
+    member, and no more of a record is held than its headers.  A file cut short ends there.
+    """
+    stream = io.BufferedReader(stream, STEP) if not hasattr(stream, "peek") else stream
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(Members(stream), STEP)
+    left = 0  # bytes of the block that were not read
+
+    def head() -> list[bytes] | None:
+        lines = []
+        while (here := stream.readline()).endswith(b"\n"):
+            if not here.strip():
+                return lines
+            lines.append(here)
+        return None
+
+    while True:
+        while left > 0 and (passed := len(stream.read(min(left, STEP)))):
+            left -= passed
+        here = stream.readline(STEP)
+        if not here:
             return
-        head = fields(data[at:end])
-        size = int(head.get("content-length", "0")) if head.get("content-length", "0").isdigit() else 0
-        block = data[end + 4 : end + 4 + size]
-        http = fields(block.split(b"\r\n\r\n", 1)[0]) if block[:5] == b"HTTP/" else {}
+        if not here.startswith(b"WARC/"):
+            continue
+        lines = head()
+        if lines is None:
+            return
+        warc = fields(lines)
+        size = warc.get("content-length", "")
+        left = int(size) if size.isdigit() else 0
+        lines = []
+        while left > 0 and (here := stream.readline(min(left, STEP))):
+            left -= len(here)
+            if lines and not lines[-1].endswith(b"\n"):
+                lines[-1] += here
+            elif here.strip() and (lines or here.startswith(b"HTTP/")):
+                lines.append(here)
+            else:
+                break
         try:
-            when = int(datetime.fromisoformat(head.get("warc-date", "").replace("Z", "+00:00")).timestamp())
+            when = int(datetime.fromisoformat(warc.get("warc-date", "").replace("Z", "+00:00")).timestamp())
         except ValueError:
             when = None
-        yield head.get("warc-record-id"), head.get("warc-target-uri"), when, head.get("warc-type", ""), http, head.get("warc-payload-digest")
-        at = data.find(b"WARC/", end + 4 + size)
+        yield warc.get("warc-record-id"), warc.get("warc-target-uri"), when, warc.get("warc-type", ""), fields(lines[1:]), warc.get("warc-payload-digest"), warc.get("warc-profile")
+
 
+def open_file(path: str) -> BinaryIO:
+    """A stream over a file of this machine or of a store that pyarrow knows (``hdfs``, ``s3``, ``gs``)."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return open(rest if colon else path, "rb")
+    store, inside = pyarrow.fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1) if scheme == "s3a" else path)
+    return store.open_input_stream(inside)
 
-def read_warc(spark: SparkSession, path: str, pattern: str = "*.warc*") -> DataFrame:
-    """The records of all WARC files under a folder, as ``resolve`` takes them; a file is read whole (2 GB at most)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("content")
+
+def read_warc(spark: SparkSession, path: str, pattern: str = "*.warc*", opened: Callable[[str], BinaryIO] = open_file) -> DataFrame:
+    """The records of all WARC files under a folder, as ``resolve`` takes them.
+
+    Spark lists the files and deals them to tasks by size; a task reads each as a stream, so
+    memory does not grow with a file.  ``opened`` opens a path of any other store.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    columns = [part.split()[0] for part in RECORD.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["record_id", "url", "at", "kind", "headers", "digest"]
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for record in parse_warc(bytes(content)):
-                    rows.append(record)
-                    if len(rows) >= 1000:
+            for file in batch["path"]:
+                with opened(file) as stream:
+                    records = parse_warc(stream)
+                    while rows := [r for _, r in zip(range(1000), records, strict=False)]:
                         yield pd.DataFrame(rows, columns=columns).astype({"at": "Int64"})
-                        rows = []
-                yield pd.DataFrame(rows, columns=columns).astype({"at": "Int64"})
 
-    return files.mapInPandas(read, "record_id string, url string, at long, kind string, headers map<string,string>, digest string")
+    return files.mapInPandas(read, RECORD)
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ Lists grow in number with the rows.  The first level has as many as the sample c
 (``LEAST_TRAIN`` of its vectors for each).  A list of more than ``most_list`` rows has a second
 level of centroids, fitted in a task of its own on ``LEAST_TRAIN`` rows for each, chosen by a
 hash: two for each ``most_list`` rows, ``MOST_SECOND`` at most.  Its rows and queries descend to
-that level in one shuffle, and the list's sample says how many of its second lists a query needs.
+that level in one shuffle, and the list's sample says how many of its second lists a query needs; where that is more than half, as in vectors without
+clusters, the list has one second list only.
 So a query is copied once for each list that it searches, and lists stay short.  Should a second
 list be longer than ``most_list`` still, then of its equal vectors only the smallest ``k + 1`` ids
 are kept, as no more can be among the nearest ``k``, and what remains too long is split by a hash
@@ -246,7 +247,10 @@ def second_level(stored: DataFrame, k: int, coverage: float, most_list: int, scr
         rows = rows.sort_values("row")
         x = _unpack(rows["vec"]).astype(np.float32)
         index = Index(kmeans(x, min(int(rows["seconds"].iloc[0]), len(x))), [], [])
-        return rows[["size", "list", "salts"]].head(1).assign(centroids=index.centroids.tobytes(), probes=needed_probes(index, x, k, coverage))
+        probes = needed_probes(index, x, k, coverage)
+        if probes * 2 > len(index.centroids):  # vectors without clusters: parts by a hash, which are half as many
+            index, probes = Index(x.mean(0, keepdims=True), [], []), 1
+        return rows[["size", "list", "salts"]].head(1).assign(centroids=index.centroids.tobytes(), probes=probes)
 
     # a thousand vectors at least, or the sample of a list hardly longer than ``most_list`` would say little
     wanted = F.greatest(F.col("seconds") * LEAST_TRAIN, F.lit(1024))

@@ -135,6 +135,28 @@ def test_neighbours_recall_and_order(spark):
     assert [v for _, v in found[500]] == list(range(501, 511))
 
 
+@pytest.mark.parametrize("kind", ["heavy norms", "huge", "odd queries"])
+def test_neighbours_recall_on_odd_rows(spark, kind):
+    """Rows of very different lengths share a code, squares pass single precision, queries lie apart from other rows."""
+    rng = np.random.default_rng(5)
+    n, size = 6000, 32
+    x = rng.standard_normal((n, size))
+    if kind == "heavy norms":
+        x *= np.exp(3 * rng.standard_normal((n, 1)))
+    elif kind == "huge":
+        x *= 1e25
+    else:
+        x = 0.1 * x + rng.standard_normal((8, size))[rng.integers(0, 8, n)]
+        x[::100] = 2 * rng.standard_normal((n // 100, size))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = 0
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        d = np.sqrt(((x - x[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        hits += d[r.vec_id] <= np.sort(d)[9]
+    assert hits >= 0.9 * 10 * n / 100
+
+
 def test_neighbours_of_few_or_none(spark):
     _, df = vectors(spark)
     few = neighbours.nearest(df.where("vec_id in (0, 1, 2, 3002)"), F.col("vec_id") == 0).collect()

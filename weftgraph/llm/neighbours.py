@@ -3,10 +3,13 @@
 Coarse centroids and codebooks are fitted on ``most_train`` vectors at most, chosen by a
 hash; every vector is indexed: it joins the list of its nearest centroid and is coded by
 its residual's nearest codeword in each subspace.  A query goes to the lists of its nearest
-centroids, as many as hold ``coverage`` of the neighbours of some queries within the
-sample: clustered vectors need few lists, random ones nearly all.  There a table of
-distances from its residual to all codewords gives asymmetric distances to the codes; the
-best ``rerank`` are measured again on the original vectors, in double precision.  A query
+centroids, as many as hold ``coverage`` of the neighbours of some of the queries within the
+sample (of queries, as they may lie apart from other rows): clustered vectors need few lists,
+random ones nearly all.  There a table of distances from its residual to all codewords gives
+asymmetric distances to the codes; the best ``rerank`` are measured again on the original
+vectors, in double precision, and then all others that may be as near as the ``k``-th of these: a
+row is no nearer than its code less its distance from its code, which the index holds.  So
+nothing is lost inside a list, be its codes as coarse as they may.  A query
 that its lists leave with fewer than ``k`` neighbours, though there are more rows, is sent to
 its other lists too.
 
@@ -53,7 +56,7 @@ CODES = 256
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """Centroids of ``x``; an empty one moves to the point farthest from its own."""
     rng = np.random.default_rng(seed)
-    c = x[rng.permutation(len(x))[:k]].astype(np.float32)
+    c = x[rng.permutation(len(x))[:k]]
     for _ in range(rounds):
         near, far = assign(x, c)
         count = np.bincount(near, minlength=len(c))
@@ -69,7 +72,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
 def assign(x: np.ndarray, c: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centroid of each row, and the squared distance less the row's own norm."""
     norms = (c**2).sum(1)
-    near, far = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+    near, far = np.empty(len(x), np.int64), np.empty(len(x))
     for i in range(0, len(x), block):
         d = norms - 2 * (x[i : i + block] @ c.T)
         near[i : i + block] = d.argmin(1)
@@ -85,7 +88,7 @@ class Index:
 
     @staticmethod
     def fit(sample: np.ndarray, lists: int, width: int = 4) -> Index:
-        x = sample.astype(np.float32)
+        x = sample
         centroids = kmeans(x, min(lists, len(x)))
         rest = x - centroids[assign(x, centroids)[0]]
         cuts = list(range(0, x.shape[1], width))
@@ -94,15 +97,17 @@ class Index:
     def _part(self, x: np.ndarray, i: int) -> np.ndarray:
         return x[:, self.cuts[i] : self.cuts[i] + self.books[i].shape[1]]
 
-    def encode(self, x: np.ndarray, at: int) -> np.ndarray:
-        """Codes of the residuals of the vectors of one list."""
-        rest = x.astype(np.float32) - self.centroids[at]
-        return np.stack([assign(self._part(rest, i), book)[0] for i, book in enumerate(self.books)], 1)
+    def encode(self, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the residuals of the vectors of one list, and how far each vector is from its code."""
+        rest = x - self.centroids[at]
+        codes = np.stack([assign(self._part(rest, i), book)[0] for i, book in enumerate(self.books)], 1)
+        apart = sum(((self._part(rest, i) - book[codes[:, i]]) ** 2).sum(1) for i, book in enumerate(self.books))
+        return codes, np.sqrt(apart)
 
     def distances(self, query: np.ndarray, codes: np.ndarray, at: int) -> np.ndarray:
         """Asymmetric squared distances of one query to the codes of one list."""
-        rest = query.astype(np.float32) - self.centroids[at]
-        out = np.zeros(len(codes), np.float32)
+        rest = query - self.centroids[at]
+        out = np.zeros(len(codes))
         for i, book in enumerate(self.books):
             table = ((book - rest[self.cuts[i] : self.cuts[i] + book.shape[1]]) ** 2).sum(1)
             out += table[codes[:, i]]
@@ -110,7 +115,7 @@ class Index:
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` lists of the nearest centroids of each row, nearest first."""
-        d = (self.centroids**2).sum(1) - 2 * (x.astype(np.float32) @ self.centroids.T)
+        d = (self.centroids**2).sum(1) - 2 * (x @ self.centroids.T)
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
@@ -124,19 +129,24 @@ DESCENT = 50
 TRIALS = 256
 
 
-def needed_probes(index: Index, sample: np.ndarray, k: int, coverage: float) -> int:
-    """The least number of lists that hold ``coverage`` of the sample's ``k`` nearest neighbours of some of its vectors."""
-    x = sample.astype(np.float32)
-    n = min(TRIALS, len(x))
-    own, norms = assign(x, index.centroids)[0], (x**2).sum(1)
-    depth = np.argsort(index.probes(x[:n], len(index.centroids)), axis=1)  # the place of each list for each query
+def needed_probes(index: Index, sample: np.ndarray, k: int, coverage: float, trials: np.ndarray | None = None, own: np.ndarray | None = None) -> int:
+    """The least number of lists that hold ``coverage`` of the ``k`` nearest neighbours, within the sample, of ``trials``.
+
+    Without trials some of the sample are asked; ``own`` is a trial's place in the sample, if any, or -1.
+    """
+    x = sample
+    if trials is None:
+        trials, own = x[:TRIALS], np.arange(min(TRIALS, len(x)))
+    lists_of, norms = assign(x, index.centroids)[0], (x**2).sum(1)
+    depth = np.argsort(index.probes(trials, len(index.centroids)), axis=1)  # the place of each list for each query
     found = []
-    for i in range(n):
-        d = norms - 2 * (x @ x[i])
-        d[i] = np.inf
+    for i, trial in enumerate(trials):
+        d = norms - 2 * (x @ trial)
+        if own[i] >= 0:
+            d[own[i]] = np.inf
         near = np.argpartition(d, min(k, len(x) - 1) - 1)[:k] if len(x) > 1 else np.zeros(0, np.int64)
-        found.append(depth[i][own[near]])
-    places = np.sort(np.concatenate(found))
+        found.append(depth[i][lists_of[near]])
+    places = np.sort(np.concatenate(found)) if found else []
     return int(places[min(len(places) - 1, int(np.ceil(coverage * len(places))))]) + 1 if len(places) else 1
 
 
@@ -160,23 +170,29 @@ class Part:
         rows = rows[rows.groupby("vec").cumcount() <= k]
         self.index, self.at, self.k = index, at, k
         self.row, self.ids, self.vectors = rows["row"].to_numpy(), rows["id"].to_numpy(), _unpack(rows["vec"])
-        self.codes = index.encode(self.vectors, at)
+        self.codes, self.apart = index.encode(self.vectors, at)
 
     def search(self, row: int, query: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the nearest, best first."""
-        coarse = self.index.distances(query, self.codes, self.at)
-        coarse[self.row == row] = np.inf
-        if len(coarse) > rerank:
-            limit = np.partition(coarse, rerank - 1)[rerank - 1]
-            best = np.flatnonzero(coarse < limit)
-            best = np.concatenate([best, np.flatnonzero(coarse == limit)[: rerank - len(best)]])
-        else:
-            best = np.arange(len(coarse))
-        best = best[np.isfinite(coarse[best])]
-        exact = np.sqrt(((self.vectors[best] - query) ** 2).sum(1))
+        """(ids, distances) of the nearest, best first; no other row of the part is nearer."""
+        coarse = np.nan_to_num(self.index.distances(query, self.codes, self.at), nan=0.0)
+        others = np.flatnonzero(self.row != row)
+        best = others
+        if len(others) > rerank:
+            best = others[np.argpartition(coarse[others], rerank - 1)[:rerank]]
+        exact = self.measure(query, best)
+        if len(others) > rerank:
+            last = np.partition(exact, self.k - 1)[self.k - 1] if len(exact) >= self.k else np.inf
+            # the last term is for what rounding takes from the difference
+            low = np.sqrt(coarse) - self.apart - 1e-12 * np.sqrt(query @ query)
+            low[best] = low[self.row == row] = np.inf
+            more = np.flatnonzero(low <= last)
+            best, exact = np.concatenate([best, more]), np.concatenate([exact, self.measure(query, more)])
         order = np.lexsort((self.ids[best], exact))[: self.k]
         return self.ids[best][order], exact[order]
 
+    def measure(self, query: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.vectors[places] - query) ** 2).sum(1))
+
 
 FOUND = "query_row long, query_id long, vec_id long, score double"
 
@@ -213,20 +229,29 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & sound & F.exists(vector, lambda x: x != 0)
 
 
-def fit(rows: DataFrame, sizes: dict[int, int], k: int, lists: int | None, coverage: float, most_train: int) -> tuple[dict[int, Index], dict[int, int]]:
-    """An index, and the number of lists to search, for each dimension."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_train).select("v").toArrow().column("v").combine_chunks()
-    flat, long = sample.flatten().to_numpy(), pa.compute.list_value_length(sample).to_numpy()
-    starts = np.cumsum(long) - long
-    indexes, probes = {}, {}
+def fit(rows: DataFrame, sizes: dict[int, int], k: int, lists: int | None, coverage: float, most_train: int) -> tuple[dict[int, Index], dict[int, int], dict[int, np.ndarray]]:
+    """An index, the number of lists to search, and the queries that chose it, for each dimension."""
+
+    def drawn(some: DataFrame, most: int):
+        table = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec_id", "v").toArrow()
+        column = table.column("v").combine_chunks()
+        flat, long = column.flatten().to_numpy(), pa.compute.list_value_length(column).to_numpy()
+        starts, ids = np.cumsum(long) - long, table.column("vec_id").to_numpy()
+        return lambda size: (ids[long == size], flat[starts[long == size][:, None] + np.arange(size)])
+
+    sample, asked = drawn(rows, most_train), drawn(rows.where("is_query"), TRIALS)
+    indexes, probes, trials = {}, {}, {}
     for size, n in sizes.items():
-        x = flat[starts[long == size][:, None] + np.arange(size)]
+        (ids, x), (query_ids, queries) = sample(size), asked(size)
+        trials[size] = queries
         if not len(x):  # too rare for the sample: one list
             indexes[size], probes[size] = Index.fit(np.zeros((1, size)), 1), 1
             continue
         indexes[size] = Index.fit(x, min(lists or int(max(1, n**0.5 / 2)), max(1, len(x) // LEAST_TRAIN)))
-        probes[size] = needed_probes(indexes[size], x, k, coverage)
-    return indexes, probes
+        place = {i: at for at, i in enumerate(ids.tolist())}
+        own = np.array([place.get(i, -1) for i in query_ids.tolist()], np.int64)
+        probes[size] = needed_probes(indexes[size], x, k, coverage, queries if len(queries) else None, own)
+    return indexes, probes, trials
 
 
 LIST = ["size", "list"]
@@ -235,7 +260,7 @@ ROW = ["row", "vec_id", "vec"]
 LEVEL, PLACE, FIRST, REST, ALL = range(5)
 
 
-def second_level(stored: DataFrame, k: int, coverage: float, most_list: int, scratch: Scratch) -> DataFrame | None:
+def second_level(stored: DataFrame, indexes: dict[int, Index], first: dict[int, int], trials: dict[int, np.ndarray], k: int, coverage: float, most_list: int, scratch: Scratch) -> DataFrame | None:
     """``size, list, salts, centroids, probes`` of each list of more than ``most_list`` rows; none where all are short."""
     counts = stored.groupBy(*LIST).count().where(F.col("count") > most_list)
     share = F.col("count") / most_list
@@ -245,9 +270,15 @@ def second_level(stored: DataFrame, k: int, coverage: float, most_list: int, scr
 
     def fit_list(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row")
-        x = _unpack(rows["vec"]).astype(np.float32)
+        x = _unpack(rows["vec"])
         index = Index(kmeans(x, min(int(rows["seconds"].iloc[0]), len(x))), [], [])
         probes = needed_probes(index, x, k, coverage)
+        size, at = int(rows["size"].iloc[0]), int(rows["list"].iloc[0])
+        asked = trials[size]
+        asked = asked[(indexes[size].probes(asked, first[size]) == at).any(1)] if len(asked) else asked
+        if len(asked):  # queries that search this list may lie apart from its rows
+            equal = [np.flatnonzero((x == one).all(1)) for one in asked]
+            probes = max(probes, needed_probes(index, x, k, coverage, asked, np.array([e[0] if len(e) else -1 for e in equal])))
         if probes * 2 > len(index.centroids):  # vectors without clusters: parts by a hash, which are half as many
             index, probes = Index(x.mean(0, keepdims=True), [], []), 1
         return rows[["size", "list", "salts"]].head(1).assign(centroids=index.centroids.tobytes(), probes=probes)
@@ -266,7 +297,7 @@ def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end, *here, kind in runs(batch, ["size", "list", "salt", "kind"]):
             if kind == LEVEL:
                 found = batch.column("centroids")[start].as_py()
-                key, index, n = here, Index(np.frombuffer(found, "<f4").reshape(-1, here[0]), [], []), batch.column("probes")[start].as_py()
+                key, index, n = here, Index(np.frombuffer(found, "<f8").reshape(-1, here[0]), [], []), batch.column("probes")[start].as_py()
                 continue
             assert here == key  # else a list without centroids: the sample of a long list is never empty
             lists = len(index.centroids)
@@ -302,7 +333,7 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     sizes = {r["size"]: r["count"] for r in rows.groupBy(F.size("v").alias("size")).count().collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    indexes, probes = fit(rows, sizes, k, lists, coverage, most_train)
+    indexes, probes, trials = fit(rows, sizes, k, lists, coverage, most_train)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +342,7 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
             size_of = np.array([len(v) for v in found], np.int32)
             for size in np.unique(size_of):
                 here = np.flatnonzero(size_of == size)
-                x = np.array([found[i] for i in here], np.float32)
+                x = np.array([found[i] for i in here], np.float64)
                 lists_of[here] = assign(x, indexes[int(size)].centroids)[0]
             packed = pa.array([np.asarray(v, "<f8").tobytes() for v in found], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(size_of), pa.array(lists_of), batch.column("vec_id"), batch.column("is_query"), packed], ["size", "list", "vec_id", "is_query", "vec"])
@@ -340,7 +371,7 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
 
     stored = rows.mapInArrow(place, "size int, list int, vec_id long, is_query boolean, vec binary").withColumn("row", F.monotonically_increasing_id())
     stored = scratch.keep(stored, "stored")
-    levels = second_level(stored, k, coverage, most_list, scratch)
+    levels = second_level(stored, indexes, probes, trials, k, coverage, most_list, scratch)
     placed = to_second(stored.withColumn("kind", F.lit(PLACE)), levels)
     key = [*LIST, "second"]
     parts = None

@@ -1,7 +1,7 @@
 """A corpus pipeline: its stages work on documents one after the other.
 
 Language identification drops texts without a certain language, near-duplicate removal
-keeps one document of each group of texts alike by 0.8 or more in five-word shingles,
+keeps one document of each component of SimHash fingerprints that differ in 3 bits or fewer,
 substring dedup takes out passages that
 stand in an earlier document, mixing repeats or drops documents so that sources reach
 their target weights, and byte-level BPE encodes what is left and decodes it again.
@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, language, mixing, similar, substrings
+from weftgraph.llm import byte_bpe, language, mixing, simhash, substrings
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

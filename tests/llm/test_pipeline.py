@@ -1,5 +1,5 @@
 import corpus_pipeline
-from weftgraph.llm import mixing
+from weftgraph.llm import byte_bpe, common, mixing, simhash
 from weftgraph.plans.scratch import Scratch
 
 
@@ -30,3 +30,33 @@ def test_stages_on_planted_rows(spark, tmp_path):
     expected = sorted(i for r in mixing.mix(kept["substring_dedup"]).collect() for i in [r.doc_id] * r.copies)
     assert ids["source_mixing"] == expected == ids["byte_bpe"]
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == expected
+
+
+def test_near_duplicates_are_linked_by_simhash(spark):
+    """Texts with one word changed are alike by 0.8 in five-word shingles; the stage goes by 3 bits of their fingerprints."""
+    import random
+
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        texts += [" ".join(words), " ".join([*words[:60], "changed", *words[61:]])]
+    prints = [simhash.fingerprint(x) for x in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 40 < len(set(root)) < 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(root)
+
+
+def test_workers_drop_the_caches_of_earlier_stages():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    before = byte_bpe.codec(path)
+    common.release_held()
+    assert byte_bpe.codec(path) is not before

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Recent, map_arrow, rare_gc, slices
+from weftgraph.llm.common import Recent, held_by_worker, map_arrow, rare_gc, slices
 
 #: Kept moves, tested pairs and cached pieces in a Python worker; beyond that they start anew.
 MOST_MOVES, MOST_PAIRS, MOST_PIECES = 1_000_000, 1_000_000, 200_000
@@ -270,6 +270,9 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     return Codec(path, pattern)
 
 
+held_by_worker(codec.cache_clear)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None) -> DataFrame:
     """Add ``ids array<int>``; ``keep`` names the columns to pass on (default: all)."""
     keep = [c for c in (df.columns if keep is None else keep) if c != ids]

@@ -81,6 +81,22 @@ def rare_gc() -> None:
     gc.set_threshold(200_000, 50, 100)
 
 
+_HELD: list[Callable[[], None]] = []
+
+
+def held_by_worker(clear: Callable[[], None]) -> None:
+    """Register what empties a cache that outlives its task in a Python worker."""
+    _HELD.append(clear)
+
+
+def release_held() -> None:
+    """Empty the caches that earlier stages left in this worker, for a kernel that uses none of them."""
+    for clear in _HELD:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class Recent(dict):
     """A bounded cache in two generations: what is still asked for outlives a full one."""
 

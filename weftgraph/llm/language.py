@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import hashed_part, map_arrow, slices
+from weftgraph.llm.common import hashed_part, map_arrow, release_held, slices
 
 UNKNOWN = "und"
 BUCKETS, BITS, ORDERS = 1 << 13, 15, 4
@@ -179,6 +179,7 @@ def keep_known(docs: DataFrame, **options) -> DataFrame:
     model = fit(docs, ~held_out(), **options)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_held()
         for batch in slices(batches):
             keep = [not model.predict(x, 0.1)[2] for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Recent, map_arrow, rare_gc, slices
+from weftgraph.llm.common import Recent, held_by_worker, map_arrow, rare_gc, slices
 
 SPACE = "▁"
 MOST_SEGMENTS = 250_000
@@ -124,6 +124,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+held_by_worker(counter.cache_clear)
+
+
 def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """``key``, ``n_bytes``, ``n_tokens``, ``over_limit``, and ``fit_chars``: characters of the longest prefix within ``limit``."""
     kept = df.select(F.col(key), F.col(text).cast("string").alias("__text"))

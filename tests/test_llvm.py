@@ -2,7 +2,7 @@ import pytest
 
 from weftgraph.operators import analysis, transforms
 from weftgraph.schema import GraphCreationError, UnsupportedCompiler
-from weftgraph.sources import ir
+from weftgraph.sources import ir, llvm_text
 from weftgraph.sources.llvm_text import build_graph, read_instruction, read_type
 
 # This module and the texts expected of it are a known example of the format.
@@ -122,3 +122,15 @@ def test_tables(spark, tmp_path):
     assert ir.read_ir(spark, str(tmp_path)).first().text == ADD
     with pytest.raises(UnsupportedCompiler):
         ir.from_llvm_ir(irs, version="4")
+
+
+def test_repeated_lines_are_read_once_and_parts_left_out(spark):
+    llvm_text._instruction.cache_clear()
+    for _ in range(3):
+        build_graph(FIB)
+    found = llvm_text._instruction.cache_info()
+    assert found.misses == found.currsize and found.hits >= 2 * found.misses
+    irs = spark.createDataFrame([(1, ADD), (2, "no module")], "ir_id long, text string")
+    rows = {r.graph_id: r for r in ir.from_llvm_ir(irs, parts=("nodes",)).collect()}
+    assert rows[1].edges is None and rows[1].functions is None and rows[2].nodes is None and rows[2].error
+    assert [(n.node_id, n.type, n.text) for n in rows[1].nodes] == [(n["node_id"], n["type"], n["text"]) for n in build_graph(ADD)["nodes"]]

@@ -6,6 +6,7 @@ import signal
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.features import integer
 from weftgraph.schema import UnsupportedCompiler
 from weftgraph.sources import wire
-from weftgraph.sources.llvm_text import build_graph
+from weftgraph.sources.llvm_text import EDGE_FIELDS, NODE_FIELDS, build_rows
 
 #: Versions whose text can be read; the first is the default.
 LLVM_VERSIONS = ["10", "6", "3.8"]
@@ -96,22 +97,61 @@ class _Clock:
             signal.signal(signal.SIGALRM, self.before)
 
 
-def from_llvm_ir(irs: DataFrame, key: str = "ir_id", text: str = "text", version: str = LLVM_VERSIONS[0], timeout: float | None = 300, **options: bool) -> DataFrame:
-    """One packed graph for each row; ``error`` says why there is none, as when a text takes longer than ``timeout`` seconds."""
+def _flat(rows: list[list[tuple] | None], kind: pa.DataType, key: str, fields: tuple[str, ...]) -> pa.Array:
+    """Lists of structs from lists of tuples of ``fields``, columns at once; ``key`` is a row's place in its list."""
+    sizes = np.array([0 if x is None else len(x) for x in rows], np.int64)
+    ends = np.append(0, np.cumsum(sizes))
+    columns = dict(zip(fields, zip(*(row for x in rows if x is not None for row in x), strict=True), strict=False)) if ends[-1] else {}
+    arrays = []
+    for field in kind.value_type:
+        if field.name == key:
+            arrays.append(pa.array(np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)))
+            continue
+        values = columns.get(field.name)
+        # features are mostly absent
+        arrays.append(pa.nulls(int(ends[-1]), field.type) if values is None or field.name == "features" and not any(values) else pa.array(values, field.type))
+    inner = pa.StructArray.from_arrays(arrays, fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), inner, type=kind, mask=pa.array([x is None for x in rows]))
+
+
+def packed_rows(rows: list[dict], parts: tuple[str, ...] | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow rows of ``graph_id``, the parts and ``error``, nodes and edges as tuples; parts that are not asked for are null."""
+    for start in range(0, len(rows), 256):
+        some = rows[start : start + 256]
+        columns = []
+        for field in ARROW:
+            values = [x[field.name] for x in some]
+            if field.name in ("graph_id", "error"):
+                columns.append(pa.array(values, field.type))
+            elif parts is not None and field.name not in parts:
+                columns.append(pa.nulls(len(some), field.type))
+            elif field.name in ("nodes", "edges"):
+                columns.append(_flat(values, field.type, f"{field.name[:-1]}_id", NODE_FIELDS if field.name == "nodes" else EDGE_FIELDS))
+            else:
+                columns.append(pa.array(values, field.type))
+        yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
+
+
+def from_llvm_ir(irs: DataFrame, key: str = "ir_id", text: str = "text", version: str = LLVM_VERSIONS[0], timeout: float | None = 300, parts: tuple[str, ...] | None = None, **options: bool) -> DataFrame:
+    """One packed graph for each row; ``error`` says why there is none, as when a text takes longer than ``timeout`` seconds.
+
+    ``parts`` names those that a caller goes on with; others are null then.
+    """
     if version not in LLVM_VERSIONS:
         raise UnsupportedCompiler(f"unknown LLVM version {version}; known are {', '.join(LLVM_VERSIONS)}")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for graph_id, ir in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                try:
-                    with _Clock(timeout):
-                        rows.append({"graph_id": graph_id, **build_graph(ir or "", **options), "error": None})
-                except (ValueError, IndexError, KeyError, RecursionError, TimeoutError) as e:
-                    rows.append({"graph_id": graph_id, **dict.fromkeys(("nodes", "edges", "functions", "modules")), "error": str(e) or type(e).__name__})
-            for start in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist(rows[start : start + 256], schema=ARROW)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                rows = []
+                for graph_id, ir in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                    try:
+                        with _Clock(timeout):
+                            rows.append({"graph_id": graph_id, **build_rows(ir or "", **options), "error": None})
+                    except (ValueError, IndexError, KeyError, RecursionError, TimeoutError) as e:
+                        rows.append({"graph_id": graph_id, **dict.fromkeys(("nodes", "edges", "functions", "modules")), "error": str(e) or type(e).__name__})
+                yield from packed_rows(rows, parts)
 
     return irs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(build, PACKED)
 

@@ -1,5 +1,6 @@
 import functools
 
+import pyarrow as pa
 import pytest
 from graphs import build
 from pyspark.sql import DataFrame
@@ -136,3 +137,17 @@ def test_ordered_sink(spark, tmp_path):
     lines = [line for p in parts for line in p.read_text().split("\n")[1:] if line]
     assert [int(line.split("\t")[1]) for line in lines] == sorted((c for _, c in rows), reverse=True) and all(line.count("\t") == 1 for line in lines)
     assert sorted(map(tuple, statistics.read_tsv(spark, str(tmp_path / "v"), "text string, count long").collect())) == sorted(rows)
+
+
+def test_lists_of_structs_field_by_field_and_rows_encoded_once():
+    rows = [[{"node_id": 0, "type": None, "text": "a"}, {"node_id": 1, "type": 2, "text": None}], None, [], [{"node_id": 2, "type": 0, "text": "b"}]]
+    column = pa.array(rows)
+    assert files._rows(column) == rows and files._rows(column.slice(1)) == rows[1:]
+    graph = {"node": [{"type": 0, "text": "again"}] * 5, "edge": [{"flow": 1, "source": 0, "target": 3}] * 5}
+    wire._row_encoded.cache_clear()
+    data = wire.encode("ProgramGraph", graph)
+    assert wire._row_encoded.cache_info().misses == 2
+    found = wire.decode("ProgramGraph", data)
+    found["node"][0]["text"] = "changed"
+    assert [n["text"] for n in found["node"]] == ["changed"] + ["again"] * 4
+    assert wire.decode("ProgramGraph", data)["node"][0]["text"] == "again"

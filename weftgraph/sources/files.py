@@ -13,9 +13,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from weftgraph.functions.text import stem
 from weftgraph.plans.ordered import running_sum
@@ -120,17 +123,21 @@ def _parsed(kind: str, data: bytes, encoding: str, idx_list: list[int] | None) -
 def decode(blobs: DataFrame, name: str, data: str, idx_list: list[int] | None, kind_of, encoding_of) -> DataFrame:
     """``path, idx``, the parts and ``error`` of each graph in the column ``data``, kinds and encodings by the column ``name``."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows += [{"path": path, "idx": i, **parts, "error": None} for i, parts in _parsed(kind_of(path), content, encoding_of(path), idx_list)]
-                except (ValueError, OSError, IndexError, TypeError, EOFError) as e:
-                    rows.append({"path": path, "idx": 0, **dict.fromkeys(_PARTS), "features": None, "error": str(e)})
-            yield pd.DataFrame(rows, columns=["path", "idx", *_PARTS, "features", "error"])
-
-    return blobs.select(F.col(name).cast("string").alias("path"), F.col(data).cast("binary").alias("content")).mapInPandas(read, PACKED)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch, rows = whole.slice(start, 256), []
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    try:
+                        rows += [{"path": path, "idx": i, **parts, "error": None} for i, parts in _parsed(kind_of(path), content, encoding_of(path), idx_list)]
+                    except (ValueError, OSError, IndexError, TypeError, EOFError) as e:
+                        rows.append({"path": path, "idx": 0, **dict.fromkeys(_PARTS), "features": None, "error": str(e)})
+                for at in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 256], schema=arrow)
+
+    found = blobs.select(F.col(name).cast("string").alias("path"), F.col(data).cast("binary").alias("content"))
+    arrow = to_arrow_schema(_parse_datatype_string(PACKED))
+    return found.mapInArrow(read, PACKED)
 
 
 def _compression(compression: str | None) -> str:
@@ -252,17 +259,35 @@ def packed_tables(nodes: DataFrame, edges: DataFrame, functions: DataFrame | Non
     return both.join(graphs.select("graph_id", F.map_entries("features").alias("features")), "graph_id", "left")
 
 
+def _rows(column: pa.Array) -> list:
+    """``to_pylist``, but lists of structs field by field, not value by value."""
+    if not pa.types.is_list(column.type) or not pa.types.is_struct(column.type.value_type):
+        return column.to_pylist()
+    inner = column.flatten()
+    names, fields = [f.name for f in inner.type], inner.flatten()
+    values = [x.to_numpy().tolist() if pa.types.is_integer(x.type) and not x.null_count else x.to_pylist() for x in fields]
+    dicts, at, out = [dict(zip(names, row, strict=True)) for row in zip(*values, strict=True)], 0, []
+    for size in pa.compute.list_value_length(column).to_pylist():
+        out.append(None if size is None else dicts[at : at + size])
+        at += size or 0
+    return out
+
+
 def to_bytes(nodes: DataFrame, edges: DataFrame, encoding: str = "pb.gz", functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, as_list: bool = False) -> DataFrame:
     """``graph_id, data``: each graph as a message of its own, or as a list of one."""
     wire.dumps("ProgramGraph", {}, encoding)  # an unknown encoding is an error here
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [message_of(row) for row in batch.to_dict("records")]
-            data = [wire.dumps("ProgramGraphList", {"graph": [m]}, encoding) if as_list else wire.dumps("ProgramGraph", m, encoding) for m in found]
-            yield pd.DataFrame({"graph_id": batch["graph_id"], "data": data})
-
-    return packed_tables(nodes, edges, functions, modules, graphs).mapInPandas(write, "graph_id long, data binary")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                columns = [_rows(column) for column in batch.columns]
+                found = [message_of(dict(zip(batch.schema.names, row, strict=True))) for row in zip(*columns, strict=True)]
+                data = [wire.dumps("ProgramGraphList", {"graph": [m]}, encoding) if as_list else wire.dumps("ProgramGraph", m, encoding) for m in found]
+                yield pa.RecordBatch.from_arrays([batch.column("graph_id"), pa.array(data, pa.binary())], ["graph_id", "data"])
+
+    packed = packed_tables(nodes, edges, functions, modules, graphs)
+    return packed.withColumn("graph_id", F.col("graph_id").cast("long")).mapInArrow(write, "graph_id long, data binary")
 
 
 def to_string(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, as_list: bool = True) -> DataFrame:

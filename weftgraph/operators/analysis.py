@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.plans.fixpoint import KEY, MOST_EDGES, MOST_STATES, all_predecessors, closure, large_graphs, packed, queue_levels
-from weftgraph.plans.kernels import dominators_kernel, liveness_kernel, steps_kernel
+from weftgraph.plans.kernels import adjacency_kernel, dominators_kernel, liveness_kernel, sampled_closure_kernel, sampled_liveness_kernel, steps_kernel
 from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import COMMUTATIVE, CONTROL, DATA, INSTRUCTION, VARIABLE
 
@@ -114,22 +114,25 @@ def exits(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return eligible(nodes, INSTRUCTION).join(flow(edges, CONTROL).select("graph_id", F.col("source").alias("node_id")), ["graph_id", "node_id"], "left_anti")
 
 
-def _live(nodes: DataFrame, edges: DataFrame, outs: bool, most_edges: int = MOST_EDGES, most_states: int = MOST_STATES) -> DataFrame:
+def _live_rows(nodes: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
+    """A row for each graph with its nodes and its control and data edges."""
+    walked = edges.where(F.col("flow").isin(CONTROL, DATA))
+    return packed(nodes, "ns", "node_id", "type").join(packed(walked, "es", *columns), "graph_id").select("graph_id", "ns", "es")
+
+
+def _live(nodes: DataFrame, edges: DataFrame, outs: bool, most_edges: int = MOST_EDGES, most_states: int = MOST_STATES, fits: bool = False) -> DataFrame:
     """Live variables of all graphs: packed ones by one kernel, large ones by joins."""
+    one = lambda nodes, edges: _live_rows(nodes, edges, "flow", "source", "target").mapInArrow(liveness_kernel(outs), "graph_id long, node_id long, variable long")
+    if fits:
+        return one(nodes, edges)
     scratch = Scratch(edges.sparkSession)
     edges = scratch.keep(edges.where(F.col("flow").isin(CONTROL, DATA)).select("graph_id", "flow", "position", "source", "target", "edge_id"), "edges")
-    data = edges.where(F.col("flow") == DATA)
-    large = scratch.keep(large_graphs(edges, data, most_edges, most_states), "large")
-    none = large.isEmpty()
-    few = lambda df: df if none else df.join(large, "graph_id", "left_anti")
-    rows = packed(few(data), "ds", "source", "target").join(packed(few(nodes), "ns", "node_id", "type"), "graph_id")
-    rows = rows.join(packed(few(edges.where(F.col("flow") == CONTROL)), "cs", "source", "target"), "graph_id", "left")
-    found = rows.select("graph_id", "ns", "cs", "ds").mapInArrow(liveness_kernel(outs), "graph_id long, node_id long, variable long")
-    if none:
-        return found
-    many = lambda df: df.join(large, "graph_id", "left_semi")
+    large = scratch.keep(large_graphs(edges, edges.where(F.col("flow") == DATA), most_edges, most_states), "large")
+    if large.isEmpty():
+        return one(nodes, edges)
+    few, many = (lambda df, how=how: df.join(large, "graph_id", how) for how in ("left_anti", "left_semi"))
     needed = live_in_by_joins(many(nodes), many(edges))
-    return found.unionByName(_before(many(edges), needed) if outs else needed)
+    return one(few(nodes), few(edges)).unionByName(_before(many(edges), needed) if outs else needed)
 
 
 def live_in_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -149,14 +152,50 @@ def _before(edges: DataFrame, needed: DataFrame) -> DataFrame:
     return control.join(needed, ["graph_id", "node_id"]).select("graph_id", F.col("source").alias("node_id"), "variable").distinct()
 
 
-def live_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph_id, node_id, variable``: values that an instruction, which reaches an exit, needs."""
-    return _live(nodes, edges, False)
+def live_in(nodes: DataFrame, edges: DataFrame, fits: bool = False) -> DataFrame:
+    """``graph_id, node_id, variable``: values that an instruction, which reaches an exit, needs; ``fits`` says that each graph may be one row."""
+    return _live(nodes, edges, False, fits=fits)
+
+
+def live_out(nodes: DataFrame, edges: DataFrame, fits: bool = False) -> DataFrame:
+    """``graph_id, node_id, variable``: what some control successor needs; ``fits`` as in ``live_in``."""
+    return _live(nodes, edges, True, fits=fits)
+
+
+def sampled_liveness(nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int = 0, fits: bool = False) -> DataFrame:
+    """``liveness`` for sampled roots; where each graph ``fits`` in a row, one kernel samples and labels."""
+    if fits:
+        rows = _live_rows(nodes, edges, "flow", "edge_id", "source", "target")
+        return rows.mapInArrow(sampled_liveness_kernel(True, most, seed), "graph_id long, root long, node_id long, is_root long, value long")
+    out = Scratch(nodes.sparkSession).keep(live_out(nodes, edges), "out")
+    return liveness(nodes, edges, sample_roots(liveness_roots(nodes, edges, out), most, seed), out)
+
+
+def sampled_liveness_instances(nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int = 0, fits: bool = False) -> DataFrame:
+    """``liveness_instances`` for sampled roots, likewise."""
+    if fits:
+        rows = _live_rows(nodes, edges, "flow", "edge_id", "source", "target")
+        return rows.mapInArrow(sampled_liveness_kernel(False, most, seed), "graph_id long, root long, step_count long, active_node_count long")
+    out = Scratch(nodes.sparkSession).keep(live_out(nodes, edges), "out")
+    return liveness_instances(nodes, edges, sample_roots(liveness_roots(nodes, edges, out), most, seed), out)
+
+
+def sampled_closures(nodes: DataFrame, edges: DataFrame, kind: int, most: int = 10, seed: int = 0) -> DataFrame:
+    """``graph_id, root, label_count, reached, instructions, depth`` for roots sampled from a kind of nodes, in one kernel.
+
+    ``edges`` are those to follow, from source to target; each graph fits in a row.  ``label_count`` counts
+    the graph's nodes, ``depth`` is the greatest number of edges to one.
+    """
+    rows = packed(nodes, "ns", "node_id", "type").join(packed(edges, "es", "source", "target"), "graph_id", "left").select("graph_id", "ns", "es")
+    return rows.mapInArrow(sampled_closure_kernel(kind, most, seed), "graph_id long, root long, label_count long, reached long, instructions long, depth long")
 
 
-def live_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph_id, node_id, variable``: what some control successor needs."""
-    return _live(nodes, edges, True)
+def sampled_datadep_instances(nodes: DataFrame, edges: DataFrame, most: int = 10, seed: int = 0, fits: bool = False) -> DataFrame:
+    """``datadep_instances`` for sampled roots; in one kernel where each graph ``fits`` in a row."""
+    if not fits:
+        return datadep_instances(nodes, edges, sample_roots(eligible(nodes, VARIABLE), most, seed))
+    found = sampled_closures(nodes, flow(edges, DATA, reverse=True), VARIABLE, most, seed)
+    return found.select(*KEY, F.col("depth").alias("step_count"), F.col("instructions").alias("active_node_count"))
 
 
 def liveness_roots(nodes: DataFrame, edges: DataFrame, out: DataFrame | None = None) -> DataFrame:
@@ -290,17 +329,8 @@ def register(analysis: Analysis) -> Analysis:
 
 def adjacency_text(edges: DataFrame) -> DataFrame:
     """``graph_id, text``: control and data adjacencies both ways, a line ``    node: [a, b]`` for each node that has any."""
-    kinds = (("control", CONTROL, False), ("reverse_control", CONTROL, True), ("data", DATA, False), ("reverse_data", DATA, True))
-    rows = None
-    for place, (kind, code, reverse) in enumerate(kinds):
-        part = flow(edges, code, reverse).select("graph_id", F.lit(place).alias("place"), F.lit(kind).alias("kind"), "source", F.struct("edge_id", "target").alias("to"))
-        rows = part if rows is None else rows.unionByName(part)
-    lists = rows.groupBy("graph_id", "place", "kind", "source").agg(F.sort_array(F.collect_list("to")).alias("to"))
-    line = F.concat(F.lit("    "), F.col("source").cast("string"), F.lit(": ["), F.array_join(F.transform("to", lambda x: x["target"].cast("string")), ", "), F.lit("]\n"))
-    parts = lists.select("graph_id", "place", "kind", "source", line.alias("line")).groupBy("graph_id", "place", "kind").agg(F.sort_array(F.collect_list(F.struct("source", "line"))).alias("lines"))
-    text = F.concat("kind", F.lit(":\n"), F.array_join(F.transform("lines", lambda x: x["line"]), ""))
-    whole = parts.select("graph_id", "place", text.alias("text")).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("parts"))
-    return whole.select("graph_id", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("text"))
+    rows = packed(edges.where(F.col("flow").isin(CONTROL, DATA)), "es", "flow", "edge_id", "source", "target")
+    return rows.mapInArrow(adjacency_kernel, edges.select("graph_id").schema.add("text", "string"))
 
 
 def expression_sets_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -56,10 +56,36 @@ ORACLE_HEAD, WIDE_HEAD = _head(_LINES), _head(_WIDE_LINES.replace(" / ", " // ")
 
 
 def _rows(lines: DataFrame, columns: list[str], parts: list[tuple]) -> DataFrame:
-    """One row of ``columns`` for each part (condition, values...) that holds for a line: one pass, no union."""
+    """One row of ``columns`` for each part (condition, values...) that holds for a line: one pass, no union.
+
+    What does not hold goes after the explode: a lambda would keep Spark from compiling the stage.
+    """
     made = [F.when(F.expr(when), F.struct(*[F.expr(f"CAST({v} AS {'STRING' if c == 'text' else 'BIGINT'})").alias(c) for c, v in zip(columns, values, strict=True)])) for when, *values in parts]
-    kept = F.filter(F.array(*made), lambda x: x.isNotNull())
-    return lines.select("graph_id", F.explode(kept).alias("made")).select("graph_id", "made.*")
+    return lines.select("graph_id", F.explode(F.array(*made)).alias("made")).where("made IS NOT NULL").select("graph_id", "made.*")
+
+
+def _lines(spark: SparkSession, sf_dir: str, wide: bool) -> DataFrame:
+    """The rows of ``_LINES`` or ``_WIDE_LINES``.
+
+    ``graph_id`` is there before the lines are shuffled by it: Spark then knows that whatever is
+    made of them lies by graph, and shuffles nothing else.
+    """
+    key = f"(l_orderkey - l_orderkey % {WIDE}) DIV {WIDE}" if wide else "l_orderkey"
+    scan = _SCAN.format(key="graph_id", first="l_orderkey, " if wide else "", lineitem=f"(SELECT *, CAST({key} AS BIGINT) AS graph_id FROM {{lineitem}})")
+    # columns get their new names after the shuffle, which so is the same for nodes and edges and done once
+    scan = f"SELECT graph_id, l_partkey, l_suppkey, l_returnflag AS flag, l_linestatus AS status, rn, n FROM ({scan})".replace("l_returnflag AS flag, l_linestatus AS status,\n", "l_returnflag, l_linestatus,\n")
+    return spark.sql(scan, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+#: Lines of a graph that fits in one row at most, with its edges and the states of any analysis.
+MOST_LINES = 1000
+
+
+def all_fit(spark: SparkSession, sf_dir: str, wide: bool = False, most_lines: int = MOST_LINES) -> bool:
+    """Whether no graph has more lines: nothing made of it needs to be counted before it is packed."""
+    key = F.expr(f"(l_orderkey - l_orderkey % {WIDE}) DIV {WIDE}" if wide else "l_orderkey")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(key.alias("graph_id")).agg(F.count("*").alias("n"))
+    return lines.where(F.col("n") > most_lines).isEmpty()
 
 
 def order_graphs(spark: SparkSession, sf_dir: str, wide: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +95,7 @@ def order_graphs(spark: SparkSession, sf_dir: str, wide: bool = False) -> tuple[
 
     All windows are over one graph, so lines are shuffled once for each table.
     """
-    lines = spark.sql((_WIDE_LINES.replace(" / ", " DIV ") if wide else _LINES).format(lineitem="{lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    lines = _lines(spark, sf_dir, wide)
     first = F.row_number().over(Window.partitionBy("graph_id", F.expr("l_suppkey % 4")).orderBy("rn")) == 1
     nodes = _rows(
         lines.withColumn("first", first),

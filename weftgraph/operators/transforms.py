@@ -80,12 +80,14 @@ def tuple_arrays(nodes: DataFrame, edges: DataFrame, most_nodes: int) -> DataFra
     return rows.select("batch", "flow", *[F.col("r")[name].alias(f"{name}s") for name in ("source", "target", "position")])
 
 
-def _sequenced(edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame | None]:
-    """``graph_id, node_ids`` of packed graphs, and ``graph_id, node_id, place`` of those with more edges."""
-    scratch = Scratch(edges.sparkSession)
-    walked = scratch.keep(edges.where(F.col("flow").isin(CONTROL, CALL)).select("graph_id", "flow", "edge_id", "source", "target"), "walked")
-    large = scratch.keep(walked.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > most_edges).select("graph_id"), "large")
-    none = large.isEmpty()
+def _sequenced(edges: DataFrame, most_nodes: int, most_edges: int, fits: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """``graph_id, node_ids`` of packed graphs, and ``graph_id, node_id, place`` of those with more edges; ``fits`` says that there are none of these."""
+    walked, none = edges.where(F.col("flow").isin(CONTROL, CALL)).select("graph_id", "flow", "edge_id", "source", "target"), fits
+    if not fits:
+        scratch = Scratch(edges.sparkSession)
+        walked = scratch.keep(walked, "walked")
+        large = scratch.keep(walked.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > most_edges).select("graph_id"), "large")
+        none = large.isEmpty()
     few = walked if none else walked.join(large, "graph_id", "left_anti")
     edge = F.struct(*[F.col(c).cast("long").alias(c) for c in ("edge_id", "source", "target")])
     entry = F.struct(*[F.col(c).cast("long").alias(c) for c in ("edge_id", "target")])
@@ -110,9 +112,9 @@ def instruction_order(edges: DataFrame, most_nodes: int = 1_000_000, most_edges:
     return rows if order is None else rows.unionByName(order.select("graph_id", "place", "node_id"))
 
 
-def instruction_sequence(edges: DataFrame, most_nodes: int = 1_000_000, most_edges: int = MOST_EDGES) -> DataFrame:
-    """``graph_id, node_ids``: the same as one list for each graph."""
-    found, order = _sequenced(edges, most_nodes, most_edges)
+def instruction_sequence(edges: DataFrame, most_nodes: int = 1_000_000, most_edges: int = MOST_EDGES, fits: bool = False) -> DataFrame:
+    """``graph_id, node_ids``: the same as one list for each graph; ``fits`` says that none has more edges."""
+    found, order = _sequenced(edges, most_nodes, most_edges, fits)
     if order is None:
         return found
     listed = order.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("r"))

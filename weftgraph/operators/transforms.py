@@ -182,44 +182,58 @@ def _pick(code: Column, values: list[str]) -> Column:
 
 
 def _escaped(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame, label: str = "text", feature: str = "") -> DataFrame:
-    """``graph_id, kind, ord, line``: a DOT statement for each node and edge; ``label`` is text, none or feature (of that name)."""
+def _dot_lines(nodes: DataFrame, edges: DataFrame, label: str, feature: str, *kept: Column) -> tuple[DataFrame, DataFrame]:
+    """``graph_id, kind, ord, line`` of nodes, with what else is ``kept`` of them, and of edges."""
     if label not in ("text", "none", "feature"):
         raise ValueError(f"unknown label: {label}; known are text, none, feature")
     if label == "feature":
         shown = F.coalesce(as_text(F.try_element_at("features", F.lit(feature))), F.lit("")) if "features" in nodes.columns else F.lit("")
     else:
         shown = F.coalesce(F.col("text"), F.lit("")) if label == "text" else F.lit("")
-    ns = nodes.select("graph_id", F.lit("node").alias("kind"), F.col("node_id").alias("ord"), F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit(" [label="), _escaped(_short(shown)), F.lit(", style=filled, "), _pick(F.col("type"), list(NODE_STYLE.values())), F.lit("];")).alias("line"))
+    ns = nodes.select("graph_id", F.lit("node").alias("kind"), F.col("node_id").alias("ord"), *kept, F.concat(F.lit("n"), F.col("node_id").cast("string"), F.lit(" [label="), _escaped(_short(shown)), F.lit(", style=filled, "), _pick(F.col("type"), list(NODE_STYLE.values())), F.lit("];")).alias("line"))
     color = _pick(F.col("flow"), EDGE_COLOR)
     place = F.concat(F.when(F.col("flow") == CONTROL, F.lit(", taillabel=")).otherwise(F.lit(", headlabel=")), F.col("position").cast("string"), F.lit(', labelfontcolor="'), color, F.lit('"'))
     where = F.when(F.col("position") == 0, F.lit("")).otherwise(place)
     es = edges.select("graph_id", F.lit("edge").alias("kind"), F.col("edge_id").alias("ord"), F.concat(F.lit("n"), F.col("source").cast("string"), F.lit(" -> n"), F.col("target").cast("string"), F.lit(' [color="'), color, F.lit('", '), _pick(F.col("flow"), EDGE_STYLE), where, F.lit("];")).alias("line"))
+    return ns, es
+
+
+def dot_lines(nodes: DataFrame, edges: DataFrame, label: str = "text", feature: str = "") -> DataFrame:
+    """``graph_id, kind, ord, line``: a DOT statement for each node and edge; ``label`` is text, none or feature (of that name)."""
+    ns, es = _dot_lines(nodes, edges, label, feature)
     return ns.unionByName(es)
 
 
 def dot_text(nodes: DataFrame, edges: DataFrame, label: str = "text", feature: str = "", functions: DataFrame | None = None) -> DataFrame:
-    """``graph_id, dot``: the whole graph; instructions and variables stand in a cluster for each of ``functions``."""
-    lines = dot_lines(nodes, edges, label, feature)
-    if functions is None or "function" not in nodes.columns:
-        homes = nodes.select("graph_id", F.col("node_id").alias("ord"), F.lit(-1).cast("long").alias("home"))
-    else:
-        inside = (F.col("node_id") > 0) & F.col("type").isin(INSTRUCTION, VARIABLE)
-        homes = nodes.select("graph_id", F.col("node_id").alias("ord"), F.when(inside, F.col("function")).otherwise(-1).cast("long").alias("home"))
-    ns = lines.where("kind = 'node'").join(homes, ["graph_id", "ord"]).groupBy("graph_id", "home").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("r"))
+    """``graph_id, dot``: the whole graph; instructions and variables stand in a cluster for each of ``functions``.
+
+    Everything is grouped and joined by graph alone, so nodes and edges that lie by graph stay where they are.
+    """
+    inside = (F.col("node_id") > 0) & F.col("type").isin(INSTRUCTION, VARIABLE)
+    clustered = functions is not None and "function" in nodes.columns
+    home = (F.when(inside, F.col("function")).otherwise(-1) if clustered else F.lit(-1)).cast("long").alias("home")
+    ns, es = _dot_lines(nodes, edges, label, feature, home)
+    ns = ns.groupBy("graph_id", "home").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("r"))
     body = F.array_join(F.transform("r", lambda x: F.concat(F.lit("    "), x["line"], F.lit("\n"))), "")
+    ns = ns.select("graph_id", "home", body.alias("body")).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("home", "body"))).alias("bodies"))
+    part = lambda h, name, body: F.struct(h.alias("home"), F.concat(F.when(h < 0, F.lit("  subgraph external {\n")).otherwise(F.concat(F.lit("  subgraph cluster"), h.cast("string"), F.lit(" {\n    label="), _escaped(_short(F.coalesce(name, F.lit("")))), F.lit(";\n    margin=10;\n    style=dotted;\n"))), F.coalesce(body, F.lit("")), F.lit("  }\n")).alias("part"))
     if functions is None:
-        ns = ns.withColumn("name", F.lit(""))
+        parts = ns.select("graph_id", F.transform("bodies", lambda b: part(b["home"], F.lit(""), b["body"])).alias("p"))
     else:
-        named = functions.select("graph_id", F.col("function_id").cast("long").alias("home"), "name")
-        ns = ns.join(named, ["graph_id", "home"], "full")
-    head = F.when(F.col("home") < 0, F.lit("  subgraph external {\n")).otherwise(F.concat(F.lit("  subgraph cluster"), F.col("home").cast("string"), F.lit(" {\n    label="), _escaped(_short(F.coalesce("name", F.lit("")))), F.lit(";\n    margin=10;\n    style=dotted;\n")))
-    parts = ns.select("graph_id", "home", F.concat(head, F.coalesce(body, F.lit("")), F.lit("  }\n")).alias("part"))
-    parts = parts.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("home", "part"))).alias("p"))
-    es = lines.where("kind = 'edge'").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("e"))
+        named = functions.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.col("function_id").cast("long").alias("home"), "name"))).alias("names"))
+        both = ns.join(named, "graph_id", "full")
+        none = lambda c, fields: F.coalesce(F.col(c), F.array().cast(f"array<struct<{fields}>>"))
+        both = both.select("graph_id", none("bodies", "home: bigint, body: string").alias("bodies"), none("names", "home: bigint, name: string").alias("names"))
+        body_of = F.map_from_entries(F.filter("bodies", lambda b: b["home"].isNotNull()))
+        bare = F.filter("bodies", lambda b: ~F.coalesce(F.array_contains(F.col("homes"), b["home"]), F.lit(False)))
+        both = both.select("graph_id", "bodies", "names", body_of.alias("body_of"), F.transform("names", lambda n: n["home"]).alias("homes"))
+        named_parts = F.transform("names", lambda n: part(n["home"], n["name"], F.try_element_at(F.col("body_of"), n["home"])))
+        bare_parts = F.transform(bare, lambda b: part(b["home"], F.lit(None).cast("string"), b["body"]))
+        parts = both.select("graph_id", F.sort_array(F.concat(named_parts, bare_parts)).alias("p"))
+    es = es.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("e"))
     shown = F.coalesce(F.array_join(F.transform("e", lambda x: F.concat(F.lit("  "), x["line"], F.lit("\n"))), ""), F.lit(""))
     start = "digraph main {\n" + "".join(f"  {line}\n" for line in DEFAULTS)
     return parts.join(es, "graph_id", "left").select("graph_id", F.concat(F.lit(start), F.array_join(F.transform("p", lambda x: x["part"]), ""), shown, F.lit("}\n")).alias("dot"))

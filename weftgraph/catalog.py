@@ -15,7 +15,7 @@ from weftgraph.functions import text
 from weftgraph.operators import adapters, analysis, statistics, transforms, validation
 from weftgraph.plans.scratch import Scratch
 from weftgraph.sources import ir
-from weftgraph.sources.orders import ORACLE_HEAD, order_graphs
+from weftgraph.sources.orders import ORACLE_HEAD, all_fit, order_graphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,12 +33,15 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def graph_query(sql: str | None = None) -> Callable:
-    """The same for a function of nodes and edges; the SQL follows those of the graphs."""
+def graph_query(sql: str | None = None, fits: bool = False) -> Callable:
+    """The same for a function of nodes and edges; the SQL follows those of the graphs.
 
-    def add(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable:
+    With ``fits`` the function is also told whether each graph fits in one row.
+    """
+
+    def add(f: Callable[..., DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*order_graphs(spark, sf_dir))
+            return f(*order_graphs(spark, sf_dir), *([all_fit(spark, sf_dir)] if fits else []))
 
         QUERIES[f.__name__] = run
         if sql:
@@ -273,20 +276,19 @@ live AS (
 outs AS (SELECT DISTINCT l.graph_id, e.source AS node_id, l.variable FROM live l JOIN edges e ON e.graph_id = l.graph_id AND e.target = l.node_id AND e.flow = 0)"""
 
 
-@graph_query(_LIVE + " SELECT graph_id, node_id, variable FROM live")
-def liveness_in(nodes, edges):
-    return analysis.live_in(nodes, edges)
+@graph_query(_LIVE + " SELECT graph_id, node_id, variable FROM live", fits=True)
+def liveness_in(nodes, edges, fits):
+    return analysis.live_in(nodes, edges, fits)
 
 
-@graph_query(_LIVE + " SELECT graph_id, node_id, variable FROM outs")
-def liveness_out(nodes, edges):
-    return analysis.live_out(nodes, edges)
+@graph_query(_LIVE + " SELECT graph_id, node_id, variable FROM outs", fits=True)
+def liveness_out(nodes, edges, fits):
+    return analysis.live_out(nodes, edges, fits)
 
 
-@graph_query(_LIVE + _roots_sql("SELECT DISTINCT graph_id, node_id FROM outs") + ", found AS (SELECT o.graph_id, o.node_id AS root, o.variable AS node_id FROM outs o)" + _LABELS)
-def liveness_labels(nodes, edges):
-    out = Scratch(nodes.sparkSession).keep(analysis.live_out(nodes, edges), "out")
-    return analysis.liveness(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges, out)), out)
+@graph_query(_LIVE + _roots_sql("SELECT DISTINCT graph_id, node_id FROM outs") + ", found AS (SELECT o.graph_id, o.node_id AS root, o.variable AS node_id FROM outs o)" + _LABELS, fits=True)
+def liveness_labels(nodes, edges, fits):
+    return analysis.sampled_liveness(nodes, edges, fits=fits)
 
 
 # the queue itself: one step of the recursion takes one level, in the order of first entry

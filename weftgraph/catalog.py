@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text
 from weftgraph.operators import adapters, analysis, statistics, transforms, validation
-from weftgraph.plans.scratch import Scratch
 from weftgraph.sources import ir
 from weftgraph.sources.orders import ORACLE_HEAD, all_fit, order_graphs
 
@@ -306,10 +305,9 @@ levels AS (
 SELECT graph_id, root, deepest AS step_count, len(live)::BIGINT AS active_node_count FROM levels WHERE len(level) = 0"""
 
 
-@graph_query(_QUEUE)
-def liveness_summary(nodes, edges):
-    out = Scratch(nodes.sparkSession).keep(analysis.live_out(nodes, edges), "out")
-    return analysis.liveness_instances(nodes, edges, analysis.sample_roots(analysis.liveness_roots(nodes, edges, out)), out)
+@graph_query(_QUEUE, fits=True)
+def liveness_summary(nodes, edges, fits):
+    return analysis.sampled_liveness_instances(nodes, edges, fits=fits)
 
 
 _CSE = """,

@@ -208,9 +208,9 @@ def datadep_labels(nodes, edges):
 
 @graph_query(_roots_sql(_VARIABLES) + _DEPTH.format(first=0, at="target", to="source", flow=1) + """
  SELECT x.graph_id, x.root, max(depth) AS step_count, sum((n.type = 0)::BIGINT)::BIGINT AS active_node_count
- FROM nearest x JOIN nodes n ON n.graph_id = x.graph_id AND n.node_id = x.node_id GROUP BY ALL""")
-def datadep_summary(nodes, edges):
-    return analysis.datadep_instances(nodes, edges, analysis.sample_roots(analysis.eligible(nodes, 1)))
+ FROM nearest x JOIN nodes n ON n.graph_id = x.graph_id AND n.node_id = x.node_id GROUP BY ALL""", fits=True)
+def datadep_summary(nodes, edges, fits):
+    return analysis.sampled_datadep_instances(nodes, edges, fits=fits)
 
 
 # a node is not dominated if it, or what leads to it past the root, has no predecessor or lies on a cycle

@@ -415,9 +415,9 @@ first AS (SELECT graph_id, node_id, depth, min(path) AS path FROM walk JOIN near
 SELECT graph_id, list(node_id ORDER BY depth, path) AS node_ids FROM first GROUP BY graph_id"""
 
 
-@graph_query(_SEQUENCE)
-def instruction_sequence(nodes, edges):
-    return transforms.instruction_sequence(edges)
+@graph_query(_SEQUENCE, fits=True)
+def instruction_sequence(nodes, edges, fits):
+    return transforms.instruction_sequence(edges, fits=fits)
 
 
 @graph_query(""" SELECT n.graph_id, '{"directed":true,"multigraph":true,"graph":{"function":[],"module":[]},"nodes":[' || n.j || '],"links":[' || e.j || ']}' AS json

@@ -24,7 +24,7 @@ from weftgraph.functions.text import stem
 from weftgraph.plans.ordered import running_sum
 from weftgraph.plans.scratch import Scratch
 from weftgraph.schema import EDGES, FEATURE, FUNCTIONS, MODULES, NODES, GraphTransformError
-from weftgraph.sources import wire
+from weftgraph.sources import wire, wire_batches
 
 _PARTS = {"nodes": NODES, "edges": EDGES, "functions": FUNCTIONS, "modules": MODULES}
 
@@ -223,6 +223,23 @@ def from_string(texts: DataFrame, key: str = "graph_id", text: str = "text", idx
     return decode(texts, key, text, idx_list, lambda _: message, lambda _: "pbtxt")
 
 
+def rows_from(blobs: DataFrame, part: str, key: str = "graph_id", data: str = "data", encoding: str = "pb.gz", message: str = "ProgramGraphList") -> DataFrame:
+    """``unpack`` of the graphs in a column of bytes or texts, by their own key: no graph is packed in between."""
+    fields = _PARTS[part].split(", ", 1)[1]
+    found = blobs.select(F.col(key), F.col(data).cast("binary").alias("__content"))
+    schema = f"`{key}` {found.schema[0].dataType.simpleString()}, {fields}"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = wire_batches.Reader(part, pa.schema([arrow.field(i) for i in range(2, len(arrow))]), message, encoding, rows_of)
+        for whole in batches:
+            for batch in wire_batches.cut(whole, "__content"):
+                of, place, rows = reader.read(batch.column("__content").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(place), *rows.columns], schema=arrow)
+
+    return found.mapInArrow(read, schema)
+
+
 def unpack(packed: DataFrame, part: str, key: str = "graph_id") -> DataFrame:
     return packed.where("error IS NULL").select(key, F.explode(part).alias("x")).select(key, "x.*")
 
@@ -277,19 +294,52 @@ def to_bytes(nodes: DataFrame, edges: DataFrame, encoding: str = "pb.gz", functi
     """``graph_id, data``: each graph as a message of its own, or as a list of one."""
     wire.dumps("ProgramGraph", {}, encoding)  # an unknown encoding is an error here
 
+    def one_by_one(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            columns = [_rows(column) for column in batch.columns]
+            found = [message_of(dict(zip(batch.schema.names, row, strict=True))) for row in zip(*columns, strict=True)]
+            data = [wire.dumps("ProgramGraphList", {"graph": [m]}, encoding) if as_list else wire.dumps("ProgramGraph", m, encoding) for m in found]
+            yield pa.RecordBatch.from_arrays([batch.column("graph_id"), pa.array(data, pa.binary())], ["graph_id", "data"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                columns = [_rows(column) for column in batch.columns]
-                found = [message_of(dict(zip(batch.schema.names, row, strict=True))) for row in zip(*columns, strict=True)]
-                data = [wire.dumps("ProgramGraphList", {"graph": [m]}, encoding) if as_list else wire.dumps("ProgramGraph", m, encoding) for m in found]
-                yield pa.RecordBatch.from_arrays([batch.column("graph_id"), pa.array(data, pa.binary())], ["graph_id", "data"])
+            for batch in wire_batches.pieces(whole):
+                data = wire_batches.encoded(wire_batches.packed_rows(batch), encoding, as_list)
+                if data is None:
+                    yield from one_by_one(batch)
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column("graph_id"), pa.array(data, pa.binary())], ["graph_id", "data"])
 
     packed = packed_tables(nodes, edges, functions, modules, graphs)
     return packed.withColumn("graph_id", F.col("graph_id").cast("long")).mapInArrow(write, "graph_id long, data binary")
 
 
+def clustered_to_bytes(rows: DataFrame, encoding: str = "pb.gz", as_list: bool = False) -> DataFrame:
+    """``to_bytes`` of nodes and edges in one table, as ``sources.orders.order_rows`` has them: those of a graph lie together, so no graph is collected."""
+    wire.dumps("ProgramGraph", {}, encoding)
+
+    def one(graph_id: int | None, found: list[dict]) -> bytes:
+        nodes, edges = ([x for x in found if x["part"] == part] for part in (0, 1))
+        nodes = [{"node_id": x["source"], "type": x["kind"], "text": x["text"]} for x in nodes]
+        edges = [{"flow": x["kind"], "source": x["source"], "target": x["target"], "position": x["position"]} for x in edges]
+        for part in (nodes, edges):
+            part.sort(key=lambda x: [(v is not None, v) if v is not None else (False,) for v in x.values()])
+        message = message_of({"graph_id": graph_id, "nodes": nodes, "edges": edges, "functions": None, "modules": None, "features": None})
+        return wire.dumps("ProgramGraphList", {"graph": [message]}, encoding) if as_list else wire.dumps("ProgramGraph", message, encoding)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, begins in wire_batches.whole_graphs(batches):
+            ids = batch.column("graph_id").take(pa.array(begins))
+            data = wire_batches.encoded(wire_batches.clustered_rows(batch, begins), encoding, as_list)
+            if data is None:
+                ends = [*begins[1:].tolist(), batch.num_rows]
+                data = [one(k, batch.slice(a, b - a).to_pylist()) for k, a, b in zip(ids.to_pylist(), begins.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary())], ["graph_id", "data"])
+
+    return rows.mapInArrow(write, "graph_id long, data binary")
+
+
 def to_string(nodes: DataFrame, edges: DataFrame, functions: DataFrame | None = None, modules: DataFrame | None = None, graphs: DataFrame | None = None, as_list: bool = True) -> DataFrame:
     """``graph_id, text``: each graph in text format."""
     return to_bytes(nodes, edges, "pbtxt", functions, modules, graphs, as_list).select("graph_id", F.col("data").cast("string").alias("text"))

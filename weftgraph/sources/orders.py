@@ -88,6 +88,27 @@ def all_fit(spark: SparkSession, sf_dir: str, wide: bool = False, most_lines: in
     return lines.where(F.col("n") > most_lines).isEmpty()
 
 
+#: Rows that a line makes: where, and node_id, type, text of a node; flow, position, source, target of an edge.
+_NODE_ROWS = [
+    ("rn = 1", "0", "0", "'[external]'"),
+    ("true", "rn", "0", "CASE flag WHEN 'A' THEN 'add' WHEN 'N' THEN 'sub' ELSE 'mul' END"),
+    ("true", "n + rn", "1", "'var'"),
+    ("first", "2 * n + 1 + l_suppkey % 4", "2", "'val'"),
+    ("rn = 1", "2 * n + 5", "3", "'i32'"),
+]
+_EDGE_ROWS = [
+    ("rn < n", "0", "0", "rn", "rn + 1"),
+    ("flag = 'R' AND rn + 2 <= n", "0", "1", "rn", "rn + 2"),
+    ("flag = 'A' AND status = 'F' AND rn > 1", "0", "2", "rn", "rn - 1"),
+    ("true", "1", "0", "rn", "n + rn"),
+    ("rn > 1", "1", "0", "n + 1 + l_partkey % least(rn - 1, 2)", "rn"),
+    ("true", "1", "1", "2 * n + 1 + l_suppkey % 4", "rn"),
+    ("rn = 1", "2", "0", "0", "1"),
+    ("rn = n", "2", "0", "n", "0"),
+    ("true", "3", "0", "2 * n + 5", "n + rn"),
+]
+
+
 def order_graphs(spark: SparkSession, sf_dir: str, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """``nodes`` (graph_id, node_id, type, text) and ``edges`` (graph_id, edge_id, flow, position, source, target).
 
@@ -100,28 +121,32 @@ def order_graphs(spark: SparkSession, sf_dir: str, wide: bool = False) -> tuple[
     nodes = _rows(
         lines.withColumn("first", first),
         ["node_id", "type", "text"],
-        [
-            ("rn = 1", "0", "0", "'[external]'"),
-            ("true", "rn", "0", "CASE flag WHEN 'A' THEN 'add' WHEN 'N' THEN 'sub' ELSE 'mul' END"),
-            ("true", "n + rn", "1", "'var'"),
-            ("first", "2 * n + 1 + l_suppkey % 4", "2", "'val'"),
-            ("rn = 1", "2 * n + 5", "3", "'i32'"),
-        ],
+        _NODE_ROWS,
     )
     edges = _rows(
         lines,
         ["flow", "position", "source", "target"],
-        [
-            ("rn < n", "0", "0", "rn", "rn + 1"),
-            ("flag = 'R' AND rn + 2 <= n", "0", "1", "rn", "rn + 2"),
-            ("flag = 'A' AND status = 'F' AND rn > 1", "0", "2", "rn", "rn - 1"),
-            ("true", "1", "0", "rn", "n + rn"),
-            ("rn > 1", "1", "0", "n + 1 + l_partkey % least(rn - 1, 2)", "rn"),
-            ("true", "1", "1", "2 * n + 1 + l_suppkey % 4", "rn"),
-            ("rn = 1", "2", "0", "0", "1"),
-            ("rn = n", "2", "0", "n", "0"),
-            ("true", "3", "0", "2 * n + 5", "n + rn"),
-        ],
+        _EDGE_ROWS,
     )
     order = Window.partitionBy("graph_id").orderBy("flow", "source", "target", "position")
     return nodes, edges.withColumn("edge_id", (F.row_number().over(order) - 1).cast("long"))
+
+
+def order_rows(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """Nodes and edges of ``order_graphs`` in one table: ``graph_id, part, kind, source, target, position, text``.
+
+    Part 0 has a node's type and, as source, its id; part 1 an edge, without its id, of a graph that has one.
+    The rows of a graph lie together, in any order: lines are sorted by graph, and nothing is shuffled after.
+    """
+    # the first line of each rest of l_suppkey by a window that needs no sort of its own
+    rest, whole = F.expr("l_suppkey % 4"), Window.partitionBy("graph_id")
+    lines = _lines(spark, sf_dir, wide).withColumns({f"first_{i}": F.min(F.when(rest.eqNullSafe(F.lit(x)), F.col("rn"))).over(whole) for i, x in enumerate(_RESTS)})
+    firsts = F.array(*[F.col(f"first_{i}") for i in range(len(_RESTS))])
+    lines = lines.withColumn("first", F.array_contains(firsts, F.col("rn")))
+    parts = [(when, "0", kind, node, "0", "0", text) for when, node, kind, text in _NODE_ROWS]
+    parts += [(f"graph_id IS NOT NULL AND ({when})", "1", flow, source, target, position, "NULL") for when, flow, position, source, target in _EDGE_ROWS]
+    return _rows(lines, ["part", "kind", "source", "target", "position", "text"], parts)
+
+
+#: What is left of a number divided by four.
+_RESTS = [None, -3, -2, -1, 0, 1, 2, 3]

@@ -316,16 +316,15 @@ def to_bytes(nodes: DataFrame, edges: DataFrame, encoding: str = "pb.gz", functi
 
 
 def clustered_to_bytes(rows: DataFrame, encoding: str = "pb.gz", as_list: bool = False) -> DataFrame:
-    """``to_bytes`` of nodes and edges in one table, as ``sources.orders.order_rows`` has them: those of a graph lie together, so no graph is collected."""
+    """``to_bytes`` of rows with some nodes and edges each, as ``sources.orders.order_rows`` has them: those of a graph follow each other, so none is collected."""
     wire.dumps("ProgramGraph", {}, encoding)
 
-    def one(graph_id: int | None, found: list[dict]) -> bytes:
-        nodes, edges = ([x for x in found if x["part"] == part] for part in (0, 1))
-        nodes = [{"node_id": x["source"], "type": x["kind"], "text": x["text"]} for x in nodes]
-        edges = [{"flow": x["kind"], "source": x["source"], "target": x["target"], "position": x["position"]} for x in edges]
-        for part in (nodes, edges):
-            part.sort(key=lambda x: [(v is not None, v) if v is not None else (False,) for v in x.values()])
-        message = message_of({"graph_id": graph_id, "nodes": nodes, "edges": edges, "functions": None, "modules": None, "features": None})
+    def one(graph_id: int | None, lines: pa.RecordBatch) -> bytes:
+        lists = []
+        for name, by in (("nodes", ("node_id", "type", "text")), ("edges", ("flow", "source", "target", "position"))):
+            found = [x for x in lines.column(name).flatten().to_pylist() if x is not None]
+            lists.append(sorted(found, key=lambda x, by=by: [(x[c] is not None, x[c]) if x[c] is not None else (False,) for c in by]))
+        message = message_of({"graph_id": graph_id, "nodes": lists[0], "edges": lists[1], "functions": None, "modules": None, "features": None})
         return wire.dumps("ProgramGraphList", {"graph": [message]}, encoding) if as_list else wire.dumps("ProgramGraph", message, encoding)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +333,7 @@ def clustered_to_bytes(rows: DataFrame, encoding: str = "pb.gz", as_list: bool =
             data = wire_batches.encoded(wire_batches.clustered_rows(batch, begins), encoding, as_list)
             if data is None:
                 ends = [*begins[1:].tolist(), batch.num_rows]
-                data = [one(k, batch.slice(a, b - a).to_pylist()) for k, a, b in zip(ids.to_pylist(), begins.tolist(), ends, strict=True)]
+                data = [one(k, batch.slice(a, b - a)) for k, a, b in zip(ids.to_pylist(), begins.tolist(), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary())], ["graph_id", "data"])
 
     return rows.mapInArrow(write, "graph_id long, data binary")

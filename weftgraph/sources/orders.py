@@ -8,7 +8,7 @@ accepted, finished lines back to the one before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,13 +55,17 @@ def _head(lines: str) -> str:
 ORACLE_HEAD, WIDE_HEAD = _head(_LINES), _head(_WIDE_LINES.replace(" / ", " // "))
 
 
+def _made(columns: list[str], parts: list[tuple]) -> Column:
+    """The rows of ``columns`` that a line makes, a null for each part (condition, values...) that does not hold."""
+    return F.array(*[F.when(F.expr(when), F.struct(*[F.expr(f"CAST({v} AS {'STRING' if c == 'text' else 'BIGINT'})").alias(c) for c, v in zip(columns, values, strict=True)])) for when, *values in parts])
+
+
 def _rows(lines: DataFrame, columns: list[str], parts: list[tuple]) -> DataFrame:
-    """One row of ``columns`` for each part (condition, values...) that holds for a line: one pass, no union.
+    """One row of ``columns`` for each part that holds for a line: one pass, no union.
 
     What does not hold goes after the explode: a lambda would keep Spark from compiling the stage.
     """
-    made = [F.when(F.expr(when), F.struct(*[F.expr(f"CAST({v} AS {'STRING' if c == 'text' else 'BIGINT'})").alias(c) for c, v in zip(columns, values, strict=True)])) for when, *values in parts]
-    return lines.select("graph_id", F.explode(F.array(*made)).alias("made")).where("made IS NOT NULL").select("graph_id", "made.*")
+    return lines.select("graph_id", F.explode(_made(columns, parts)).alias("made")).where("made IS NOT NULL").select("graph_id", "made.*")
 
 
 def _lines(spark: SparkSession, sf_dir: str, wide: bool) -> DataFrame:
@@ -88,7 +92,8 @@ def all_fit(spark: SparkSession, sf_dir: str, wide: bool = False, most_lines: in
     return lines.where(F.col("n") > most_lines).isEmpty()
 
 
-#: Rows that a line makes: where, and node_id, type, text of a node; flow, position, source, target of an edge.
+#: Rows that a line makes: where, and the values of the columns.
+_NODE_COLUMNS, _EDGE_COLUMNS = ["node_id", "type", "text"], ["flow", "position", "source", "target"]
 _NODE_ROWS = [
     ("rn = 1", "0", "0", "'[external]'"),
     ("true", "rn", "0", "CASE flag WHEN 'A' THEN 'add' WHEN 'N' THEN 'sub' ELSE 'mul' END"),
@@ -120,12 +125,12 @@ def order_graphs(spark: SparkSession, sf_dir: str, wide: bool = False) -> tuple[
     first = F.row_number().over(Window.partitionBy("graph_id", F.expr("l_suppkey % 4")).orderBy("rn")) == 1
     nodes = _rows(
         lines.withColumn("first", first),
-        ["node_id", "type", "text"],
+        _NODE_COLUMNS,
         _NODE_ROWS,
     )
     edges = _rows(
         lines,
-        ["flow", "position", "source", "target"],
+        _EDGE_COLUMNS,
         _EDGE_ROWS,
     )
     order = Window.partitionBy("graph_id").orderBy("flow", "source", "target", "position")
@@ -133,19 +138,18 @@ def order_graphs(spark: SparkSession, sf_dir: str, wide: bool = False) -> tuple[
 
 
 def order_rows(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    """Nodes and edges of ``order_graphs`` in one table: ``graph_id, part, kind, source, target, position, text``.
+    """``graph_id, nodes, edges`` for each line: the rows of ``order_graphs`` that it makes, edges without ids, and nulls among them.
 
-    Part 0 has a node's type and, as source, its id; part 1 an edge, without its id, of a graph that has one.
-    The rows of a graph lie together, in any order: lines are sorted by graph, and nothing is shuffled after.
+    The lines of a graph follow each other, as they are sorted by it and nothing is shuffled after.  A graph
+    without an id has no edges.  Lists are not exploded: each row that goes to Python has its price.
     """
     # the first line of each rest of l_suppkey by a window that needs no sort of its own
     rest, whole = F.expr("l_suppkey % 4"), Window.partitionBy("graph_id")
     lines = _lines(spark, sf_dir, wide).withColumns({f"first_{i}": F.min(F.when(rest.eqNullSafe(F.lit(x)), F.col("rn"))).over(whole) for i, x in enumerate(_RESTS)})
     firsts = F.array(*[F.col(f"first_{i}") for i in range(len(_RESTS))])
     lines = lines.withColumn("first", F.array_contains(firsts, F.col("rn")))
-    parts = [(when, "0", kind, node, "0", "0", text) for when, node, kind, text in _NODE_ROWS]
-    parts += [(f"graph_id IS NOT NULL AND ({when})", "1", flow, source, target, position, "NULL") for when, flow, position, source, target in _EDGE_ROWS]
-    return _rows(lines, ["part", "kind", "source", "target", "position", "text"], parts)
+    edges = [(f"graph_id IS NOT NULL AND ({when})", *values) for when, *values in _EDGE_ROWS]
+    return lines.select("graph_id", _made(_NODE_COLUMNS, _NODE_ROWS).alias("nodes"), _made(_EDGE_COLUMNS, edges).alias("edges"))
 
 
 #: What is left of a number divided by four.

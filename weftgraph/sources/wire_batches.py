@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from weftgraph.plans.kernels import cuts, sizes
 from weftgraph.sources import wire
 
-#: Rows of graphs to write at once, and the bytes of their texts; bytes of messages to read at once.
-MOST_ROWS, MOST_TEXT, MOST_BYTES = 200_000, 1 << 26, 1 << 20
+#: Rows of graphs to write at once, bytes of them where they come line by line, and of their texts; bytes of messages to read at once.
+MOST_ROWS, MOST_HELD, MOST_TEXT, MOST_BYTES = 200_000, 1 << 24, 1 << 26, 1 << 20
 #: Known rows, and their bytes, before a reader starts anew.
 MOST_KNOWN, KNOWN_BYTES = 1 << 16, 1 << 24
 #: Numbers up to this have a table.
@@ -164,7 +164,7 @@ def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def whole_graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches of about ``MOST_ROWS`` rows that end where a graph ends, and where each graph begins; a graph's rows follow each other."""
+    """Batches of about ``MOST_HELD`` bytes that end where a graph ends, and where each graph begins; a graph's rows follow each other."""
     held, n = [], 0
 
     def cut(last: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -181,37 +181,40 @@ def whole_graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            n += batch.num_rows
-        if n >= MOST_ROWS:
+            n += batch.nbytes
+        if n >= MOST_HELD:
             yield from cut(False)
     if any(x.num_rows for x in held):
         yield from cut(True)
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """``np.lexsort``, first key first, by one key where all fit in it."""
+    low = [int(x.min()) if len(x) else 0 for x in keys]
+    bits = [(int(x.max()) - at).bit_length() if len(x) else 0 for x, at in zip(keys, low, strict=True)]
+    if sum(bits) > 62:
+        return np.lexsort(keys[::-1])
+    key = np.zeros(len(keys[0]), np.int64)
+    for x, at, n in zip(keys, low, bits, strict=True):
+        key = key << n | x - at
+    return np.argsort(key, kind="stable")
+
+
 def clustered_rows(batch: pa.RecordBatch, begins: np.ndarray) -> Rows | None:
     """Nodes by id and edges by ``flow, source, target, position`` of rows as ``sources.orders.order_rows`` has them; None if one lacks a number."""
-    columns = [batch.column(name) for name in ("part", "kind", "source", "target", "position")]
-    if any(x.null_count for x in columns):
-        return None
-    part, kind, source, target, position = (x.to_numpy() for x in columns)
-    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, batch.num_rows)))
-    node = part == 0
-    keys = [part, of, np.where(node, 0, kind), source, np.where(node, kind, target), position]
-    low, bits = [int(x.min()) for x in keys], []
-    bits = [(int(x.max()) - at).bit_length() for x, at in zip(keys, low, strict=True)]
-    if sum(bits) < 63:
-        key = np.zeros(len(of), np.int64)
-        for x, at, n in zip(keys, low, bits, strict=True):
-            key = key << n | x - at
-        order = np.argsort(key, kind="stable")
-    else:
-        order = np.lexsort(keys[::-1])
-    n = int(node.sum())
-    nodes, edges = order[:n], order[n:]
-    text = batch.column("text").take(pa.array(nodes))
-    fields = {"node_id": source[nodes], "type": kind[nodes], "text": pc.fill_null(text, "")}
-    ends = {"flow": kind[edges], "position": position[edges], "source": source[edges], "target": target[edges]}
-    return Rows(fields, ends, np.bincount(of[nodes], minlength=len(begins)), np.bincount(of[edges], minlength=len(begins)))
+    graph, out = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, batch.num_rows))), []
+    for name, by in (("nodes", ("node_id", "type")), ("edges", ("flow", "source", "target", "position"))):
+        inner, of = batch.column(name).flatten(), np.repeat(graph, sizes(batch, name))
+        there = inner.is_valid()
+        inner, of = inner.filter(there), of[there.to_numpy(zero_copy_only=False)]
+        fields = dict(zip([f.name for f in inner.type], inner.flatten(), strict=True))
+        if any(fields[x].null_count for x in by):
+            return None
+        order = _order(of, *[fields[x].to_numpy() for x in by])
+        out.append({x: pc.fill_null(v.take(pa.array(order)), "") if x == "text" else v.to_numpy()[order] for x, v in fields.items()})
+        out.append(np.bincount(of, minlength=len(begins)))
+    nodes, count, edges, degree = out
+    return Rows(nodes, edges, count, degree)
 
 
 def zipped(data: bytes) -> bytes:
